@@ -46,3 +46,11 @@ def word_count(text: Column) -> Column:
 def parts(spark: SparkSession) -> int:
     """The number of groups to deal data into: the cluster's shuffle partitions, which are set in proportion to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, mixing, quality, warc
-from strandlake.llm.common import table
+from strandlake.llm import ann, bpe, chat, lm, mixing, near_dedup, quality, sharding, toxicity, warc
+from strandlake.llm.common import scratch_path, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +36,58 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
+#: Arrivals that the documents are appended in, and the bytes of a full shard.
+ARRIVALS, SHARD_BYTES = 8, 64 << 20
+
+
+def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append all documents as arrivals, merge, and read the last committed version with each row's shard."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, scratch_path(spark, "shards"), SHARD_BYTES)
+    store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int")), "arrival")
+    version = store.compact()
+    rows = store.read(version, with_shard=True)
+    return rows.select("doc_id", "source", "n_chars", F.crc32(F.col("text").cast("binary")).alias("text_crc"), "shard", "shard_rows", F.lit(version).alias("version"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(near_dedup.link(table(spark, sf_dir, "documents"), shingle=2))
+
+
+#: One row in so many is a query.
+QUERY_STEP = 20
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.search(rows, rows.where(F.col("vec_id") % QUERY_STEP == 0))
+
+
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op5_preference_chat": op5_preference_chat,
+    "op6_compaction": op6_compaction,
+    "op7_toxicity": op7_toxicity,
+    "op8_minhash": op8_minhash,
+    "op9_ann": op9_ann,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_preference_chat": chat.ORACLE}
