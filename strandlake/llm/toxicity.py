@@ -25,8 +25,10 @@ from strandlake.llm.common import written
 MAX_LABELLED = 20_000
 #: At most so many learned terms, the best supported first.
 MAX_TERMS = 1_000
+#: Of the documents that have a learned term, at least this share is toxic.
+LEAST_RATE = 0.5
 #: Lengths of the word beginnings that are tried as terms.
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 REJECT = 0.7
 
 #: Seed words, by class. Insult, threat, target, negation, reported speech.
@@ -39,8 +41,10 @@ SEEDS = {
 }
 #: What a clause makes of a term: insult, targeted insult, threat, negated, reported.
 KINDS = ("insult", "targeted", "threat", "negated", "reported")
-#: Weights before any label is seen: the bias, then each kind.
-PRIOR = (-3.0, 3.0, 4.0, 3.0, 0.5, 0.8)
+#: Weights before any label is seen: the bias, then each kind, their density, and a sure term.
+PRIOR = (-3.0, 3.0, 4.0, 3.0, 0.5, 0.8, 0.5, 0.5)
+#: Weight from which a term is sure, the greatest that it can have.
+SURE = 2.0
 SPAN = 4
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -146,8 +150,9 @@ class Scorer:
         return found
 
     def features(self, text: str | None) -> list[float]:
-        """Per clause kind, the log of 1 plus the weights of its terms, over all clauses of the whole text."""
-        low, sums, done = (text or "").lower(), [0.0] * len(KINDS), -1
+        """Per clause kind, the log of 1 plus the weights of its terms, over all clauses of the whole text; then the
+        same of all kinds for each hundred words, and whether a term that is neither negated nor reported is sure."""
+        low, sums, done, sure = (text or "").lower(), [0.0] * len(KINDS), -1, False
         for end, size in self.search.iter(low):
             at = end - size + 1
             if at < done or (at and low[at - 1].isalpha()):
@@ -161,7 +166,9 @@ class Scorer:
             for kind, w in zip(outcomes(classes), weights, strict=True):
                 if kind in OUTCOME:
                     sums[OUTCOME[kind]] += w or 1.0
-        return [math.log1p(x) for x in sums]
+                    sure |= w >= SURE and kind in "IJ"
+        total = sum(sums)
+        return [*map(math.log1p, sums), math.log1p(100 * total / len(low.split())) if total else 0.0, float(sure)]
 
     def score(self, text: str | None) -> float:
         z = self.model.kinds[0] + sum(a * b for a, b in zip(self.model.kinds[1:], self.features(text), strict=True))
@@ -186,29 +193,37 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 
 
 def term_counts(rows: DataFrame, hold: int = 300_000) -> DataFrame:
-    """term, pos, neg: the toxic and other documents that have a term. A stem ends with ``*``. Counts are summed in
-    each task, at most ``hold`` at a time, before the shuffle."""
+    """term, pos, neg: the toxic and other documents that have a term, pos_times, neg_times: how often they have it.
+    A stem ends with ``*``. Counts are summed in each task, at most ``hold`` at a time, before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
+        docs: tuple[Counter, Counter] = (Counter(), Counter())
+        times: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out() -> pa.RecordBatch:
-            terms = list({*found[0], *found[1]})
-            made = pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "pos": pa.array([found[1][t] for t in terms], pa.int64()), "neg": pa.array([found[0][t] for t in terms], pa.int64())})
-            found[0].clear()
-            found[1].clear()
-            return made
+            terms = list({*docs[0], *docs[1]})
+            columns = {"term": pa.array(terms, pa.string())}
+            for name, c in (("pos", docs[1]), ("neg", docs[0]), ("pos_times", times[1]), ("neg_times", times[0])):
+                columns[name] = pa.array([c[t] for t in terms], pa.int64())
+                c.clear()
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(TOKEN.findall((text or "").lower()))
-                words |= {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
-                found[1 if toxic else 0].update(words)
-                if len(found[0]) + len(found[1]) > hold:
+                own = Counter(TOKEN.findall((text or "").lower()))
+                for w, n in list(own.items()):
+                    for k in STEMS:
+                        if len(w) > k:
+                            own[w[:k] + "*"] += n
+                side = 1 if toxic else 0
+                docs[side].update(own.keys())
+                times[side].update(own)
+                if len(docs[0]) + len(docs[1]) > hold:
                     yield out()
         yield out()
 
-    return rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = [F.sum(c).alias(c) for c in ("pos", "neg", "pos_times", "neg_times")]
+    return rows.mapInArrow(count, "term string, pos long, neg long, pos_times long, neg_times long").groupBy("term").agg(*sums)
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
@@ -223,12 +238,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     rate = F.col("pos") / (F.col("pos") + F.col("neg"))
     proof = F.col("pos") * F.log(rate / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - rate) / (1 - base))).otherwise(0.0)
     enough = math.log(max(counts.count(), 1)) + math.log(100)
-    weight = F.least(F.log((F.col("pos") + 1) / (F.col("neg") + 0.5) * ((1 - base) / base)) / 3, F.lit(2.0))
+    words_in = counts.where("NOT endswith(term, '*')").agg(F.sum("pos_times"), F.sum("neg_times")).first()
+    odds = (F.col("pos_times") + 0.5) / (F.col("neg_times") + 0.5) * ((words_in[1] + 1) / (words_in[0] + 1))
+    weight = F.least(F.log(odds) / 3, F.lit(SURE))
     known = {r.term: r.weight for r in counts.where(F.col("term").isin(list(seeds))).select("term", weight.alias("weight")).collect()}
     words = {w: x for w in seeds if (x := known.get(w, 1.0)) > 0}
-    best = counts.where((F.col("pos") > 0) & (rate >= 0.8)).withColumn("proof", proof).where(F.col("proof") >= enough)
+    best = counts.where((F.col("pos") > 0) & (rate >= LEAST_RATE)).withColumn("proof", proof).where(F.col("proof") >= enough)
     stems: dict[str, float] = {}
-    for r in best.select("term", weight.alias("weight"), "proof").orderBy(F.desc("proof"), "term").limit(max_terms).collect():
+    for r in best.where(weight > 0.3).select("term", weight.alias("weight"), "proof").orderBy(F.desc("proof"), "term").limit(max_terms).collect():
         if r.term.endswith("*"):
             stems[r.term[:-1]] = r.weight
         else:
@@ -246,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return Model(words, stems, tuple(fit(x, np.array([r.toxic for r in seen], float))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
     """Logistic regression drawn towards PRIOR, by Newton's method; kinds never speak for a text."""
     prior = np.array(PRIOR)
     w = prior.copy()
@@ -258,6 +275,20 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> n
         w[1:] = np.maximum(w[1:], 0.0)
         if np.abs(step).max() < 1e-6:
             break
+    return placed(w, x, y)
+
+
+def placed(w: np.ndarray, x: np.ndarray, y: np.ndarray, cost: float = 2.0) -> np.ndarray:
+    """The weights with the bias moved so that REJECT falls where the rows are split best: toxic rows above the cut less
+    ``cost`` times clean ones, halfway to the next row below."""
+    z = x @ w
+    order = np.argsort(-z, kind="stable")
+    z, gain = z[order], np.cumsum(np.where(y[order] > 0, 1.0, -cost))
+    ends = np.flatnonzero(np.append(z[1:] < z[:-1] - 1e-9, True))
+    best = ends[gain[ends].argmax()]
+    below = z[best + 1] if best + 1 < len(z) else z[best] - 2
+    w = w.copy()
+    w[0] += math.log(REJECT / (1 - REJECT)) - max((z[best] + below) / 2, z[best] - 1)
     return w
 
 
