@@ -12,16 +12,19 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import parts
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
+#: Texts that a task gathers before it deals them into packets.
+PACKET_BYTES = 16 << 20
 RESULT = "doc_id long, ids binary, decoded string"
 
 _loaded: dict[str, object] = {}
@@ -57,12 +60,67 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _pack(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(raw)
+
+
+def _unpack(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def _pack_numbers(numbers: Iterable[int], n: int = -1) -> bytes:
+    """32-bit numbers, all first bytes before all second ones: the high ones are mostly equal."""
+    return _pack(np.fromiter(numbers, np.uint32, n).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack_numbers(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpack(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, text, doc_id) as packets of one block, compressed, which is what is shuffled."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        order = rows.select(["block"]).append_column("i", pa.array(range(rows.num_rows))).sort_by("block").column("i")
+        rows = rows.take(order)
+        blocks = rows.column("block").to_numpy()
+        starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+        packets = []
+        for a, b in zip(starts, [*starts[1:], len(blocks)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _ROWS) as stream:
+                stream.write_table(rows.slice(a, b - a).select(["doc_id", "text"]).combine_chunks())
+            packets.append(_pack(sink.getvalue()))
+        return pa.RecordBatch.from_pydict({"block": pa.array(blocks[starts], pa.int32()), "packet": pa.array(packets, pa.binary())})
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > PACKET_BYTES:
+            yield out()
+            held, size = [], 0
+    if any(x.num_rows for x in held):
+        yield out()
+
+
+_ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _rows(packets: Iterable[bytes]) -> Iterator[pa.Table]:
+    for packet in packets:
+        yield pa.ipc.open_stream(_unpack(packet)).read_all()
+
+
 def _block_words(buckets: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[bytes]] = {}
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(block, set()).update(words_of(text))
+            for block, rows in zip(batch.column(0).to_pylist(), _rows(batch.column(1).to_pylist()), strict=True):
+                own = seen.setdefault(block, set())
+                for text in rows.column("text").to_pylist():
+                    own.update(words_of(text))
         for block in sorted(seen):
             dealt: dict[int, list[bytes]] = {}
             for word in seen.pop(block):
@@ -70,7 +128,7 @@ def _block_words(buckets: int):
             keys = sorted(dealt)
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([block] * len(keys), pa.int32()), "bucket": pa.array(keys, pa.int32()),
-                "words": pa.array([b"\n".join(sorted(dealt[k])) for k in keys], pa.binary()),
+                "words": pa.array([_pack(b"\n".join(sorted(dealt[k]))) for k in keys], pa.binary()),
             })
 
     return cut
@@ -79,7 +137,7 @@ def _block_words(buckets: int):
 def _encode_bucket(path: str):
     def encode(group: pa.Table) -> pa.Table:
         own = tokenizer(path)
-        lists = [x.split(b"\n") for x in group.column("words").to_pylist()]
+        lists = [_unpack(x).split(b"\n") for x in group.column("words").to_pylist()]
         distinct = sorted(set().union(*lists))
         known: dict[bytes, list[int]] = {}
         for i in range(0, len(distinct), 20_000):
@@ -88,8 +146,8 @@ def _encode_bucket(path: str):
         ids, sizes = [], []
         for words in lists:
             got = [known[w] for w in words]
-            sizes.append(np.fromiter((len(x) for x in got), np.uint32, len(got)).tobytes())
-            ids.append(np.fromiter((i for x in got for i in x), np.uint32).tobytes())
+            sizes.append(_pack_numbers((len(x) for x in got), len(got)))
+            ids.append(_pack_numbers(i for x in got for i in x))
         return pa.table({"block": group.column("block"), "words": group.column("words"), "ids": pa.array(ids, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
     return encode
@@ -101,20 +159,23 @@ def _look_up(path: str):
         ids_of: dict[bytes, bytes] = {}
         text_of: dict[bytes, bytes] = {}
         for words, ids, sizes in zip(*(table.column(c).to_pylist() for c in ("words", "ids", "sizes")), strict=True):
-            numbers = np.frombuffer(ids, np.uint32).tolist()
-            at = 0
-            for word, size in zip(words.split(b"\n"), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
-                ids_of[word] = ids[4 * at : 4 * (at + size)]
+            numbers = _unpack_numbers(ids)
+            raw, listed, at = numbers.tobytes(), numbers.tolist(), 0
+            for word, size in zip(_unpack(words).split(b"\n"), _unpack_numbers(sizes).tolist(), strict=True):
+                ids_of[word] = raw[4 * at : 4 * (at + size)]
                 if size:
-                    text_of[word] = b" ".join([piece[i] for i in numbers[at : at + size]])
+                    text_of[word] = b" ".join([piece[i] for i in listed[at : at + size]])
                 at += size
         empty = len(text_of) < len(ids_of)
-        out_ids, out_text = [], []
-        for text in docs.column("text").to_pylist():
-            words = words_of(text)
-            out_ids.append(b"".join([ids_of[w] for w in words]))
-            out_text.append(b" ".join([text_of[w] for w in words if w in text_of] if empty else [text_of[w] for w in words]).decode())
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
+        out = []
+        for rows in _rows(docs.column("packet").to_pylist()):
+            out_ids, out_text = [], []
+            for text in rows.column("text").to_pylist():
+                words = words_of(text)
+                out_ids.append(b"".join([ids_of[w] for w in words]))
+                out_text.append(b" ".join([text_of[w] for w in words if w in text_of] if empty else [text_of[w] for w in words]).decode())
+            out.append(pa.table({"doc_id": rows.column("doc_id"), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())}))
+        return pa.concat_tables(out)
 
     return join
 
@@ -122,13 +183,15 @@ def _look_up(path: str):
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """doc_id, ids (32-bit little-endian numbers, one after the other) and decoded (the pieces joined by a space).
 
-    ``blocks`` is the number of blocks and of word buckets, by default the shuffle partitions. A row's block follows from
+    ``blocks`` is the number of blocks and of word buckets, by default twice the shuffle partitions, so
+    that a block, which a task holds whole, stays small where partitions are sized for Spark. A row's block follows from
     its id and text. Null and empty texts, and those of white space alone, have no ids and decode to an empty text;
     repeated rows come out as often as they came in; a null id is kept. Other columns are not looked at.
     """
-    n = blocks or parts(docs.sparkSession)
+    n = blocks or 2 * parts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "text", "doc_id").repartition(n, "block")
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "text", "doc_id")
+    rows = rows.mapInArrow(_deal, "block int, packet binary").repartition(n, "block")
     words = rows.mapInArrow(lambda it, cut=_block_words(n): cut(it), "block int, bucket int, words binary")
     table = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block int, words binary, ids binary, sizes binary")
     return rows.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_look_up(path), RESULT)

@@ -170,7 +170,7 @@ def test_lm_gradient_and_normalisation():
     assert np.allclose(total, 1, atol=1e-4)
     before = net.log_probs(around, symbols).mean()
     for _ in range(30):
-        net.learn(around, symbols, 0.5)
+        net.learn(around, symbols, 0.1)
     assert net.log_probs(around, symbols).mean() > before + 0.5
 
 
