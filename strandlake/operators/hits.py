@@ -55,9 +55,9 @@ def with_flags(hits: DataFrame, prefer: str | None = None) -> DataFrame:
     )
 
 
-def flag_number(region: Column = F.lit(False)) -> Column:
+def flag_number(region: Column | None = None) -> Column:
     """The flags as one number: 1 region, 2 best rank, 4 species, 8 description, 16 best bits, 32 best annotation."""
-    flags = [(region, 1), (F.col("best_rank"), 2), (F.col("first_species"), 4), (F.col("first_description"), 8), (F.col("best_bits"), 16), (F.col("best_anno"), 32)]
+    flags = [(F.lit(False) if region is None else region, 1), (F.col("best_rank"), 2), (F.col("first_species"), 4), (F.col("first_description"), 8), (F.col("best_bits"), 16), (F.col("best_anno"), 32)]
     return sum((F.when(c, n).otherwise(0) for c, n in flags), F.lit(0)).cast("int")
 
 
