@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.pairs import best_mates
+from strandlake.operators.stats import numbered_rows
 from strandlake.plans.lineage import cut
 
 #: Default thresholds.
@@ -139,7 +140,7 @@ def by_shared_hit(members: DataFrame, pairs: DataFrame, how: str = "all") -> Dat
 def numbered(clusters: DataFrame, prefix: str) -> DataFrame:
     """cluster, seq with clusters renamed ``PREFIX_000001``, largest first, then by smallest member."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_s")).where("_n > 1")
-    names = sizes.select("cluster", F.format_string(f"{prefix}_%06d", F.row_number().over(Window.orderBy(F.desc("_n"), "_s"))).alias("name"))
+    names = numbered_rows(sizes, F.desc("_n"), F.col("_s")).select("cluster", F.format_string(f"{prefix}_%06d", F.col("row").cast("long")).alias("name"))
     return clusters.join(names, "cluster").select(F.col("name").alias("cluster"), "seq")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.logic import any_of, combine
+from strandlake.operators.stats import numbered_rows
 
 #: Cutoffs that differential expression is counted at.
 DE_CUTOFFS = (1e-5, 1e-4, 1e-3, 1e-2, 5e-2)
@@ -134,10 +135,7 @@ def de_length_stats(inputs: DataFrame) -> DataFrame:
 
 
 def top_percent_cutoff(tests: DataFrame, percent: float, p: str = "p") -> DataFrame:
-    """The p-value of the last of the first ``percent`` of all tests by absolute p; one row. Found from the counts of
-    distinct values, so no row is ordered."""
-    values = tests.where(F.col(p).isNotNull()).groupBy(F.abs(F.col(p)).alias("p")).agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.orderBy("p")
-    values = values.withColumn("_upto", F.sum("_m").over(w)).withColumn("_n", F.sum("_m").over(Window.partitionBy()))
-    n = F.greatest(F.floor(F.col("_n") * percent / 100), F.lit(1))
-    return values.where(F.col("_upto") >= n).agg(F.min("p").alias("cutoff"))
+    """The p-value of the last of the first ``percent`` of all tests by absolute p; one row, or none without tests."""
+    values = tests.where(F.col(p).isNotNull()).select(F.abs(F.col(p)).alias("cutoff"))
+    n = max(values.count() * percent // 100, 1)
+    return numbered_rows(values, F.col("cutoff")).where(F.col("row") == n).select("cutoff")

@@ -214,3 +214,16 @@ def merged_graph(graphs: list[DataFrame]) -> DataFrame:
     columns = [c for c in graphs[0].columns if c != "gonum"]
     best = rows.groupBy("gonum").agg(F.min_by(F.struct(*columns), "_at").alias("_r"))
     return best.select("gonum", *[F.col(f"_r.{c}").alias(c) for c in columns])
+
+
+def terms_of_hits(terms: DataFrame, info: DataFrame, inherited: bool = False) -> DataFrame:
+    """hit_id, gonum, domain, level, ec of the terms of hits: assigned ones, or with those inherited, each once."""
+    rows = terms if inherited else terms.where("is_direct")
+    return rows.join(info.select("gonum", "domain", "level"), "gonum").select("hit_id", "gonum", "domain", "level", "ec")
+
+
+def holders(seq_terms: DataFrame, start: DataFrame) -> DataFrame:
+    """start, seq_id, evalue of the sequences that have a term, best first by rank."""
+    rows = seq_terms.join(start.select("gonum").distinct(), "gonum", "left_semi")
+    place = F.row_number().over(Window.partitionBy("gonum").orderBy("evalue", "seq_id"))
+    return rows.select(F.col("gonum").alias("start"), "seq_id", "evalue", place.alias("place"))
