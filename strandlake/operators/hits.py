@@ -55,6 +55,12 @@ def with_flags(hits: DataFrame, prefer: str | None = None) -> DataFrame:
     )
 
 
+def ranked_with_flags(hits: DataFrame, details: DataFrame, key: str, prefer: str | None = None) -> DataFrame:
+    """Ranks and flags in one shuffle: details are joined first, then rows are dealt by sequence, which all windows of
+    ``rank_per_database`` and ``with_flags`` can work on, since each of them groups by the sequence and more."""
+    return with_flags(rank_per_database(hits.join(details, key).repartition("seq_id")), prefer)
+
+
 def flag_number(region: Column | None = None) -> Column:
     """The flags as one number: 1 region, 2 best rank, 4 species, 8 description, 16 best bits, 32 best annotation."""
     flags = [(F.lit(False) if region is None else region, 1), (F.col("best_rank"), 2), (F.col("first_species"), 4), (F.col("first_description"), 8), (F.col("best_bits"), 16), (F.col("best_anno"), 32)]

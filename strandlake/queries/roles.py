@@ -60,8 +60,7 @@ flagged AS (SELECT p.*, place = 1 AS best_bits, place = anno AS best_anno, rank
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.operators import hits as H
 
-    rows = H.rank_per_database(hits(spark, sf_dir)).join(details(spark, sf_dir).withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
-    return H.with_flags(rows, prefer="SP")
+    return H.ranked_with_flags(hits(spark, sf_dir), details(spark, sf_dir).withColumnRenamed("p_partkey", "l_partkey"), "l_partkey", prefer="SP")
 
 
 COUNTS_SQL = """reps AS (SELECT l_partkey AS seq_id, l_returnflag AS lib, CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS rep, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY ALL),
