@@ -90,4 +90,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_preference_chat": chat.ORACLE}
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= {warc.LEAST_REVISIT} GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+QUALITY_SQL = rf"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM t),
+tri AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+dup AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup WHERE n > 1) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+c AS (SELECT t.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words
+  FROM t JOIN w USING (doc_id) LEFT JOIN lines l USING (doc_id) LEFT JOIN cov v USING (doc_id)),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM c),
+h AS (SELECT source, count(*) AS d, sum(CAST(base_failed AS INT)) AS f FROM b GROUP BY 1), m AS (SELECT avg(f / d) AS m, var_pop(f / d) AS v FROM h),
+k AS (SELECT m, CASE WHEN v > 1e-12 THEN greatest(m * (1 - m) / v - 1, 1) ELSE 1e6 END AS k FROM m), g AS (SELECT source, (f + k * m) / (d + k) <= {quality.HOST_RATE} AS host_kept FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source
+"""
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS x FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN n na ON na.doc_id = a.doc_id JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE least(na.n, nb.n) * 100 >= greatest(na.n, nb.n) * 80 GROUP BY ALL),
+l AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS far FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.far),
+c AS (SELECT node, least(min(far), node) AS component FROM r GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": WARC_SQL, "op3_quality_rules": QUALITY_SQL, "op5_preference_chat": chat.ORACLE, "op8_minhash": NEAR_SQL}
