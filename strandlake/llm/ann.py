@@ -28,9 +28,11 @@ MAX_LISTS = 4096
 LIST_ROWS = 256
 GROUP_ROWS = 1 << 15
 #: A vector is filed under centroids up to (1 + REPLICATE) times as far as the nearest, REPLICAS at most.
-REPLICATE, REPLICAS = 0.1, 4
+REPLICATE, REPLICAS = 0.05, 4
+#: Square of how near two lists' centroids may be, as a share of the vector's distance, for a vector to be in both.
+APART = 0.25
 #: A query reads lists whose centroid is up to (1 + PRUNE) times as far as the nearest.
-PRUNE = 0.25
+PRUNE = 0.15
 #: Width of the walk over the graph, for filing and for queries.
 WALK_FILE, WALK_QUERY = 24, 512
 NEIGHBOURS = 16
@@ -82,14 +84,14 @@ class Index:
 
     def file(self, vectors: np.ndarray) -> Iterator[tuple[int, int]]:
         """(row, list) for each vector and each list that it goes to: its nearest, and others at a like distance that
-        are not nearer to a list it already has than to the vector."""
+        are not next to a list it already has."""
         ids, dist = self.walk(self.lift(vectors), WALK_FILE)
         for row, (own, d) in enumerate(zip(ids, dist, strict=True)):
             got = [own[0]]
             for c, x in zip(own[1:], d[1:], strict=True):
                 if c < 0 or len(got) == REPLICAS or x > (1 + REPLICATE) ** 2 * d[0]:
                     break
-                if all(((self.centroids[c] - self.centroids[g]) ** 2).sum() > x for g in got):
+                if all(((self.centroids[c] - self.centroids[g]) ** 2).sum() > APART * x for g in got):
                     got.append(c)
             yield from ((row, int(g)) for g in got)
 

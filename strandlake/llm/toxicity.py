@@ -192,7 +192,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     return written(rows.select("text", "toxic"), "toxicity-training")
 
 
-def term_counts(rows: DataFrame, hold: int = 300_000) -> DataFrame:
+def term_counts(rows: DataFrame, hold: int = 100_000) -> DataFrame:
     """term, pos, neg: the toxic and other documents that have a term, pos_times, neg_times: how often they have it.
     A stem ends with ``*``. Counts are summed in each task, at most ``hold`` at a time, before the shuffle."""
 
