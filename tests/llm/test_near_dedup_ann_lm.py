@@ -74,6 +74,30 @@ def test_chains_copies_and_borders(spark, width):
     check(near_dedup.deduplicated(near_dedup.link(docs, width)).collect(), texts, width)
 
 
+def test_families_of_altered_and_shortened_copies(spark):
+    """Copies of copies, copies that lack an end, and alterations that several copies have in common, all near the
+    threshold to one original, so that the links between components are found by rare shingles or not at all."""
+    rng = random.Random(8)
+    texts, n = {}, 0
+    for size in (24, 60, 150):
+        base = [f"b{size}-{i}" for i in range(size)]
+        for family in range(12):
+            words = base[:]
+            for _ in range(max(2, size // 9)):
+                words[rng.randrange(size)] = f"f{family % 4}-{rng.randrange(6)}"
+            for _ in range(6):
+                own = words[:]
+                for _ in range(max(1, size // 40)):
+                    own[rng.randrange(size)] = f"x{rng.randrange(40)}"
+                texts[n] = " ".join(own[rng.randrange(1 + size // 8) :] if rng.random() < 0.5 else own)
+                n += 1
+        for cut in range(0, size // 2, max(1, size // 20)):
+            texts[n], texts[n + 1] = " ".join(base[cut:]), " ".join(base[: size - cut])
+            n += 2
+    docs = spark.createDataFrame([(i, t, "n", "c") for i, t in texts.items()], DOC)
+    check(near_dedup.deduplicated(near_dedup.link(docs, 2)).collect(), texts)
+
+
 def test_dedup_edges(spark):
     long = " ".join(f"w{i}" for i in range(90))
     docs = spark.createDataFrame([(None, long, "", ""), (4, long, "", ""), (4, long, "", ""), (9, long, "", ""), (None, "alone here", "", ""), (None, None, "", "")], DOC)
