@@ -20,11 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import parts
+from strandlake.llm.common import bounded_batches, parts
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Texts that a task gathers before it deals them into packets.
-PACKET_BYTES = 16 << 20
+PACKET_BYTES = 32 << 20
 RESULT = "doc_id long, ids binary, decoded string"
 
 _loaded: dict[str, object] = {}
@@ -188,6 +188,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     its id and text. Null and empty texts, and those of white space alone, have no ids and decode to an empty text;
     repeated rows come out as often as they came in; a null id is kept. Other columns are not looked at.
     """
+    bounded_batches(docs.sparkSession)
     n = blocks or 2 * parts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "text", "doc_id")

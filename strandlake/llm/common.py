@@ -48,6 +48,19 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of texts that go to Python at once; Spark's own limit is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch, so that rows of long texts do not fill a worker; a lower
+    limit that the user gives as a number of bytes stays. What a batch holds does not change any result."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key).lower().rstrip("b")
+    if not size.lstrip("-").isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}

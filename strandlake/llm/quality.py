@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import written
+from strandlake.llm.common import bounded_batches, written
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -59,6 +59,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             more = [pa.array([x[i] for x in found], pa.int64()) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *COUNTS])
 
+    bounded_batches(docs.sparkSession)
     return keep.mapInArrow(add, schema)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import written
+from strandlake.llm.common import bounded_batches, written
 
 #: At most about so many labelled rows are read for fitting: those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
@@ -305,4 +305,5 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
             found = pa.array([own.score(x) for x in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, score])
 
+    bounded_batches(docs.sparkSession)
     return keep.mapInArrow(run, schema)
