@@ -223,3 +223,58 @@ def test_lm_edges(spark):
     same = [r.log_likelihood for r in rows if r.doc_id == 3]
     assert same[0] == same[1] < 0
     assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
+
+
+def test_lm_scores_words_and_not_their_classes(spark):
+    """Of two texts with the same symbols, that of a rarer word scores less by the logarithm of the counts' ratio, and
+    given the symbols around it all words of a shared symbol and its unseen ones have the symbol's probability."""
+    classes = defaultdict(list)
+    for i in range(2000):
+        classes[lm.shared(f"r{i}".encode())].append(f"r{i}")
+    common, rare, third = classes[lm.OWN][:3]
+    other = classes[lm.OWN + 1][0]
+    rows = [(i, " ".join(f"o{j}" for j in range(lm.OWN))) for i in range(60)]
+    rows += [(100, f"o1 {common} o2"), (101, f"o1 {rare} o2")] + [(200 + i, f"{common} {other}") for i in range(39)] + [(300 + i, third) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in lm.pseudo_likelihood(docs).collect()}
+    assert got[100] - got[101] == pytest.approx(np.log(40 / 1))
+    counts = lm.word_counts(docs)
+    own, totals = lm.symbol_counts(counts)
+    assert totals[lm.OWN : lm.OWN + 2].tolist() == [46, 39] and totals.sum() == sum(len(t.split()) for _, t in rows)
+    new = next(w for w in classes[lm.OWN][3:])
+    symbols = lm.written(lm.with_symbols(spark.createDataFrame([(1, f"{common} {rare} {third} {new} o1")], "doc_id long, text string"), own), "t")
+    shares = [r.share for r in lm.word_shares(symbols, counts, totals).orderBy("place").collect()]
+    assert np.allclose(np.exp(shares), np.array([40, 1, 5, 1]) / 47)
+    parted = lm.with_symbols(docs, own, chunk=3)
+    assert {(r.doc_id, r.symbols) for r in parted.collect()} == {(r.doc_id, r.symbols) for r in lm.with_symbols(docs, own).collect()}
+
+
+def test_lm_trains_on_every_word(spark, monkeypatch):
+    """Texts of one word each: what the rounds predict together is all of them."""
+    seen = []
+    monkeypatch.setattr(lm.Network, "learn", lambda self, around, symbols, rate: seen.extend(symbols.tolist()))
+
+    class One:
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pydict({"symbols": pa.array([bytes([i]) for i in range(5)], pa.binary())})
+            list(run(iter([batch])))
+            return spark.createDataFrame([], schema)
+
+    lm.train(One(), np.ones(lm.SYMBOLS))
+    assert sorted(seen) == [0, 1, 2, 3, 4]
+
+
+def test_lm_query_beats_frequencies_of_words(spark):
+    """The sum over words is held against the words' own frequencies, not those of their symbols."""
+    rows = queries.op10_pseudo_likelihood(spark, SF).collect()
+    counts = defaultdict(int)
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for w in lm.words_of(r.text):
+            counts[w] += 1
+    n = sum(counts.values())
+    plain = sum(x * np.log(x / n) for x in counts.values())
+    total = sum(r.log_likelihood for r in rows)
+    print("per word", total / n, "frequencies of words", plain / n)
+    assert plain < total < 0.7 * plain
