@@ -113,9 +113,9 @@ def band_keys(registers: np.ndarray, kind: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> tuple[list[int], bytes | None, bytes | None]:
-    """Keys, and the registers of the small and the large kind. Sets below five can only be equal, and have none."""
+    """Keys, and the registers of the small and the large kind. An empty set has none."""
     keys, small, large = [], None, None
-    if 5 <= len(hashes) <= LARGE:
+    if 1 <= len(hashes) <= LARGE:
         r = small_registers(hashes)
         keys, small = band_keys(r, 1).tolist(), r.tobytes()
     if len(hashes) > SMALL:

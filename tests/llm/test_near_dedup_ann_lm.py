@@ -98,6 +98,20 @@ def test_families_of_altered_and_shortened_copies(spark):
     check(near_dedup.deduplicated(near_dedup.link(docs, 2)).collect(), texts)
 
 
+def test_small_sets_link(spark):
+    """Sets of four inside sets of five, chains through them, and pairs of smaller sets below 80."""
+    texts = {0: "a b c d e", 1: "a b c d e f", 2: "b c d e f", 3: "k l m n o", 4: "k l m n o p", 5: "o n m l k", 6: "q r s", 7: "q r s t", 8: "k l m n o p q", 9: "u", 10: "u v"}
+    docs = spark.createDataFrame([(i, t, "n", "c") for i, t in texts.items()], DOC)
+    check(near_dedup.deduplicated(near_dedup.link(docs, 2)).collect(), texts)
+    pairs = {}
+    for i in range(40):
+        pairs |= {2 * i: f"a{i} b{i} c{i} d{i}", 2 * i + 1: f"a{i} b{i} c{i} d{i} e{i}"}
+    docs = spark.createDataFrame([(i, t, "n", "c") for i, t in pairs.items()], DOC)
+    want, _ = brute(pairs, 2, 75)
+    assert {r.doc_id: r.component_id for r in near_dedup.deduplicated(near_dedup.link(docs, 2, percent=75)).collect()} == want
+    assert want[1] == 0
+
+
 def test_dedup_edges(spark):
     long = " ".join(f"w{i}" for i in range(90))
     docs = spark.createDataFrame([(None, long, "", ""), (4, long, "", ""), (4, long, "", ""), (9, long, "", ""), (None, "alone here", "", ""), (None, None, "", "")], DOC)
