@@ -2,8 +2,8 @@
 
 Centroids come from hierarchical balanced clustering of a bounded sample and are held in memory with a graph of their
 neighbours. Every vector is filed under its nearest centroids: vectors near a border lie in several lists. A query walks
-the graph, keeps the lists whose centroid is within a ratio of the nearest one's distance, and is scored against these
-lists only. Lists are packed into groups of bounded size, long lists over several, so no task gets an unbounded one.
+the graph, takes the nearest lists until they hold enough vectors, keeps those within a ratio of the last one's distance,
+and is scored against these lists only. Lists are packed into groups of bounded size, long lists over several, so no task gets an unbounded one.
 
 The inner product is searched as a distance: each vector gets a last component that gives all the same length.
 """
@@ -31,7 +31,7 @@ GROUP_ROWS = 1 << 15
 REPLICATE, REPLICAS = 0.05, 4
 #: Square of how near two lists' centroids may be, as a share of the vector's distance, for a vector to be in both.
 APART = 0.25
-#: A query reads lists whose centroid is up to (1 + PRUNE) times as far as the nearest.
+#: A query reads lists whose centroid is up to (1 + PRUNE) times as far as the nearest that it needs for k others.
 PRUNE = 0.15
 #: Width of the walk over the graph, for filing and for queries.
 WALK_FILE, WALK_QUERY = 24, 512
@@ -95,12 +95,31 @@ class Index:
                     got.append(c)
             yield from ((row, int(g)) for g in got)
 
-    def lists(self, queries: np.ndarray, prune: float) -> list[np.ndarray]:
-        """The lists that each query reads."""
+    def lists(self, queries: np.ndarray, prune: float, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each query reads: in order of distance, those that hold ``least`` vectors together, and others
+        up to (1 + prune) times as far as the last of these. ``sizes`` are the lists' numbers of vectors. Where a walk
+        ends before that, all centroids are looked at."""
         points = np.concatenate([queries, np.zeros((len(queries), 1))], 1)
         ids, dist = self.walk(points, WALK_QUERY)
-        keep = dist <= (1 + prune) ** 2 * dist[:, :1]
-        return [i[k & (i >= 0)] for i, k in zip(ids, keep, strict=True)]
+        norms = (self.centroids**2).sum(1)
+        out = []
+        for point, i, d in zip(points, ids, dist, strict=True):
+            i, d = i[i >= 0], d[i >= 0]
+            far = self._reach(i, d, prune, sizes, least)
+            if len(i) < len(self.centroids) and (far is None or d[-1] <= far):
+                d = np.maximum((point**2).sum() + norms - 2 * self.centroids @ point, 0)
+                i = np.argsort(d, kind="stable")
+                d = d[i]
+                far = self._reach(i, d, prune, sizes, least)
+            out.append(i if far is None else i[d <= far])
+        return out
+
+    @staticmethod
+    def _reach(ids: np.ndarray, dist: np.ndarray, prune: float, sizes: np.ndarray, least: int) -> float | None:
+        """The square of the distance up to which lists are read; None if these hold too few vectors."""
+        held = np.cumsum(sizes[ids])
+        last = int(np.searchsorted(held, least))
+        return None if last == len(held) else (1 + prune) ** 2 * dist[last]
 
 
 def balanced(points: np.ndarray, most: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -209,15 +228,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, prune: float = PRUN
                 yield pa.RecordBatch.from_arrays([pa.array([c for _, c in got], pa.int32()), part.column(0).take(take), part.column(1).take(take)], names=["list", "vec_id", "vector"])
 
     postings = written(rows.mapInArrow(filed, "list int, vec_id long, vector array<double>"), "postings")
-    sizes = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # MAX_LISTS rows at most
-    groups, _ = packed(sizes, group_rows)
+    ids = postings.groupBy("list", "vec_id").agg(F.count(F.lit(1)).alias("n")).groupBy("list").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids"))
+    filled = ids.collect()  # MAX_LISTS rows at most
+    groups, _ = packed({r["list"]: r["n"] for r in filled}, group_rows)
+    held = np.zeros(len(index.centroids), int)
+    held[[r["list"] for r in filled]] = [r["ids"] for r in filled]
+    least = REPLICAS * (k + 1)  # a vector is in REPLICAS lists at most, so these are k others and the query itself
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 at, to, read = [], [], []
-                for row, lists in enumerate(index.lists(stacked(part), prune)):
+                for row, lists in enumerate(index.lists(stacked(part), prune, held, least)):
                     by: dict[int, list[int]] = {}
                     for c in lists.tolist():
                         for g in groups.get(c, ()):

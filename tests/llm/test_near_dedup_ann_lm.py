@@ -193,6 +193,41 @@ def test_ann_hot_vector_is_split(spark):
     assert groups == {0: [0], 1: [1], 2: [2, 3, 4], 3: [5]} and n == 6
 
 
+def test_ann_small_tight_groups(spark):
+    """Groups of 2 to 10 copies in lists of their own, far from all else: a query has k rows all the same, and the nearest."""
+    rng = np.random.default_rng(2)
+    unit = lambda v: v / np.linalg.norm(v)
+    rows = [unit(rng.normal(size=8)) for _ in range(400)]
+    for n in range(2, 11):
+        for _ in range(3):
+            rows += [unit(rng.normal(size=8))] * n
+    vectors = dict(enumerate(rows))
+    own = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>"))
+    index = ann.fit(own, list_rows=4)
+    assert len(index.centroids) > 100
+    want = nearest(vectors, list(range(400, len(rows))))
+    got = defaultdict(list)
+    for r in ann.search(own, own.where("vec_id >= 400"), index=index).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert {len(got[q]) for q in want} == {20}
+    hit = sum(len({v for v, _ in want[q]} & set(got[q])) for q in want)
+    print("recall", hit / (20 * len(want)))
+    assert hit / (20 * len(want)) >= 0.95
+
+
+def test_ann_walk_is_no_cap(monkeypatch):
+    rng = np.random.default_rng(4)
+    centroids = np.concatenate([rng.normal(size=(60, 3)), np.zeros((60, 1))], 1)
+    graph = np.stack([(np.arange(60) + j) % 60 for j in range(1, 6)], 1)
+    index = ann.Index(centroids, graph, 1.0, 3)
+    monkeypatch.setattr(ann, "WALK_QUERY", 4)
+    (read,) = index.lists(np.zeros((1, 3)), 0.15, np.ones(60, int), 30)
+    d = (centroids**2).sum(1)
+    assert sorted(read) == np.flatnonzero(d <= 1.15**2 * np.sort(d)[29]).tolist()
+    (read,) = index.lists(np.zeros((1, 3)), 0.15, np.ones(60, int), 100)
+    assert sorted(read) == list(range(60))
+
+
 def test_lm_windows():
     around, own, place = lm.windows([b"\x01\x02\x03", b"", b"\x04"])
     assert own.tolist() == [1, 2, 3, 4] and place.tolist() == [0, 0, 0, 2]
