@@ -4,7 +4,8 @@ Documents are dealt into blocks. Each block's distinct words meet the other bloc
 word is encoded once; the ids go back to the blocks, and each document looks its words up by position. Decoding joins the
 ids to the vocabulary's pieces, a table whose size the vocabulary fixes.
 
-Words are cut at ASCII white space, where the vocabulary's own rules cut too, with A-Z in lower case as its rules have it.
+Words are cut at ASCII white space, where the vocabulary's own rules cut too, with A-Z in lower case as its rules have it,
+except where that could make a special token of what is none.
 Everything else (Unicode forms, other white space, special tokens, splits within words) is left to the tokenizers library.
 """
 
@@ -55,9 +56,20 @@ def pieces(path: str) -> list[bytes]:
     return [(own.id_to_token(i) or "").encode() for i in range(own.get_vocab_size(with_added_tokens=True))]
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text in order; ``bytes.lower`` changes A-Z alone."""
-    return (text or "").encode().lower().split()
+def raw_tokens(path: str) -> tuple[bytes, ...]:
+    """The tokens, in lower case, that the library looks for in the raw text, case by case."""
+    return tuple(t.content.encode().lower() for t in tokenizer(path).get_added_tokens_decoder().values() if not t.normalized)
+
+
+def words_of(text: str | None, raw: tuple[bytes, ...] = ()) -> list[bytes]:
+    """The words of a text in order; ``bytes.lower`` changes A-Z alone. Words that have one of ``raw`` in lower case stay
+    as they are."""
+    own = (text or "").encode()
+    low = own.lower()
+    words = low.split()
+    if any(t in low for t in raw):
+        words = [w if any(t in x for t in raw) else x for w, x in zip(own.split(), words, strict=True)]
+    return words
 
 
 def _pack(raw: bytes) -> bytes:
@@ -113,14 +125,15 @@ def _rows(packets: Iterable[bytes]) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(_unpack(packet)).read_all()
 
 
-def _block_words(buckets: int):
+def _block_words(path: str, buckets: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = raw_tokens(path)
         seen: dict[int, set[bytes]] = {}
         for batch in batches:
             for block, rows in zip(batch.column(0).to_pylist(), _rows(batch.column(1).to_pylist()), strict=True):
                 own = seen.setdefault(block, set())
                 for text in rows.column("text").to_pylist():
-                    own.update(words_of(text))
+                    own.update(words_of(text, raw))
         for block in sorted(seen):
             dealt: dict[int, list[bytes]] = {}
             for word in seen.pop(block):
@@ -155,7 +168,7 @@ def _encode_bucket(path: str):
 
 def _look_up(path: str):
     def join(docs: pa.Table, table: pa.Table) -> pa.Table:
-        piece = pieces(path)
+        piece, special = pieces(path), raw_tokens(path)
         ids_of: dict[bytes, bytes] = {}
         text_of: dict[bytes, bytes] = {}
         for words, ids, sizes in zip(*(table.column(c).to_pylist() for c in ("words", "ids", "sizes")), strict=True):
@@ -171,7 +184,7 @@ def _look_up(path: str):
         for rows in _rows(docs.column("packet").to_pylist()):
             out_ids, out_text = [], []
             for text in rows.column("text").to_pylist():
-                words = words_of(text)
+                words = words_of(text, special)
                 out_ids.append(b"".join([ids_of[w] for w in words]))
                 out_text.append(b" ".join([text_of[w] for w in words if w in text_of] if empty else [text_of[w] for w in words]).decode())
             out.append(pa.table({"doc_id": rows.column("doc_id"), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())}))
@@ -193,7 +206,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "text", "doc_id")
     rows = rows.mapInArrow(_deal, "block int, packet binary").repartition(n, "block")
-    words = rows.mapInArrow(lambda it, cut=_block_words(n): cut(it), "block int, bucket int, words binary")
+    words = rows.mapInArrow(lambda it, cut=_block_words(path, n): cut(it), "block int, bucket int, words binary")
     table = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block int, words binary, ids binary, sizes binary")
     return rows.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_look_up(path), RESULT)
 

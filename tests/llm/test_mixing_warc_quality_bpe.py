@@ -135,3 +135,14 @@ def test_bpe_matches_library(spark):
     back = bpe.decoded(spark.createDataFrame([(1, bytearray(struct.pack("<2I", 5, 6))), (2, None)], "doc_id long, ids binary"), path).collect()
     assert [r.text for r in back] == [own.decode([5, 6], skip_special_tokens=False), ""]
     assert bpe.encoded(docs.limit(0), path).count() == 0
+
+
+def test_bpe_special_tokens_in_other_cases(spark):
+    path = bpe.tokenizer_file()
+    own = bpe.tokenizer(path)
+    texts = ["<|EndOfText|>", "A <|STARTOFTEXT|> B", "Ab<|endoftext|>Cd<|EndOfText|>Ef", "<|endoftext|> THE <|ENDOFTEXT|>", "É<|StartOfText|>é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.encoded(docs, path, blocks=2).collect()}
+    for i, text in enumerate(texts):
+        ids = own.encode(text, add_special_tokens=False).ids
+        assert got[i] == (struct.pack(f"<{len(ids)}I", *ids), own.decode(ids, skip_special_tokens=False))
