@@ -7,6 +7,7 @@ is aligned by a small numpy routine in an Arrow batch. What follows from an alig
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,9 @@ from strandlake.functions.numbers import ratio, shared_ratio
 
 #: Gap costs, and scores of equal and unequal nucleotides.
 GAP_OPEN, GAP_EXTEND, NT_MATCH, NT_MISMATCH = 7.0, 0.7, 1.8, -1.0
-#: Pairs above so many cells are not aligned.
-MOST_CELLS = 10**7
+#: Cells that are held at once. Of larger pairs the rows between blocks are kept, and a block is worked out again for the
+#: way back.
+BLOCK_CELLS = 1 << 21
 
 Matrix = tuple[str, np.ndarray]
 
@@ -43,61 +45,78 @@ def substitution(a: str, b: str, matrix: Matrix | None = None) -> np.ndarray:
 
 def align(a: str, b: str, matrix: Matrix | None = None, open_: float = GAP_OPEN, extend: float = GAP_EXTEND) -> tuple[float, str, str]:
     """Semi-global alignment with affine gaps; gaps at the ends are free. Of equal scores a gap in b is taken before a
-    match, and a match before a gap in a. A gap of n letters costs open + (n - 1) * extend."""
+    match, and a match before a gap in a. A gap of n letters costs open + (n - 1) * extend. Memory grows with the length of b
+    times the root of that of a."""
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0, a + "-" * m, "-" * n + b
-    score = substitution(a, b, matrix)
     low = -1e18
-    best = np.zeros((n + 1, m + 1))
-    up = np.full((n + 1, m + 1), low)
-    left = np.full((n + 1, m + 1), low)
-    for i in range(1, n + 1):
-        up[i] = np.maximum(best[i - 1] - open_, up[i - 1] - extend)
-        row = np.maximum(up[i, 1:], best[i - 1, :-1] + score[i - 1])
-        now, gap, r, edge = best[i], left[i], row.tolist(), 0.0
-        g = low
-        for j in range(m):  # a gap in a depends on the cell before it
-            g = max(edge - open_, g - extend)
-            edge = r[j] if r[j] >= g else g
-            gap[j + 1], now[j + 1] = g, edge
-    i, j = (int(best[:, m].argmax()), m) if best[:, m].max() >= best[n].max() else (n, int(best[n].argmax()))
-    total = float(best[i, j])
+    size = max(isqrt(n) + 1, BLOCK_CELLS // (m + 1))  # rows of a block
+    first = [(np.zeros(m + 1), np.full(m + 1, low))]  # best and up of the row before each block
+    ends = np.zeros(n + 1)  # best of the last column
+
+    def block(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """best, up and left of the row before the block and of its rows, and the scores of its rows."""
+        rows = min(size, n - k * size)
+        score = substitution(a[k * size : k * size + rows], b, matrix)
+        best, up, left = np.zeros((rows + 1, m + 1)), np.full((rows + 1, m + 1), low), np.full((rows + 1, m + 1), low)
+        best[0], up[0] = first[k]
+        for i in range(1, rows + 1):
+            up[i] = np.maximum(best[i - 1] - open_, up[i - 1] - extend)
+            row = np.maximum(up[i, 1:], best[i - 1, :-1] + score[i - 1])
+            now, gap, r, edge = best[i], left[i], row.tolist(), 0.0
+            g = low
+            for j in range(m):  # a gap in a depends on the cell before it
+                g = max(edge - open_, g - extend)
+                edge = r[j] if r[j] >= g else g
+                gap[j + 1], now[j + 1] = g, edge
+        return best, up, left, score
+
+    for k in range(-(-n // size)):
+        best, up, left, score = block(k)
+        ends[k * size + 1 : k * size + len(best)] = best[1:, m]
+        first.append((best[-1].copy(), up[-1].copy()))
+    last = best[-1]
+    i, j = (int(ends.argmax()), m) if ends.max() >= last.max() else (n, int(last.argmax()))
+    total = float(ends[i] if j == m else last[j])
     out_a, out_b = [a[i:][::-1] + "-" * (m - j)], ["-" * (n - i) + b[j:][::-1]]  # from the end; one of the two tails is empty
     state = "best"
     while i and j:
+        if (i - 1) // size != k:
+            k = (i - 1) // size
+            best, up, left, score = block(k)
+        x = i - k * size  # the row in the block
         if state == "best":
-            if best[i, j] == up[i, j]:
+            if best[x, j] == up[x, j]:
                 state = "up"
-            elif best[i, j] == best[i - 1, j - 1] + score[i - 1, j - 1]:
+            elif best[x, j] == best[x - 1, j - 1] + score[x - 1, j - 1]:
                 i, j = i - 1, j - 1
                 out_a.append(a[i])
                 out_b.append(b[j])
             else:
                 state = "left"
         elif state == "up":
-            state = "up" if up[i, j] != best[i - 1, j] - open_ else "best"
+            state = "up" if up[x, j] != best[x - 1, j] - open_ else "best"
             i -= 1
             out_a.append(a[i])
             out_b.append("-")
         else:
-            state = "left" if left[i, j] != best[i, j - 1] - open_ else "best"
+            state = "left" if left[x, j] != best[x, j - 1] - open_ else "best"
             j -= 1
             out_a.append("-")
             out_b.append(b[j])
     return total, a[:i] + "-" * j + "".join(out_a)[::-1], "-" * i + b[:j] + "".join(out_b)[::-1]
 
 
-def align_pairs(pairs: DataFrame, matrix: Matrix | None = None, parts: int | None = None, most: int = MOST_CELLS, columns: tuple = ("text1", "text2")) -> DataFrame:
-    """Adds score, aligned1 and aligned2 to rows of pairs; pairs of too many cells and null texts have nulls there. Rows
-    are dealt out at random by key, since their cost has nothing to do with where they come from."""
+def align_pairs(pairs: DataFrame, matrix: Matrix | None = None, parts: int | None = None, columns: tuple = ("text1", "text2")) -> DataFrame:
+    """Adds score, aligned1 and aligned2 to rows of pairs; null texts have nulls there. Rows are dealt out at random by key, since their cost has nothing to do with where they come from."""
     one, two = columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields), "score double", "aligned1 string", "aligned2 string"])
     rows = pairs.repartition(parts, F.xxhash64(one, two)) if parts else pairs.repartition(F.xxhash64(one, two))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [align(a, b, matrix) if a is not None and b is not None and len(a) * len(b) <= most else (None, None, None) for a, b in zip(batch[one], batch[two], strict=True)]
+            found = [align(a, b, matrix) if a is not None and b is not None else (None, None, None) for a, b in zip(batch[one], batch[two], strict=True)]
             yield batch.assign(score=[x[0] for x in found], aligned1=[x[1] for x in found], aligned2=[x[2] for x in found])
 
     return rows.mapInPandas(run, schema)

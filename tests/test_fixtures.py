@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,20 @@ def test_benjamini_hochberg(spark):
 def test_numbered_rows(spark):
     rows = stats.numbered_rows(spark.range(0, 1000, 1, 7).withColumn("k", (F.col("id") * 7) % 1000), F.col("k")).collect()
     assert all(r.row == r.k + 1 for r in rows) and len(rows) == 1000
+
+
+def test_alignment_in_blocks_is_the_same(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(40):
+        a = "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 60)))
+        b = "".join(c for c in a[rng.randrange(9) :] if rng.random() < 0.9) + "".join(rng.choice("ACGT") for _ in range(rng.randrange(9)))
+        whole = alignment.align(a, b)
+        monkeypatch.setattr(alignment, "BLOCK_CELLS", 1)
+        assert alignment.align(a, b) == whole
+        monkeypatch.undo()
+
+
+def test_large_pairs_are_aligned(spark):
+    text = "".join(random.Random(1).choices("ACGT", k=3400))
+    row = alignment.align_pairs(spark.createDataFrame([(text, text[100:])], "text1 string, text2 string")).first()
+    assert round(row.score, 4) == round(3300 * alignment.NT_MATCH, 4) and row.aligned2 == "-" * 100 + text[100:]
