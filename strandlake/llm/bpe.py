@@ -1,12 +1,13 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Documents are dealt into blocks. Each block's distinct words meet the other blocks' in word buckets, where each distinct
-word is encoded once; the ids go back to the blocks, and each document looks its words up by position. Decoding joins the
-ids to the vocabulary's pieces, a table whose size the vocabulary fixes.
-
-Words are cut at ASCII white space, where the vocabulary's own rules cut too, with A-Z in lower case as its rules have it,
-except where that could make a special token of what is none.
-Everything else (Unicode forms, other white space, special tokens, splits within words) is left to the tokenizers library.
+Each task packs the documents that it reads into blocks of bounded size. A block's distinct words meet the other blocks'
+in word buckets, where each distinct word is encoded once; the ids go back to the blocks, and each document looks its words
+up by position. Decoding starts from a document's ids alone and joins them to the vocabulary's pieces, a table whose size
+the vocabulary fixes.
+
+Words are cut at ASCII white space, where the vocabulary's own rules cut too. Words of ASCII alone go into the table in lower
+case, as its rules have them, except where that could make a special token of what is none. Everything else (Unicode
+forms, other letters' case, other white space, special tokens, splits within words) is left to the tokenizers library.
 """
 
 from __future__ import annotations
@@ -17,15 +18,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, parts
+from strandlake.llm.common import bounded_batches, handed_back, parts
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Texts that a task gathers before it deals them into packets.
-PACKET_BYTES = 32 << 20
+#: Bytes of texts in a block, all of which a task holds at once; a longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: Bytes of texts whose ids and pieces go back to Spark at once.
+RESULT_BYTES = 2 << 20
 RESULT = "doc_id long, ids binary, decoded string"
 
 _loaded: dict[str, object] = {}
@@ -50,10 +55,20 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def pieces(path: str) -> list[bytes]:
-    """The id-to-piece table."""
-    own = tokenizer(path)
-    return [(own.id_to_token(i) or "").encode() for i in range(own.get_vocab_size(with_added_tokens=True))]
+def pieces(path: str) -> pa.Array:
+    """The id-to-piece table: the piece of id i at place i, made once in a process."""
+    key = f"pieces of {path}"
+    if key not in _loaded:
+        own = tokenizer(path)
+        _loaded[key] = pa.array([own.id_to_token(i) or "" for i in range(own.get_vocab_size(with_added_tokens=True))], pa.string())
+    return _loaded[key]
+
+
+def joined_pieces(ids: list[bytes], path: str) -> pa.Array:
+    """The texts of lists of ids (32-bit little-endian numbers): their pieces, joined by a space."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+    found = pieces(path).take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ")
 
 
 def raw_tokens(path: str) -> tuple[bytes, ...]:
@@ -62,13 +77,16 @@ def raw_tokens(path: str) -> tuple[bytes, ...]:
 
 
 def words_of(text: str | None, raw: tuple[bytes, ...] = ()) -> list[bytes]:
-    """The words of a text in order; ``bytes.lower`` changes A-Z alone. Words that have one of ``raw`` in lower case stay
-    as they are."""
+    """The words of a text in order, those of ASCII alone in lower case. Words with other characters stay as they are, since
+    a capital may compose with a mark after it, and so do words that have one of ``raw`` in lower case."""
     own = (text or "").encode()
     low = own.lower()
+    if low == own:
+        return own.split()
     words = low.split()
-    if any(t in low for t in raw):
-        words = [w if any(t in x for t in raw) else x for w, x in zip(own.split(), words, strict=True)]
+    special = any(t in low for t in raw)
+    if special or not own.isascii():
+        words = [y if y.isascii() and not (special and any(t in y for t in raw)) else x for x, y in zip(own.split(), words, strict=True)]
     return words
 
 
@@ -89,60 +107,77 @@ def _unpack_numbers(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unpack(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, text, doc_id) as packets of one block, compressed, which is what is shuffled."""
-    held, size = [], 0
+_ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
+
+
+def _ends(rows: pa.RecordBatch) -> np.ndarray:
+    """The bytes up to the end of each row, ids included."""
+    return np.cumsum(pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy(zero_copy_only=False) + 16)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) as compressed blocks, which is what is shuffled. A block is named after what it holds, so that it
+    keeps its name if it has to be made again."""
+    held: list[pa.RecordBatch] = []
+    size = 0
 
     def out() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
-        order = rows.select(["block"]).append_column("i", pa.array(range(rows.num_rows))).sort_by("block").column("i")
-        rows = rows.take(order)
-        blocks = rows.column("block").to_numpy()
-        starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
-        packets = []
-        for a, b in zip(starts, [*starts[1:], len(blocks)], strict=True):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _ROWS) as stream:
-                stream.write_table(rows.slice(a, b - a).select(["doc_id", "text"]).combine_chunks())
-            packets.append(_pack(sink.getvalue()))
-        return pa.RecordBatch.from_pydict({"block": pa.array(blocks[starts], pa.int32()), "packet": pa.array(packets, pa.binary())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _ROWS) as stream:
+            for x in held:
+                stream.write_batch(x)
+        raw = sink.getvalue()
+        return pa.RecordBatch.from_pydict({"block": pa.array([xxhash.xxh3_128_digest(raw)], pa.binary()), "packet": pa.array([_pack(raw)], pa.binary())})
 
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size > PACKET_BYTES:
-            yield out()
-            held, size = [], 0
-    if any(x.num_rows for x in held):
+        rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.large_string())], schema=_ROWS)
+        ends = _ends(rows)
+        at = 0
+        while at < rows.num_rows:
+            past = int(ends[at - 1]) if at else 0
+            to = max(int(np.searchsorted(ends, past + BLOCK_BYTES - size, "right")), at + (not held))
+            if to > at:
+                held.append(rows.slice(at, to - at))
+                size += int(ends[to - 1]) - past
+                at = to
+            if at < rows.num_rows or size >= BLOCK_BYTES:
+                yield out()
+                held, size = [], 0
+    if held:
         yield out()
+    handed_back()
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-
-
-def _rows(packets: Iterable[bytes]) -> Iterator[pa.Table]:
-    for packet in packets:
-        yield pa.ipc.open_stream(_unpack(packet)).read_all()
+def _texts(packet: bytes) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """A block's ids and texts, in runs of about RESULT_BYTES."""
+    for rows in pa.ipc.open_stream(_unpack(packet)):
+        ends = _ends(rows)
+        at = 0
+        while at < rows.num_rows:
+            to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RESULT_BYTES, "right")), at + 1)
+            part = rows.slice(at, to - at)
+            yield part.column(0), part.column(1).to_pylist()
+            at = to
 
 
 def _block_words(path: str, buckets: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = raw_tokens(path)
-        seen: dict[int, set[bytes]] = {}
         for batch in batches:
-            for block, rows in zip(batch.column(0).to_pylist(), _rows(batch.column(1).to_pylist()), strict=True):
-                own = seen.setdefault(block, set())
-                for text in rows.column("text").to_pylist():
-                    own.update(words_of(text, raw))
-        for block in sorted(seen):
-            dealt: dict[int, list[bytes]] = {}
-            for word in seen.pop(block):
-                dealt.setdefault(zlib.crc32(word) % buckets, []).append(word)
-            keys = sorted(dealt)
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array([block] * len(keys), pa.int32()), "bucket": pa.array(keys, pa.int32()),
-                "words": pa.array([_pack(b"\n".join(sorted(dealt[k]))) for k in keys], pa.binary()),
-            })
+            for block, packet in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own: set[bytes] = set()
+                for _, texts in _texts(packet):
+                    for text in texts:
+                        own.update(words_of(text, raw))
+                dealt: dict[int, list[bytes]] = {}
+                for word in own:
+                    dealt.setdefault(zlib.crc32(word) % buckets, []).append(word)
+                keys = sorted(dealt)
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([block] * len(keys), pa.binary()), "bucket": pa.array(keys, pa.int32()),
+                    "words": pa.array([_pack(b"\n".join(sorted(dealt[k]))) for k in keys], pa.binary()),
+                })
+        handed_back()
 
     return cut
 
@@ -168,56 +203,45 @@ def _encode_bucket(path: str):
 
 def _look_up(path: str):
     def join(docs: pa.Table, table: pa.Table) -> pa.Table:
-        piece, special = pieces(path), raw_tokens(path)
+        special = raw_tokens(path)
         ids_of: dict[bytes, bytes] = {}
-        text_of: dict[bytes, bytes] = {}
         for words, ids, sizes in zip(*(table.column(c).to_pylist() for c in ("words", "ids", "sizes")), strict=True):
-            numbers = _unpack_numbers(ids)
-            raw, listed, at = numbers.tobytes(), numbers.tolist(), 0
+            raw, at = _unpack_numbers(ids).tobytes(), 0
             for word, size in zip(_unpack(words).split(b"\n"), _unpack_numbers(sizes).tolist(), strict=True):
-                ids_of[word] = raw[4 * at : 4 * (at + size)]
-                if size:
-                    text_of[word] = b" ".join([piece[i] for i in listed[at : at + size]])
-                at += size
-        empty = len(text_of) < len(ids_of)
+                ids_of[word] = raw[at : at + 4 * size]
+                at += 4 * size
         out = []
-        for rows in _rows(docs.column("packet").to_pylist()):
-            out_ids, out_text = [], []
-            for text in rows.column("text").to_pylist():
-                words = words_of(text, special)
-                out_ids.append(b"".join([ids_of[w] for w in words]))
-                out_text.append(b" ".join([text_of[w] for w in words if w in text_of] if empty else [text_of[w] for w in words]).decode())
-            out.append(pa.table({"doc_id": rows.column("doc_id"), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())}))
+        for packet in docs.column("packet").to_pylist():
+            for own, texts in _texts(packet):
+                found = [b"".join([ids_of[w] for w in words_of(text, special)]) for text in texts]
+                out.append(pa.table({"doc_id": own, "ids": pa.array(found, pa.binary()), "decoded": joined_pieces(found, path)}))
         return pa.concat_tables(out)
 
     return join
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, ids (32-bit little-endian numbers, one after the other) and decoded (the pieces joined by a space).
 
-    ``blocks`` is the number of blocks and of word buckets, by default twice the shuffle partitions, so
-    that a block, which a task holds whole, stays small where partitions are sized for Spark. A row's block follows from
-    its id and text. Null and empty texts, and those of white space alone, have no ids and decode to an empty text;
-    repeated rows come out as often as they came in; a null id is kept. Other columns are not looked at.
+    ``buckets`` is the number of word buckets, by default the shuffle partitions. Null and empty texts, and those of white
+    space alone, have no ids and decode to an empty text; repeated rows come out as often as they came in; a null id is
+    kept. Other columns are not looked at.
     """
     bounded_batches(docs.sparkSession)
-    n = blocks or 2 * parts(docs.sparkSession)
+    n = buckets or parts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "text", "doc_id")
-    rows = rows.mapInArrow(_deal, "block int, packet binary").repartition(n, "block")
-    words = rows.mapInArrow(lambda it, cut=_block_words(path, n): cut(it), "block int, bucket int, words binary")
-    table = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block int, words binary, ids binary, sizes binary")
+    rows = rows.mapInArrow(_blocks, "block binary, packet binary").repartition(2 * n, "block")
+    words = rows.mapInArrow(lambda it, cut=_block_words(path, n): cut(it), "block binary, bucket int, words binary")
+    table = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block binary, words binary, ids binary, sizes binary")
     return rows.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_look_up(path), RESULT)
 
 
 def decoded(encodings: DataFrame, path: str) -> DataFrame:
-    """doc_id and text of given ids: each batch joins its ids to the pieces."""
+    """doc_id and text of given ids: each batch joins its ids to the pieces. Null ids give an empty text."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path)
         for batch in batches:
-            texts = [b" ".join([piece[i] for i in np.frombuffer(x or b"", np.uint32).tolist()]).decode() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            texts = joined_pieces([x or b"" for x in batch.column(1).to_pylist()], path)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "text"])
 
     return encodings.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +63,18 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def handed_back() -> None:
+    """At the end of a task's work in Python: free memory goes back to the system, since workers wait for further tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -5,6 +5,8 @@ import re
 import struct
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from strandlake.llm import bpe, mixing, quality, queries, warc
 
 SF = "/root/testdata/sf0.01"
@@ -124,7 +126,7 @@ def test_bpe_matches_library(spark):
     odd = [None, "", " \t\n", "   x y", "It's we'll 'S don'T <|endoftext|>a <|startoftext|>", "é É ΣΑΣ İ ﬁ \U0001f600‍", "a\x1cb\x85c", "12,345.67 -- !!!", "x" * 3000, "ß" * 500]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd)] + [(None, "a b"), (3, odd[3])], "doc_id long, text string")
     docs = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300").selectExpr("doc_id + 100 as doc_id", "text"))
-    rows = bpe.encoded(docs, path, blocks=5).collect()
+    rows = bpe.encoded(docs, path, buckets=5).collect()
     texts = Counter((r.doc_id, r.text) for r in docs.collect())
     assert len(rows) == sum(texts.values())
     want = Counter()
@@ -137,12 +139,25 @@ def test_bpe_matches_library(spark):
     assert bpe.encoded(docs.limit(0), path).count() == 0
 
 
+def test_bpe_blocks_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(bpe, "RESULT_BYTES", 60)
+    texts = ["x " * n for n in (3, 500, 1, 0, 40, 99, 7)] + [None] * 30
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    made = list(bpe._blocks(iter([rows, rows.slice(0, 0), rows])))
+    got = [list(bpe._texts(b.column(1)[0].as_py())) for b in made]
+    assert [i for b in got for own, _ in b for i in own.to_pylist()] == [*range(len(texts))] * 2
+    assert [t for b in got for _, own in b for t in own] == texts * 2
+    sizes = [[len(t or "") + 16 for _, own in b for t in own] for b in got]
+    assert all(len(x) == 1 or sum(x) <= 200 for x in sizes)
+
+
 def test_bpe_special_tokens_in_other_cases(spark):
     path = bpe.tokenizer_file()
     own = bpe.tokenizer(path)
-    texts = ["<|EndOfText|>", "A <|STARTOFTEXT|> B", "Ab<|endoftext|>Cd<|EndOfText|>Ef", "<|endoftext|> THE <|ENDOFTEXT|>", "É<|StartOfText|>é"]
+    texts = ["<|EndOfText|>", "A <|STARTOFTEXT|> B", "Ab<|endoftext|>Cd<|EndOfText|>Ef", "<|endoftext|> THE <|ENDOFTEXT|>", "É<|StartOfText|>é", "J\u030c T\u0308 H\u0331 W\u030a", "Ⅷ İI ẞS ÀB a\u0300B", "J\u030c<|ENDOFTEXT|>"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.encoded(docs, path, blocks=2).collect()}
+    got = {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.encoded(docs, path, buckets=2).collect()}
     for i, text in enumerate(texts):
         ids = own.encode(text, add_special_tokens=False).ids
         assert got[i] == (struct.pack(f"<{len(ids)}I", *ids), own.decode(ids, skip_special_tokens=False))
