@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, written
+from strandlake.llm.common import bounded_batches, fresh, handed_back, written
 
 #: 32 bands of 5 registers: of pairs at a similarity of 0.8, three in a million share no band.
 BANDS, BAND = 32, 5
 REGISTERS = BANDS * BAND
-#: Sets above SMALL take their registers from rounds of 16 buckets. Sets of up to LARGE are too small to fill buckets and
-#: have each register from a hash of its own; those between have both, so that any two sets at 0.8 share a kind.
-SMALL, LARGE = 64, 80
+#: Sets above SMALL take their registers from rounds of 16 buckets. Smaller ones cannot fill buckets and have each register
+#: from a hash of its own; so have sets that may reach the threshold with these, so that such sets share a kind.
+SMALL = 64
 BUCKET_BITS = 4
 ROUNDS = REGISTERS >> BUCKET_BITS
 #: Bits that a register keeps after the leading zeros.
@@ -112,10 +112,10 @@ def band_keys(registers: np.ndarray, kind: int) -> np.ndarray:
     return mixed((rows * _ODD).sum(1, dtype=np.uint64) ^ _BAND_OF ^ np.uint64(kind)).view(np.int64)
 
 
-def signature(hashes: np.ndarray) -> tuple[list[int], bytes | None, bytes | None]:
+def signature(hashes: np.ndarray, percent: int = 80) -> tuple[list[int], bytes | None, bytes | None]:
     """Keys, and the registers of the small and the large kind. An empty set has none."""
     keys, small, large = [], None, None
-    if 1 <= len(hashes) <= LARGE:
+    if len(hashes) and len(hashes) * percent <= SMALL * 100:
         r = small_registers(hashes)
         keys, small = band_keys(r, 1).tolist(), r.tobytes()
     if len(hashes) > SMALL:
@@ -136,6 +136,12 @@ def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
     return np.clip(((a == b).mean(1) - chance) / (1 - chance), 0, 1)
 
 
+#: Shingles of more than one in so many rows are frequent; there are no more than that many of them.
+FREQUENT = 20_000
+#: Rows of one shingle that meet in a task.
+SHARE = 256
+
+
 def _by_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that may be similar enough: with each set's shingles in order of
     how many of these sets have them, rarest first, two sets at the threshold share one of the first
@@ -145,55 +151,74 @@ def _by_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int) -> DataFra
     shingle's sets, those outside its most frequent component are held against all, so a large component is not paired
     with itself.
 
+    The counts of the most frequent shingles, FREQUENT rows at most by how they are chosen, are joined by broadcast; the
+    rows of another shingle that many sets have are dealt over several tasks.
+
     ``rest`` has rep, n, component; ``sets`` has rep and hashes."""
     rows = sets.select("rep", F.explode("hashes").alias("h"))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = rows.join(often, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o")).join(rest, "rep")
+    often = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-shingles")
+    total = rest.agg(F.sum("n")).first()[0] or 0
+    bound = max(SHARE, total // FREQUENT)  # no more than ``total / bound`` shingles have more rows than that
+    frequent = often.where(F.col("df") > bound).select(F.col("h").alias("_f"), F.col("df").alias("_df"))
+    rows = rows.join(F.broadcast(frequent), F.col("h") == F.col("_f"), "left")
+    apart = F.when(F.col("_df").isNotNull(), 1 + F.pmod(F.hash("rep"), F.lit(1 << 20))).otherwise(0)  # no row of the other side
+    rows = rows.withColumn("_apart", apart).join(often.select("h", "df", F.lit(0).alias("_apart")), ["h", "_apart"], "left")
+    rows = rows.select("rep", "h", F.coalesce("_df", "df").alias("df")).where("df IS NOT NULL")
+    ordered = rows.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o")).join(rest, "rep")
     unique = F.col("n") - F.size("o")  # these come first and meet no other set
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - unique
     keys = ordered.where(first > 0).select("rep", "n", "component", unique.alias("own"), F.posexplode(F.slice("o", F.lit(1), first.cast("int"))).alias("at", "x"))
-    keys = written(keys.select("x.h", "rep", "n", (F.col("n") - F.col("own") - F.col("at")).alias("left"), "component"), "rare-shingles")
-    sizes = keys.groupBy("h", "component").agg(F.count(F.lit(1)).alias("many"))
-    main = sizes.groupBy("h").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    keys = written(keys.join(main.select("h", "main"), "h"), "rare-shingles-split")
-    x = keys.where("component <> main").select("h", F.col("rep").alias("_a"), F.col("n").alias("_n"), F.col("left").alias("_l"), F.col("component").alias("_x"))
-    y = keys.select("h", F.col("rep").alias("_b"), F.col("n").alias("_m"), F.col("left").alias("_r"), F.col("component").alias("_y"))
+    shares = F.ceil(F.col("x.df") / SHARE).cast("int")
+    keys = keys.select("x.h", "rep", "n", (F.col("n") - F.col("own") - F.col("at")).alias("left"), "component", shares.alias("shares"), F.pmod(F.hash("rep"), shares).alias("share"))
+    keys = written(keys, "rare-shingles")
+    sizes = keys.groupBy("h", "shares", "component").agg(F.count(F.lit(1)).alias("many"))
+    main = sizes.groupBy("h", "shares").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    each = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    keys = written(keys.join(main.select("h", "main", each), ["h", "share"]), "rare-shingles-split")
+    x = keys.where("component <> main").select("h", "share", F.col("rep").alias("_a"), F.col("n").alias("_n"), F.col("left").alias("_l"), F.col("component").alias("_x"))
+    y = keys.select("h", each, F.col("rep").alias("_b"), F.col("n").alias("_m"), F.col("left").alias("_r"), F.col("component").alias("_y"))
     most = F.least("_l", "_r")
     reach = most * 100 >= (F.col("_n") + F.col("_m") - most) * percent
-    return x.join(y, "h").where((F.col("_x") != F.col("_y")) & reach).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    return x.join(y, ["h", "share"]).where((F.col("_x") != F.col("_y")) & reach).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
 
 
 @dataclass(frozen=True)
 class Links:
-    """members: doc_id, n_shingles, digest of every row; classes: digest, rep, component of every non-empty set."""
+    """members: doc_id, text_hash, n_shingles, digest of every row; classes: of every non-empty set its digest, rep (a number
+    of its own), first (its smallest doc_id, null if it has none), text_hash (of a row with that id) and component (a rep)."""
 
     members: DataFrame
     classes: DataFrame
 
 
-def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), keys, small and large registers."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def signatures(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, digest (null for an empty set), keys, small and large registers."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(shingle)
         for batch in batches:
             n, digest, keys, small, large = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h = cut(text)
-                k, s, lg = signature(h)
+                k, s, lg = signature(h, percent)
                 n.append(len(h))
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 keys.append(k)
                 small.append(s)
                 large.append(lg)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary()), pa.array(large, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "keys", "small", "large"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary()), pa.array(large, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "keys", "small", "large"],
             )
+        handed_back()
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>, small binary, large binary")
+    return _rows(docs, id_col, text_col).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>, small binary, large binary")
 
 
 def _fit(n: Column, m: Column, percent: int) -> Column:
@@ -246,14 +271,18 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "do
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
     Words are runs of anything but ASCII white space, with A-Z in lower case. With fewer words than a shingle has, the
-    whole sequence is one. Null and empty texts have no set and are linked with nothing. Rows without an id are members
-    of their set's class but never stand for it. Other columns are not looked at.
+    whole sequence is one. Null and empty texts have no set and are linked with nothing. Sets stand for themselves, not
+    for ids, so rows without an id, rows that repeat an id with another text and repeated rows are linked like others.
+    Other columns are not looked at; an empty table has no classes.
     """
-    signed = written(signatures(docs, shingle, id_col, text_col), "signatures")
-    members = signed.select("doc_id", "n_shingles", "digest")
-    classes = members.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    signed = written(signatures(docs, shingle, percent, id_col, text_col), "signatures")
+    members = signed.select("doc_id", "text_hash", "n_shingles", "digest")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    classes = members.where("digest IS NOT NULL").groupBy("digest").agg(first)
+    classes = classes.select("digest", F.monotonically_increasing_id().alias("rep"), F.col("first.doc_id").alias("first"), F.col("first.text_hash").alias("text_hash"))
     classes = written(classes, "classes")
-    own = signed.join(classes.withColumnRenamed("digest", "_d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d")))
+    named = classes.select(F.col("digest").alias("_d"), "rep", F.col("first").alias("_first"), F.col("text_hash").alias("_text"))
+    own = signed.join(named, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("text_hash") == F.col("_text")))
     reps = written(own.dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "keys", "small", "large"), "class-signatures")
     registers = reps.select("rep", "n", "small", "large")
 
@@ -273,12 +302,15 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "do
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = Shingler(shingle)
             for batch in batches:
-                found = [cut(x).view(np.int64) for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "hashes"])
+                found = [cut(x) for x in batch.column(2).to_pylist()]
+                digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["digest", "hashes"])
+            handed_back()
 
-        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-        made = texts.join(ids.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_semi").mapInArrow(hashed, "rep long, hashes array<long>")
-        return written(made.dropDuplicates(["rep"]), "sets")
+        wanted = written(named.join(ids, "rep", "left_semi"), "wanted-classes")
+        texts = _rows(docs, id_col, text_col).join(wanted.select("_first", "_text"), (F.col("text_hash") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+        made = texts.mapInArrow(hashed, "digest binary, hashes array<long>").join(wanted.select("_d", "rep"), F.col("digest") == F.col("_d"))
+        return written(made.select("rep", "hashes").dropDuplicates(["rep"]), "sets")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
@@ -291,19 +323,40 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "do
     split = crowd.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = written(crowd.join(split, "key", "left_semi").select("rep", "n", "component").distinct(), "residue-classes")
     if rest.head(1):
-        more = _by_rare_shingles(rest, sets_of(rest), percent)
+        more = _by_rare_shingles(rest, sets_of(rest.select("rep")), percent)
         more = written(_likely(more.join(likely, ["a", "b"], "left_anti"), registers, percent), "likely-rest")
         if more.head(1):
             edges = edges.unionByName(written(_confirmed(more, sets_of(ends(more)), percent), "links-rest"))
             labels = components(edges)
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", label.alias("component"))
-    return Links(members, written(named, "class-components"))
+    labelled = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", "first", "text_hash", label.alias("component"))
+    return Links(members, written(labelled, "class-components"))
 
 
 def deduplicated(links: Links) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id is component_id). A row
-    without an id is kept only if its set has no row with one; rows that repeat an id are judged alike."""
-    named = links.classes.select(F.col("digest").alias("_d"), "component")
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, null if none has an id) and kept (doc_id is
+    component_id). Rows that repeat an id and text are judged alike. A row without an id is kept only if no row that it is
+    linked with has one; a row without a set only stands for itself."""
+    smallest = links.classes.groupBy("component").agg(F.min("first").alias("least"))
+    named = links.classes.join(smallest, "component").select(F.col("digest").alias("_d"), "least")
     rows = links.members.join(named, F.col("digest") == F.col("_d"), "left")
-    component = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def single(docs: DataFrame, links: Links, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but one row of each component alone: the one with the smallest id, rows without an id last, and
+    of different texts of that id the one with the smallest hash. Of rows that repeat its id and text one stays, whichever.
+    Rows without a set all stay. The rows that go are few, so they are what the rows are held against."""
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "text_hash", "digest")
+    best = links.classes.groupBy("component").agg(F.min(order).alias("best"))
+    chosen = links.classes.join(best, "component").where(F.col("best.digest") == F.col("digest")).select(F.col("digest").alias("_d"), "first", F.col("text_hash").alias("_t"))
+    rows = links.members.where("digest IS NOT NULL").join(chosen, (F.col("digest") == F.col("_d")) & (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    keys = rows.groupBy("doc_id", "text_hash").agg(F.max(F.col("_d").isNotNull()).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
+    gone, hashed = fresh(docs, "_gone"), fresh(docs, "_text")
+    keys = written(keys.select(F.col("doc_id").alias(gone), F.col("text_hash").alias(hashed), "stays"), "duplicates")
+    same = (F.xxhash64(F.col(text_col).cast("string")) == F.col(hashed)) & F.col(id_col).cast("long").eqNullSafe(F.col(gone))
+    kept = docs.join(keys.select(gone, hashed), same, "left_anti")
+    again = keys.where("stays").select(gone, hashed)
+    if again.head(1):
+        kept = kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept

@@ -112,6 +112,39 @@ def test_small_sets_link(spark):
     assert want[1] == 0
 
 
+def test_small_sets_that_one_word_extends(spark):
+    texts = {}
+    for size in range(1, 13):
+        words = [f"s{size}w{i}" for i in range(size)]
+        texts |= {3 * size: " ".join(words), 3 * size + 1: " ".join([*words, "more"]), 3 * size + 2: " ".join(["less", *words, "more"])}
+    docs = spark.createDataFrame([(i, t, "n", "c") for i, t in texts.items()], DOC)
+    for width in (1, 2, 5):
+        check(near_dedup.deduplicated(near_dedup.link(docs, width)).collect(), texts, width)
+
+
+def test_frequent_shingles_are_shared_out(spark, monkeypatch):
+    """The same links where most shingles count as frequent and where rows are dealt two by two."""
+    monkeypatch.setattr(near_dedup, "FREQUENT", 50)
+    monkeypatch.setattr(near_dedup, "SHARE", 2)
+    test_families_of_altered_and_shortened_copies(spark)
+
+
+def test_ids_that_repeat_and_single(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a + " more"
+    data = [(3, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, c + " end"), (8, None), (8, None), (None, ""), (2, near), (2, b + " b"), (2, near)]
+    docs = spark.createDataFrame([(i, t, "n", "c") for i, t in data], "doc_id long, text string, _gone string, _text string")
+    links = near_dedup.link(docs, 2)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.deduplicated(links).collect())
+    want = [("3", 59, "2", False), ("5", 59, "2", False), ("5", 59, "2", False), ("None", 59, "2", False), ("None", 59, "7", False), ("None", 59, "7", False), ("7", 60, "7", True)]
+    want += [("8", 0, "8", True)] * 2 + [("None", 0, "None", True)] + [("2", 60, "2", True)] * 3
+    assert got == sorted(want)
+    left = near_dedup.single(docs, links)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted([("2", near), ("2", b + " b"), ("7", c + " end"), ("8", "None"), ("8", "None"), ("None", "")])
+    assert near_dedup.single(docs.limit(0), near_dedup.link(docs.limit(0), 2)).count() == 0
+
+
 def test_dedup_edges(spark):
     long = " ".join(f"w{i}" for i in range(90))
     docs = spark.createDataFrame([(None, long, "", ""), (4, long, "", ""), (4, long, "", ""), (9, long, "", ""), (None, "alone here", "", ""), (None, None, "", "")], DOC)
