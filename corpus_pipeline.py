@@ -26,10 +26,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five words are linked at 0.8: the one with the smallest id. Documents
-    that go are few, so they are what the documents are held against; of rows that repeat an id and text, all stay."""
-    rows = near_dedup.deduplicated(near_dedup.link(docs, shingle=5))
-    gone = written(rows.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    without words are in no group and stay. Rows without an id, and rows that repeat an id, are documents of their own."""
+    return near_dedup.single(docs, near_dedup.link(docs, shingle=5))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
