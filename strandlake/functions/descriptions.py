@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Phrases that make a description uninformative.
+#: What makes a description uninformative, anywhere in it, at its start, or as all of it.
 UNINFORMATIVE = (
-    "uncharacterized protein", "putative uncharacterized", "hypothetical protein", "predicted protein", "unknown protein",
-    "unnamed protein", "whole genome shotgun", "scaffold", "expressed protein", "orf",
+    "uncharacterized protein", "hypothetical protein", "unnamed protein product", "putative uncharacterized",
+    "uncharacterized conserved", "predicted protein", "whole genome shotgun", "scaffold",
 )
-#: Words before a description that its short form drops.
+UNINFORMATIVE_START = ("cdna clone", "genome assembly")
+UNINFORMATIVE_WHOLE = ("low quality protein", "expressed protein")
+#: Words before a description that its short form drops, and those that its unique form drops.
 PREFIXES = ("probable", "putative", "predicted:")
+UNIQUE_PREFIXES = ("putative", "probable", "uncharacterized")
 GO_FORMAT = "GO:%07d"
 
 
@@ -23,23 +26,28 @@ def is_name(word: Column) -> Column:
 
 
 def is_good(desc: Column) -> Column:
-    """Whether a description says something: no uninformative phrase, and not just a name with up to one more word."""
-    low = F.lower(F.trim(desc))
-    words = F.split(F.trim(desc), r"\s+")
-    bad = low == ""
+    """Whether a description says something: up to its last ``{`` and with ``_`` as a space it has no uninformative phrase,
+    and it is not just a name, a name beside the word protein, or a word that starts with orf. Null and empty ones don't."""
+    low = F.trim(F.regexp_replace(F.lower(F.trim(desc)), r"\{[^{]*$", ""))
+    plain = F.translate(low, "_", " ")
+    words = F.split(low, " ")
+    bad = (low == "") | plain.isin(*UNINFORMATIVE_WHOLE)
     for phrase in UNINFORMATIVE:
-        bad = bad | (low == phrase if phrase == "orf" else low.contains(phrase))
-    one = (F.size(words) == 1) & is_name(F.element_at(words, 1))
-    two = (F.size(words) == 2) & (is_name(F.get(words, F.lit(0))) | is_name(F.get(words, F.lit(1))))
+        bad = bad | plain.contains(phrase)
+    for phrase in UNINFORMATIVE_START:
+        bad = bad | plain.startswith(phrase)
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    one = (F.size(words) == 1) & (is_name(first) | low.startswith("orf"))
+    two = (F.size(words) == 2) & ((is_name(first) & (second == "protein")) | (is_name(second) & (first == "protein")))
     return F.coalesce(~(bad | one | two), F.lit(False))
 
 
 def brief(desc: Column) -> Column:
-    """Up to a ``{``, without leading probable, putative or predicted, the first two words; a first word of over 20
-    characters stands alone."""
-    text = F.trim(F.substring_index(desc, "{", 1))
+    """In lower case and up to a ``{``, without leading probable, putative or predicted, the first two words; a first word
+    of over 20 characters stands alone."""
+    text = F.trim(F.substring_index(F.lower(desc), "{", 1))
     for prefix in PREFIXES:
-        text = F.regexp_replace(text, f"(?i)^{prefix}\\s+", "")
+        text = F.regexp_replace(text, f"^{prefix}\\s+", "")
     words = F.split(text, r"\s+")
     return F.when(F.length(F.element_at(words, 1)) > 20, F.element_at(words, 1)).otherwise(F.array_join(F.slice(words, 1, 2), " "))
 
@@ -49,14 +57,23 @@ def without_evidence(desc: Column) -> Column:
 
 
 def unique_form(desc: Column) -> Column:
-    """A form that near-equal descriptions share: lower case, without ``-like``, evidence, leading probable and the like,
-    a trailing name, or a trailing number of one or two digits."""
-    text = F.lower(without_evidence(desc))
-    text = F.regexp_replace(text, r"^(probable|putative|predicted:)\s+", "")
-    text = F.regexp_replace(text, r"-like\b", "")
-    last = F.regexp_extract(text, r"(\S+)$", 1)
-    text = F.when(is_name(last) & text.contains(" "), F.regexp_replace(text, r"\s+\S+$", "")).otherwise(text)
-    return F.trim(F.regexp_replace(text, r"[\s-]*\d{1,2}$", ""))
+    """A form that near-equal descriptions share: lower case, up to a ``{``, without ``-like`` if it ends so, without a name
+    after two or more words, and without a leading putative, probable or uncharacterized. Of what is left, if it has four
+    characters or more, a number of one or two digits after the last space, ``-`` or ``_`` (the first of these that has one)
+    goes, or else the last character if it is a digit."""
+    text = F.trim(F.substring_index(F.lower(F.trim(desc)), "{", 1))
+    text = F.when(text.endswith("-like"), F.trim(F.replace(text, F.lit("-like")))).otherwise(text)
+    words = F.split(text, " ")
+    text = F.when((F.size(words) > 2) & is_name(F.element_at(words, -1)), F.regexp_replace(text, " [^ ]*$", "")).otherwise(text)
+    shorter = F.when(F.lit(False), text)
+    for prefix in UNIQUE_PREFIXES:
+        shorter = shorter.when(text.startswith(prefix), F.trim(F.replace(text, F.lit(prefix))))
+    text = shorter.otherwise(text)
+    number = lambda mark: r"(?s)^(.*)" + mark + r"(?:\d{1,2}|[+-]\d)$"
+    trimmed = F.when(F.length(text) < 4, text)
+    for mark in (" ", "-", "_"):
+        trimmed = trimmed.when(text.rlike(number(mark)), F.regexp_extract(text, number(mark), 1))
+    return trimmed.otherwise(F.regexp_replace(text, r"\d$", ""))
 
 
 def species(text: Column) -> Column:

@@ -45,12 +45,12 @@ def substitution(a: str, b: str, matrix: Matrix | None = None) -> np.ndarray:
 
 def align(a: str, b: str, matrix: Matrix | None = None, open_: float = GAP_OPEN, extend: float = GAP_EXTEND) -> tuple[float, str, str]:
     """Semi-global alignment with affine gaps; gaps at the ends are free. Of equal scores a gap in b is taken before a
-    match, and a match before a gap in a. A gap of n letters costs open + (n - 1) * extend. Memory grows with the length of b
+    match, and a match before a gap in a. A gap of n letters costs open + n * extend. Memory grows with the length of b
     times the root of that of a."""
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0, a + "-" * m, "-" * n + b
-    low = -1e18
+    low, start = -1e18, open_ + extend  # start: what the first letter of a gap costs
     size = max(isqrt(n) + 1, BLOCK_CELLS // (m + 1))  # rows of a block
     first = [(np.zeros(m + 1), np.full(m + 1, low))]  # best and up of the row before each block
     ends = np.zeros(n + 1)  # best of the last column
@@ -62,12 +62,12 @@ def align(a: str, b: str, matrix: Matrix | None = None, open_: float = GAP_OPEN,
         best, up, left = np.zeros((rows + 1, m + 1)), np.full((rows + 1, m + 1), low), np.full((rows + 1, m + 1), low)
         best[0], up[0] = first[k]
         for i in range(1, rows + 1):
-            up[i] = np.maximum(best[i - 1] - open_, up[i - 1] - extend)
+            up[i] = np.maximum(best[i - 1] - start, up[i - 1] - extend)
             row = np.maximum(up[i, 1:], best[i - 1, :-1] + score[i - 1])
             now, gap, r, edge = best[i], left[i], row.tolist(), 0.0
             g = low
             for j in range(m):  # a gap in a depends on the cell before it
-                g = max(edge - open_, g - extend)
+                g = max(edge - start, g - extend)
                 edge = r[j] if r[j] >= g else g
                 gap[j + 1], now[j + 1] = g, edge
         return best, up, left, score
@@ -96,12 +96,12 @@ def align(a: str, b: str, matrix: Matrix | None = None, open_: float = GAP_OPEN,
             else:
                 state = "left"
         elif state == "up":
-            state = "up" if up[x, j] != best[x - 1, j] - open_ else "best"
+            state = "up" if up[x, j] != best[x - 1, j] - start else "best"
             i -= 1
             out_a.append(a[i])
             out_b.append("-")
         else:
-            state = "left" if left[x, j] != best[x, j - 1] - open_ else "best"
+            state = "left" if left[x, j] != best[x, j - 1] - start else "best"
             j -= 1
             out_a.append("-")
             out_b.append(b[j])

@@ -35,7 +35,7 @@ def with_flags(hits: DataFrame, prefer: str | None = None) -> DataFrame:
 
     best_anno is the first amino-acid hit with a good description; without one it is the best hit, or the first
     amino-acid hit where the best is of nucleotides. With ``prefer``, the first good hit of that database type takes its
-    place if its bits are at least 0.7 of it.
+    place if its bits are at least 0.7 of it. Both best hits get rank 1 of their databases.
     """
     by = Window.partitionBy("seq_id")
     at = F.col("place")
@@ -49,9 +49,10 @@ def with_flags(hits: DataFrame, prefer: str | None = None) -> DataFrame:
         rows = rows.withColumn("_anno", F.when(bits("_other") >= PREFERRED_SHARE * bits("_anno"), F.col("_other")).otherwise(F.col("_anno"))).drop("_other")
     species = F.row_number().over(Window.partitionBy("seq_id", F.lower(D.species(F.col("species")))).orderBy("place"))
     unique = F.row_number().over(Window.partitionBy("seq_id", D.unique_form(F.col("description"))).orderBy("place"))
+    rank = F.when((at == 1) | (at == F.col("_anno")), 1).otherwise(F.col("rank"))
     return rows.select(
-        *hits.columns, "place", "good", (at == 1).alias("best_bits"), (at == F.col("_anno")).alias("best_anno"),
-        (species == 1).alias("first_species"), (unique == 1).alias("first_description"), (F.col("rank") == 1).alias("best_rank"),
+        *[rank.alias(c) if c == "rank" else F.col(c) for c in hits.columns], "place", "good", (at == 1).alias("best_bits"), (at == F.col("_anno")).alias("best_anno"),
+        (species == 1).alias("first_species"), (unique == 1).alias("first_description"), (rank == 1).alias("best_rank"),
     )
 
 
@@ -68,24 +69,33 @@ def flag_number(region: Column | None = None) -> Column:
 
 
 def distinct_regions(hits: DataFrame, flank: int = 0) -> DataFrame:
-    """Hits of a sequence that lie in no better kept hit of the same frame and orientation, with ``flank`` positions of
-    slack. What is kept depends on order, so hits are dealt out by sequence and sorted, and each task reads them in order;
-    a task holds the kept regions of one sequence at a time."""
+    """Hits of a sequence that lie in no other kept hit of the same frame and orientation, with ``flank`` positions of
+    slack; of two that lie in each other the better one stays. What is kept depends on order, so hits are dealt out by
+    sequence and sorted, and each task reads them in order; a task holds the kept regions of one sequence at a time."""
     rows = hits.select("seq_id", "hit_id", "bits", "evalue", "seq_start", "seq_end", "frame").repartition("seq_id").sortWithinPartitions("seq_id", F.desc("bits"), "evalue", "hit_id")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, kept = None, []
+        last, kept = None, {}  # kept: by frame and orientation, (low, high, hit) of what stays so far, better ones first
+        done = lambda: [(last, hit) for found in kept.values() for *_, hit in found]
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 if row.seq_id != last:
-                    last, kept = row.seq_id, []
+                    out += done()
+                    last, kept = row.seq_id, {}
                 low, high = sorted((row.seq_start, row.seq_end))
-                key = (row.frame, row.seq_start <= row.seq_end)
-                if not any(k == key and low >= a - flank and high <= b + flank for k, a, b in kept):
-                    kept.append((key, low, high))
-                    out.append((row.seq_id, row.hit_id))
+                better, stay = kept.setdefault((row.frame, row.seq_start <= row.seq_end), []), []
+                for n, (a, b, hit) in enumerate(better):
+                    if low >= a - flank and high <= b + flank:
+                        stay += better[n:]
+                        break
+                    if not (a >= low - flank and b <= high + flank):
+                        stay.append((a, b, hit))
+                else:
+                    stay.append((low, high, row.hit_id))
+                better[:] = stay
             yield pd.DataFrame(out, columns=["seq_id", "hit_id"])
+        yield pd.DataFrame(done(), columns=["seq_id", "hit_id"])
 
     return rows.mapInPandas(keep, hits.select("seq_id", "hit_id").schema)
 

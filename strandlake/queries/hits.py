@@ -123,6 +123,6 @@ QUERIES = {
     "w05_best_go_hit": (best_go_hit, f"""WITH {FLAGGED_SQL}, g AS (SELECT f.*, row_number() OVER (PARTITION BY seq_id ORDER BY bits DESC, CAST(best_bits AS INT) + CAST(best_anno AS INT) DESC, evalue, hit_id) AS n
         FROM flagged f JOIN part ON p_partkey = l_partkey AND p_size % 4 = 0) SELECT seq_id, hit_id, bits FROM g WHERE n = 1"""),
     "j13_new_hits": (new_hits, f"WITH {HITS_SQL} SELECT DISTINCT seq_id, l_partkey AS hit_id FROM hits a WHERE db >= 3 AND NOT EXISTS (SELECT 1 FROM hits b WHERE b.db < 3 AND b.seq_id = a.seq_id AND b.l_partkey = a.l_partkey)"),
-    "s01_s07_description_forms": (description_forms, f"""WITH {DETAIL_SQL} SELECT p_partkey, good, uniq, regexp_replace(species, ' strain$', '') AS species2, description AS brief,
+    "s01_s07_description_forms": (description_forms, f"""WITH {DETAIL_SQL} SELECT p_partkey, good, uniq, regexp_replace(species, ' strain$', '') AS species2, lower(description) AS brief,
         dbtype || substr(taxonomy, 1, 3) AS label, printf('GO:%07d', p_partkey) AS go_id FROM detail"""),
 }

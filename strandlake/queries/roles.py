@@ -16,7 +16,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 DETAIL_SQL = """detail AS (
   SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Uncharacterized protein' WHEN 1 THEN 'protein Os03g0850800' ELSE p_name END AS description,
-    CASE p_size % 5 WHEN 0 THEN 'uncharacterized protein' WHEN 1 THEN 'protein' ELSE lower(p_name) END AS uniq, p_size % 5 > 1 AS good,
+    CASE p_size % 5 WHEN 0 THEN 'protein' WHEN 1 THEN 'protein os03g085080' ELSE lower(p_name) END AS uniq, p_size % 5 > 1 AS good,
     p_type || ' ' || p_brand || ' strain' AS species, lower(p_type || ' ' || p_brand) AS species2,
     CASE p_size % 3 WHEN 0 THEN 'SP' WHEN 1 THEN 'TR' ELSE 'GB' END AS dbtype, lower(p_type) AS taxonomy, p_size % 7 <> 0 AS is_aa FROM part)"""
 
@@ -31,14 +31,14 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HITS_SQL = """hits AS (
-  SELECT l_orderkey AS seq_id, l_partkey * 10 + l_linenumber AS hit_id, l_partkey, l_suppkey % 5 AS db, floor(l_extendedprice / 100) AS bits, l_discount AS evalue,
+  SELECT l_orderkey AS seq_id, (l_partkey * 1000000 + l_suppkey) * 1000 + CAST(l_quantity AS BIGINT) * 10 + l_linenumber AS hit_id, l_partkey, l_suppkey % 5 AS db, floor(l_extendedprice / 100) AS bits, l_discount AS evalue,
     l_quantity AS sim, (l_linenumber * 37) % 100 + 1 AS seq_start, (l_linenumber * 37) % 100 + 1 + CAST(l_quantity AS INT) AS seq_end, CAST(l_suppkey % 3 + 1 AS INT) AS frame FROM lineitem)"""
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("l_linenumber") * 37) % 100 + 1
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("seq_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("hit_id"), "l_partkey", (F.col("l_suppkey") % 5).alias("db"),
+        F.col("l_orderkey").alias("seq_id"), ((F.col("l_partkey") * 1000000 + F.col("l_suppkey")) * 1000 + F.col("l_quantity").cast("long") * 10 + F.col("l_linenumber")).alias("hit_id"), "l_partkey", (F.col("l_suppkey") % 5).alias("db"),
         F.floor(F.col("l_extendedprice") / 100).cast("double").alias("bits"), F.col("l_discount").alias("evalue"), F.col("l_quantity").alias("sim"),
         start.alias("seq_start"), (start + F.col("l_quantity").cast("int")).alias("seq_end"), (F.col("l_suppkey") % 3 + 1).cast("int").alias("frame"),
     )
@@ -52,7 +52,7 @@ placed AS (SELECT r.*, description, uniq, good, species, species2, dbtype, taxon
 annos AS (SELECT seq_id, coalesce(min(place) FILTER (is_aa AND good), min(place) FILTER (is_aa), min(place)) AS anno, min(place) FILTER (dbtype = 'SP' AND good AND is_aa) AS other FROM placed GROUP BY 1),
 picked AS (SELECT a.seq_id, CASE WHEN o.bits >= 0.7 * x.bits THEN other ELSE anno END AS anno FROM annos a
   JOIN placed x ON x.seq_id = a.seq_id AND x.place = a.anno LEFT JOIN placed o ON o.seq_id = a.seq_id AND o.place = a.other),
-flagged AS (SELECT p.*, place = 1 AS best_bits, place = anno AS best_anno, rank = 1 AS best_rank,
+flagged AS (SELECT p.* REPLACE (CASE WHEN place = 1 OR place = anno THEN 1 ELSE p.rank END AS rank), place = 1 AS best_bits, place = anno AS best_anno, p.rank = 1 OR place = 1 OR place = anno AS best_rank,
     row_number() OVER (PARTITION BY seq_id, species2 ORDER BY place) = 1 AS first_species,
     row_number() OVER (PARTITION BY seq_id, uniq ORDER BY place) = 1 AS first_description FROM placed p JOIN picked USING (seq_id))""".replace("JOIN detail USING (p_partkey_)", "JOIN detail d ON d.p_partkey = r.l_partkey")
 

@@ -67,11 +67,22 @@ def test_ratios(spark):
 def test_descriptions(spark):
     words = {"Os03g0850800": True, "emp24/gp25l": False, "abc1": False}
     assert all(one(spark, D.is_name(F.lit(w))) == v for w, v in words.items())
-    good = {"Uncharacterized protein": False, "Kinase": True, "protein Os03g0850800": False}
+    good = {
+        "Uncharacterized protein": False, "Kinase": True, "protein Os03g0850800": False, "Os03g0850800 kinase": True, "Hypothetical_protein": False,
+        "kinase {hypothetical protein}": True, "expressed protein": False, "highly expressed protein": True, "low quality protein": False,
+        "cDNA clone 5": False, "a cDNA clone 5": True, "genome assembly, chromosome 1": False, "ORF123": False, "orf like": True, "  ": False,
+        "uncharacterized conserved thing": False, "Os03g0850800": False,
+    }
     assert all(one(spark, D.is_good(F.lit(w))) == v for w, v in good.items())
     assert one(spark, D.brief(F.lit("Probable zinc finger protein {ECO:1}"))) == "zinc finger"
     assert one(spark, D.go_number(F.lit("GO:0016020"))) == 16020 and one(spark, D.go_id(F.lit(16020))) == "GO:0016020"
-    assert one(spark, D.unique_form(F.lit("Kinase-like 12"))) == "kinase"
+    assert one(spark, D.brief(F.lit("Putative Kinase A B"))) == "kinase a"
+    forms = {
+        "Kinase-like 12": "kinase-like", "Kinase-like": "kinase", "like-like B-like": "like b", "protein Os03g0850800": "protein os03g085080",
+        "big protein Os03g0850800": "big protein", "Probable kinase 7 {ECO:1}": "kinase", "Uncharacterized protein": "protein", "kinase-12": "kinase",
+        "kinase_a 123": "kinase_a 12", "P 1": "p 1", "kinase5": "kinase", "kinase-5 a": "kinase-5 a",
+    }
+    assert {w: one(spark, D.unique_form(F.lit(w))) for w in forms} == forms
 
 
 def test_ranges_and_search(spark):
@@ -89,12 +100,17 @@ def test_best_annotation(spark):
     best = lambda out, c: [r.hit_id for r in out.where(c).collect()]
     assert best(hits.with_flags(df), "best_bits") == [1] and best(hits.with_flags(df), "best_anno") == [2]
     assert best(hits.with_flags(df, prefer="SP"), "best_anno") == [3]
+    third = hits.with_flags(df.withColumn("rank", F.lit(4)))
+    assert {r.hit_id: (r["rank"], r.best_rank) for r in third.collect()} == {1: (1, True), 2: (1, True), 3: (4, False)}
 
 
 def test_regions(spark):
     rows = [(1, 1, 90.0, 0.0, 1, 100, 1), (1, 2, 80.0, 0.0, 10, 90, 1), (1, 3, 70.0, 0.0, 80, 200, 1)]
     df = spark.createDataFrame(rows, "seq_id long, hit_id long, bits double, evalue double, seq_start int, seq_end int, frame int")
     assert sorted(r.hit_id for r in hits.distinct_regions(df).collect()) == [1, 3]
+    wide = spark.createDataFrame([(1, 4, 60.0, 0.0, 70, 220, 1), (1, 5, 50.0, 0.0, 70, 220, 1), (2, 6, 50.0, 0.0, 220, 70, 1), (2, 7, 40.0, 0.0, 70, 220, 1)], df.schema)
+    assert sorted(r.hit_id for r in hits.distinct_regions(df.union(wide)).collect()) == [1, 4, 6, 7]
+    assert hits.distinct_regions(df.limit(0)).count() == 0
 
 
 EDGES = [(2, 1, 1), (3, 1, 1), (4, 2, 1), (4, 3, 1), (5, 4, 1), (5, 1, 1)]
@@ -210,3 +226,14 @@ def test_large_pairs_are_aligned(spark):
     text = "".join(random.Random(1).choices("ACGT", k=3400))
     row = alignment.align_pairs(spark.createDataFrame([(text, text[100:])], "text1 string, text2 string")).first()
     assert round(row.score, 4) == round(3300 * alignment.NT_MATCH, 4) and row.aligned2 == "-" * 100 + text[100:]
+
+
+def test_gap_costs():
+    from strandlake.operators.alignment import align
+
+    a, b = "ACGTACGTACGTACGTACGT", "ACGTACGTACTACGTACGT"
+    score, one, other = align(a, b)
+    assert abs(score - (19 * 1.8 - 7.7)) < 1e-9 and one == a and other.replace("-", "") == b and other.count("-") == 1
+    left, right = "ACGTTGCAAC" * 3, "GGATCCATTC" * 3
+    score, _, other = align(left + "TTT" + right, left + right)
+    assert abs(score - (60 * 1.8 - 7 - 3 * 0.7)) < 1e-9 and other.count("-") == 3

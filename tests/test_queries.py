@@ -56,19 +56,32 @@ def test_clusters_are_disjoint_cliques(spark, name):
         assert len(g) > 1 and all(frozenset((a, b)) in edges for a in g for b in g if a < b)
 
 
-def test_regions_hold_no_contained_hit(spark):
+def test_regions_equal_brute_force(spark):
     from strandlake.queries.roles import hits
 
-    rows = {(r.seq_id, r.hit_id): r for r in hits(spark, SF).collect()}
-    kept = defaultdict(list)
-    for r in Q.QUERIES["j09_distinct_regions"](spark, SF).collect():
-        kept[r.seq_id].append(rows[r.seq_id, r.hit_id])
-    assert set(kept) == {s for s, _ in rows}
-    for group in kept.values():
-        for a in group:
-            for b in group:
-                better = (-b.bits, b.evalue, b.hit_id) < (-a.bits, a.evalue, a.hit_id)
-                assert not (better and a.frame == b.frame and a.seq_start >= b.seq_start - 2 and a.seq_end <= b.seq_end + 2)
+    of = defaultdict(list)
+    for r in hits(spark, SF).collect():
+        of[r.seq_id].append(r)
+    inside = lambda a, b: a.frame == b.frame and a.seq_start >= b.seq_start - 2 and a.seq_end <= b.seq_end + 2
+    want = set()
+    for seq, group in of.items():
+        group.sort(key=lambda r: (-r.bits, r.evalue, r.hit_id))
+        gone = set()
+        for i, a in enumerate(group):
+            for j in range(i + 1, len(group)):
+                if i in gone:
+                    break
+                if j not in gone:
+                    gone |= {j} if inside(group[j], a) else {i} if inside(a, group[j]) else set()
+        want |= {(seq, r.hit_id) for i, r in enumerate(group) if i not in gone}
+    got = [(r.seq_id, r.hit_id) for r in Q.QUERIES["j09_distinct_regions"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hit_ids_are_unique(spark):
+    from strandlake.queries.roles import hits
+
+    assert hits(spark, SF).groupBy("seq_id", "hit_id").count().where("count > 1").count() == 0
 
 
 @pytest.mark.parametrize("name", ["g09_longest_paths", "b01_b04_alignment", "q08_q10_orf_candidates", "q11_q13_q16_best_orfs"])
