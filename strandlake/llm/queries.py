@@ -45,10 +45,11 @@ ARRIVALS, SHARD_BYTES = 8, 64 << 20
 
 
 def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append all documents as arrivals, merge, and read the last committed version with each row's shard."""
+    """Append all documents as arrivals, each with a version of its own, merge, and read the last committed version with
+    each row's shard."""
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, scratch_path(spark, "shards"), SHARD_BYTES)
-    store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int")), "arrival")
+    store.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
     version = store.compact()
     rows = store.read(version, with_shard=True)
     return rows.select("doc_id", "source", "n_chars", F.crc32(F.col("text").cast("binary")).alias("text_crc"), "shard", "shard_rows", F.lit(version).alias("version"))

@@ -1,8 +1,12 @@
 """Size-tiered compaction of immutable shards under versioned manifests.
 
 A store is a folder: ``data`` has Parquet shards that never change, ``manifests`` has one folder per version, a small
-Parquet table of the shards that make it up. A version is first written aside and then moved to its number in one step
-that fails if the number is taken, so readers see whole versions and two writers cannot both commit one.
+Parquet table of the shards that make it up, and ``schema`` the columns. A version is first written aside and then moved to
+its number in one step that fails if the number is taken, so readers see whole versions and two writers cannot both commit
+one.
+
+Rows go in and come out as they are: nulls, repeated rows and columns of any name are kept. A table without rows makes a
+version without new shards; a store of such versions alone reads as no rows with the columns of the first.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import fresh
@@ -63,31 +67,47 @@ class ShardStore:
             raise
         return base + 1
 
-    def _found(self, folder: str, version: int) -> DataFrame:
-        """The shards in a folder of data, from the file metadata that Spark gives with each row."""
-        files = (
-            self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"))
-            .agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
-        )
-        place = F.row_number().over(Window.orderBy("path"))  # a row per file
+    def _found(self, rows: DataFrame, version: int, *kept: str) -> DataFrame:
+        """The shards that ``rows``, read from a folder of data, lie in, by the file metadata that Spark gives with each row;
+        also the columns ``kept``, which are the same all through a shard."""
+        files = rows.groupBy(F.col("_metadata.file_path").alias("path"), *kept).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
         tier = F.floor(F.log(float(self.fan_in), F.greatest(F.col("bytes") / self.base, F.lit(1.0)))).cast("int")
-        return files.select(F.format_string(f"v{version:06d}-%06d", place).alias("shard"), "path", "rows", "bytes", tier.alias("tier"))
-
-    def append(self, rows: DataFrame, arrival: str | None = None) -> int:
-        """Write the rows as new shards and commit them. With ``arrival``, rows of each of its values lie in shards of their own."""
-        base = self.version()
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        out = rows.write.option("compression", "zstd")
-        (out.partitionBy(arrival) if arrival else out).parquet(folder)
-        return self.commit(self.manifest(base).unionByName(self._found(folder, base + 1)), base)
+        return files.select(F.concat(F.lit(f"v{version:06d}-"), F.md5("path")).alias("shard"), "path", "rows", "bytes", tier.alias("tier"), *kept)
+
+    def _new_folder(self, rows: DataFrame) -> str:
+        rows.limit(0).coalesce(1).write.mode("ignore").parquet(f"{self.root}/schema")
+        return f"{self.root}/data/{uuid.uuid4().hex}"
+
+    def append(self, rows: DataFrame) -> int:
+        """Write the rows as new shards and commit them; the version then."""
+        base, folder = self.version(), self._new_folder(rows)
+        rows.write.option("compression", "zstd").parquet(folder)
+        found = self._found(self.spark.read.schema(rows.schema).parquet(folder), base + 1)
+        return self.commit(self.manifest(base).unionByName(found), base)
+
+    def append_each(self, rows: DataFrame, arrival: Column) -> int:
+        """Append the rows of each value of ``arrival`` (an int, null being one too) as an arrival of its own: shards and a
+        version for each, in order; without rows there is none. All are written in one pass. ``arrival`` is not stored unless it is a column already."""
+        folder, name = self._new_folder(rows), fresh(rows, "_arrival")
+        out = rows.withColumn(name, arrival.cast("int"))
+        out.write.option("compression", "zstd").partitionBy(name).parquet(folder)
+        held = f"{self.root}/staging/{uuid.uuid4().hex}"
+        self._found(self.spark.read.schema(out.schema).parquet(folder), self.version() + 1, name).write.parquet(held)
+        found = self.spark.read.parquet(held)
+        for row in found.select(name).distinct().orderBy(name).collect():  # the arrivals' numbers
+            base = self.version()
+            one = found.where(F.col(name).eqNullSafe(F.lit(row[0]).cast("int"))).drop(name)
+            self.commit(self.manifest(base).unionByName(one.withColumn("shard", F.concat(F.lit(f"v{base + 1:06d}-"), F.md5("path")))), base)
+        return self.version()
 
     def plan(self, manifest: DataFrame) -> DataFrame:
-        """path and bin of the shards to merge: open shards of a tier that holds ``fan_in`` of them or more, in order of
-        name, each bin up to the target. The windows run over a row per shard, not over data."""
+        """path, shard and bin (a number from 0) of the shards to merge: open shards of a tier that holds ``fan_in`` of them or
+        more, in order of name, each bin up to the target. The windows run over a row per shard, not over data."""
         tier = Window.partitionBy("tier")
         before = F.sum("bytes").over(tier.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
         chosen = manifest.where(F.col("bytes") < 0.75 * self.target).withColumn("_n", F.count(F.lit(1)).over(tier)).where(F.col("_n") >= self.fan_in)
-        return chosen.select("path", "shard", F.concat_ws("-", "tier", F.floor(F.coalesce(before, F.lit(0)) / self.target).cast("string")).alias("bin"))
+        place = F.floor(F.coalesce(before, F.lit(0)) / self.target)
+        return chosen.withColumn("_place", place).select("path", "shard", (F.dense_rank().over(Window.orderBy("tier", "_place")) - 1).alias("bin"))
 
     def compact(self) -> int:
         """Merge until no tier is worth it; the version then. Rows move once for each tier they climb."""
@@ -100,14 +120,15 @@ class ShardStore:
                 break
             held = f"{self.root}/staging/{uuid.uuid4().hex}"
             plan.coalesce(1).write.parquet(held)
-            plan = self.spark.read.schema("path string, shard string, bin string").parquet(held)
+            plan = self.spark.read.schema("path string, shard string, bin int").parquet(held)
+            bins = plan.agg(F.max("bin")).first()[0] + 1
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             rows = self.spark.read.parquet(*paths)
             file, bin_ = fresh(rows, "_file"), fresh(rows, "_bin")
             moved = rows.withColumn(file, F.col("_metadata.file_path")).join(plan.select(F.col("path").alias(file), F.col("bin").alias(bin_)), file).drop(file)
-            moved.repartition(bin_).write.option("compression", "zstd").partitionBy(bin_).parquet(folder)
+            moved.repartitionById(bins, bin_).drop(bin_).write.option("compression", "zstd").parquet(folder)  # a task for each bin
             kept = shards.join(plan.select("shard"), "shard", "left_anti")
-            self.commit(kept.select(*shards.columns).unionByName(self._found(folder, base + 1)), base)
+            self.commit(kept.select(*shards.columns).unionByName(self._found(self.spark.read.schema(rows.schema).parquet(folder), base + 1)), base)
         return self.version()
 
     def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:
@@ -115,9 +136,9 @@ class ShardStore:
         in place of any of these names."""
         shards = self.manifest(version)
         paths = [r.path for r in shards.select("path").collect()]
-        if not paths:
+        if not paths and not self._files.exists(self._path(f"{self.root}/schema")):
             raise ValueError("the store is empty")
-        rows = self.spark.read.parquet(*paths)
+        rows = self.spark.read.parquet(*(paths or [f"{self.root}/schema"]))
         if with_shard:
             rows = rows.drop("shard", "shard_rows", "tier")
             file = fresh(rows, "_file")

@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import chat, queries, sharding, toxicity
 from strandlake.llm.common import scratch_path
@@ -66,6 +67,25 @@ def test_store_versions(spark):
     assert store.vacuum() >= 4 and key(store.read()) == key(rows)
 
 
+def test_arrivals_and_empty_tables(spark):
+    rows = spark.createDataFrame([(i, f"t{i}", "own", i % 3 if i % 10 else None) for i in range(90)], "doc_id long, text string, arrival string, _ARRIVAL int")
+    rows = rows.unionByName(rows.limit(2))
+    store = sharding.ShardStore(spark, scratch_path(spark, "store"), target_bytes=1 << 20, fan_in=4, base_bytes=100)
+    assert store.append_each(rows.limit(0), F.col("_ARRIVAL")) == 0 and store.read(with_shard=True).count() == 0
+    assert store.append_each(rows, F.col("_ARRIVAL")) == 4
+    key = lambda df: sorted(map(str, df.select("doc_id", "text", "arrival", "_ARRIVAL").collect()))
+    for version, values in enumerate([{None}, {None, 0}, {None, 0, 1}, {None, 0, 1, 2}], 1):
+        assert {r._ARRIVAL for r in store.read(version).collect()} == values
+    assert key(store.read(4)) == key(rows)
+    plan = store.plan(store.manifest()).collect()
+    assert len(plan) >= 4 and {r.bin for r in plan} == {0}
+    last = store.compact()
+    assert last == 5 and store.manifest().count() == 1 and key(store.read()) == key(rows)
+    none = sharding.ShardStore(spark, scratch_path(spark, "store"))
+    assert none.append(rows.limit(0)) == 1 and none.compact() == 1
+    assert none.read().columns == rows.columns and none.read().count() == 0
+
+
 def test_compaction_query(spark):
     rows = queries.op6_compaction(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
