@@ -46,13 +46,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLAGGED_SQL = f"""{DETAIL_SQL}, {HITS_SQL},
 ranked AS (SELECT h.*, row_number() OVER (PARTITION BY seq_id, db ORDER BY bits DESC, evalue, hit_id) AS rank FROM hits h),
-placed AS (SELECT r.*, description, uniq, good, species, species2, dbtype, taxonomy, is_aa,
+placed AS MATERIALIZED (SELECT r.*, description, uniq, good, species, species2, dbtype, taxonomy, is_aa,
     row_number() OVER (PARTITION BY seq_id ORDER BY bits DESC, (dbtype = 'SP') DESC, (dbtype = 'TR') DESC, evalue, good DESC, rank, hit_id) AS place
   FROM ranked r JOIN detail USING (p_partkey_)),
-annos AS (SELECT seq_id, coalesce(min(place) FILTER (is_aa AND good), min(place) FILTER (is_aa), min(place)) AS anno, min(place) FILTER (dbtype = 'SP' AND good AND is_aa) AS other FROM placed GROUP BY 1),
-picked AS (SELECT a.seq_id, CASE WHEN o.bits >= 0.7 * x.bits THEN other ELSE anno END AS anno FROM annos a
+annos AS MATERIALIZED (SELECT seq_id, coalesce(min(place) FILTER (is_aa AND good), min(place) FILTER (is_aa), min(place)) AS anno, min(place) FILTER (dbtype = 'SP' AND good AND is_aa) AS other FROM placed GROUP BY 1),
+picked AS MATERIALIZED (SELECT a.seq_id, CASE WHEN o.bits >= 0.7 * x.bits THEN other ELSE anno END AS anno FROM annos a
   JOIN placed x ON x.seq_id = a.seq_id AND x.place = a.anno LEFT JOIN placed o ON o.seq_id = a.seq_id AND o.place = a.other),
-flagged AS (SELECT p.* REPLACE (CASE WHEN place = 1 OR place = anno THEN 1 ELSE p.rank END AS rank), place = 1 AS best_bits, place = anno AS best_anno, p.rank = 1 OR place = 1 OR place = anno AS best_rank,
+flagged AS MATERIALIZED (SELECT p.* REPLACE (CASE WHEN place = 1 OR place = anno THEN 1 ELSE p.rank END AS rank), place = 1 AS best_bits, place = anno AS best_anno, p.rank = 1 OR place = 1 OR place = anno AS best_rank,
     row_number() OVER (PARTITION BY seq_id, species2 ORDER BY place) = 1 AS first_species,
     row_number() OVER (PARTITION BY seq_id, uniq ORDER BY place) = 1 AS first_description FROM placed p JOIN picked USING (seq_id))""".replace("JOIN detail USING (p_partkey_)", "JOIN detail d ON d.p_partkey = r.l_partkey")
 
@@ -105,7 +105,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS_SQL = """lines AS (SELECT l_orderkey, l_partkey AS part, min(l_extendedprice) AS price, min(l_quantity) AS qty, min(l_discount) AS disc FROM lineitem GROUP BY ALL),
-pairs AS (SELECT a.part AS seq1, b.part AS seq2, a.part % 4 AS ds1, b.part % 4 AS ds2, min(a.disc + b.disc) AS evalue, max(a.qty + b.qty) AS sim,
+pairs AS MATERIALIZED (SELECT a.part AS seq1, b.part AS seq2, a.part % 4 AS ds1, b.part % 4 AS ds2, min(a.disc + b.disc) AS evalue, max(a.qty + b.qty) AS sim,
     CAST(max(floor((a.price + b.price) / 1000)) AS BIGINT) AS bits, CAST(max(a.qty) AS INT) * 2 AS cov1, CAST(max(b.qty) AS INT) * 2 AS cov2, CAST(max(a.qty + b.qty) AS INT) AS aln
   FROM lines a JOIN lines b USING (l_orderkey) WHERE a.part < b.part GROUP BY ALL)"""
 
