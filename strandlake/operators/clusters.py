@@ -70,22 +70,31 @@ def _per_component(edges: DataFrame, columns: list[str], work) -> DataFrame:
 
 
 def complete_linkage(edges: DataFrame) -> DataFrame:
-    """cluster, seq. Edges are taken in order (best, e-value, bits, names); two clusters are merged only if every pair
-    between them is an edge. The rule depends on order, so each connected component is worked off as one group."""
-
-    def work(group: pd.DataFrame) -> list[set]:
-        group = group.sort_values(["best", "evalue", "bits", "seq1", "seq2"], ascending=[False, True, False, True, True])
-        edge = {frozenset(x) for x in zip(group["seq1"], group["seq2"], strict=True)}
-        home: dict = {}
-        for a, b in zip(group["seq1"], group["seq2"], strict=True):
-            one, two = home.setdefault(a, {a}), home.setdefault(b, {b})
-            if one is not two and all(frozenset((x, y)) in edge for x in one for y in two):
-                one |= two
-                for x in two:
-                    home[x] = one
-        return [c for c in {id(c): c for c in home.values()}.values() if len(c) > 1]
-
-    return _per_component(edges, ["best", "evalue", "bits"], work)
+    """cluster (its smallest member's name), seq. Edges are taken in order (best, e-value, bits, names); two clusters are
+    merged only if every pair between them is an edge. Clusters of one sequence are left out; loops and further edges of
+    a pair do not count.
+
+    Works in rounds: of the pairs of clusters that have all their edges, those are merged whose first edge comes before
+    all others of both clusters. A pair that lacks an edge lacks it for good, and no merge puts an earlier edge before
+    such a pair, so the result is that of one edge after the other."""
+    place = F.struct(*[c.alias(n) for n, c in {"best": -F.col("best"), "evalue": F.col("evalue"), "bits": -F.col("bits"), "seq1": F.col("seq1"), "seq2": F.col("seq2")}.items()])
+    pairs = edges.where("seq1 <> seq2").select(F.least("seq1", "seq2").alias("c1"), F.greatest("seq1", "seq2").alias("c2"), place.alias("first"))
+    pairs = cut(pairs.groupBy("c1", "c2").agg(F.min("first").alias("first")))
+    labels = pairs.select(F.col("c1").alias("seq")).union(pairs.select("c2")).distinct().withColumn("cluster", F.col("seq"))
+    while pairs.head(1):
+        ends = pairs.select(F.explode(F.array("c1", "c2")).alias("c"), "first")
+        least = ends.groupBy("c").agg(F.min("first").alias("first"))
+        chosen = pairs.join(least.withColumnRenamed("c", "c1"), ["c1", "first"]).join(least.withColumnRenamed("c", "c2"), ["c2", "first"])
+        moves = cut(chosen.select(F.explode(F.array("c1", "c2")).alias("c"), F.col("c1").alias("to")))
+        labels = cut(labels.join(moves.select(F.col("c").alias("cluster"), "to"), "cluster", "left").select("seq", F.coalesce("to", "cluster").alias("cluster")))
+        for i in "12":
+            pairs = pairs.join(moves.withColumnRenamed("c", f"c{i}"), f"c{i}", "left")
+            pairs = pairs.withColumns({f"c{i}": F.coalesce("to", f"c{i}"), f"n{i}": F.when(F.col("to").isNull(), 1).otherwise(2)}).drop("to")
+        same = pairs.where("c1 <> c2").groupBy(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"))
+        sums = same.agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("_n"), F.max(F.col("n1") * F.col("n2")).alias("_parts"))
+        pairs = cut(sums.where("_n = _parts").select(F.col("a").alias("c1"), F.col("b").alias("c2"), "first"))  # those with all edges
+    whole = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("cluster")
+    return labels.join(whole, "cluster").select(F.col("cluster").cast("string").alias("cluster"), "seq")
 
 
 def cliques(edges: DataFrame) -> DataFrame:

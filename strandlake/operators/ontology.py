@@ -69,12 +69,19 @@ def inherited_terms(direct: DataFrame, paths: DataFrame) -> DataFrame:
     return own.unionByName(up.join(own.select("hit_id", "gonum"), ["hit_id", "gonum"], "left_anti").withColumn("is_direct", F.lit(False)))
 
 
-def sequence_terms(hits: DataFrame, terms: DataFrame, order: str = "bits") -> DataFrame:
+def sequence_terms(hits: DataFrame, direct: DataFrame, paths: DataFrame, order: str = "bits") -> DataFrame:
     """seq_id, gonum, hit_id, evalue, is_direct: per sequence and term its best hit, and whether any hit has the term
-    directly. A single dataset orders by bits, merged ones by e-value."""
-    first = F.struct(*[c.alias(n) for n, c in zip("abc", [-F.col("bits"), F.col("evalue"), F.col("hit_id")] if order == "bits" else [F.col("evalue"), -F.col("bits"), F.col("hit_id")], strict=True)])
-    rows = hits.select("seq_id", "hit_id", "bits", "evalue").join(terms, "hit_id")
-    return rows.groupBy("seq_id", "gonum").agg(F.min_by("hit_id", first).alias("hit_id"), F.min_by("evalue", first).alias("evalue"), F.max("is_direct").alias("is_direct"))
+    directly. A single dataset orders by bits, merged ones by e-value.
+
+    Hits are reduced to the best one of each assigned term before the ancestors are joined, which leaves the same best."""
+    keys = {"bits": -F.col("bits"), "evalue": F.col("evalue"), "hit": F.col("hit_id")}
+    names = ["bits", "evalue", "hit"] if order == "bits" else ["evalue", "bits", "hit"]
+    rows = hits.join(direct.select("hit_id", "gonum").distinct(), "hit_id")
+    own = rows.groupBy("seq_id", "gonum").agg(F.min(F.struct(*[keys[n].alias(n) for n in names])).alias("_b"))
+    up = paths.select(F.col("child").alias("gonum"), "ancestor")
+    above = own.join(up, "gonum").select("seq_id", F.col("ancestor").alias("gonum"), "_b", F.lit(False).alias("is_direct"))
+    both = own.withColumn("is_direct", F.lit(True)).unionByName(above).groupBy("seq_id", "gonum").agg(F.min("_b").alias("_b"), F.max("is_direct").alias("is_direct"))
+    return both.select("seq_id", "gonum", F.col("_b.hit").alias("hit_id"), "_b.evalue", "is_direct")
 
 
 def best_go_hit(hits: DataFrame, direct: DataFrame) -> DataFrame:

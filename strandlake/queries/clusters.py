@@ -42,7 +42,7 @@ def edges(spark, sf):
 
 
 def complete_linkage(spark, sf):
-    return C.complete_linkage(edges(spark, sf))
+    return C.complete_linkage(C.edge_filter(R.pairs(spark, sf), sim=70, cov=60).withColumn("best", F.lit(2)))
 
 
 def cliques(spark, sf):
@@ -65,7 +65,7 @@ def numbered(spark, sf):
 
 
 def majority(spark, sf):
-    rows = R.flagged(spark, sf).where("seq_id < 5000")
+    rows = R.flagged(spark, sf)
     return C.majority_description(rows.select((F.col("seq_id") % 300).alias("cluster"), F.col("seq_id").alias("seq"), "description", "good", F.col("best_anno").alias("is_anno"), "evalue", "dbtype", F.lit(0).alias("n_go")), least=3)
 
 
@@ -90,10 +90,11 @@ def size_histogram(spark, sf):
 
 
 def aligned_members(spark, sf):
-    """Passages of one length in clusters of four, as aligned members."""
-    rows = R.read(spark, sf, "benchmark")
-    letters = F.expr("translate(rpad(lower(substring(regexp_replace(text, '[^A-Za-z ]', ''), 1, 60)), 60, ' '), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTAC-')")
-    return rows.select(F.floor(F.col("item_id") / 4).cast("long").alias("cluster"), F.col("item_id").alias("member"), letters.alias("aligned"))
+    """Passages in clusters of four, filled up to the longest, as aligned members."""
+    text = F.expr("lower(regexp_replace(text, '[^A-Za-z ]', ''))")
+    rows = R.read(spark, sf, "benchmark").select(F.floor(F.col("item_id") / 4).cast("long").alias("cluster"), F.col("item_id").alias("member"), text.alias("text"))
+    rows = rows.join(rows.groupBy("cluster").agg(F.max(F.length("text")).alias("len")), "cluster")
+    return rows.select("cluster", "member", F.expr("translate(rpad(text, len, ' '), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTAC-')").alias("aligned"))
 
 
 def consensus(spark, sf):
@@ -119,8 +120,9 @@ def snps(spark, sf):
 
 
 MEMBERS_SQL = "members AS (SELECT p_brand || '/' || p_type AS cluster, p_partkey AS seq, p_size % 4 AS ds FROM part)"
-ALIGNED_SQL = """aligned AS (SELECT item_id // 4 AS cluster, item_id AS member, translate(rpad(lower(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 60)), 60, ' '), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTAC-') AS t FROM benchmark),
-chars AS (SELECT cluster, member, i AS pos, CASE WHEN t[i] = '-' AND (i <= len(t) - len(ltrim(t, '-')) OR i > len(rtrim(t, '-'))) THEN '~' ELSE t[i] END AS letter FROM (SELECT *, unnest(range(1, 61)) AS i FROM aligned)),
+ALIGNED_SQL = """passages AS (SELECT item_id // 4 AS cluster, item_id AS member, lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS text FROM benchmark),
+aligned AS (SELECT cluster, member, translate(rpad(text, CAST(max(len(text)) OVER (PARTITION BY cluster) AS INT), ' '), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTAC-') AS t FROM passages),
+chars AS (SELECT cluster, member, i AS pos, CASE WHEN t[i] = '-' AND (i <= len(t) - len(ltrim(t, '-')) OR i > len(rtrim(t, '-'))) THEN '~' ELSE t[i] END AS letter FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM aligned)),
 lc AS (SELECT cluster, pos, letter, count(*) AS n FROM chars GROUP BY ALL)"""
 
 QUERIES = {
@@ -139,7 +141,7 @@ QUERIES = {
         SELECT cluster, seq FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM k) WHERE n > 1"""),
     "c09_p08_numbered": (numbered, f"""WITH {MEMBERS_SQL}, s AS (SELECT cluster, count(*) AS n, min(seq) AS s FROM members GROUP BY 1 HAVING count(*) > 1)
         SELECT printf('PP_%06d', row_number() OVER (ORDER BY n DESC, s)) AS name, cluster AS old FROM s"""),
-    "c08_majority_description": (majority, f"""WITH {FLAGGED_SQL}, m AS (SELECT seq_id % 300 AS cluster, * FROM flagged WHERE seq_id < 5000),
+    "c08_majority_description": (majority, f"""WITH {FLAGGED_SQL}, m AS (SELECT seq_id % 300 AS cluster, * FROM flagged),
         d AS (SELECT cluster, description, bool_or(good) AS good, count(DISTINCT seq_id) AS n, sum(CAST(best_anno AS INT)) AS a, min(evalue) AS e, max(CAST(dbtype = 'SP' AS INT)) AS sp FROM m GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY good DESC, n + a DESC, e, sp DESC, description) AS r FROM d), z AS (SELECT cluster, count(DISTINCT seq_id) AS size FROM m GROUP BY 1)
         SELECT cluster, CASE WHEN n > 3 THEN description ELSE '*NoShare' END AS description, n AS n_sharing, CAST(floor(100 * n / size) AS INT) AS anno_percent FROM r JOIN z USING (cluster) WHERE r = 1"""),
@@ -156,10 +158,10 @@ QUERIES = {
         SELECT cluster, string_agg(l, '' ORDER BY pos) AS consensus FROM b GROUP BY 1"""),
     "m03_m06_m07_msa_scores": (msa_scores, f"""WITH {ALIGNED_SQL}, k AS (SELECT x.cluster, x.pos, x.letter AS a, y.letter AS b, CASE WHEN x.letter = '-' AND y.letter = '-' THEN 0 WHEN x.letter = '-' OR y.letter = '-' THEN -4 WHEN x.letter = y.letter THEN 4 ELSE -1 END AS s
           FROM chars x JOIN chars y ON x.cluster = y.cluster AND x.pos = y.pos AND x.member < y.member WHERE x.letter <> '~' AND y.letter <> '~'),
-        z AS (SELECT cluster, count(DISTINCT member) AS m FROM chars GROUP BY 1), s AS (SELECT cluster, sum(s) AS s FROM k GROUP BY 1),
+        z AS (SELECT cluster, count(DISTINCT member) AS m, count(DISTINCT pos) AS c FROM chars GROUP BY 1), s AS (SELECT cluster, sum(s) AS s FROM k GROUP BY 1),
         l AS (SELECT cluster, coalesce(stddev_samp(len(replace(t, '-', ''))), 0) AS sd FROM aligned GROUP BY 1),
         f AS (SELECT cluster, pos FROM lc GROUP BY ALL HAVING sum(CASE WHEN letter IN ('-', '~') THEN 0 ELSE n END) / sum(n) >= 0.5), t AS (SELECT cluster, min(pos) AS a, max(pos) AS b FROM f GROUP BY 1)
-        SELECT cluster, round(s / (m * (m - 1) / 2 * 60), 6) AS sum_of_pairs, round(sd, 6) AS sd_len, CAST(a AS INT) AS first, CAST(b AS INT) AS last FROM z JOIN s USING (cluster) JOIN l USING (cluster) JOIN t USING (cluster) WHERE m > 1"""),
+        SELECT cluster, round(s / (m * (m - 1) / 2 * c), 6) AS sum_of_pairs, round(sd, 6) AS sd_len, CAST(a AS INT) AS first, CAST(b AS INT) AS last FROM z JOIN s USING (cluster) JOIN l USING (cluster) JOIN t USING (cluster) WHERE m > 1"""),
     "m04_entropy": (entropy, f"""WITH {ALIGNED_SQL}, ch AS (SELECT cluster, member, pos, CASE letter WHEN '~' THEN '-' ELSE letter END AS letter FROM chars), g AS (SELECT cluster, pos, letter, count(*) AS n FROM ch GROUP BY ALL), c AS (SELECT *, count(*) OVER (PARTITION BY cluster, pos) AS k FROM g),
         w AS (SELECT cluster, member, avg(1 / (n * k)) AS w FROM ch JOIN c USING (cluster, pos, letter) GROUP BY ALL), p AS (SELECT cluster, pos, letter, sum(w) AS p FROM ch JOIN w USING (cluster, member) GROUP BY ALL),
         h AS (SELECT cluster, pos, -sum(p * ln(p)) AS h FROM p GROUP BY ALL), z AS (SELECT cluster, ln(least(count(*), 21)) AS s FROM aligned GROUP BY 1)

@@ -50,9 +50,9 @@ def merge_hits(spark, sf):
 
 
 def shared_hit(spark, sf):
-    rows = R.hits(spark, sf).groupBy("seq_id", F.col("l_partkey").alias("hit_id")).agg(F.max("bits").alias("bits")).where("seq_id < 3000")
-    pairs = rows.select(F.col("seq_id").alias("seq1"), "hit_id").join(rows.select(F.col("seq_id").alias("seq2"), "hit_id"), "hit_id").where("seq1 < seq2").select("seq1", "seq2").distinct()
-    return H.shared_hit(pairs, rows)
+    """Here parts are sequences and orders are hits; the pairs are given."""
+    rows = R.hits(spark, sf).select(F.col("l_partkey").alias("seq_id"), F.col("seq_id").alias("hit_id"), "bits")
+    return H.shared_hit(R.pairs(spark, sf).select("seq1", "seq2"), rows.groupBy("seq_id", "hit_id").agg(F.max("bits").alias("bits")))
 
 
 def unhit_entries(spark, sf):
@@ -112,7 +112,7 @@ QUERIES = {
         y AS (SELECT *, row_number() OVER (PARTITION BY seq_id, db, description ORDER BY (l_partkey % 4 = 0 AND bits >= 0.7 * top) DESC, bits DESC, evalue, hit_id) AS n FROM x)
         SELECT seq_id, hit_id, db, row_number() OVER (PARTITION BY seq_id, db ORDER BY bits DESC, evalue, hit_id) AS rank FROM y WHERE n = 1"""),
     "w08_merge_hits": (merge_hits, f"WITH {FLAGGED_SQL} SELECT seq_id, hit_id FROM flagged WHERE rank <= 1 OR best_bits OR best_anno"),
-    "j06_shared_hit": (shared_hit, f"""WITH {HITS_SQL}, h AS (SELECT seq_id, l_partkey AS hit_id, max(bits) AS bits FROM hits WHERE seq_id < 3000 GROUP BY ALL)
+    "j06_shared_hit": (shared_hit, f"""WITH {HITS_SQL}, h AS (SELECT l_partkey AS seq_id, seq_id AS hit_id, max(bits) AS bits FROM hits GROUP BY l_partkey, hits.seq_id)
         SELECT a.seq_id AS seq1, b.seq_id AS seq2, first(hit_id ORDER BY a.bits + b.bits DESC, hit_id) AS hit_id FROM h a JOIN h b USING (hit_id) WHERE a.seq_id < b.seq_id GROUP BY ALL"""),
     "j08_unhit_entries": (unhit_entries, """WITH s AS (SELECT DISTINCT l_partkey AS hit_id, 1 AS seen FROM lineitem WHERE l_discount = 0.1 AND l_quantity > 40)
         SELECT p_size % 5 AS db, count(*) AS n_known, count(seen) AS n_hit, count(*) - count(seen) AS n_unhit FROM s RIGHT JOIN part ON p_partkey = hit_id GROUP BY 1"""),

@@ -14,9 +14,9 @@ ways AS (SELECT child, parent AS ancestor, rel, 1 AS d FROM steps UNION SELECT w
 near AS (SELECT child, ancestor, min(d) AS d FROM ways GROUP BY ALL),
 paths AS (SELECT child, ancestor, min(rel) AS rel, d AS distance FROM ways w JOIN near n USING (child, ancestor, d) GROUP BY ALL)"""
 GRAPH = f"WITH RECURSIVE {TERMS_SQL}, {LEVELS_SQL}, {PATHS_SQL}"
-#: Entries are parts; each has up to two terms with an evidence code.
+#: Entries are parts; most have their own term, some one of the first 200 too, with an evidence code.
 DIRECT_SQL = """codes AS (SELECT * FROM (VALUES (0, 'IDA'), (1, 'IEA'), (2, 'IBA'), (3, 'TAS')) v(k, ec)),
-direct AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) AS hit_id, CAST(p_partkey * 7 % 200 AS INT) + 1 AS gonum, ec FROM part JOIN codes ON k = p_size % 4 WHERE p_partkey % 3 <> 0
+direct AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) AS hit_id, CAST(p_partkey AS INT) + 1 AS gonum, ec FROM part JOIN codes ON k = p_size % 4 WHERE p_partkey % 3 <> 0
   UNION SELECT p_partkey, CAST(p_partkey * 11 % 200 AS INT) + 1, ec FROM part JOIN codes ON k = (p_size + 1) % 4 WHERE p_partkey % 5 = 0),
 own AS (SELECT hit_id, gonum, min(ec) AS ec FROM direct GROUP BY ALL),
 inherited AS (SELECT hit_id, gonum, ec, true AS is_direct FROM own UNION ALL
@@ -31,8 +31,7 @@ def direct(spark, sf):
     ec = lambda k: F.element_at(F.array(*map(F.lit, ("IDA", "IEA", "IBA", "TAS"))), (k % 4 + 1).cast("int"))
     rows = R.read(spark, sf, "part")
     key = F.col("p_partkey")
-    term = lambda f: ((key * f) % 200).cast("int") + 1
-    two = F.array(F.when(key % 3 != 0, F.struct(term(7).alias("gonum"), ec(F.col("p_size")).alias("ec"))), F.when(key % 5 == 0, F.struct(term(11).alias("gonum"), ec(F.col("p_size") + 1).alias("ec"))))
+    two = F.array(F.when(key % 3 != 0, F.struct((key.cast("int") + 1).alias("gonum"), ec(F.col("p_size")).alias("ec"))), F.when(key % 5 == 0, F.struct((((key * 11) % 200).cast("int") + 1).alias("gonum"), ec(F.col("p_size") + 1).alias("ec"))))
     return O.direct_terms(rows.select(key.alias("hit_id"), F.array_compact(two).alias("go")))
 
 
@@ -61,7 +60,7 @@ def inherited(spark, sf):
 
 
 def sequence_terms(spark, sf):
-    return O.sequence_terms(hit_rows(spark, sf), inherited(spark, sf))
+    return O.sequence_terms(hit_rows(spark, sf), direct(spark, sf), closure(spark, sf))
 
 
 def term_info(spark, sf):

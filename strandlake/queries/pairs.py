@@ -27,7 +27,7 @@ def best_flags(spark, sf):
 
 def correlation(spark, sf):
     levels = R.reps(spark, sf).select("seq_id", F.concat("lib", F.col("rep").cast("string")).alias("lib"), F.col("n").cast("double").alias("value"))
-    return rounded(P.correlation(R.pairs(spark, sf).where("bits > 100"), levels), "pcc")
+    return rounded(P.correlation(R.pairs(spark, sf), levels), "pcc")
 
 
 def pair_filter(spark, sf):
@@ -67,7 +67,7 @@ def best_bits(spark, sf):
 
 def dna_pairs(spark, sf):
     """Benchmark passages next to one another, turned to nucleotides."""
-    rows = R.read(spark, sf, "benchmark").select("item_id", F.expr("translate(regexp_replace(lower(substring(text, 1, 160)), '[^a-z]', ''), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')").alias("text1"))
+    rows = R.read(spark, sf, "benchmark").select("item_id", F.expr("translate(regexp_replace(lower(text), '[^a-z]', ''), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')").alias("text1"))
     return rows.join(rows.select((F.col("item_id") - 1).alias("item_id"), F.col("text1").alias("text2")), "item_id")
 
 
@@ -91,7 +91,7 @@ def cds_summary(spark, sf):
 
 
 CODON_TABLE = "code AS (SELECT unnest(['" + "','".join(__import__("strandlake.functions.sequences", fromlist=["CODONS"]).CODONS) + "']) AS codon, unnest(['" + "','".join(__import__("strandlake.functions.sequences", fromlist=["CODONS"]).CODONS.values()) + "']) AS aa)"
-DNA_SQL = "dna AS (SELECT item_id, translate(regexp_replace(lower(substr(text, 1, 160)), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS t FROM benchmark)"
+DNA_SQL = "dna AS (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS t FROM benchmark)"
 CDS_SQL = f"""{DNA_SQL}, {CODON_TABLE}, two AS (SELECT a.item_id, a.t AS x, b.t AS y, least(len(a.t), len(b.t)) // 3 AS n FROM dna a JOIN dna b ON b.item_id = a.item_id + 1),
 letters AS (SELECT item_id, i, x[i] AS a, y[i] AS b FROM (SELECT item_id, x, y, unnest(range(1, n * 3 + 1)) AS i FROM two)),
 cods AS (SELECT item_id, substr(x, i * 3 + 1, 3) AS a, substr(y, i * 3 + 1, 3) AS b FROM (SELECT item_id, x, y, unnest(range(0, n)) AS i FROM two)),
@@ -113,7 +113,7 @@ QUERIES = {
     "b13_best_flags": (best_flags, """WITH h AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_partkey % 300 AS query, l_suppkey * 3 AS subject FROM lineitem),
         f AS (SELECT query, first(subject ORDER BY line, subject) AS mate FROM h WHERE query <> subject GROUP BY query, subject % 4)
         SELECT least(query, mate) AS seq1, greatest(query, mate) AS seq2, CAST(count(*) AS INT) AS best FROM f GROUP BY ALL"""),
-    "b11_correlation": (correlation, f"""WITH {PAIRS_SQL}, {COUNTS_SQL}, j AS (SELECT seq1, seq2, CAST(a.n AS DOUBLE) AS x, CAST(b.n AS DOUBLE) AS y FROM pairs JOIN reps a ON a.seq_id = seq1 JOIN reps b ON b.seq_id = seq2 AND a.lib = b.lib AND a.rep = b.rep WHERE bits > 100),
+    "b11_correlation": (correlation, f"""WITH {PAIRS_SQL}, {COUNTS_SQL}, j AS (SELECT seq1, seq2, CAST(a.n AS DOUBLE) AS x, CAST(b.n AS DOUBLE) AS y FROM pairs JOIN reps a ON a.seq_id = seq1 JOIN reps b ON b.seq_id = seq2 AND a.lib = b.lib AND a.rep = b.rep),
         s AS (SELECT seq1, seq2, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM j GROUP BY ALL)
         SELECT seq1, seq2, n AS n_libs, CASE WHEN n * sxx - sx * sx > 1e-12 AND n * syy - sy * sy > 1e-12 THEN round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) ELSE 0 END AS pcc FROM s"""),
     "f19_pair_filter": (pair_filter, f"WITH {PAIRS_SQL} SELECT seq1, seq2 FROM pairs WHERE sim >= 60 AND evalue < 0.1 AND ds1 <> ds2 AND ((ds1 = 1 AND ds2 = 3) OR (ds1 = 3 AND ds2 = 1))"),

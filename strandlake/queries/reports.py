@@ -22,7 +22,7 @@ def hit_terms(spark, sf):
 
 
 def term_holders(spark, sf):
-    return O.holders(G.sequence_terms(spark, sf), G.start(spark, sf)).where("place <= 50")
+    return O.holders(G.sequence_terms(spark, sf), G.start(spark, sf))
 
 
 def term_hits(spark, sf):
@@ -76,7 +76,7 @@ def missing_numbers(spark, sf):
 
 
 def overlapping_hits(spark, sf):
-    a = R.hits(spark, sf).where("seq_id < 4000")
+    a = R.hits(spark, sf)
     side = lambda n: a.select("seq_id", F.col("hit_id").alias(f"hit{n}"), F.col("seq_start").alias(f"s{n}"), F.col("seq_end").alias(f"e{n}"))
     return side(1).join(side(2), "seq_id").where((F.col("hit1") < F.col("hit2")) & overlaps(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))).select("seq_id", "hit1", "hit2")
 
@@ -97,7 +97,7 @@ LEVEL_JOIN = "JOIN terms USING (gonum) JOIN levels USING (gonum)"
 
 QUERIES = {
     "g10a_g10b_hit_terms": (hit_terms, f"{GRAPH}, {DIRECT_SQL} SELECT hit_id, gonum, domain, level, ec FROM inherited {LEVEL_JOIN}"),
-    "g10h_term_holders": (term_holders, f"{ALL_SQL}, {START}, r AS (SELECT start, seq_id, evalue, row_number() OVER (PARTITION BY start ORDER BY evalue, seq_id) AS place FROM st JOIN start ON gonum = start) SELECT * FROM r WHERE place <= 50"),
+    "g10h_term_holders": (term_holders, f"{ALL_SQL}, {START}, r AS (SELECT start, seq_id, evalue, row_number() OVER (PARTITION BY start ORDER BY evalue, seq_id) AS place FROM st JOIN start ON gonum = start) SELECT * FROM r"),
     "g10f_term_hits": (term_hits, f"{GRAPH}, {DIRECT_SQL}, {START} SELECT gonum, hit_id FROM direct JOIN start ON gonum = start"),
     "v03_terms_of_sequence": (terms_of_sequence, f"{ALL_SQL} SELECT gonum, name, domain, level, hit_id, is_direct FROM st {LEVEL_JOIN} WHERE seq_id = 7"),
     "f15_term_filter": (term_filter, f"""{ALL_SQL}, i AS (SELECT gonum, min(evalue) AS e, count(*) AS n_seqs FROM st GROUP BY 1) SELECT gonum, n_seqs, level FROM i {LEVEL_JOIN}
@@ -113,7 +113,7 @@ QUERIES = {
         UNION ALL SELECT 'sequences with terms', count(DISTINCT seq_id) FROM st UNION ALL SELECT 'terms', count(DISTINCT gonum) FROM st"""),
     "x12_log_p": (log_p, "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <> 0.03 THEN round(least(-log10(greatest(l_discount, 1e-300)), 300), 6) END AS p FROM lineitem"),
     "p06_missing_numbers": (missing_numbers, "SELECT l_returnflag, count(*) FILTER (l_discount <> 0) AS n_discount, round(avg(l_discount) FILTER (l_discount <> 0), 6) AS mean_discount, count(*) FILTER (l_tax <> 0.05) AS n_tax FROM lineitem GROUP BY 1"),
-    "j10_overlapping_hits": (overlapping_hits, f"WITH {HITS_SQL} SELECT a.seq_id, a.hit_id AS hit1, b.hit_id AS hit2 FROM hits a JOIN hits b ON a.seq_id = b.seq_id AND a.hit_id < b.hit_id WHERE a.seq_id < 4000 AND a.seq_start < b.seq_end AND b.seq_start < a.seq_end"),
+    "j10_overlapping_hits": (overlapping_hits, f"WITH {HITS_SQL} SELECT a.seq_id, a.hit_id AS hit1, b.hit_id AS hit2 FROM hits a JOIN hits b ON a.seq_id = b.seq_id AND a.hit_id < b.hit_id WHERE a.seq_start < b.seq_end AND b.seq_start < a.seq_end"),
     "v05_snp_view": (snp_view, "SELECT l_linenumber AS pos, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS a, CAST(count(*) * 2 AS BIGINT) AS c FROM lineitem WHERE l_orderkey % 9 = 4 AND l_returnflag = 'A' GROUP BY 1"),
     "u01_own_method": (own_method, f"WITH {COUNTS_SQL} SELECT seq_id, lib AS contrast, round(n / sum(n) OVER (PARTITION BY lib), 9) AS p FROM counts WHERE rep = 0"),
 }

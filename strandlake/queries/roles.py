@@ -84,7 +84,7 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq_id"), (F.col("p_size") * 100).alias("len"))
 
 
-TERMS_SQL = """terms AS (SELECT CAST(p_partkey AS INT) + 1 AS gonum, p_name AS name, CASE p_size % 3 WHEN 0 THEN 'BP' WHEN 1 THEN 'CC' ELSE 'MF' END AS domain FROM part WHERE p_partkey < 200),
+TERMS_SQL = """terms AS (SELECT CAST(p_partkey AS INT) + 1 AS gonum, p_name AS name, CASE p_size % 3 WHEN 0 THEN 'BP' WHEN 1 THEN 'CC' ELSE 'MF' END AS domain FROM part),
 edges AS (SELECT gonum AS child, gonum // 2 AS parent, 1 AS rel FROM terms WHERE gonum > 1
   UNION SELECT gonum, gonum // 3, 2 FROM terms WHERE gonum > 2 AND gonum % 3 = 0
   UNION SELECT gonum, gonum - 1, 3 FROM terms WHERE gonum % 50 = 0)"""
@@ -92,7 +92,7 @@ edges AS (SELECT gonum AS child, gonum // 2 AS parent, 1 AS rel FROM terms WHERE
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
-    rows = read(spark, sf_dir, "part").where("p_partkey < 200")
+    rows = read(spark, sf_dir, "part")
     return rows.select((F.col("p_partkey").cast("int") + 1).alias("gonum"), F.col("p_name").alias("name"), F.when(size % 3 == 0, "BP").when(size % 3 == 1, "CC").otherwise("MF").alias("domain"))
 
 

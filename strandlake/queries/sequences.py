@@ -41,7 +41,7 @@ def region_summary(spark, sf):
 
 
 def gap_maps(spark, sf):
-    aligned = F.regexp_replace(F.substring("text", 1, 40), "[ .,]", "-")
+    aligned = F.regexp_replace("text", "[ .,]", "-")
     rows = R.read(spark, sf, "benchmark").select("item_id", aligned.alias("a")).withColumn("g", Q.gap_map(F.col("a")))
     back = Q.with_gaps(F.regexp_replace("a", "-", ""), Q.parse_gap_text(Q.gap_text(F.col("g"))))
     return rows.select("item_id", F.size("g").cast("long").alias("n_gaps"), (back == F.col("a")).alias("same"))
@@ -68,7 +68,7 @@ def orf_candidates(spark, sf):
 def best_orfs(spark, sf):
     seqs = dna(spark, sf)
     rows = O.orf_text(O.candidates(seqs, 45), seqs)
-    scores = O.markov_scores(O.training_set(rows.where("kind = 'atg-stop'"), most=500), O.base_frequencies(seqs), k=3)
+    scores = O.markov_scores(O.training_set(rows.where("kind = 'atg-stop'")), O.base_frequencies(seqs), k=3)
     return rounded(O.best_orf(O.scored(rows, scores, k=3)), "markov")
 
 
@@ -96,7 +96,7 @@ QUERIES = {
     "q01_q02_translation": (translation, f"""WITH {DNA_SQL}, {CODON_TABLE}, c AS (SELECT seq_id, i, substr(seq, i * 3 + 2, 3) AS codon FROM (SELECT *, unnest(range(0, (len(seq) - 1) // 3)) AS i FROM dna))
         SELECT seq_id, string_agg(coalesce(aa, 'X'), '' ORDER BY i) AS aa FROM c LEFT JOIN code USING (codon) GROUP BY 1"""),
     "a15_region_summary": (region_summary, f"WITH {DNA_SQL} SELECT seq_id % 5 AS ds, round(avg(len(seq)), 6) AS mean_len, round(avg({gc('seq')}), 6) AS mean_gc FROM dna GROUP BY 1"),
-    "s12_gap_maps": (gap_maps, "SELECT item_id, len(regexp_extract_all(regexp_replace(substr(text, 1, 40), '[ .,]', '-', 'g'), '-+')) AS n_gaps, true AS same FROM benchmark"),
+    "s12_gap_maps": (gap_maps, "SELECT item_id, len(regexp_extract_all(regexp_replace(text, '[ .,]', '-', 'g'), '-+')) AS n_gaps, true AS same FROM benchmark"),
     "q14_codon_usage": (codon_usage, f"""WITH {DNA_SQL}, {CODON_TABLE}, c AS (SELECT substr(seq, i * 3 + 1, 3) AS codon FROM (SELECT *, unnest(range(0, len(seq) // 3)) AS i FROM dna)), n AS (SELECT codon, aa, count(c.codon) AS n FROM code LEFT JOIN c USING (codon) GROUP BY ALL),
         t AS (SELECT sum(n) AS t, min(n) FILTER (n > 0) AS least FROM n WHERE aa <> '*') SELECT codon, n, round(CASE WHEN aa = '*' THEN -20 WHEN n > 0 THEN ln(n / t) ELSE ln(least / t) - 1 END, 6) AS score FROM n, t"""),
     "q15_kmers": (kmers, f"WITH {DNA_SQL}, k AS (SELECT substr(seq, i, 4) AS kmer, CAST((i + 2) % 3 AS INT) AS phase FROM (SELECT *, unnest(range(1, len(seq) - 2)) AS i FROM dna)) SELECT kmer, phase, count(*) AS n FROM k GROUP BY ALL"),

@@ -237,3 +237,21 @@ def test_gap_costs():
     left, right = "ACGTTGCAAC" * 3, "GGATCCATTC" * 3
     score, _, other = align(left + "TTT" + right, left + right)
     assert abs(score - (60 * 1.8 - 7 - 3 * 0.7)) < 1e-9 and other.count("-") == 3
+
+
+def test_complete_linkage_follows_the_order_of_edges(spark):
+    """Rounds against one edge after the other, on random graphs with a hub and ties."""
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        rows = {tuple(sorted(rng.sample(range(24), 2))): None for _ in range(130)} | {(0, i): None for i in range(1, 20)}
+        edges = [(a, b, 2, rng.choice([0.0, 0.1]), float(rng.randint(1, 4))) for a, b in rows]
+        home = {}
+        for a, b, *_ in sorted(edges, key=lambda r: (-r[2], r[3], -r[4], r[0], r[1])):
+            one, two = home.setdefault(a, {a}), home.setdefault(b, {b})
+            if one is not two and all(tuple(sorted((x, y))) in rows for x in one for y in two):
+                one |= two
+                home.update(dict.fromkeys(two, one))
+        want = {(str(min(c)), x) for c in home.values() if len(c) > 1 for x in c}
+        df = spark.createDataFrame(edges, "seq1 long, seq2 long, best int, evalue double, bits double")
+        assert {tuple(r) for r in clusters.complete_linkage(df).collect()} == want
+    assert clusters.complete_linkage(df.limit(0)).count() == 0
