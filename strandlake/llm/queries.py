@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import ann, bpe, chat, lm, mixing, near_dedup, quality, sharding, toxicity, warc
-from strandlake.llm.common import scratch_path, table
+from strandlake.llm import ann, bpe, chat, fim, integer_vectors, lm, mixing, near_dedup, negatives, quality, sharding, topk, toxicity, warc
+from strandlake.llm.common import scratch_path, table, written
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,30 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
+#: One row in so many is a query of the exact search, and one an anchor of the negatives.
+EXACT_STEP, ANCHOR_STEP = 50, 100
+#: The negatives' query moves the label of one row in so many to the next of so many labels.
+MOVED, LABELS = 7, 10
+
+
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(integer_vectors.whole(table(spark, sf_dir, "embeddings")), "vectors")
+    return topk.search(rows, rows.where(F.col("vec_id") % EXACT_STEP == 0))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % MOVED == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    rows = negatives.labelled(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return negatives.mine(rows, rows.where(F.col("vec_id") % ANCHOR_STEP == 0))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -89,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_ann": op9_ann,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 WARC_SQL = f"""
@@ -126,4 +153,31 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, doc_id) AS co
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": WARC_SQL, "op3_quality_rules": QUALITY_SQL, "op5_preference_chat": chat.ORACLE, "op8_minhash": NEAR_SQL}
+WHOLE = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+TOPK_SQL = f"""
+WITH v AS (SELECT vec_id, {WHOLE} AS v FROM embeddings WHERE {FINITE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % {EXACT_STEP} = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+NEGATIVES_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % {MOVED} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label, {WHOLE} AS v FROM embeddings WHERE label IS NOT NULL AND {FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % {ANCHOR_STEP} = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND {negatives.PERCENT} * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
+FIM_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS ls, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, CAST(len(ls) AS BIGINT) AS n, least(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS a, greatest(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS b FROM u),
+p AS (SELECT *, coalesce(array_to_string(ls[1:a], ''), '') AS pre, coalesce(array_to_string(ls[a + 1:b], ''), '') AS mid, coalesce(array_to_string(ls[b + 1:], ''), '') AS suf,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": WARC_SQL, "op3_quality_rules": QUALITY_SQL, "op5_preference_chat": chat.ORACLE, "op8_minhash": NEAR_SQL, "op11_exact_topk": TOPK_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_fill_in_middle": FIM_SQL}
