@@ -49,11 +49,19 @@ def dimension(rows: DataFrame) -> int:
 
 
 def in_blocks(rows: DataFrame, block_rows: int, name: str, *order: Column) -> DataFrame:
-    """The rows in their order, dealt into ranges of about ``block_rows`` (Spark samples the borders), which the column
-    ``block`` numbers from 0. Written, so that a lost executor does not deal anew."""
+    """The rows in their order, cut into blocks of ``block_rows``, which the column ``block`` numbers from 0. Rows are
+    dealt into ranges and sorted there; a block is where a row stands plus the rows of the ranges before its own, so it
+    does not depend on how many ranges there are. Written, so that a lost executor does not deal anew."""
     n = rows.count()
     dealt = rows.repartitionByRange(max(1, -(-n // block_rows)), *order).sortWithinPartitions(*order)
-    return written(dealt.withColumn("block", F.spark_partition_id()), name)
+    placed = written(dealt.withColumn("_at", F.monotonically_increasing_id()), name)
+    placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    before, starts = 0, []
+    for r in placed.groupBy("_range").count().orderBy("_range").collect():  # a row per range
+        starts.append((r["_range"], before))
+        before += r["count"]
+    ranges = F.broadcast(rows.sparkSession.createDataFrame(starts, "_range long, _before long"))  # two numbers per range
+    return placed.join(ranges, "_range").withColumn("block", F.floor((F.col("_before") + F.col("_at")) / block_rows).cast("int")).drop("_range", "_at", "_before")
 
 
 def rows_of(dim: int) -> int:
