@@ -108,16 +108,57 @@ def contained(hits: DataFrame, flank: int = 0) -> DataFrame:
     return side("i").join(side("o"), ["seq_id", "frame"]).where(better & inside).select("seq_id", F.col("i_hit_id").alias("inner_hit"), F.col("o_hit_id").alias("outer_hit"))
 
 
+#: What has to be equal for two hits to be the same alignment; columns that the hits lack are passed over.
+SAME_ALIGNMENT = ("bits", "evalue", "sim", "aln", "gaps", "mismatches", "seq_start", "seq_end", "hit_start", "hit_end", "hit_len")
+
+
 def prune(hits: DataFrame, by: str = "description", slack: float = PREFERRED_SHARE) -> DataFrame:
-    """Per (sequence, database), of hits with the same description (or the same alignment) one stays: the best, or the
-    first with GO terms whose bits are at least ``slack`` of the best. Ranks are given anew."""
-    same = [D.without_evidence(F.col("description"))] if by == "description" else [F.col(c) for c in ("seq_start", "seq_end", "evalue", "bits")]
-    group = Window.partitionBy("seq_id", "db", *same)
-    order = [F.desc("bits"), F.asc("evalue"), F.asc("hit_id")]
-    rows = hits.withColumn("_top", F.max("bits").over(group))
-    rows = rows.withColumn("_go", (F.size("go") > 0) & (F.col("bits") >= slack * F.col("_top")))
-    rows = rows.withColumn("_n", F.row_number().over(group.orderBy(F.desc("_go"), *order))).where("_n = 1").drop("_n", "_go", "_top", "rank")
-    return rank_per_database(rows)
+    """Hits of each (sequence, database) without those that repeat one before: of neighbours with the same description
+    (without ``{..}``), or with the same alignment as well, one stays.
+
+    Neighbours stand in order of description, bits, e-value, similarity, rank and id. A hit is held against the last one
+    kept of its run, which it replaces if it alone has a good description; or has terms, where that one has none and its
+    bits are at least ``slack`` of it; or has more terms and no fewer bits. What a run keeps depends on all before, so a
+    task reads its rows in order and carries one row along, whatever the length of a run. Where no hit of rank 1 is left
+    in a sequence and database, the first by rank and id becomes one; other ranks stay.
+
+    ``hits`` has rank, and ``go``, an array of terms; a null array has none. An empty table gives none."""
+    names = hits.columns
+    run = ["seq_id", "db", "_d"]
+    order = [F.desc("bits"), F.asc("evalue"), F.desc("sim"), F.asc("rank"), F.asc("hit_id")]
+    rows = hits.withColumns({"_d": D.without_evidence(F.col("description")), "_good": D.is_good(F.col("description")), "_n": F.greatest(F.size("go"), F.lit(0))})
+    window = Window.partitionBy(*run).orderBy(*order)
+    first = F.row_number().over(window) == 1
+    if by != "description":
+        like = F.struct(*[c for c in SAME_ALIGNMENT if c in names])
+        first = first | ~like.eqNullSafe(F.lag(like).over(window))
+    rows = rows.repartition(*run).withColumn("_first", first).sortWithinPartitions(*run, *order)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last row kept, which the next one may still replace
+        for batch in batches:
+            both = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            good, n, bits, starts = (both[c].tolist() for c in ("_good", "_n", "bits", "_first"))
+            keep, last = [True] * len(both), 0
+            for i in range(1, len(both)):
+                if not starts[i]:
+                    better = good[i] and not good[last]
+                    if not better and n[i] > n[last]:
+                        better = bits[i] >= (slack * bits[last] if n[last] == 0 else bits[last])
+                    keep[last if better else i] = False
+                    if not better:
+                        continue
+                last = i
+            held = both.iloc[[last]]
+            keep[last] = False
+            yield both[keep][names]
+        if held is not None:
+            yield held[names]
+
+    kept = rows.mapInPandas(walk, hits.schema)
+    top = F.min(F.struct("rank", "hit_id")).over(Window.partitionBy("seq_id", "db"))
+    rank = F.when((F.col("_top.rank") > 1) & (F.col("_top.hit_id") == F.col("hit_id")), 1).otherwise(F.col("rank"))
+    return kept.withColumn("_top", top).withColumn("rank", rank).select(*names)
 
 
 def merge_hits(hits: DataFrame, top: int = TOP_RANK) -> DataFrame:

@@ -6,7 +6,7 @@ sum-of-pairs follow from the counts of letters, not from pairs of members.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Score of a gap against a letter; clusters above this size with gaps are not summed over pairs.
@@ -25,12 +25,65 @@ def letter_counts(members: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", (F.col("pos") + 1).alias("pos"), "letter").agg(F.count(F.lit(1)).alias("n"))
 
 
-def consensus(counts: DataFrame) -> DataFrame:
-    """cluster and the most frequent letter of each column, gaps left aside; of equal counts the first in the alphabet.
-    A column of gaps alone is ``-``."""
-    real = ~F.col("letter").isin("-", "~")
-    best = counts.groupBy("cluster", "pos").agg(F.max_by(F.when(real, F.col("letter")).otherwise(F.lit("-")), F.struct(real, F.col("n"), (-F.ascii("letter")).alias("a"))).alias("letter"))
-    return best.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("consensus"))
+def consensus(counts: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
+    """cluster and the consensus of its columns. A column with fewer than two letters is a gap. A letter that is more
+    frequent than anything else is taken; where gaps are the most frequent, the second is, if it leads the third. Else that
+    one is which has most other letters in the column with a positive score beside it; of these, or without a ``matrix``
+    (a, b, score for a <= b), the most frequent. Equal counts go by the alphabet, gaps last."""
+    gap = F.col("letter").isin("-", "~")
+    rows = counts.groupBy("cluster", "pos", F.when(gap, "-").otherwise(F.col("letter")).alias("letter")).agg(F.sum("n").alias("n"))
+    one = F.struct((-F.col("n")).alias("n"), (F.col("letter") == "-").alias("gap"), "letter")
+    rows = rows.groupBy("cluster", "pos").agg(F.sort_array(F.collect_list(one)).alias("_c"))  # as many as there are letters
+    related = [r.a + r.b for r in matrix.where("score > 0 AND a <> b").select("a", "b").distinct().collect()] if matrix is not None else []
+    known = F.array(*[F.lit(x) for x in related]) if related else F.array().cast("array<string>")
+    at, size = lambda i: F.get("_c", F.lit(i)), F.size("_c")
+    letters = F.aggregate("_c", F.lit(0).cast("long"), lambda n, x: n + F.when(x["gap"], 0).otherwise(-x["n"]))
+    friends = lambda x: F.size(F.filter("_c", lambda y: F.array_contains(known, F.concat(F.least(x["letter"], y["letter"]), F.greatest(x["letter"], y["letter"])))))
+    counted = F.transform("_c", lambda x, i: F.struct((-friends(x)).alias("f"), i.alias("i"), x["letter"].alias("letter")))
+    leads = lambda i: at(i)["n"] < F.coalesce(at(i + 1)["n"], F.lit(0))
+    pick = F.when(letters <= 1, "-").when((size == 1) | (leads(0) & ~at(0)["gap"]), at(0)["letter"]).when(at(0)["gap"] & leads(1), at(1)["letter"]).otherwise(F.array_min(counted)["letter"])
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "")
+    return rows.select("cluster", "pos", pick.alias("letter")).groupBy("cluster").agg(text.alias("consensus"))
+
+
+#: Gaps in a row above which a cut is made, letters in a row that end the search before any gap, and letters
+#: outside long gaps that end it after one.
+LONG_GAP, LETTERS, SKIPS = 10, 4, 3
+
+
+def trim_start(text: Column) -> Column:
+    """Characters of a gapped text to leave out at its start: up to the last run of letters behind a long gap that is found
+    before the search ends. Five letters before any gap end it; after one, the fourth letter that is not the first behind a
+    long gap does."""
+    runs = F.regexp_extract_all(text, F.lit("-+|[^-]+"), F.lit(0))
+
+    def step(s: Column, run: Column) -> Column:
+        size, gap = F.length(run), run.startswith("-")
+        cut = s["seen"] & (s["gap"] > LONG_GAP)
+        skips = s["skips"] + F.when(gap | ~s["seen"], 0).otherwise(size - F.when(cut, 1).otherwise(0))
+        after = F.struct(
+            (s["at"] + size).alias("at"), F.when(gap, size).otherwise(0).alias("gap"), (s["seen"] | gap).alias("seen"), skips.cast("int").alias("skips"),
+            F.when(~gap & cut, s["at"]).otherwise(s["trim"]).alias("trim"), (~gap & F.when(s["seen"], skips > SKIPS).otherwise(size > LETTERS)).alias("done"),
+        )
+        return F.when(s["done"], s).otherwise(after)
+
+    zero = F.lit(0)
+    begin = F.struct(zero.alias("at"), zero.alias("gap"), F.lit(False).alias("seen"), zero.alias("skips"), zero.alias("trim"), F.lit(False).alias("done"))
+    return F.aggregate(runs, begin, step, lambda s: s["trim"])
+
+
+def trimmed(rows: DataFrame, text: str = "consensus") -> DataFrame:
+    """Adds ``first`` and ``end``: of a gapped text, what is shown are the characters from ``first`` (from 0) up to ``end``.
+    The end is found as the start of the reversed text is; the letter where that cut falls goes as well, and a cut at the
+    very first character is none. A null text has nulls; an empty one 0 and 0."""
+    back = trim_start(F.reverse(text))
+    end = F.when((back > 0) & (back < F.length(text) - 1), F.length(text) - 1 - back).otherwise(F.length(text))
+    # where the last run of the reversed text is the first character alone, the cut before it, if any, holds
+    alone = F.length(F.regexp_extract(F.reverse(text), "^(.*[^-])?-+[^-]$", 1))
+    short = F.reverse(F.substring(F.reverse(text), F.lit(1), alone))
+    inner = trim_start(F.reverse(short))
+    end = F.when(back == F.length(text) - 1, F.when((inner > 0) & (F.length(text) > 1), F.length(text) - 1 - inner).otherwise(F.length(text))).otherwise(end)
+    return rows.withColumns({"first": trim_start(F.col(text)), "end": end})
 
 
 def sum_of_pairs(counts: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -71,12 +124,6 @@ def length_sd(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster").agg(F.coalesce(F.stddev_samp(F.length(F.replace("aligned", F.lit("-"), F.lit("")))), F.lit(0.0)).alias("sd_len"))
 
 
-def trim_bounds(counts: DataFrame, share: float = 0.5) -> DataFrame:
-    """cluster, first and last column in which at least ``share`` of the members have a letter."""
-    rows = counts.groupBy("cluster", "pos").agg((F.sum(F.when(F.col("letter").isin("-", "~"), 0).otherwise(F.col("n"))) / F.sum("n")).alias("_f"))
-    return rows.where(F.col("_f") >= share).groupBy("cluster").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-
-
 def snps(bases: DataFrame, error: float = 0.01, least: int = 2, threshold: float = 0.001) -> DataFrame:
     """contig, pos, base, n, depth of variants: a base other than the most frequent, seen ``least`` times or more, whose
     count is unlikely among ``depth`` reads with an error of error/3 (upper tail of the binomial). ``bases`` has contig,

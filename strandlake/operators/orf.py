@@ -1,77 +1,19 @@
-"""Open reading frames: candidates in six frames, codon and Markov scores, and the choice of one per sequence.
-
-Candidates come from one pass over each sequence in an Arrow batch and are then ordinary rows: pruning, scoring and the
-choice are joins, groups and windows. Positions are from 1 on the strand of the frame.
-"""
+"""Scores of reading frames: codon usage, k-mers by phase, and the Markov scores that they train."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequences as Q
 
-#: Distances below which a nearer start is dropped (inside and at the start), differences of log length
-#: and log Markov score that decide, the log frequency of a stop codon, thresholds of a good and of a great hit.
-CLOSE_STARTS, CLOSE_FIRST = 30, 120
+#: Differences of log length and log Markov score that decide, the log frequency of a stop codon, thresholds
+#: of a good and of a great hit.
 LENGTH_GAP, MARKOV_GAP = 0.4, 0.3
 STOP_SCORE = -20.0
 GOOD_EVALUE, GOOD_SIM, GREAT_COVERAGE, GREAT_SIM = 1e-10, 20, 95, 60
 ORDER = 5
 
-SCHEMA = "seq_id long, frame int, start int, end int, kind string, has_start boolean, has_stop boolean"
-_COMPLEMENT = str.maketrans("ACGT", "TGCA")
-_STOP = re.compile("TAA|TAG|TGA")
-
-
-def frame_candidates(seq: str, frame: int, least: int) -> Iterator[tuple]:
-    """(frame, start, end, kind, has_start, has_stop) of a frame: from each stretch between stops, the stretch from its
-    first ATG and the open stretch itself; end includes the stop."""
-    strand = (seq.translate(_COMPLEMENT)[::-1] if frame < 0 else seq)[abs(frame) - 1 :]
-    codons = [strand[i : i + 3] for i in range(0, len(strand) - 2, 3)]
-    first, offset = 0, abs(frame) - 1
-    stops = [i for i, c in enumerate(codons) if _STOP.fullmatch(c)]
-    for stop in [*stops, None]:
-        last = len(codons) if stop is None else stop + 1
-        atg = next((i for i in range(first, last) if codons[i] == "ATG"), None)
-        tail = "end" if stop is None else "stop"
-        found = [(first, f"{'start' if first == 0 else 'stop'}-{tail}")] + ([(atg, f"atg-{tail}")] if atg is not None else [])
-        for at, kind in found:
-            if 3 * (last - at) >= least:
-                yield frame, offset + 3 * at + 1, offset + 3 * last, kind, codons[at] == "ATG", stop is not None
-        first = last
-
-
-def candidates(sequences: DataFrame, least: int = 30) -> DataFrame:
-    """Candidates of all six frames of seq_id, seq; null and short sequences have none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(i, *c) for i, seq in zip(batch["seq_id"], batch["seq"], strict=True) if seq for f in (1, 2, 3, -1, -2, -3) for c in frame_candidates(seq.upper(), f, least)]
-            yield pd.DataFrame(out, columns=["seq_id", "frame", "start", "end", "kind", "has_start", "has_stop"])
-
-    return sequences.select("seq_id", "seq").mapInPandas(run, SCHEMA)
-
-
-def without_close_starts(rows: DataFrame) -> DataFrame:
-    """Of candidates with one end in a frame, those whose start follows the one before by less than CLOSE_STARTS go, and
-    by less than CLOSE_FIRST where that one runs from the edge of the sequence."""
-    before = Window.partitionBy("seq_id", "frame", "end").orderBy("start", "kind")
-    last, kind = F.lag("start").over(before), F.lag("kind").over(before)
-    gap = F.when(kind.startswith("start"), CLOSE_FIRST).otherwise(CLOSE_STARTS)
-    return rows.withColumn("_drop", F.coalesce((F.col("start") - last) < gap, F.lit(False)) & ~F.col("has_start")).where("NOT _drop").drop("_drop")
-
-
-def orf_text(rows: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Adds ``orf``, the letters of each candidate on its strand."""
-    both = rows.join(sequences.select("seq_id", "seq"), "seq_id")
-    strand = F.upper(F.when(F.col("frame") < 0, Q.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
-    return both.withColumn("orf", Q.region(strand, F.col("start"), F.col("end"))).drop("seq")
-
 
 def codon_scores(training: DataFrame) -> DataFrame:
     """codon, n, score of training texts (column orf): the log frequency, STOP_SCORE for stops; codons never seen have
@@ -111,59 +53,3 @@ def base_frequencies(sequences: DataFrame, text: str = "seq") -> DataFrame:
     total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
     at, gc = (F.col("A") + F.col("T")) / 2 / total, (F.col("G") + F.col("C")) / 2 / total
     return n.select(F.explode(F.array(*[F.struct(F.lit(x).alias("letter"), (at if x in "AT" else gc).alias("freq")) for x in "ACGT"])).alias("_b")).select("_b.letter", "_b.freq")
-
-
-def scored(rows: DataFrame, scores: DataFrame, k: int = ORDER + 1) -> DataFrame:
-    """Adds ``markov``, the sum of the scores of the k-mers of ``orf`` by phase; k-mers without a score add nothing.
-    The table of scores has at most 3 * 4**k rows."""
-    upper = F.upper("orf")
-    places = F.when(F.length(upper) >= k, F.sequence(F.lit(1), F.length(upper) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    keys = rows.select("seq_id", "frame", "start", "end", "kind", upper.alias("_t"), F.explode(places).alias("_i"))
-    keys = keys.select("seq_id", "frame", "start", "end", "kind", F.expr(f"substring(_t, _i, {k})").alias("kmer"), ((F.col("_i") + k - 2) % 3).cast("int").alias("phase"))
-    sums = keys.join(scores, ["kmer", "phase"]).groupBy("seq_id", "frame", "start", "end", "kind").agg(F.sum("score").alias("markov"))
-    return rows.join(sums, ["seq_id", "frame", "start", "end", "kind"], "left").fillna(0.0, ["markov"])
-
-
-def hit_quality(hits: DataFrame, least_seq: float = 0, least_hit: float = 0) -> DataFrame:
-    """Adds good_hit and great_hit by e-value, similarity and coverage."""
-    good = ((F.col("evalue") <= GOOD_EVALUE) | (F.col("sim") >= GOOD_SIM)) & (F.col("seq_cov") >= least_seq) & (F.col("hit_cov") >= least_hit)
-    return hits.withColumn("good_hit", good).withColumn("great_hit", (F.col("hit_cov") >= GREAT_COVERAGE) & (F.col("sim") >= GREAT_SIM))
-
-
-def best_orf(rows: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """One candidate per sequence, with the rule that chose it. In turn: in the frame of a good hit; longest, if its log
-    length leads by LENGTH_GAP; best Markov score, if it leads the longest's by MARKOV_GAP on a log scale; with both ends;
-    else the longest. Ties go to a start codon, then to frame 1, 2, 3, -1, -2, -3 and the earlier start.
-
-    ``rows`` has markov; ``hits`` has seq_id, frame, good_hit (one row per sequence)."""
-    place = F.when(F.col("frame") > 0, F.col("frame")).otherwise(3 - F.col("frame"))
-    rows = rows.withColumns({"len": F.col("end") - F.col("start") + 1, "_p": place})
-    if hits is not None:
-        rows = rows.join(hits.where("good_hit").select("seq_id", F.col("frame").alias("_hf")), "seq_id", "left").withColumn("_hit", F.coalesce(F.col("frame") == F.col("_hf"), F.lit(False))).drop("_hf")
-    else:
-        rows = rows.withColumn("_hit", F.lit(False))
-    by = Window.partitionBy("seq_id")
-    rows = rows.withColumn("_any", F.max("_hit").over(by)).where("_hit OR NOT _any")
-    ties = [F.desc("has_start"), F.asc("_p"), F.asc("start"), F.asc("kind")]
-    rows = rows.withColumn("_l", F.row_number().over(by.orderBy(F.desc("len"), *ties))).withColumn("_k", F.row_number().over(by.orderBy(F.desc("markov"), F.desc("len"), *ties)))
-    rows = rows.withColumn("_b", F.row_number().over(by.orderBy(F.desc(F.col("has_start") & F.col("has_stop")), F.desc("len"), *ties)))
-    log_len = lambda n: F.max(F.when(F.col("_l") == n, F.log("len"))).over(by)
-    score = lambda c: F.max(F.when(F.col(c) == 1, F.log(F.greatest("markov", F.lit(1e-9))))).over(by)
-    both = F.max(F.col("has_start") & F.col("has_stop")).over(by)
-    rule = (
-        F.when(F.col("_any"), "hit")
-        .when(F.coalesce(log_len(1) - log_len(2) > LENGTH_GAP, F.lit(True)), "length")
-        .when(score("_k") - score("_l") > MARKOV_GAP, "markov").when(both, "ends").otherwise("default")
-    )
-    rows = rows.withColumn("rule", rule)
-    pick = F.when(F.col("rule") == "markov", F.col("_k")).when(F.col("rule") == "ends", F.col("_b")).otherwise(F.col("_l"))
-    return rows.where(pick == 1).select("seq_id", "frame", "start", "end", "len", "kind", "has_start", "has_stop", "markov", "rule")
-
-
-def training_set(orfs: DataFrame, most: int = 2000, most_bases: int = 10**6) -> DataFrame:
-    """The longest ORFs with a sequence of their own, until there are ``most`` of them or ``most_bases`` letters. Equal
-    texts count once. The result is bounded by its parameters, so one window over ``most`` rows ends it."""
-    once = orfs.groupBy("orf").agg(F.min("seq_id").alias("seq_id")).withColumn("len", F.length("orf"))
-    top = once.orderBy(F.desc("len"), "seq_id").limit(most)
-    run = F.sum("len").over(Window.orderBy(F.desc("len"), "seq_id"))
-    return top.withColumn("_run", run).where(F.col("_run") - F.col("len") < most_bases).drop("_run")

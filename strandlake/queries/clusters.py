@@ -98,14 +98,33 @@ def aligned_members(spark, sf):
 
 
 def consensus(spark, sf):
+    """Transitions count as related letters."""
+    matrix = spark.createDataFrame([("A", "G", 1.0), ("C", "T", 1.0), ("A", "C", -1.0)], "a string, b string, score double")
+    return M.consensus(M.letter_counts(aligned_members(spark, sf)), matrix)
+
+
+def consensus_nt(spark, sf):
     return M.consensus(M.letter_counts(aligned_members(spark, sf)))
 
 
+def gapped(spark, sf):
+    """Turns with consonants as gaps and words further apart in later turns, at times with a gap before and behind."""
+    text = F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), "[^aeiou ]", "-")
+    wide = F.replace(text, F.lit(" "), F.repeat(F.lit("-"), F.col("turn") * 2))
+    edge = F.repeat(F.lit("-"), (F.col("conv_id") % 17).cast("int"))
+    rows = R.read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("conv_id") % 3 == 0, "aa").otherwise(""), edge, wide, edge, F.when(F.col("conv_id") % 4 == 0, "e").otherwise("")).alias("consensus"))
+    return rows.groupBy("conv_id", "turn").agg(F.min("consensus").alias("consensus"))
+
+
+def trim(spark, sf):
+    return M.trimmed(gapped(spark, sf)).drop("consensus")
+
+
 def msa_scores(spark, sf):
     members = aligned_members(spark, sf)
     counts = M.letter_counts(members)
     matrix = spark.createDataFrame([(a, b, 4.0 if a == b else -1.0) for a in "ACGT" for b in "ACGT" if a <= b], "a string, b string, score double")
-    rows = M.sum_of_pairs(counts, matrix).join(M.length_sd(members), "cluster").join(M.trim_bounds(counts), "cluster")
+    rows = M.sum_of_pairs(counts, matrix).join(M.length_sd(members), "cluster")
     return rounded(rows, "sum_of_pairs", "sd_len")
 
 
@@ -125,6 +144,17 @@ aligned AS (SELECT cluster, member, translate(rpad(text, CAST(max(len(text)) OVE
 chars AS (SELECT cluster, member, i AS pos, CASE WHEN t[i] = '-' AND (i <= len(t) - len(ltrim(t, '-')) OR i > len(rtrim(t, '-'))) THEN '~' ELSE t[i] END AS letter FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM aligned)),
 lc AS (SELECT cluster, pos, letter, count(*) AS n FROM chars GROUP BY ALL)"""
 
+
+
+def consensus_sql(related: str) -> str:
+    """Columns as lists of (n, letter) in order; ``related`` switches the relation of letters on."""
+    return f"""g AS (SELECT cluster, pos, CASE WHEN letter IN ('-', '~') THEN '-' ELSE letter END AS l, CAST(sum(n) AS BIGINT) AS n FROM lc GROUP BY ALL),
+        c AS (SELECT cluster, pos, list(n ORDER BY n DESC, l = '-', l) AS ns, list(l ORDER BY n DESC, l = '-', l) AS ls, coalesce(sum(n) FILTER (l <> '-'), 0) AS letters FROM g GROUP BY ALL),
+        r AS (SELECT *, list_transform(ls, lambda x: len(list_filter(ls, lambda y: {related} AND x || y IN ('AG', 'GA', 'CT', 'TC')))) AS f FROM c),
+        p AS (SELECT cluster, pos, CASE WHEN letters <= 1 THEN '-' WHEN len(ls) = 1 OR (ns[1] > ns[2] AND ls[1] <> '-') THEN ls[1] WHEN ls[1] = '-' AND (len(ls) = 2 OR ns[2] > ns[3]) THEN ls[2] ELSE ls[list_position(f, list_max(f))] END AS l FROM r)
+        SELECT cluster, string_agg(l, '' ORDER BY pos) AS consensus FROM p GROUP BY 1"""
+
+
 QUERIES = {
     "c01_edge_filter": (edge_filter, f"WITH {PAIRS_SQL} SELECT seq1, seq2 FROM pairs WHERE floor(sim + 0.5) >= 70 AND cov1 >= 60 AND cov2 >= 60"),
     "c01_edge_filter_truncated": (edge_filter_truncated, f"WITH {PAIRS_SQL} SELECT seq1, seq2 FROM pairs WHERE floor(sim + 0.6) >= 71 AND (cov1 >= 60 OR cov2 >= 60)"),
@@ -154,14 +184,23 @@ QUERIES = {
         SELECT cluster, CAST(floor(100 * avg(CASE WHEN pcc >= 0.1 THEN 1.0 WHEN pcc < 0.1 THEN 0 END)) AS INT) AS pcc_percent, round(min(pcc), 6) AS min_pcc FROM (SELECT DISTINCT cluster FROM members) LEFT JOIN c USING (cluster) GROUP BY 1"""),
     "a08_size_histogram": (size_histogram, f"""WITH {MEMBERS_SQL}, s AS (SELECT cluster, count(*) AS n FROM members GROUP BY 1) SELECT 'user' AS method, count(*) FILTER (n = 2) AS size_2, count(*) FILTER (n = 3) AS size_3, count(*) FILTER (n BETWEEN 4 AND 5) AS size_4,
         count(*) FILTER (n BETWEEN 6 AND 10) AS size_6, count(*) FILTER (n BETWEEN 11 AND 20) AS size_11, count(*) FILTER (n >= 21) AS size_21, count(*) AS n_clusters, round(avg(n), 6) AS mean_size, round(stddev_pop(n), 6) AS sd_size FROM s"""),
-    "m02_consensus": (consensus, f"""WITH {ALIGNED_SQL}, b AS (SELECT cluster, pos, first(CASE WHEN letter IN ('-', '~') THEN '-' ELSE letter END ORDER BY letter IN ('-', '~'), n DESC, letter) AS l FROM lc GROUP BY ALL)
-        SELECT cluster, string_agg(l, '' ORDER BY pos) AS consensus FROM b GROUP BY 1"""),
-    "m03_m06_m07_msa_scores": (msa_scores, f"""WITH {ALIGNED_SQL}, k AS (SELECT x.cluster, x.pos, x.letter AS a, y.letter AS b, CASE WHEN x.letter = '-' AND y.letter = '-' THEN 0 WHEN x.letter = '-' OR y.letter = '-' THEN -4 WHEN x.letter = y.letter THEN 4 ELSE -1 END AS s
+    "m02_consensus": (consensus, f"WITH {ALIGNED_SQL}, {consensus_sql('true')}"),
+    "m02_consensus_nt": (consensus_nt, f"WITH {ALIGNED_SQL}, {consensus_sql('false')}"),
+    "m07_trim": (trim, f"""WITH RECURSIVE t AS (SELECT conv_id, turn, min(CASE WHEN conv_id % 3 = 0 THEN 'aa' ELSE '' END || repeat('-', CAST(conv_id % 17 AS BIGINT))
+          || replace(regexp_replace(regexp_replace(lower(text), '[^a-z ]', '', 'g'), '[^aeiou ]', '-', 'g'), ' ', repeat('-', turn * 2)) || repeat('-', CAST(conv_id % 17 AS BIGINT)) || CASE WHEN conv_id % 4 = 0 THEN 'e' ELSE '' END) AS t FROM conversations GROUP BY ALL),
+        way AS (SELECT conv_id, turn, 1 AS d, t AS s, len(t) AS size FROM t UNION ALL SELECT conv_id, turn, -1, reverse(t), len(t) FROM t),
+        w AS (SELECT conv_id, turn, d, s, size, 0 AS i, 0 AS gaps, 0 AS chars, 0 AS skips, false AS ingap, CASE WHEN d = 1 THEN 0 ELSE size END AS cut, false AS done FROM way UNION ALL
+          SELECT conv_id, turn, d, s, size, i + 1, CASE WHEN letter THEN CASE WHEN ingap THEN 0 ELSE gaps END ELSE gaps + 1 END, CASE WHEN letter THEN CASE WHEN ingap THEN 1 ELSE chars + 1 END ELSE chars END,
+            CASE WHEN letter AND ingap AND gaps <= 10 THEN skips + 1 ELSE skips END, ingap OR NOT letter, CASE WHEN letter AND ingap AND gaps > 10 THEN CASE WHEN d = 1 THEN i ELSE size - 1 - i END ELSE cut END,
+            letter AND CASE WHEN ingap THEN CASE WHEN gaps <= 10 THEN skips + 1 ELSE skips END > 3 ELSE chars + 1 > 4 END
+          FROM (SELECT *, s[i + 1] <> '-' AS letter FROM w WHERE NOT done AND i < CASE WHEN d = 1 THEN size ELSE size - 1 END)),
+        e AS (SELECT conv_id, turn, d, arg_max(cut, i) AS cut FROM w GROUP BY ALL)
+        SELECT conv_id, turn, CAST(max(cut) FILTER (d = 1) AS INT) AS first, CAST(max(cut) FILTER (d = -1) AS INT) AS "end" FROM e GROUP BY ALL"""),
+    "m03_m06_msa_scores": (msa_scores, f"""WITH {ALIGNED_SQL}, k AS (SELECT x.cluster, x.pos, x.letter AS a, y.letter AS b, CASE WHEN x.letter = '-' AND y.letter = '-' THEN 0 WHEN x.letter = '-' OR y.letter = '-' THEN -4 WHEN x.letter = y.letter THEN 4 ELSE -1 END AS s
           FROM chars x JOIN chars y ON x.cluster = y.cluster AND x.pos = y.pos AND x.member < y.member WHERE x.letter <> '~' AND y.letter <> '~'),
         z AS (SELECT cluster, count(DISTINCT member) AS m, count(DISTINCT pos) AS c FROM chars GROUP BY 1), s AS (SELECT cluster, sum(s) AS s FROM k GROUP BY 1),
-        l AS (SELECT cluster, coalesce(stddev_samp(len(replace(t, '-', ''))), 0) AS sd FROM aligned GROUP BY 1),
-        f AS (SELECT cluster, pos FROM lc GROUP BY ALL HAVING sum(CASE WHEN letter IN ('-', '~') THEN 0 ELSE n END) / sum(n) >= 0.5), t AS (SELECT cluster, min(pos) AS a, max(pos) AS b FROM f GROUP BY 1)
-        SELECT cluster, round(s / (m * (m - 1) / 2 * c), 6) AS sum_of_pairs, round(sd, 6) AS sd_len, CAST(a AS INT) AS first, CAST(b AS INT) AS last FROM z JOIN s USING (cluster) JOIN l USING (cluster) JOIN t USING (cluster) WHERE m > 1"""),
+        l AS (SELECT cluster, coalesce(stddev_samp(len(replace(t, '-', ''))), 0) AS sd FROM aligned GROUP BY 1)
+        SELECT cluster, round(s / (m * (m - 1) / 2 * c), 6) AS sum_of_pairs, round(sd, 6) AS sd_len FROM z JOIN s USING (cluster) JOIN l USING (cluster) WHERE m > 1"""),
     "m04_entropy": (entropy, f"""WITH {ALIGNED_SQL}, ch AS (SELECT cluster, member, pos, CASE letter WHEN '~' THEN '-' ELSE letter END AS letter FROM chars), g AS (SELECT cluster, pos, letter, count(*) AS n FROM ch GROUP BY ALL), c AS (SELECT *, count(*) OVER (PARTITION BY cluster, pos) AS k FROM g),
         w AS (SELECT cluster, member, avg(1 / (n * k)) AS w FROM ch JOIN c USING (cluster, pos, letter) GROUP BY ALL), p AS (SELECT cluster, pos, letter, sum(w) AS p FROM ch JOIN w USING (cluster, member) GROUP BY ALL),
         h AS (SELECT cluster, pos, -sum(p * ln(p)) AS h FROM p GROUP BY ALL), z AS (SELECT cluster, ln(least(count(*), 21)) AS s FROM aligned GROUP BY 1)

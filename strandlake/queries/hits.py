@@ -39,10 +39,22 @@ def unique_hit_counts(spark, sf):
     return H.unique_hit_counts(R.flagged(spark, sf).withColumn("hit_id", F.col("l_partkey")))
 
 
+def crowded_hits(spark, sf):
+    """Hits of sixteen orders as those of one sequence, with up to four terms each, ranked anew."""
+    rows = H.rank_per_database(R.hits(spark, sf).withColumn("seq_id", F.floor(F.col("seq_id") / 16)))
+    rows = rows.join(R.details(spark, sf).withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    return rows.withColumn("go", F.array_repeat(F.lit(1), (F.col("l_partkey") % 5).cast("int")))
+
+
 def prune_hits(spark, sf):
-    rows = H.rank_per_database(R.hits(spark, sf)).join(R.details(spark, sf).withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
-    go = F.when(F.col("l_partkey") % 4 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return H.prune(rows.withColumn("go", go)).select("seq_id", "hit_id", "db", "rank")
+    return H.prune(crowded_hits(spark, sf)).select("seq_id", "hit_id", "db", "rank")
+
+
+def prune_alignments(spark, sf):
+    """Places are cut to tens, so that alignments repeat."""
+    tens = lambda c: (F.floor(F.col(c) / 10) * 10).cast("int")
+    rows = crowded_hits(spark, sf).withColumns({"bits": F.floor(F.col("bits") / 300) * 300.0, "evalue": F.round("evalue", 1), "sim": F.lit(50.0), "seq_start": tens("seq_start"), "seq_end": tens("seq_end")})
+    return H.prune(rows, by="alignment").select("seq_id", "hit_id", "db", "rank")
 
 
 def merge_hits(spark, sf):
@@ -93,6 +105,22 @@ def description_forms(spark, sf):
     return rows.select("p_partkey", D.is_good(F.col("description")).alias("good"), D.unique_form(F.col("description")).alias("uniq"), D.species(F.col("species")).alias("species2"), D.brief(F.col("description")).alias("brief"), D.database_label(F.col("dbtype"), F.col("taxonomy")).alias("label"), D.go_id(F.col("p_partkey")).alias("go_id"))
 
 
+def prune_sql(bits: str, evalue: str, sim: str, start: str, end: str, alignment: bool) -> str:
+    """The walk over neighbours, a step for each row; the last one kept is carried along."""
+    same = "x.bits = p.bits AND x.evalue = p.evalue AND x.sim = p.sim AND x.a = p.a AND x.b = p.b" if alignment else "true"
+    return f"""{DETAIL_SQL}, {HITS_SQL}, c AS (SELECT * REPLACE (seq_id // 16 AS seq_id) FROM hits), k AS (SELECT *, row_number() OVER (PARTITION BY seq_id, db ORDER BY bits DESC, evalue, hit_id) AS rank FROM c),
+        m AS (SELECT k.seq_id, k.db, hit_id, k.rank, {bits} AS bits, {evalue} AS evalue, {sim} AS sim, {start} AS a, {end} AS b, description AS d, good, k.l_partkey % 5 AS go FROM k JOIN detail ON p_partkey = k.l_partkey),
+        n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_id, db ORDER BY d, bits DESC, evalue, sim DESC, rank, hit_id) AS n FROM m),
+        w AS (SELECT seq_id, db, n, n AS last, CAST(NULL AS BIGINT) AS gone FROM n WHERE n = 1 UNION ALL
+          SELECT seq_id, db, n, CASE WHEN fresh OR better THEN n ELSE last END, CASE WHEN fresh THEN NULL WHEN better THEN last ELSE n END FROM (
+            SELECT x.seq_id, x.db, x.n, w.last, x.d <> l.d OR NOT ({same}) AS fresh,
+              (x.good AND NOT l.good) OR (CASE WHEN x.go > 0 AND l.go = 0 THEN x.bits >= 0.7 * l.bits WHEN x.go > l.go THEN x.bits >= l.bits ELSE false END) AS better
+            FROM w JOIN n x ON x.seq_id = w.seq_id AND x.db = w.db AND x.n = w.n + 1 JOIN n p ON p.seq_id = w.seq_id AND p.db = w.db AND p.n = w.n JOIN n l ON l.seq_id = w.seq_id AND l.db = w.db AND l.n = w.last)),
+        kept AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.seq_id = n.seq_id AND w.db = n.db AND w.gone = n.n)),
+        top AS (SELECT *, row_number() OVER (PARTITION BY seq_id, db ORDER BY rank, hit_id) AS t FROM kept)
+        SELECT seq_id, hit_id, db, CASE WHEN t = 1 THEN 1 ELSE rank END AS rank FROM top"""
+
+
 COUNT3 = "CAST(sum(CAST(best_bits AS INT)) AS BIGINT) AS n_best_bits, CAST(sum(CAST(best_anno AS INT)) AS BIGINT) AS n_best_anno"
 
 QUERIES = {
@@ -108,9 +136,8 @@ QUERIES = {
     "a04_database_counts": (database_counts, f"""WITH {FLAGGED_SQL}, one AS (SELECT seq_id, min(db) AS db FROM flagged GROUP BY 1 HAVING min(db) = max(db)), n AS (SELECT db, count(*) AS n_only FROM one GROUP BY 1)
         SELECT db, count(*) AS n_hits, {COUNT3}, coalesce(any_value(n_only), 0) AS n_only FROM flagged LEFT JOIN n USING (db) GROUP BY 1"""),
     "a05_unique_hit_counts": (unique_hit_counts, f"WITH {FLAGGED_SQL} SELECT l_partkey AS hit_id, count(DISTINCT seq_id) AS n_seqs, CAST(sum(CAST(best_bits AS INT)) AS BIGINT) AS n_best, min(evalue) AS best_evalue FROM flagged GROUP BY 1"),
-    "w07_prune_hits": (prune_hits, f"""WITH {DETAIL_SQL}, {HITS_SQL}, x AS (SELECT h.*, d.description, max(bits) OVER (PARTITION BY seq_id, db, description) AS top FROM hits h JOIN detail d ON d.p_partkey = h.l_partkey),
-        y AS (SELECT *, row_number() OVER (PARTITION BY seq_id, db, description ORDER BY (l_partkey % 4 = 0 AND bits >= 0.7 * top) DESC, bits DESC, evalue, hit_id) AS n FROM x)
-        SELECT seq_id, hit_id, db, row_number() OVER (PARTITION BY seq_id, db ORDER BY bits DESC, evalue, hit_id) AS rank FROM y WHERE n = 1"""),
+    "w07_prune_hits": (prune_hits, f"WITH RECURSIVE {prune_sql('bits', 'evalue', 'sim', 'seq_start', 'seq_end', False)}"),
+    "w07_prune_alignments": (prune_alignments, f"WITH RECURSIVE {prune_sql('floor(bits / 300) * 300', 'round(evalue, 1)', '50', 'seq_start // 10', 'seq_end // 10', True)}"),
     "w08_merge_hits": (merge_hits, f"WITH {FLAGGED_SQL} SELECT seq_id, hit_id FROM flagged WHERE rank <= 1 OR best_bits OR best_anno"),
     "j06_shared_hit": (shared_hit, f"""WITH {HITS_SQL}, h AS (SELECT l_partkey AS seq_id, seq_id AS hit_id, max(bits) AS bits FROM hits GROUP BY l_partkey, hits.seq_id)
         SELECT a.seq_id AS seq1, b.seq_id AS seq2, first(hit_id ORDER BY a.bits + b.bits DESC, hit_id) AS hit_id FROM h a JOIN h b USING (hit_id) WHERE a.seq_id < b.seq_id GROUP BY ALL"""),

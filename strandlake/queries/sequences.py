@@ -57,19 +57,7 @@ def kmers(spark, sf):
 
 def markov(spark, sf):
     rows = dna(spark, sf)
-    return rounded(O.markov_scores(rows, O.base_frequencies(rows), k=3, text="seq"), "score")
-
-
-def orf_candidates(spark, sf):
-    rows = O.without_close_starts(O.candidates(dna(spark, sf), 60))
-    return rows.select("seq_id", "frame", "start", "end", "kind")
-
-
-def best_orfs(spark, sf):
-    seqs = dna(spark, sf)
-    rows = O.orf_text(O.candidates(seqs, 45), seqs)
-    scores = O.markov_scores(O.training_set(rows.where("kind = 'atg-stop'")), O.base_frequencies(seqs), k=3)
-    return rounded(O.best_orf(O.scored(rows, scores, k=3)), "markov")
+    return rounded(O.markov_scores(rows, O.base_frequencies(rows), text="seq"), "score")
 
 
 def host_counts(spark, sf):
@@ -100,10 +88,8 @@ QUERIES = {
     "q14_codon_usage": (codon_usage, f"""WITH {DNA_SQL}, {CODON_TABLE}, c AS (SELECT substr(seq, i * 3 + 1, 3) AS codon FROM (SELECT *, unnest(range(0, len(seq) // 3)) AS i FROM dna)), n AS (SELECT codon, aa, count(c.codon) AS n FROM code LEFT JOIN c USING (codon) GROUP BY ALL),
         t AS (SELECT sum(n) AS t, min(n) FILTER (n > 0) AS least FROM n WHERE aa <> '*') SELECT codon, n, round(CASE WHEN aa = '*' THEN -20 WHEN n > 0 THEN ln(n / t) ELSE ln(least / t) - 1 END, 6) AS score FROM n, t"""),
     "q15_kmers": (kmers, f"WITH {DNA_SQL}, k AS (SELECT substr(seq, i, 4) AS kmer, CAST((i + 2) % 3 AS INT) AS phase FROM (SELECT *, unnest(range(1, len(seq) - 2)) AS i FROM dna)) SELECT kmer, phase, count(*) AS n FROM k GROUP BY ALL"),
-    "q15_markov": (markov, f"""WITH {DNA_SQL}, k AS (SELECT substr(seq, i, 3) AS kmer, CAST((i + 1) % 3 AS INT) AS phase, count(*) AS n FROM (SELECT *, unnest(range(1, len(seq) - 1)) AS i FROM dna) GROUP BY ALL), f AS (SELECT * FROM k WHERE regexp_full_match(kmer, '[ACGT]+')),
-        b AS (SELECT sum({count('AT')}) AS n_at, sum({count('GC')}) AS n_gc FROM dna), p AS (SELECT kmer[:2] AS pre, phase, sum(n) AS p FROM f GROUP BY ALL)
-        SELECT kmer, phase, round(ln((n + 1) / (p + 4) / (CASE WHEN kmer[3] IN ('A', 'T') THEN n_at ELSE n_gc END / 2 / (n_at + n_gc))), 6) AS score FROM f JOIN p USING (phase), b WHERE pre = kmer[:2]"""),
-    "q08_q10_orf_candidates": (orf_candidates, None),
-    "q11_q13_q16_best_orfs": (best_orfs, None),
+    "q15_markov": (markov, f"""WITH {DNA_SQL}, k AS (SELECT substr(seq, i, 6) AS kmer, CAST((i + 4) % 3 AS INT) AS phase, count(*) AS n FROM (SELECT *, unnest(range(1, len(seq) - 4)) AS i FROM dna) GROUP BY ALL), f AS (SELECT * FROM k WHERE regexp_full_match(kmer, '[ACGT]+')),
+        b AS (SELECT sum({count('AT')}) AS n_at, sum({count('GC')}) AS n_gc FROM dna), p AS (SELECT kmer[:5] AS pre, phase, sum(n) AS p FROM f GROUP BY ALL)
+        SELECT kmer, phase, round(ln((n + 1) / (p + 4) / (CASE WHEN kmer[6] IN ('A', 'T') THEN n_at ELSE n_gc END / 2 / (n_at + n_gc))), 6) AS score FROM f JOIN p USING (phase), b WHERE pre = kmer[:5]"""),
     "i18_host_counts": (host_counts, "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n, CAST(max(length(html)) AS BIGINT) AS longest FROM pages GROUP BY 1"),
 }

@@ -11,7 +11,7 @@ from strandlake.functions import descriptions as D
 from strandlake.functions import sequences as Q
 from strandlake.functions.logic import in_range, like
 from strandlake.functions.numbers import fold_change, frame_of, ratio, shared_ratio
-from strandlake.operators import alignment, clusters, expression, hits, msa, ontology, orf, pairs, stats
+from strandlake.operators import alignment, clusters, expression, hits, msa, ontology, pairs, stats
 
 
 def one(spark, column, **values):
@@ -191,15 +191,6 @@ def test_cds_scores(spark):
     assert r == "ATG---AAA"
 
 
-def test_orfs(spark):
-    seq = "CC" + "ATG" + "GCA" * 20 + "TAA" + "C"
-    df = spark.createDataFrame([(1, seq), (2, None), (3, "A")], "seq_id long, seq string")
-    rows = orf.candidates(df, 60).collect()
-    assert any((r.frame, r.start, r.end, r.kind) == (3, 3, 68, "start-stop") for r in rows)
-    best = orf.best_orf(orf.candidates(df, 60).withColumn("markov", F.lit(0.0))).first()
-    assert best.seq_id == 1 and best.len >= 66
-
-
 def test_benjamini_hochberg(spark):
     df = spark.createDataFrame([(i, "c", p) for i, p in enumerate([0.01, 0.04, 0.03, 0.5, None])], "seq_id long, contrast string, p double")
     got = {r.seq_id: r.adjusted for r in expression.benjamini_hochberg(df).collect()}
