@@ -234,3 +234,39 @@ def holders(seq_terms: DataFrame, start: DataFrame) -> DataFrame:
     rows = seq_terms.join(start.select("gonum").distinct(), "gonum", "left_semi")
     place = F.row_number().over(Window.partitionBy("gonum").orderBy("evalue", "seq_id"))
     return rows.select(F.col("gonum").alias("start"), "seq_id", "evalue", place.alias("place"))
+
+
+def recounted(seq_terms: DataFrame, values: DataFrame, cutoffs: dict[str, float], how: str = "any", direction: str = "either", least: int = 1) -> DataFrame:
+    """gonum, n_seqs: for each term its sequences that are differentially expressed, terms with fewer than ``least`` left
+    out. A sequence is if its p-value is nearer to 0 than the column's cutoff, in ``any`` or ``all`` of the columns, and of
+    the sign that ``direction`` (up, down, either) asks for. ``values`` has column, seq_id, p; a null p is above any cutoff."""
+    p = F.col("p")
+    sign = {"up": p > 0, "down": p < 0, "either": F.lit(True)}[direction]
+    below = F.lit(False)
+    for column, cutoff in cutoffs.items():
+        below = below | ((F.col("column") == column) & (F.abs(p) < cutoff))
+    enough = 1 if how == "any" else len(cutoffs)
+    chosen = values.where(below & sign).groupBy("seq_id").agg(F.countDistinct("column").alias("_n")).where(F.col("_n") >= enough)
+    rows = seq_terms.select("seq_id", "gonum").distinct().join(chosen.select("seq_id"), "seq_id", "left_semi")
+    return rows.groupBy("gonum").agg(F.count(F.lit(1)).alias("n_seqs")).where(F.col("n_seqs") >= least)
+
+
+#: What an entry of the protein database adds to a hit.
+CROSS_REFERENCES = ("go_list", "interpro", "kegg", "pfam", "ec")
+
+
+def annotated(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """Distinct hits with the cross-references of the entry of their id: go_list, interpro, kegg, pfam, ec; empty texts where
+    an entry has none or there is no entry. ``entries`` has hit_id and these columns, one row for each id (of repeated ones
+    the least row counts)."""
+    columns = [c for c in CROSS_REFERENCES if c in entries.columns]
+    one = entries.groupBy("hit_id").agg(F.min(F.struct(*columns)).alias("_e"))
+    rows = hits.dropDuplicates(["hit_id"]).drop(*columns).join(one, "hit_id", "left")
+    return rows.select(*[c for c in rows.columns if c != "_e"], *[F.coalesce(F.col(f"_e.{c}"), F.lit("")).alias(c) for c in columns])
+
+
+def annotation_counts(hits: DataFrame) -> DataFrame:
+    """kind and n_hits: hits with each kind of cross-reference, in one pass."""
+    columns = [c for c in CROSS_REFERENCES if c in hits.columns]
+    sums = hits.agg(*[F.sum((F.col(c) != "").cast("long")).alias(c) for c in columns])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.coalesce(c, F.lit(0)).alias("n_hits")) for c in columns])).alias("_r")).select("_r.*")

@@ -216,6 +216,39 @@ class ClusterFilter:
         ])
 
 
+@dataclass
+class BestHitFilter:
+    """Sequences by their best hit: ``which`` is bits, anno or go, the prefix of its columns (``bits_evalue`` and so on).
+
+    Limits are (column, <= or >=, value), joined by ``how``; a taxonomy and a type are one limit together. Without limits
+    on e-value, similarity or coverage, the best hit with terms has to be there. All but the sequences without a hit need
+    one; ``databases`` limits the number of databases; ``differ`` asks for best hits that are not the same: ``bits_anno``, or
+    ``go_both`` for one with terms that is neither of the two. ``annotated`` False asks for sequences without a hit, whatever
+    else is set; None for all."""
+
+    which: str = "bits"
+    limits: Sequence[tuple[str, str, float]] = ()
+    taxonomy: str | None = None
+    dbtype: str | None = None
+    how: str = "and"
+    databases: tuple[str, int] | None = None
+    differ: str | None = None
+    annotated: bool | None = True
+
+    def column(self) -> Column | None:
+        if not self.annotated:
+            return None if self.annotated is None else F.col("bits_hit_id").isNull()
+        of = lambda c: F.col(f"{self.which}_{c}")
+        limit = lambda c, op, v: c <= v if op == "<=" else c >= v
+        kind = combine([None if v is None else of(c) == v for c, v in (("taxonomy", self.taxonomy), ("dbtype", self.dbtype))])
+        bare = self.which == "go" and not {c for c, *_ in self.limits} & {"evalue", "sim", "hit_cov", "seq_cov"}
+        parts = [of("hit_id").isNotNull() if bare else None, *[limit(of(c), op, v) for c, op, v in self.limits], kind]
+        bits, anno, go = (F.col(f"{c}_hit_id") for c in ("bits", "anno", "go"))
+        differ = {None: None, "bits_anno": bits != anno, "go_both": go.isNotNull() & (go != bits) & (go != anno)}[self.differ]
+        n = None if self.databases is None else limit(F.col("n_databases"), *self.databases)
+        return combine([bits.isNotNull(), combine(parts, self.how), n, differ])
+
+
 def apply(df: DataFrame, spec) -> DataFrame:
     condition = spec.column() if spec is not None else None
     return df if condition is None else df.where(condition)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandlake.queries import clusters, expression, frames, hits, ontology, pairs, reports, sequences, tables
+from strandlake.queries import clusters, expression, frames, hits, merging, ontology, pairs, reports, sequences, tables
 
 ALL: dict[str, tuple] = {}
-for _m in (hits, tables, expression, ontology, pairs, clusters, sequences, frames, reports):
+for _m in (hits, tables, expression, ontology, pairs, clusters, sequences, frames, reports, merging):
     ALL |= _m.QUERIES
 
 QUERIES = {name: q[0] for name, q in ALL.items()}
