@@ -108,15 +108,53 @@ def align(a: str, b: str, matrix: Matrix | None = None, open_: float = GAP_OPEN,
     return total, a[:i] + "-" * j + "".join(out_a)[::-1], "-" * i + b[:j] + "".join(out_b)[::-1]
 
 
-def align_pairs(pairs: DataFrame, matrix: Matrix | None = None, parts: int | None = None, columns: tuple = ("text1", "text2")) -> DataFrame:
-    """Adds score, aligned1 and aligned2 to rows of pairs; null texts have nulls there. Rows are dealt out at random by key, since their cost has nothing to do with where they come from."""
+def align_linear(a: str, b: str, matrix: Matrix | None = None, gap: float = GAP_OPEN) -> tuple[float, str, str]:
+    """Semi-global alignment in which each letter of a gap costs the same; gaps at the ends are free. Of equal scores a gap
+    in b is taken before a match, and a match before a gap in a. Cells of an anti-diagonal are worked out together; what is
+    kept of all cells is a byte each."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return 0.0, a + "-" * m, "-" * n + b
+    if matrix is None:
+        x, y = (np.frombuffer(s.upper().encode("latin-1", "replace"), np.uint8) for s in (a, b))
+        score = lambda i, j: np.where(x[i - 1] == y[j - 1], NT_MATCH, NT_MISMATCH)
+    else:
+        x, y = (np.array([matrix[0].find(c) for c in s.upper()], int) for s in (a, b))
+        score = lambda i, j: matrix[1][x[i - 1], y[j - 1]]
+    before, last, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros((n + 1, m + 1), np.int8)  # by row: two anti-diagonals
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        up = last[i - 1] - np.where(j == m, 0.0, gap)
+        match = before[i - 1] + score(i, j)
+        left = last[i] - np.where(i == n, 0.0, gap)
+        best = np.where(match > up, match, up)
+        way[i, j] = np.where(left > best, 2, np.where(match > up, 1, 0))
+        now = np.zeros(n + 1)
+        now[i] = np.where(left > best, left, best)
+        before, last = last, now
+    i, j, out_a, out_b = n, m, [], []
+    while i or j:
+        step = 2 if not i else 0 if not j else way[i, j]
+        i, j = i - (step < 2), j - (step > 0)
+        out_a.append(a[i] if step < 2 else "-")
+        out_b.append(b[j] if step > 0 else "-")
+    return float(last[n]), "".join(reversed(out_a)), "".join(reversed(out_b))
+
+
+def align_pairs(pairs: DataFrame, matrix: Matrix | None = None, parts: int | None = None, columns: tuple = ("text1", "text2"), affine: bool = True) -> DataFrame:
+    """Adds score, aligned1 and aligned2 to rows of pairs; null texts have nulls there. Gaps cost open + n * extend, or where
+    not ``affine``, open for each letter. Rows are dealt out at random by key, since their cost has nothing to do with where
+    they come from."""
     one, two = columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields), "score double", "aligned1 string", "aligned2 string"])
     rows = pairs.repartition(parts, F.xxhash64(one, two)) if parts else pairs.repartition(F.xxhash64(one, two))
 
+    work = align if affine else align_linear
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [align(a, b, matrix) if a is not None and b is not None else (None, None, None) for a, b in zip(batch[one], batch[two], strict=True)]
+            found = [work(a, b, matrix) if a is not None and b is not None else (None, None, None) for a, b in zip(batch[one], batch[two], strict=True)]
             yield batch.assign(score=[x[0] for x in found], aligned1=[x[1] for x in found], aligned2=[x[2] for x in found])
 
     return rows.mapInPandas(run, schema)
@@ -160,31 +198,57 @@ def fitted_cds(aligned: Column, cds: Column) -> Column:
 TRANSITIONS = ("AG", "GA", "CT", "TC")
 
 
-def cds_scores(pairs: DataFrame, one: str = "cds1", two: str = "cds2") -> DataFrame:
-    """Scores of aligned coding sequences of equal length (codons with a gap are counted as gaps): codons, exact,
-    synonymous, nonsynonymous, fourfold (synonymous at a fourfold site), SNPs, transitions and transversions, those at
-    third positions, ts/tv, and the GC and CpG ratios that both share."""
+def fold_class(codon: Column) -> Column:
+    """4 or 2, the degeneracy that the first two letters of a codon give: 4 for two of G and C, 2 for two of A and T, else 4
+    for a second C or T and 2 for a second A or G; null for other letters there."""
+    one, two = F.substring(codon, 1, 1), F.substring(codon, 2, 1)
+    return F.when(one.isin("C", "G") & two.isin("C", "G"), 4).when(one.isin("A", "T") & two.isin("A", "T"), 2).when(two.isin("C", "T"), 4).when(two.isin("A", "G"), 2)
+
+
+def cds_scores(pairs: DataFrame, one: str = "cds1", two: str = "cds2", matrix: Matrix | None = None) -> DataFrame:
+    """Scores of aligned coding sequences of equal length.
+
+    By letters: len, gaps (columns with a gap), opens (gaps that do not follow one), snps, gc_both and gc_either,
+    cpg_both and cpg_either, and these two within codons (cpg_codon_both, cpg_codon_either). By codons without a gap: codons,
+    exact, synonymous, nonsynonymous; of synonymous ones fourfold, twofold and otherfold (the two codons' classes differ);
+    aa_exact, aa_positive (a positive score in ``matrix``; none without one), aa_negative. ts1 to ts3 and tv1 to tv3 by
+    place in the codon, transitions and transversions in all whole codons. Ratios: tstv, gc_ratio and cpg_ratio (shared of
+    either). A null sequence has nulls."""
     a, b = F.upper(one), F.upper(two)
     cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / 3).cast("int") - 1), lambda i: F.substring(s, i * 3 + 1, F.lit(3)))
-    rows = pairs.withColumn("_k", F.when(F.length(a) >= 3, F.zip_with(cut(a), cut(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).otherwise(F.array().cast("array<struct<x:string,y:string>>")))
+    none = F.array().cast("array<struct<x:string,y:string>>")
+    rows = pairs.withColumn("_k", F.when(F.length(a) >= 3, F.zip_with(cut(a), cut(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).otherwise(none))
     gap = lambda c: c["x"].contains("-") | c["y"].contains("-")
-    rows = rows.withColumn("_f", F.filter("_k", lambda c: ~gap(c))).withColumn("_c", columns_of(a, b))
-    same = lambda c: Q.amino_acid(c["x"]) == Q.amino_acid(c["y"])
-    four = lambda c: same(c) & (F.substring(c["x"], 1, 2) == F.substring(c["y"], 1, 2)) & F.substring(c["x"], 1, 2).isin("CT", "GT", "TC", "CC", "AC", "GC", "CG", "GG")
+    rows = rows.withColumn("_f", F.transform(F.filter("_k", lambda c: ~gap(c)), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), Q.amino_acid(c["x"]).alias("p"), Q.amino_acid(c["y"]).alias("q"))))
+    rows = rows.withColumn("_c", columns_of(a, b))
+    same, equal = lambda c: c["p"] == c["q"], lambda c: c["x"] == c["y"]
+    silent = lambda c: same(c) & ~equal(c)
+    fold = lambda c, k: silent(c) & (fold_class(c["x"]) == k) & (fold_class(c["y"]) == k)
+    related = [x + y for i, x in enumerate(matrix[0]) for j, y in enumerate(matrix[0]) if i != j and matrix[1][i, j] > 0] if matrix else []
+    alike = (lambda c: ~same(c) & F.concat(c["p"], c["q"]).isin(*related)) if related else (lambda c: F.lit(False))
     n = lambda f, of="_f": F.size(F.filter(of, f))
-    full = lambda c: (c["x"] != "-") & (c["y"] != "-")
-    differs = lambda c: full(c) & (c["x"] != c["y"])
+    differs = lambda c: ~gap(c) & (c["x"] != c["y"])
     ts = lambda c: differs(c) & F.concat(c["x"], c["y"]).isin(*TRANSITIONS)
-    third = F.filter("_c", lambda c, i: i % 3 == 2)
+    tv = lambda c: differs(c) & ~F.concat(c["x"], c["y"]).isin(*TRANSITIONS)
+    in_codons = F.slice("_c", 1, F.size("_k") * 3)
+    at_place = lambda j: F.filter(in_codons, lambda c, i: i % 3 == j)
     gc = lambda x: x.isin("G", "C")
     at = lambda s: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.when(F.substring(s, i, F.lit(2)) == "CG", i)), lambda i: i.isNotNull())
+    rows = rows.withColumns({"_p": at(a), "_q": at(b)})
+    inner = lambda c: F.filter(c, lambda i: (i % 3 != 0) & (i <= F.size("_k") * 3))
+    rows = rows.withColumns({
+        "len": F.length(a), "gaps": n(gap, "_c"), "opens": F.size(F.filter(F.transform("_c", lambda c, i: gap(c) & ~F.coalesce(gap(F.get("_c", i - 1)), F.lit(False))), lambda x: x)), "snps": n(differs, "_c"),
+        "gc_both": n(lambda c: gc(c["x"]) & gc(c["y"]), "_c"), "gc_either": n(lambda c: gc(c["x"]) | gc(c["y"]), "_c"),
+        "cpg_both": F.size(F.array_intersect("_p", "_q")), "cpg_either": F.size(F.array_union("_p", "_q")),
+        "cpg_codon_both": F.size(F.array_intersect(inner("_p"), inner("_q"))), "cpg_codon_either": F.size(F.array_union(inner("_p"), inner("_q"))),
+        "codons": F.size("_f"), "exact": n(equal), "synonymous": n(silent), "nonsynonymous": n(lambda c: ~same(c)),
+        "fourfold": n(lambda c: fold(c, 4)), "twofold": n(lambda c: fold(c, 2)), "aa_exact": n(same), "aa_positive": n(alike),
+        **{f"{k}{j + 1}": F.size(F.filter(at_place(j), f)) for k, f in (("ts", ts), ("tv", tv)) for j in range(3)},
+    })
+    total = lambda k: F.col(f"{k}1") + F.col(f"{k}2") + F.col(f"{k}3")
     rows = rows.withColumns({
-        "codons": F.size("_f"), "gaps": F.size("_k") - F.size("_f"), "exact": n(lambda c: c["x"] == c["y"]),
-        "synonymous": n(lambda c: (c["x"] != c["y"]) & same(c)), "nonsynonymous": n(lambda c: ~same(c)), "fourfold": n(lambda c: (c["x"] != c["y"]) & four(c)),
-        "snps": n(differs, "_c"), "transitions": n(ts, "_c"), "ts3": F.size(F.filter(third, ts)), "tv3": F.size(F.filter(third, lambda c: differs(c) & ~F.concat(c["x"], c["y"]).isin(*TRANSITIONS))),
-        "gc_ratio": shared_ratio(n(lambda c: gc(c["x"]) & gc(c["y"]), "_c"), n(lambda c: gc(c["x"]) | gc(c["y"]), "_c")),
-        "cpg_ratio": shared_ratio(F.size(F.array_intersect(at(a), at(b))), F.size(F.array_union(at(a), at(b)))),
+        "otherfold": F.col("synonymous") - F.col("fourfold") - F.col("twofold"), "aa_negative": F.col("codons") - F.col("aa_exact") - F.col("aa_positive"), "transitions": total("ts"), "transversions": total("tv"),
+        "gc_ratio": shared_ratio(F.col("gc_both"), F.col("gc_either")), "cpg_ratio": shared_ratio(F.col("cpg_both"), F.col("cpg_either")),
     })
-    rows = rows.withColumn("transversions", F.col("snps") - F.col("transitions"))
     tstv = F.when((F.col("transitions") == 0) | (F.col("transversions") == 0), 0.0).otherwise(ratio(F.col("transitions").cast("double"), F.col("transversions")))
-    return rows.withColumn("tstv", tstv).drop("_k", "_f", "_c")
+    return rows.withColumn("tstv", tstv).drop("_k", "_f", "_c", "_p", "_q")

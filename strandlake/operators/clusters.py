@@ -22,9 +22,13 @@ def edge_filter(pairs: DataFrame, sim: float = SIMILARITY, cov: float = COVERAGE
     return pairs.where((whole("sim") >= sim) & ((a & b) if how == "both" else (a | b)))
 
 
-def reciprocal_best(pairs: DataFrame) -> DataFrame:
-    """seq1, seq2 of pairs from two datasets that are each other's best mate there."""
-    best = best_mates(pairs).select("seq", "mate")
+def reciprocal_best(pairs: DataFrame, sim: float = 0, cov: float = 0, how: str = "both", flag: str | None = None) -> DataFrame:
+    """seq1, seq2 of pairs from two datasets that are each other's best mate there, of those with enough similarity and
+    coverage (on both sides or either). Similarity is rounded to whole numbers before it is compared. ``flag`` names a column
+    that has to be 2: the pair is each side's first in its search. A pair without a similarity above 0 is none."""
+    rows = pairs.where("sim > 0") if flag is None else pairs.where((F.col("sim") > 0) & (F.col(flag) == 2))
+    rows = edge_filter(rows, sim, cov, how) if sim > 0 or cov > 0 else rows
+    best = best_mates(rows.withColumn("sim", F.floor(F.col("sim") + 0.5))).select("seq", "mate")
     back = best.select(F.col("mate").alias("seq"), F.col("seq").alias("mate"))
     return best.join(back, ["seq", "mate"]).where("seq < mate").select(F.col("seq").alias("seq1"), F.col("mate").alias("seq2"))
 
@@ -190,11 +194,30 @@ def correlation_summary(members: DataFrame, pcc: DataFrame, good: float = GOOD_P
     return members.select("cluster").distinct().join(stats, "cluster", "left")
 
 
-def size_histogram(clusters: DataFrame, edges: tuple = (2, 3, 4, 6, 11, 21)) -> DataFrame:
-    """Per method: clusters by size, from each edge up to the next, and the mean and population SD of sizes."""
+def size_bins(n_datasets: int) -> list[tuple[int, int | None]]:
+    """Eight ranges of cluster sizes: with up to seven datasets, one for each size up to their number, then up to 5 (10 from
+    four datasets on) and in steps of five; with more, fixed ones. The last is open."""
+    if n_datasets >= 8:
+        return [(2, 2), (3, 5), (6, 10), (11, 20), (21, 30), (31, 40), (41, 50), (51, None)]
+    bins = [(i, i) for i in range(2, n_datasets + 1)]
+    low, high = max(n_datasets, 1) + 1, 5 if n_datasets < 4 else 10
+    while len(bins) < 7:
+        bins.append((low, high))
+        low, high = high + 1, high + 5
+    return [*bins, (low, None)]
+
+
+def size_histogram(clusters: DataFrame, n_datasets: int = 8) -> DataFrame:
+    """Per method: clusters by size, in the ranges of ``size_bins`` (size_LOW), and the number and the mean and population
+    SD of sizes."""
     sizes = clusters.groupBy("method", "cluster").agg(F.count(F.lit(1)).alias("size"))
-    bins = []
-    for low, high in zip(edges, [*edges[1:], None], strict=True):
-        inside = F.col("size") >= low if high is None else F.col("size").between(low, high - 1)
-        bins.append(F.sum(inside.cast("long")).alias(f"size_{low}"))
-    return sizes.groupBy("method").agg(*bins, F.count(F.lit(1)).alias("n_clusters"), F.avg("size").alias("mean_size"), F.stddev_pop("size").alias("sd_size"))
+    inside = lambda low, high: F.col("size") >= low if high is None else F.col("size").between(low, high)
+    bins = [F.sum(inside(low, high).cast("long")).alias(f"size_{low}") for low, high in size_bins(n_datasets)]
+    return sizes.groupBy("method").agg(*bins, F.count(F.lit(1)).alias("n_clusters"), F.sum("size").alias("n_seqs"), F.avg("size").alias("mean_size"), F.stddev_pop("size").alias("sd_size"))
+
+
+def score_summary(clusters: DataFrame, scores: tuple[str, ...] = ("score1", "score2")) -> DataFrame:
+    """Per method: mean length of the consensus and of the lengths' SD, and mean and population SD of each score. ``clusters``
+    has a row per cluster with method, con_len, sd_len and the scores; nulls are left out."""
+    each = [f(c).alias(f"{name}_{c}") for c in scores for name, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    return clusters.groupBy("method").agg(F.avg("con_len").alias("mean_con_len"), F.avg("sd_len").alias("mean_sd_len"), *each)

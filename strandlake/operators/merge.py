@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import ontology
 from strandlake.operators.stats import numbered_rows
-from strandlake.sources.fasta import InputError
+from strandlake.sources.fasta import InputError, numbered_names
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -56,6 +56,19 @@ def merged(datasets: dict[str, dict[str, DataFrame]], known: dict[str, DataFrame
     }
 
 
+def instantiated(reads: DataFrame, prefix: str | None = None, order: str = "name") -> tuple[DataFrame, DataFrame]:
+    """Sequences of one read each, and their members. Sequences have seq_name, name, seq, len, n_reads; the name is the
+    read's own, or with a ``prefix`` PREFIX_ and the read's number in order of a column, padded to the digits of their
+    count. Members have seq_name, name, orientation, start and percent aligned. ``reads`` has name and seq."""
+    if prefix is None:
+        rows = reads.withColumn("seq_name", F.col("name"))
+    else:
+        rows = numbered_names(reads, prefix, order, len(str(reads.count())))
+    rows = rows.withColumns({"len": F.length("seq"), "n_reads": F.lit(1)})
+    members = rows.select("seq_name", "name", F.lit("U").alias("orientation"), F.lit(1).alias("start"), F.lit(100).alias("percent_aligned"))
+    return rows.select("seq_name", "name", "seq", "len", "n_reads"), members
+
+
 def merged_edges(graphs: list[DataFrame]) -> DataFrame:
     """Edges (child, parent, rel) of several datasets: of each child, all that the first dataset with any has."""
     rows = union([g.select("child", "parent", "rel").withColumn("_at", F.lit(i)) for i, g in enumerate(graphs)]).distinct()

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.numbers import percent_round
+from strandlake.functions.numbers import percent_round, shared_ratio
+from strandlake.operators.stats import quartiles
 
 
 def canonical(rows: DataFrame, a: str = "seq1", b: str = "seq2") -> DataFrame:
@@ -77,11 +78,22 @@ def kaks_class(kaks: Column, not_available: Column | None = None) -> Column:
     return known if not_available is None else F.when(not_available, "NA").otherwise(known)
 
 
+#: Bins of p-values, each from the last bound up to its own.
+P_BINS = (1e-100, 1e-10, 1.0)
+
+
 def kaks_summary(pairs: DataFrame, by: str = "method") -> DataFrame:
-    """Per method: pairs of each class, means of ka, ks and their ratio, and pairs with p below 0.05."""
+    """Per method: pairs of each class, quartiles of the ratio, means of ka, ks, their ratio and p, pairs with p below 0.05,
+    and pairs by p: missing, below 1e-100, 1e-10 and 1. Nulls are left out of means and quartiles; a pair that nothing was
+    computed for, with a null ratio that is not NA, has no class."""
     kind = kaks_class(F.col("kaks"), F.col("kaks_na"))
     n = lambda k: F.sum(F.when(kind == k, 1).otherwise(0)).alias({"NA": "n_na", "<1": "n_below", "~1": "n_one", ">1": "n_above"}[k])
-    return pairs.groupBy(by).agg(n("NA"), n("<1"), n("~1"), n(">1"), F.avg("ka").alias("mean_ka"), F.avg("ks").alias("mean_ks"), F.avg("kaks").alias("mean_kaks"), F.sum((F.col("p") < 0.05).cast("long")).alias("n_significant"))
+    p, count = F.col("p"), lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
+    bins = [count((p < high) & (p >= low if low else F.lit(True)), f"n_p_{i}") for i, (low, high) in enumerate(zip((None, *P_BINS), P_BINS, strict=False))]
+    sums = pairs.groupBy(by).agg(
+        n("NA"), n("<1"), n("~1"), n(">1"), *[F.avg(c).alias(f"mean_{c}") for c in ("ka", "ks", "kaks", "p")], count(p < 0.05, "n_significant"), count(p.isNull(), "n_p_na"), *bins
+    )
+    return sums.join(quartiles(pairs, by, "kaks").drop("n"), by, "left")
 
 
 def weighted_similarity(pairs: DataFrame) -> DataFrame:
@@ -91,11 +103,18 @@ def weighted_similarity(pairs: DataFrame) -> DataFrame:
 
 
 def coding_summary(scores: DataFrame) -> DataFrame:
-    """Totals over pairs of per-pair coding scores, with the percent of codons that each kind has: one row."""
-    kinds = ("exact", "synonymous", "nonsynonymous")
-    total = F.sum("codons")
-    share = lambda k: F.when(total > 0, 100 * F.sum(k) / total).otherwise(0.0).alias(f"{k}_percent")
-    return scores.agg(F.count(F.lit(1)).alias("n_pairs"), total.alias("codons"), *[F.sum(k).alias(k) for k in kinds], *[share(k) for k in kinds])
+    """Totals over pairs of the scores of coding sequences, one row: n_pairs and the sum of every count, percents of codons
+    (exact, synonymous, nonsynonymous, fourfold, twofold, aa_exact, aa_positive, aa_negative), of letters (gaps, snps, GC and,
+    of two letters each, CpG) and of SNPs (ts1 to tv3), ts/tv by place, and the ratios of shared GC and CpG. Where a total is
+    0, so is its percent."""
+    codon = ("exact", "synonymous", "nonsynonymous", "fourfold", "twofold", "aa_exact", "aa_positive", "aa_negative")
+    letter = ("gaps", "snps", "gc_both", "gc_either", "cpg_both", "cpg_either", "cpg_codon_both", "cpg_codon_either")
+    place = tuple(f"{k}{j}" for k in ("ts", "tv") for j in (1, 2, 3))
+    sums = scores.agg(F.count(F.lit(1)).alias("n_pairs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("len", "codons", *codon, *letter, *place)])
+    share = lambda c, of, times=1: F.when(F.col(of) > 0, 100.0 * times * F.col(c) / F.col(of)).otherwise(0.0)
+    percents = {f"{c}_percent": share(c, "codons") for c in codon} | {f"{c}_percent": share(c, "len", 2 if c.startswith("cpg") else 1) for c in letter} | {f"{c}_percent": share(c, "snps") for c in place}
+    rates = {f"tstv{j}": F.when(F.col(f"tv{j}") > 0, F.col(f"ts{j}") / F.col(f"tv{j}")).otherwise(0.0) for j in (1, 2, 3)}
+    return sums.withColumns({**percents, **rates, **{f"{c}_ratio": shared_ratio(F.col(f"{c}_both"), F.col(f"{c}_either")) for c in ("gc", "cpg", "cpg_codon")}})
 
 
 def membership(pairs: DataFrame, members: DataFrame) -> DataFrame:

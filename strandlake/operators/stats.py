@@ -85,6 +85,13 @@ def sample_filter(df: DataFrame, conditions: list[Column], low: int = 20, high:
     return df.limit(high)
 
 
+def menu(df: DataFrame, columns: list[str]) -> DataFrame:
+    """kind, value, n: the distinct values of text columns, as a choice offers them, with their rows; in order of value. All
+    columns are counted in one pass; a null value is a choice of its own."""
+    pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in columns)
+    return df.selectExpr(f"stack({len(columns)}, {pairs}) as (kind, value)").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "value")
+
+
 def added(table: DataFrame, more: DataFrame, key: list[str]) -> DataFrame:
     """The table and those rows of ``more`` whose key it lacks."""
     return table.unionByName(more.join(table.select(*key), key, "left_anti").dropDuplicates(key))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import clusters as C
 from strandlake.operators import msa as M
 from strandlake.operators import pairs as P
+from strandlake.operators import stats as S
 from strandlake.plans.filters import ClusterFilter, Levels, apply
 from strandlake.queries import roles as R
 from strandlake.queries.pairs import MATES_SQL
@@ -25,6 +26,12 @@ def reciprocal_best(spark, sf):
     return C.reciprocal_best(R.pairs(spark, sf))
 
 
+def reciprocal_best_cut(spark, sf):
+    """With cutoffs, of pairs that are each side's first."""
+    rows = R.pairs(spark, sf).withColumns({"sim": F.col("sim") + 0.4, "best": F.when(F.col("bits") % 3 == 0, 1).otherwise(2)})
+    return C.reciprocal_best(rows, sim=55, cov=50, how="either", flag="best")
+
+
 def strong(spark, sf):
     return R.pairs(spark, sf).where("bits > 150").select("seq1", "seq2")
 
@@ -86,7 +93,18 @@ def correlation_summary(spark, sf):
 
 
 def size_histogram(spark, sf):
-    return rounded(C.size_histogram(members_of(spark, sf)), "mean_size", "sd_size")
+    return rounded(C.size_histogram(members_of(spark, sf), n_datasets=4), "mean_size", "sd_size")
+
+
+def score_summary(spark, sf):
+    """Parts by brand as clusters, each method a manufacturer's digit; scores by size and price, some missing."""
+    rows = R.read(spark, sf, "part").select(F.substring("p_brand", -1, 1).alias("method"), F.col("p_size").alias("con_len"), (F.col("p_partkey") % 9).alias("sd_len"), F.when(F.col("p_size") % 4 > 0, F.col("p_size") / 50).alias("score1"), (F.col("p_partkey") % 11).cast("double").alias("score2"))
+    names = ["mean_con_len", "mean_sd_len", "mean_score1", "sd_score1", "mean_score2", "sd_score2"]
+    return rounded(C.score_summary(rows), *names)
+
+
+def menus(spark, sf):
+    return S.menu(R.details(spark, sf), ["dbtype", "taxonomy", "species"])
 
 
 def aligned_members(spark, sf):
@@ -138,6 +156,7 @@ def snps(spark, sf):
     return rounded(M.snps(bases.groupBy("contig", "pos", "base").agg(F.count(F.lit(1)).cast("int").alias("n")), error=0.1, least=2, threshold=0.01).drop("depth"), "p")
 
 
+CUT = "bits % 3 <> 0 AND sim >= 55 AND (cov1 >= 50 OR cov2 >= 50)"
 MEMBERS_SQL = "members AS (SELECT p_brand || '/' || p_type AS cluster, p_partkey AS seq, p_size % 4 AS ds FROM part)"
 ALIGNED_SQL = """passages AS (SELECT item_id // 4 AS cluster, item_id AS member, lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS text FROM benchmark),
 aligned AS (SELECT cluster, member, translate(rpad(text, CAST(max(len(text)) OVER (PARTITION BY cluster) AS INT), ' '), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTAC-') AS t FROM passages),
@@ -159,6 +178,7 @@ QUERIES = {
     "c01_edge_filter": (edge_filter, f"WITH {PAIRS_SQL} SELECT seq1, seq2 FROM pairs WHERE floor(sim + 0.5) >= 70 AND cov1 >= 60 AND cov2 >= 60"),
     "c01_edge_filter_truncated": (edge_filter_truncated, f"WITH {PAIRS_SQL} SELECT seq1, seq2 FROM pairs WHERE floor(sim + 0.6) >= 71 AND (cov1 >= 60 OR cov2 >= 60)"),
     "c02_reciprocal_best": (reciprocal_best, f"WITH {MATES_SQL} SELECT a.seq AS seq1, a.mate AS seq2 FROM best a JOIN best b ON a.seq = b.mate AND a.mate = b.seq WHERE a.seq < a.mate"),
+    "c02_reciprocal_best_cut": (reciprocal_best_cut, f"WITH {MATES_SQL.replace('UNION ALL SELECT seq2, ds2, seq1, ds1, evalue, sim FROM pairs)', 'WHERE ' + CUT + ' UNION ALL SELECT seq2, ds2, seq1, ds1, evalue, sim FROM pairs WHERE ' + CUT + ')')} SELECT a.seq AS seq1, a.mate AS seq2 FROM best a JOIN best b ON a.seq = b.mate AND a.mate = b.seq WHERE a.seq < a.mate"),
     "c05_e02_components": (components, f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT seq1 AS a, seq2 AS b FROM pairs WHERE bits > 150 UNION SELECT seq2, seq1 FROM pairs WHERE bits > 150),
         r AS (SELECT a AS node, a AS to_ FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.to_) SELECT node, min(to_) AS component FROM r GROUP BY 1"""),
     "c03_mutual_sets": (mutual_sets, f"""WITH RECURSIVE {MATES_SQL}, e AS (SELECT a.seq AS a, a.mate AS b FROM best a JOIN best b ON a.seq = b.mate AND a.mate = b.seq),
@@ -182,8 +202,11 @@ QUERIES = {
         s AS (SELECT cluster, seq1, seq2, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM j GROUP BY ALL),
         c AS (SELECT cluster, CASE WHEN n * sxx - sx * sx > 1e-12 AND n * syy - sy * sy > 1e-12 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) ELSE 0 END AS pcc FROM s)
         SELECT cluster, CAST(floor(100 * avg(CASE WHEN pcc >= 0.1 THEN 1.0 WHEN pcc < 0.1 THEN 0 END)) AS INT) AS pcc_percent, round(min(pcc), 6) AS min_pcc FROM (SELECT DISTINCT cluster FROM members) LEFT JOIN c USING (cluster) GROUP BY 1"""),
-    "a08_size_histogram": (size_histogram, f"""WITH {MEMBERS_SQL}, s AS (SELECT cluster, count(*) AS n FROM members GROUP BY 1) SELECT 'user' AS method, count(*) FILTER (n = 2) AS size_2, count(*) FILTER (n = 3) AS size_3, count(*) FILTER (n BETWEEN 4 AND 5) AS size_4,
-        count(*) FILTER (n BETWEEN 6 AND 10) AS size_6, count(*) FILTER (n BETWEEN 11 AND 20) AS size_11, count(*) FILTER (n >= 21) AS size_21, count(*) AS n_clusters, round(avg(n), 6) AS mean_size, round(stddev_pop(n), 6) AS sd_size FROM s"""),
+    "a08_size_histogram": (size_histogram, f"""WITH {MEMBERS_SQL}, s AS (SELECT cluster, count(*) AS n FROM members GROUP BY 1) SELECT 'user' AS method, """ + ", ".join(f"count(*) FILTER (n {w}) AS size_{k}" for k, w in ((2, "= 2"), (3, "= 3"), (4, "= 4"), (5, "BETWEEN 5 AND 10"), (11, "BETWEEN 11 AND 15"), (16, "BETWEEN 16 AND 20"), (21, "BETWEEN 21 AND 25"), (26, "> 25"))) + """,
+        count(*) AS n_clusters, CAST(sum(n) AS BIGINT) AS n_seqs, round(avg(n), 6) AS mean_size, round(stddev_pop(n), 6) AS sd_size FROM s"""),
+    "a08_score_summary": (score_summary, """WITH c AS (SELECT right(p_brand, 1) AS method, p_size AS con_len, p_partkey % 9 AS sd_len, CASE WHEN p_size % 4 > 0 THEN p_size / 50 END AS score1, CAST(p_partkey % 11 AS DOUBLE) AS score2 FROM part)
+        SELECT method, round(avg(con_len), 6) AS mean_con_len, round(avg(sd_len), 6) AS mean_sd_len, round(avg(score1), 6) AS mean_score1, round(stddev_pop(score1), 6) AS sd_score1, round(avg(score2), 6) AS mean_score2, round(stddev_pop(score2), 6) AS sd_score2 FROM c GROUP BY 1"""),
+    "a20_menus": (menus, f"WITH {R.DETAIL_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS kind, {c} AS value, count(*) AS n FROM detail GROUP BY {c}" for c in ("dbtype", "taxonomy", "species"))),
     "m02_consensus": (consensus, f"WITH {ALIGNED_SQL}, {consensus_sql('true')}"),
     "m02_consensus_nt": (consensus_nt, f"WITH {ALIGNED_SQL}, {consensus_sql('false')}"),
     "m07_trim": (trim, f"""WITH RECURSIVE t AS (SELECT conv_id, turn, min(CASE WHEN conv_id % 3 = 0 THEN 'aa' ELSE '' END || repeat('-', CAST(conv_id % 17 AS BIGINT))

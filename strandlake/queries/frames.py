@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.operators import frame_pairs as FP
+from strandlake.operators import merge as M
 from strandlake.operators import orf as O
 from strandlake.operators import orf_choice as C
 from strandlake.queries import roles as R
@@ -73,6 +75,18 @@ def training_set(spark, sf):
     return C.training_set(rows, most=300, most_bases=200_000, round_rows=128).select("seq_id")
 
 
+def region_totals(spark, sf):
+    """Around the hits' regions as coding ones."""
+    seqs = dna(spark, sf).join(hit_quality(spark, sf), "seq_id").withColumnsRenamed({"hit_start": "start", "hit_end": "end"})
+    return FP.region_totals(FP.regions(seqs))
+
+
+def instantiated(spark, sf):
+    reads = dna(spark, sf).withColumn("name", F.concat(F.lit("r"), F.lpad(F.col("seq_id").cast("string"), 9, "0")))
+    rows, members = M.instantiated(reads, "tw")
+    return rows.join(members, ["seq_name", "name"]).select("seq_name", "name", "len", "n_reads", "orientation", "percent_aligned")
+
+
 HIT_SQL = f"""{DNA_SQL}, h2 AS (SELECT *, len(seq) AS len, instr(seq, 'ATG') AS atg FROM dna, (SELECT unnest([0, 1]) AS n)),
 h3 AS (SELECT *, list_filter(range(greatest(atg, 1), greatest(len - 1, atg, 1), 3), lambda i: substr(seq, i, 3) IN {STOPS})[1] AS stop FROM h2),
 h4 AS (SELECT *, seq_id % 3 = 0 AND n = 0 AND atg > 0 AND stop IS NOT NULL AS at_atg FROM h3),
@@ -152,4 +166,11 @@ QUERIES = {
     "q11_q16_best_orfs": (best_orfs, f"""WITH RECURSIVE {PRUNED_SQL}, {MARKOV_SQL}, {fold_sql('one', 'scored', 'seq_id, frame', 'start, has_start DESC, "end"')}, {fold_sql('best', 'one', 'seq_id', 'frame')}
         SELECT seq_id, frame, start, "end", has_start, has_stop, anno, good_hit, round(markov, 6) AS markov FROM best"""),
     "q13_training_set": (training_set, None),
+    "a15_q04_region_totals": (region_totals, f"""WITH {HIT_SQL}, t AS (SELECT hit_start AS a, hit_end AS b, CASE WHEN frame < 0 THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END AS s FROM dna JOIN hc USING (seq_id)),
+        r AS (SELECT 'utr5' AS region, substr(s, 1, a - 1) AS t FROM t UNION ALL SELECT 'cds', substr(s, a, b - a + 1) FROM t UNION ALL SELECT 'utr3', substr(s, b + 1) FROM t),
+        g AS (SELECT region, CAST((i - 1) % 3 + 1 AS INT) AS j, count(*) AS n FROM (SELECT region, t, unnest(range(1, (len(t) - 1) // 3 * 3 + 1)) AS i FROM r WHERE region = 'cds') WHERE t[i] IN ('G', 'C') GROUP BY ALL)
+        SELECT region, count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS bases, CAST(sum({count('C', 't')}) AS BIGINT) AS c, CAST(sum({count('G', 't')}) AS BIGINT) AS g, CAST(sum(len(regexp_extract_all(t, 'CG'))) AS BIGINT) AS cpg,
+          """ + ", ".join(f"(SELECT n FROM g WHERE g.region = r.region AND j = {j}) AS gc{j}" for j in (1, 2, 3)) + " FROM r GROUP BY region"),
+    "e04_instantiated": (instantiated, f"""WITH {DNA_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY seq_id) AS r, len(CAST(count(*) OVER () AS VARCHAR)) AS w FROM dna)
+        SELECT 'tw_' || lpad(CAST(r AS VARCHAR), CAST(w AS INT), '0') AS seq_name, 'r' || lpad(CAST(seq_id AS VARCHAR), 9, '0') AS name, CAST(len(seq) AS INT) AS len, 1 AS n_reads, 'U' AS orientation, 100 AS percent_aligned FROM n"""),
 }

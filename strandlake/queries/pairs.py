@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.operators import alignment as A
+from strandlake.operators import frame_pairs as FP
 from strandlake.operators import pairs as P
 from strandlake.plans.filters import PairFilter, apply
 from strandlake.queries import roles as R
@@ -37,7 +39,8 @@ def pair_filter(spark, sf):
 
 def kaks(spark, sf):
     rows = R.pairs(spark, sf).select("seq1", "seq2", (F.col("ds1").cast("string")).alias("method"), F.when(F.col("bits") % 11 == 0, None).otherwise(F.round(F.col("sim") / F.col("cov1"), 3)).alias("kaks"), (F.col("bits") % 11 == 0).alias("kaks_na"), (F.col("sim") / 100).alias("ka"), (F.col("cov1") / 100).alias("ks"), F.col("evalue").alias("p"))
-    return rounded(P.kaks_summary(rows), "mean_ka", "mean_ks", "mean_kaks")
+    rows = rows.withColumn("p", F.when(F.col("p") < 0.03, 1e-120).when(F.col("p") < 0.06, 1e-20).when(F.col("p") > 0.15, None).otherwise(F.col("p")))
+    return rounded(P.kaks_summary(rows), "mean_ka", "mean_ks", "mean_kaks", "mean_p", "q1", "median", "q3")
 
 
 def similarity(spark, sf):
@@ -75,32 +78,95 @@ def aligned(spark, sf):
     return A.overlap_scores(A.align_pairs(dna_pairs(spark, sf))).select("item_id", F.round("score", 4).alias("score"), "start", "end", "matches", "mismatches", "gaps")
 
 
-CDS = [("exact", "a = b"), ("nonsynonymous", "NOT same"), ("synonymous", "a <> b AND same")]
+RELATED = ("AG", "CT", "DE", "IL", "IV", "KR", "ST", "FY")
+COUNTS = (
+    "len", "gaps", "opens", "snps", "gc_both", "gc_either", "cpg_both", "cpg_either", "cpg_codon_both", "cpg_codon_either", "codons", "exact", "synonymous", "nonsynonymous", "fourfold", "twofold",
+    "otherfold", "aa_exact", "aa_positive", "aa_negative", "ts1", "ts2", "ts3", "tv1", "tv2", "tv3", "transitions", "transversions",
+)
 
 
-def cds(spark, sf):
-    """Coding scores of passages cut to the length of the shorter one; no gaps."""
+def cds_texts(spark, sf):
+    """Passages cut to the length of the shorter one, with every 19th letter of the first and each second of every 23 of the
+    other as a gap, and a long gap where a third begins."""
     rows = dna_pairs(spark, sf)
-    n = (F.floor(F.least(F.length("text1"), F.length("text2")) / 3) * 3).cast("int")
-    rows = rows.select("item_id", F.substring("text1", F.lit(1), n).alias("cds1"), F.substring("text2", F.lit(1), n).alias("cds2"))
-    return rounded(A.cds_scores(rows).select("item_id", "codons", "exact", "synonymous", "nonsynonymous", "snps", "transitions", "transversions", "ts3", "tv3", "gc_ratio"), "gc_ratio")
+    n = F.least(F.length("text1"), F.length("text2"))
+    holes = lambda c, k, run: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when((i % k == 0) | i.between(run, run + 6), "-").otherwise(F.substring(c, i, F.lit(1)))), "")
+    return rows.select("item_id", holes(F.col("text1"), 19, 40).alias("cds1"), holes(F.col("text2"), 23, 43).alias("cds2"))
+
+
+def cds(spark, sf):
+    letters = "ARNDCQEGHILKMFPSTWYV*X"
+    table = np.array([[4.0 if a == b else 1.0 if a + b in RELATED or b + a in RELATED else -1.0 for b in letters] for a in letters])
+    return rounded(A.cds_scores(cds_texts(spark, sf), matrix=(letters, table)).select("item_id", *COUNTS, "gc_ratio", "cpg_ratio", "tstv"), "gc_ratio", "cpg_ratio", "tstv")
 
 
 def cds_summary(spark, sf):
-    return rounded(P.coding_summary(cds(spark, sf)), "exact_percent", "synonymous_percent", "nonsynonymous_percent")
+    rows = P.coding_summary(cds(spark, sf))
+    return rounded(rows, *[c for c, t in rows.dtypes if t == "double"])
+
+
+def aligned_linear(spark, sf):
+    rows = A.align_pairs(dna_pairs(spark, sf), affine=False)
+    return A.overlap_scores(rows).select("item_id", F.round("score", 4).alias("score"), "start", "end", "matches", "mismatches", "gaps")
+
+
+def frame_choice(spark, sf):
+    """Neighbouring passages with ORF and hit frames by number; a fourth are found as proteins."""
+    rows = dna_pairs(spark, sf)
+    i = F.col("item_id")
+    frame = lambda k: F.get(F.array(*map(F.lit, (1, 2, 3, -1, -2, -3))), F.pmod(k, F.lit(6)).cast("int"))
+    rows = rows.select(i.alias("seq1"), (i + 1).alias("seq2"), "text1", "text2", frame(i).alias("orf1"), frame(i * 5 + 1).alias("orf2"), frame(i * 7 + 2).alias("hit1"), frame(i + 3).alias("hit2"), (i % 4 == 0).alias("is_aa"))
+    return rounded(FP.frame_choice(rows), "sim")
+
+
+def region_texts(spark, sf):
+    """Passages with their parts before, in and behind a coding region of two thirds."""
+    rows = dna_pairs(spark, sf)
+    part = lambda c: {"utr5": F.substring(c, F.lit(1), F.floor(F.length(c) / 6).cast("int")), "cds": F.substring(c, F.floor(F.length(c) / 6).cast("int") + 1, F.floor(F.length(c) * 2 / 3).cast("int")), "utr3": F.substring(c, F.floor(F.length(c) / 6).cast("int") + F.floor(F.length(c) * 2 / 3).cast("int") + 1, F.length(c))}
+    return rows.select(F.col("item_id").alias("seq1"), (F.col("item_id") + 1).alias("seq2"), *[x.alias(f"{k}_{n}") for n in (1, 2) for k, x in part(F.col(f"text{n}")).items()])
+
+
+def region_differences(spark, sf):
+    return FP.region_differences(region_texts(spark, sf))
+
+
+def differences(spark, sf):
+    """Differences of texts that are laid side by side, the first three letters further in, and filled up with gaps."""
+    rows = dna_pairs(spark, sf).where("item_id % 7 <> 0").unionByName(dna_pairs(spark, sf).where("item_id % 7 = 0").withColumn("text2", F.lit("")))
+    n = F.greatest(F.length("text1") + 3, F.length("text2"))
+    return FP.differences(rows.select("item_id", F.rpad(F.concat(F.lit("---"), "text1"), n, "-").alias("aligned1"), F.rpad("text2", n, "-").alias("aligned2"))).drop("aligned1", "aligned2")
+
+
+def fold_sql(c: str) -> str:
+    return f"CASE WHEN {c}[1] IN ('C', 'G') AND {c}[2] IN ('C', 'G') THEN 4 WHEN {c}[1] IN ('A', 'T') AND {c}[2] IN ('A', 'T') THEN 2 WHEN {c}[2] IN ('C', 'T') THEN 4 ELSE 2 END"
 
 
 CODON_TABLE = "code AS (SELECT unnest(['" + "','".join(__import__("strandlake.functions.sequences", fromlist=["CODONS"]).CODONS) + "']) AS codon, unnest(['" + "','".join(__import__("strandlake.functions.sequences", fromlist=["CODONS"]).CODONS.values()) + "']) AS aa)"
 DNA_SQL = "dna AS (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS t FROM benchmark)"
-CDS_SQL = f"""{DNA_SQL}, {CODON_TABLE}, two AS (SELECT a.item_id, a.t AS x, b.t AS y, least(len(a.t), len(b.t)) // 3 AS n FROM dna a JOIN dna b ON b.item_id = a.item_id + 1),
-letters AS (SELECT item_id, i, x[i] AS a, y[i] AS b FROM (SELECT item_id, x, y, unnest(range(1, n * 3 + 1)) AS i FROM two)),
-cods AS (SELECT item_id, substr(x, i * 3 + 1, 3) AS a, substr(y, i * 3 + 1, 3) AS b FROM (SELECT item_id, x, y, unnest(range(0, n)) AS i FROM two)),
-named AS (SELECT c.*, p.aa = q.aa AS same FROM cods c JOIN code p ON p.codon = a JOIN code q ON q.codon = b),
-cs AS (SELECT item_id, CAST(count(*) AS INT) AS codons, """ + ", ".join(f"CAST(count(*) FILTER ({c}) AS INT) AS {k}" for k, c in CDS) + """ FROM named GROUP BY 1),
-ls AS (SELECT item_id, CAST(count(*) FILTER (a <> b) AS INT) AS snps, CAST(count(*) FILTER (a || b IN ('AG', 'GA', 'CT', 'TC')) AS INT) AS transitions,
-  CAST(count(*) FILTER (i % 3 = 0 AND a || b IN ('AG', 'GA', 'CT', 'TC')) AS INT) AS ts3, CAST(count(*) FILTER (i % 3 = 0 AND a <> b AND a || b NOT IN ('AG', 'GA', 'CT', 'TC')) AS INT) AS tv3,
-  count(*) FILTER (a IN ('G', 'C') AND b IN ('G', 'C')) AS gc2, count(*) FILTER (a IN ('G', 'C') OR b IN ('G', 'C')) AS gc1 FROM letters GROUP BY 1),
-scores AS (SELECT item_id, codons, exact, synonymous, nonsynonymous, snps, transitions, CAST(snps - transitions AS INT) AS transversions, ts3, tv3, round(CASE WHEN gc1 = 0 THEN 1 ELSE gc2 / gc1 END, 6) AS gc_ratio FROM cs JOIN ls USING (item_id))"""
+CDS_SQL = f"""{DNA_SQL}, {CODON_TABLE}, two AS (SELECT a.item_id, a.t AS x, b.t AS y, least(len(a.t), len(b.t)) AS n FROM dna a JOIN dna b ON b.item_id = a.item_id + 1),
+letters AS (SELECT item_id, i, n, CASE WHEN i % 19 = 0 OR i BETWEEN 40 AND 46 THEN '-' ELSE x[i] END AS a, CASE WHEN i % 23 = 0 OR i BETWEEN 43 AND 49 THEN '-' ELSE y[i] END AS b FROM (SELECT item_id, x, y, n, unnest(range(1, n + 1)) AS i FROM two)),
+lagged AS (SELECT *, a = '-' OR b = '-' AS gap, coalesce(lag(a = '-' OR b = '-') OVER w, false) AS gap0, coalesce(lag(a) OVER w, ' ') || a = 'CG' AS cpg1, coalesce(lag(b) OVER w, ' ') || b = 'CG' AS cpg2, a || b IN ('AG', 'GA', 'CT', 'TC') AS ts FROM letters WINDOW w AS (PARTITION BY item_id ORDER BY i)),
+cods AS (SELECT item_id, string_agg(a, '' ORDER BY i) AS a, string_agg(b, '' ORDER BY i) AS b FROM letters GROUP BY item_id, (i - 1) // 3 HAVING count(*) = 3),
+named AS (SELECT c.*, p.aa AS p, q.aa AS q, a = b AS equal, p.aa = q.aa AS same, {fold_sql('a')} AS f, {fold_sql('b')} AS g FROM cods c JOIN code p ON p.codon = a JOIN code q ON q.codon = b),
+cs AS (SELECT item_id, count(*) AS codons, count(*) FILTER (equal) AS exact, count(*) FILTER (same AND NOT equal) AS synonymous, count(*) FILTER (NOT same) AS nonsynonymous, count(*) FILTER (same AND NOT equal AND f = 4 AND g = 4) AS fourfold,
+  count(*) FILTER (same AND NOT equal AND f = 2 AND g = 2) AS twofold, count(*) FILTER (same AND NOT equal AND f <> g) AS otherfold, count(*) FILTER (same) AS aa_exact, count(*) FILTER (NOT same AND (p || q IN {RELATED} OR q || p IN {RELATED})) AS aa_positive FROM named GROUP BY 1),
+ls AS (SELECT item_id, count(*) AS len, count(*) FILTER (gap) AS gaps, count(*) FILTER (gap AND NOT gap0) AS opens, count(*) FILTER (NOT gap AND a <> b) AS snps, count(*) FILTER (a IN ('G', 'C') AND b IN ('G', 'C')) AS gc_both, count(*) FILTER (a IN ('G', 'C') OR b IN ('G', 'C')) AS gc_either,
+  count(*) FILTER (cpg1 AND cpg2) AS cpg_both, count(*) FILTER (cpg1 OR cpg2) AS cpg_either, count(*) FILTER (cpg1 AND cpg2 AND i % 3 <> 1 AND i <= n // 3 * 3) AS cpg_codon_both, count(*) FILTER ((cpg1 OR cpg2) AND i % 3 <> 1 AND i <= n // 3 * 3) AS cpg_codon_either,
+  """ + ", ".join(f"count(*) FILTER (NOT gap AND a <> b AND {'' if k == 'ts' else 'NOT '}ts AND i % 3 = {j % 3} AND i <= n // 3 * 3) AS {k}{j}" for k in ("ts", "tv") for j in (1, 2, 3)) + f""" FROM lagged GROUP BY 1),
+full_ AS (SELECT *, codons - aa_exact - aa_positive AS aa_negative, ts1 + ts2 + ts3 AS transitions, tv1 + tv2 + tv3 AS transversions FROM ls JOIN cs USING (item_id)),
+scores AS (SELECT item_id, {', '.join(f'CAST({c} AS INT) AS {c}' for c in COUNTS)}, round(CASE WHEN gc_either = 0 THEN 1 ELSE gc_both / gc_either END, 6) AS gc_ratio, round(CASE WHEN cpg_either = 0 THEN 1 ELSE cpg_both / cpg_either END, 6) AS cpg_ratio,
+  round(CASE WHEN transitions = 0 OR transversions = 0 THEN 0 ELSE transitions / transversions END, 6) AS tstv FROM full_)"""
+
+
+def summary_sql() -> str:
+    codon, letter = COUNTS[11:16] + COUNTS[17:20], COUNTS[1:2] + COUNTS[3:10]
+    place = COUNTS[20:26]
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("len", "codons", *codon, *letter, *place))
+    share = lambda c, of, times: f"round({times}.0 * {c} / {of}, 6) AS {c}_percent"
+    parts = [*[share(c, "codons", 100) for c in codon], *[share(c, "len", 200 if c.startswith("cpg") else 100) for c in letter], *[share(c, "snps", 100) for c in place]]
+    parts += [f"round(ts{j} / tv{j}, 6) AS tstv{j}" for j in (1, 2, 3)] + [f"round({c}_both / {c}_either, 6) AS {c}_ratio" for c in ("gc", "cpg", "cpg_codon")]
+    return f"WITH {CDS_SQL}, s AS (SELECT count(*) AS n_pairs, {sums} FROM scores) SELECT *, {', '.join(parts)} FROM s"
+
 
 MATES_SQL = f"""{PAIRS_SQL}, ways AS (SELECT seq1 AS seq, ds1 AS ds, seq2 AS mate, ds2 AS mate_ds, evalue, sim FROM pairs UNION ALL SELECT seq2, ds2, seq1, ds1, evalue, sim FROM pairs),
 best AS (SELECT seq, mate_ds, mate FROM (SELECT *, row_number() OVER (PARTITION BY seq, mate_ds ORDER BY evalue, sim DESC, mate) AS n FROM ways WHERE ds <> mate_ds) WHERE n = 1)"""
@@ -117,9 +183,12 @@ QUERIES = {
         s AS (SELECT seq1, seq2, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM j GROUP BY ALL)
         SELECT seq1, seq2, n AS n_libs, CASE WHEN n * sxx - sx * sx > 1e-12 AND n * syy - sy * sy > 1e-12 THEN round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) ELSE 0 END AS pcc FROM s"""),
     "f19_pair_filter": (pair_filter, f"WITH {PAIRS_SQL} SELECT seq1, seq2 FROM pairs WHERE sim >= 60 AND evalue < 0.1 AND ds1 <> ds2 AND ((ds1 = 1 AND ds2 = 3) OR (ds1 = 3 AND ds2 = 1))"),
-    "a13_kaks_summary": (kaks, f"""WITH {PAIRS_SQL}, k AS (SELECT ds1::VARCHAR AS method, CASE WHEN bits % 11 = 0 THEN NULL ELSE round(sim / cov1, 3) END AS kaks, bits % 11 = 0 AS na, sim / 100 AS ka, cov1 / 100 AS ks, evalue AS p FROM pairs)
+    "a13_kaks_summary": (kaks, f"""WITH {PAIRS_SQL}, k AS (SELECT ds1::VARCHAR AS method, CASE WHEN bits % 11 = 0 THEN NULL ELSE round(sim / cov1, 3) END AS kaks, bits % 11 = 0 AS na, sim / 100 AS ka, cov1 / 100 AS ks, CASE WHEN evalue < 0.03 THEN 1e-120 WHEN evalue < 0.06 THEN 1e-20 WHEN evalue <= 0.15 THEN evalue END AS p FROM pairs),
+        r AS (SELECT method, kaks, row_number() OVER (PARTITION BY method ORDER BY kaks) AS i, count(*) OVER (PARTITION BY method) AS n FROM k WHERE kaks IS NOT NULL), h AS (SELECT *, n // 2 AS a FROM r),
+        q AS (SELECT method, avg(kaks) FILTER (i IN ((a + 1) // 2, a // 2 + 1)) AS q1, avg(kaks) FILTER (i IN ((n + 1) // 2, n // 2 + 1)) AS median, avg(kaks) FILTER (i IN (n - a + (a + 1) // 2, n - a + a // 2 + 1)) AS q3 FROM h GROUP BY 1)
         SELECT method, CAST(count(*) FILTER (na) AS BIGINT) AS n_na, count(*) FILTER (kaks < 0.995) AS n_below, count(*) FILTER (kaks >= 0.995 AND kaks < 1.006) AS n_one, count(*) FILTER (kaks >= 1.006) AS n_above,
-        round(avg(ka), 6) AS mean_ka, round(avg(ks), 6) AS mean_ks, round(avg(kaks), 6) AS mean_kaks, count(*) FILTER (p < 0.05) AS n_significant FROM k GROUP BY 1"""),
+        round(avg(ka), 6) AS mean_ka, round(avg(ks), 6) AS mean_ks, round(avg(kaks), 6) AS mean_kaks, round(avg(p), 6) AS mean_p, count(*) FILTER (p < 0.05) AS n_significant,
+        count(*) FILTER (p IS NULL) AS n_p_na, count(*) FILTER (p < 1e-100) AS n_p_0, count(*) FILTER (p >= 1e-100 AND p < 1e-10) AS n_p_1, count(*) FILTER (p >= 1e-10 AND p < 1) AS n_p_2, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3 FROM k LEFT JOIN q USING (method) GROUP BY 1"""),
     "a21_weighted_similarity": (similarity, f"WITH {PAIRS_SQL} SELECT round(100 * sum(floor(aln * sim / 100 + 0.5)) / sum(aln), 6) AS sim_percent, round(100 * sum(aln) / sum(greatest(cov1, cov2)), 6) AS cov_percent, count(*) AS n_pairs FROM pairs"),
     "c10_membership": (membership, f"""WITH {PAIRS_SQL}, m AS (SELECT seq1, seq2, a.p_brand = b.p_brand AS br, a.p_size = b.p_size AS sz FROM pairs JOIN part a ON a.p_partkey = seq1 JOIN part b ON b.p_partkey = seq2)
         SELECT seq1, seq2, CASE WHEN br AND sz THEN 'brand,size' WHEN br THEN 'brand' ELSE 'size' END AS methods FROM m WHERE br OR sz"""),
@@ -128,6 +197,16 @@ QUERIES = {
         SELECT printf('s%05d', seq1) AS seq1, printf('s%05d', seq2) AS seq2, max(bits) AS bits, string_agg(substr(k, 2), '::' ORDER BY k) AS kinds FROM k GROUP BY ALL"""),
     "l07_best_bits": (best_bits, f"WITH {PAIRS_SQL} SELECT seq1, seq2, bits FROM pairs WHERE ds1 <> ds2 ORDER BY bits DESC, seq1, seq2 LIMIT 500"),
     "b01_b04_alignment": (aligned, None),
+    "b02_linear_alignment": (aligned_linear, None),
+    "b16_frame_choice": (frame_choice, None),
+    "b09_region_differences": (region_differences, None),
+    "b09_differences": (differences, f"""WITH {DNA_SQL}, two AS (SELECT a.item_id, a.t AS x, CASE WHEN a.item_id % 7 = 0 THEN '' ELSE b.t END AS y FROM dna a JOIN dna b ON b.item_id = a.item_id + 1),
+        p AS (SELECT item_id, y, rpad('---' || x, CAST(greatest(len(x) + 3, len(y)) AS INT), '-') AS a, rpad(y, CAST(greatest(len(x) + 3, len(y)) AS INT), '-') AS b FROM two),
+        c AS (SELECT item_id, y, len(a) AS size, i, a[i] AS a, b[i] AS b FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM p)),
+        w AS (SELECT item_id, min(i) FILTER (a <> '-') AS a0, max(i) FILTER (a <> '-') AS a1, min(i) FILTER (b <> '-') AS b0, max(i) FILTER (b <> '-') AS b1 FROM c GROUP BY 1)
+        SELECT item_id, CAST(any_value(size) AS INT) AS len, CAST(CASE WHEN any_value(y) = '' THEN 0 ELSE count(*) FILTER (a <> b) END AS INT) AS diff,
+          CAST(CASE WHEN any_value(y) <> '' AND count(*) FILTER (i BETWEEN greatest(a0, b0) AND least(a1, b1)) > 3 THEN count(*) FILTER (i BETWEEN greatest(a0, b0) AND least(a1, b1)) END AS INT) AS len_inner,
+          CAST(CASE WHEN any_value(y) <> '' AND count(*) FILTER (i BETWEEN greatest(a0, b0) AND least(a1, b1)) > 3 THEN count(*) FILTER (a <> b AND i BETWEEN greatest(a0, b0) AND least(a1, b1)) END AS INT) AS diff_inner FROM c JOIN w USING (item_id) GROUP BY 1"""),
     "b07_b08_cds_scores": (cds, f"WITH {CDS_SQL} SELECT * FROM scores"),
-    "a14_coding_summary": (cds_summary, f"WITH {CDS_SQL} SELECT count(*) AS n_pairs, CAST(sum(codons) AS BIGINT) AS codons, " + ", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}, round(100 * sum({k}) / sum(codons), 6) AS {k}_percent" for k, _ in CDS) + " FROM scores"),
+    "a14_coding_summary": (cds_summary, summary_sql()),
 }
