@@ -7,13 +7,13 @@ towards a beta prior that is fitted to all hosts, and the hosts' verdicts are jo
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import bounded_batches, written
+from strandlake.llm.common import bounded_batches, fresh, written
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -46,25 +46,26 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with the counts of their texts, which come in batches through Arrow; other columns pass untouched.
-    Columns of ``docs`` that have the name of a count are replaced."""
-    keep = docs.drop(*COUNTS)
+def with_counts(docs: DataFrame, text: str = "text", names: Sequence[str] = COUNTS) -> DataFrame:
+    """The rows with the counts of their texts as columns ``names``, which come in batches through Arrow; other columns pass
+    untouched. Columns of ``docs`` that have one of these names, in any case, are replaced."""
+    added = {n.lower() for n in names}
+    keep = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     at = keep.columns.index(text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields), *(f"{c} long" for c in COUNTS)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields), *(f"`{c}` long" for c in names)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(x) for x in batch.column(at).to_pylist()]
-            more = [pa.array([x[i] for x in found], pa.int64()) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *COUNTS])
+            more = [pa.array([x[i] for x in found], pa.int64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
     bounded_batches(docs.sparkSession)
     return keep.mapInArrow(add, schema)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words") -> Column:
+    return (F.col(n_words) < LEAST_WORDS) | (100 * F.col(n_repeat_words) > MOST_REPEATED * F.col(n_words))
 
 
 def host_verdicts(rows: DataFrame, host: str = "source", rate: float = HOST_RATE) -> DataFrame:
@@ -84,14 +85,25 @@ def host_verdicts(rows: DataFrame, host: str = "source", rate: float = HOST_RATE
     return sums.withColumn("shrunk_rate", shrunk).withColumn("host_kept", F.col("shrunk_rate") <= F.lit(rate))
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", rate: float = HOST_RATE) -> DataFrame:
-    """The rows with counts, ``base_failed`` and ``kept``: no failure of their own and a host that is kept.
+def judged(docs: DataFrame, text: str = "text", host: str = "source", rate: float = HOST_RATE, names: dict[str, str] | None = None) -> DataFrame:
+    """The rows with counts, ``base_failed`` and ``kept``: no failure of their own and a host that is kept. ``names`` gives
+    these columns other names; columns of ``docs`` with the names that are used are replaced, all others pass untouched.
 
     Host verdicts come from a first pass over text and host alone. Null and empty texts have no words and fail; rows
-    that repeat are judged alike; an empty table gives none.
-    """
+    that repeat are judged alike; an empty table gives none."""
+    name = {c: (names or {}).get(c, c) for c in (*COUNTS, "base_failed", "kept")}
     narrow = with_counts(docs.select(F.col(text).alias("text"), F.col(host).alias("host"))).select("host", base_failed().alias("base_failed"))
-    hosts = written(host_verdicts(narrow, "host", rate).select(F.col("host").alias("_host"), "host_kept"), "host-verdicts")
-    rows = with_counts(docs.drop("base_failed", "kept", "_host", "host_kept"), text).withColumn("base_failed", base_failed())
-    joined = rows.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).drop("_host", "host_kept")
+    key, kept = fresh(docs, "_host"), fresh(docs, "_host_kept")
+    hosts = written(host_verdicts(narrow, "host", rate).select(F.col("host").alias(key), F.col("host_kept").alias(kept)), "host-verdicts")
+    rows = with_counts(docs.drop(name["base_failed"], name["kept"]), text, [name[c] for c in COUNTS])
+    rows = rows.withColumn(name["base_failed"], base_failed(name["n_words"], name["n_repeat_words"]))
+    joined = rows.join(hosts, F.col(f"`{host}`").eqNullSafe(F.col(key)), "left")
+    return joined.withColumn(name["kept"], ~F.col(name["base_failed"]) & F.coalesce(kept, F.lit(True))).drop(key, kept)
+
+
+def kept_only(docs: DataFrame, text: str = "text", host: str = "source", rate: float = HOST_RATE) -> DataFrame:
+    """The rows that ``judged`` keeps, with their own columns, whatever these are called."""
+    names: dict[str, str] = {}
+    for c in (*COUNTS, "base_failed", "kept"):
+        names[c] = fresh(docs, f"_{c}")
+    return judged(docs, text, host, rate, names).where(F.col(names["kept"])).select([F.col(f"`{c}`") for c in docs.columns])
