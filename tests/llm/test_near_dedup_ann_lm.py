@@ -280,23 +280,6 @@ def test_lm_gradient_and_normalisation():
     assert net.log_probs(around, symbols).mean() > before + 0.5
 
 
-def test_lm_query_beats_word_frequencies(spark):
-    rows = {r.doc_id: r for r in queries.op10_pseudo_likelihood(spark, SF).collect()}
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert set(rows) == set(docs)
-    own, counts = lm.symbol_counts(lm.word_counts(spark.read.parquet(f"{SF}/documents.parquet")))
-    logs = np.log((counts + 1) / (counts + 1).sum())
-    number = {w: i for i, w in enumerate(own)}
-    plain = total = 0.0
-    for i, text in docs.items():
-        words = lm.words_of(text)
-        assert rows[i].n_tokens == len(words)
-        plain += sum(logs[number.get(w, lm.OWN)] for w in words)
-        total += rows[i].log_likelihood
-    print("per word", total / sum(r.n_tokens for r in rows.values()), "unigram", plain / sum(r.n_tokens for r in rows.values()))
-    assert total > plain
-
-
 def test_lm_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "a b", 2), (2, "", 3), (3, "a " * 20_000, 4), (3, "a " * 20_000, 4)], "doc_id long, text string, symbols int")
     rows = sorted(lm.pseudo_likelihood(docs).collect(), key=str)
