@@ -115,7 +115,8 @@ class SequenceFilter:
 
 @dataclass
 class HitFilter:
-    """Hits by thresholds, best flags, database types, annotations and species."""
+    """Hits by thresholds, best flags, database types, annotations and species, and by their sequences' levels (a column for
+    each library) and p-values."""
 
     evalue: float | None = None
     least: dict[str, float] = field(default_factory=dict)
@@ -126,6 +127,7 @@ class HitFilter:
     not_species: Sequence[str] = ()
     texts: Sequence[TextSearch] = ()
     de: Directed | None = None
+    levels: Levels | None = None
 
     def column(self) -> Column | None:
         name = F.lower("species")
@@ -137,10 +139,53 @@ class HitFilter:
             *[like(F.col(k), v) if v else _present(k, True) for k, v in self.annotated.items()],
             name.isin([s.lower() for s in self.species]) if self.species else None,
             ~name.isin([s.lower() for s in self.not_species]) if self.not_species else None,
-            *[t.column() for t in self.texts], self.de.column() if self.de else None,
+            *[t.column() for t in self.texts], *[x.column() for x in (self.de, self.levels) if x],
+        ])
+
+
+@dataclass
+class MergedSequenceFilter:
+    """Sequences of merged datasets: texts, whether they have pairs, a hit, terms, their dataset, whether they are in
+    clusters of methods (a column of each holds the cluster or null; True in, False not in), and half-open ranges of
+    libraries' levels. Methods and levels are each joined by their own ``how``."""
+
+    texts: Sequence[TextSearch] = ()
+    paired: bool | None = None
+    annotated: bool | None = None
+    has_terms: bool | None = None
+    dataset: str | int | None = None
+    methods: dict[str, bool] = field(default_factory=dict)
+    methods_how: str = "and"
+    levels: dict[str, Range] = field(default_factory=dict)
+    levels_how: str = "and"
+
+    def column(self) -> Column | None:
+        some = lambda name, wanted: None if wanted is None else (F.coalesce(name, F.lit(0)) > 0) == F.lit(wanted)
+        return combine([
+            *[t.column() for t in self.texts], some("n_pairs", self.paired), None if self.annotated is None else F.col("hit_id").isNotNull() == F.lit(self.annotated), some("n_terms", self.has_terms),
+            None if self.dataset is None else F.col("dataset") == self.dataset,
+            combine([F.col(m).isNotNull() == F.lit(inside) for m, inside in self.methods.items()], self.methods_how), combine(_ranges(self.levels), self.levels_how),
         ])
 
 
+@dataclass
+class SinglePairFilter:
+    """Pairs of one dataset: a part of either name, a part of the search's kind, and least overlaps: for a prefix (nt, aa) the
+    length, and the percents of length and similarity, the score over the length. All parts hold together."""
+
+    name: str | None = None
+    kind: str | None = None
+    overlaps: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+
+    def column(self) -> Column | None:
+        def enough(prefix: str, least: tuple[float, float, float]) -> Column:
+            size, ratio, score = (F.col(f"{prefix}_{c}") for c in ("len", "ratio", "score"))
+            return (size >= least[0]) & (ratio >= least[1] / 100) & (size > 0) & (score >= least[2] / 100 * size)
+
+        either = combine([like(F.col(c), self.name) for c in ("seq1", "seq2")], "or") if self.name else None
+        return combine([either, like(F.col("kind"), self.kind) if self.kind else None, *[enough(p, x) for p, x in self.overlaps.items()]])
+
+
 @dataclass
 class TermFilter:
     """GO terms. A search by id or name stands alone; otherwise thresholds, evidence, domain, level, slim and enrichment."""

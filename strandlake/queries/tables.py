@@ -30,6 +30,32 @@ def sequence_filter(spark, sf):
     return P.apply(wide(spark, sf), spec).select("p_partkey", "A", "N", "R")
 
 
+def hits_by_levels(spark, sf):
+    """Hits of sequences with enough lines of two libraries and a p-value of either sign, by order."""
+    levels = R.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("seq_id")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity")).fillna(0)
+    p = (F.col("seq_id") % 100) / 500 - 0.1
+    spec = P.HitFilter(least={"bits": 400}, levels=P.Levels(["A", "R"], 60, "any"), de=P.Directed(["p_one"], 0.05, "up"))
+    return P.apply(R.flagged(spark, sf).join(levels, "seq_id").withColumn("p_one", p), spec).select("seq_id", "hit_id")
+
+
+def merged_sequence_filter(spark, sf):
+    """Orders of three datasets with pairs, hits, clusters of two methods and levels of two libraries."""
+    levels = R.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("seq_id")).pivot("l_returnflag", ["A", "R"]).agg(F.sum("l_quantity"))
+    o = R.read(spark, sf, "orders").withColumns({"seq_id": F.col("o_orderkey"), "dataset": F.col("o_custkey") % 3, "n_pairs": F.col("o_custkey") % 4, "n_terms": F.when(F.col("o_custkey") % 5 > 0, F.col("o_custkey") % 5 - 1)})
+    o = o.withColumns({"hit_id": F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderkey")), "BB": F.when(F.col("o_custkey") % 2 == 0, "BB_1"), "CL": F.when(F.col("o_orderkey") % 3 == 0, "CL_1")}).join(levels, "seq_id", "left")
+    specs = {
+        "one": P.MergedSequenceFilter([P.TextSearch("o_orderstatus", "f")], True, True, True, 1, {"BB": True, "CL": False}, "and", {"A": (10, 100), "R": (20, None)}, "or"),
+        "two": P.MergedSequenceFilter(paired=False, annotated=False, has_terms=False), "three": P.MergedSequenceFilter(dataset=2, methods={"BB": False, "CL": True}, methods_how="or", levels={"A": (None, 50), "R": (30, 60)}),
+    }
+    return o.select("seq_id", F.explode(F.array_compact(F.array(*[F.when(s.column(), F.lit(k)) for k, s in specs.items()]))).alias("filter"))
+
+
+def single_pair_filter(spark, sf):
+    rows = R.pairs(spark, sf).withColumns({"kind": F.when(F.col("ds1") == 0, "AA").when(F.col("ds1") == 1, "ORF").otherwise("NT::AA"), "nt_len": F.col("aln"), "nt_ratio": F.col("cov1") / 100, "nt_score": F.floor(F.col("aln") * F.col("sim") / 120), "aa_len": F.col("cov2"), "aa_ratio": F.col("sim") / 100, "aa_score": F.col("aln")})
+    spec = P.SinglePairFilter("1", "aa", {"nt": (30, 40, 50), "aa": (20, 40, 60)})
+    return P.apply(rows.withColumns({"seq1": F.col("seq1").cast("string"), "seq2": F.col("seq2").cast("string")}), spec).select("seq1", "seq2")
+
+
 def fold_changes(spark, sf):
     rows = wide(spark, sf)
     return rounded(rows.select("p_partkey", fold_change(F.col("A"), F.col("N")).alias("ratio"), fold_change(F.col("A"), F.col("N"), log=True).alias("log2")), "ratio", "log2")
@@ -135,7 +161,15 @@ def buried_counts(spark, sf):
 FOLD = "CASE WHEN {a} + 0.1 >= {b} + 0.1 THEN ({a} + 0.1) / ({b} + 0.1) ELSE -({b} + 0.1) / ({a} + 0.1) END"
 AN, NR = FOLD.format(a="A", b="N"), FOLD.format(a="N", b="R")
 
+LEVELS_SQL = "lv AS (SELECT l_orderkey AS seq_id, sum(l_quantity) FILTER (l_returnflag = 'A') AS A, sum(l_quantity) FILTER (l_returnflag = 'R') AS R FROM lineitem GROUP BY 1)"
+
 QUERIES = {
+    "f14_hits_by_levels": (hits_by_levels, f"WITH {FLAGGED_SQL}, {LEVELS_SQL} SELECT seq_id, hit_id FROM flagged JOIN lv USING (seq_id) WHERE bits >= 400 AND (coalesce(A, 0) >= 60 OR coalesce(R, 0) >= 60) AND (seq_id % 100) / 500 - 0.1 > 0 AND (seq_id % 100) / 500 - 0.1 < 0.05"),
+    "f17_single_pair_filter": (single_pair_filter, f"""WITH {PAIRS_SQL} SELECT CAST(seq1 AS VARCHAR) AS seq1, CAST(seq2 AS VARCHAR) AS seq2 FROM pairs WHERE (contains(CAST(seq1 AS VARCHAR), '1') OR contains(CAST(seq2 AS VARCHAR), '1')) AND ds1 <> 1
+        AND aln >= 30 AND cov1 >= 40 AND floor(aln * sim / 120) >= 0.5 * aln AND cov2 >= 20 AND sim >= 40 AND aln >= 0.6 * cov2"""),
+    "f18_merged_sequence_filter": (merged_sequence_filter, f"""WITH {LEVELS_SQL}, o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, A, R FROM orders LEFT JOIN lv ON seq_id = o_orderkey)
+        SELECT k AS seq_id, 'one' AS filter FROM o WHERE s = 'F' AND c % 4 > 0 AND k % 7 > 0 AND c % 5 > 1 AND c % 3 = 1 AND c % 2 = 0 AND k % 3 <> 0 AND ((A >= 10 AND A < 100) OR R >= 20)
+        UNION ALL SELECT k, 'two' FROM o WHERE c % 4 = 0 AND k % 7 = 0 AND c % 5 < 2 UNION ALL SELECT k, 'three' FROM o WHERE c % 3 = 2 AND (c % 2 = 1 OR k % 3 = 0) AND A < 50 AND R >= 30 AND R < 60"""),
     "f02_f04_f09_sequence_filter": (sequence_filter, f"""WITH {WIDE_SQL} SELECT p_partkey, A, N, R FROM wide WHERE p_size >= 10 AND p_size < 40 AND p_retailprice >= 900 AND lower(p_name) LIKE '%bolt%' AND lower(p_brand) LIKE 'brand#1%'
         AND p_type <> '' AND (A >= 200 OR N >= 200) AND R <= 400 AND (((A > 0 OR N > 0) AND {AN} >= 1.2) OR ((N > 0 OR R > 0) AND {NR} >= 1.2))"""),
     "p03_fold_change": (fold_changes, f"WITH {WIDE_SQL} SELECT p_partkey, round({AN}, 6) AS ratio, round(log2((A + 0.1) / (N + 0.1)), 6) AS log2 FROM wide"),
