@@ -5,7 +5,12 @@ neighbours. Every vector is filed under its nearest centroids: vectors near a bo
 the graph, takes the nearest lists until they hold enough vectors, keeps those within a ratio of the last one's distance,
 and is scored against these lists only. Lists are packed into groups of bounded size, long lists over several, so no task gets an unbounded one.
 
-The inner product is searched as a distance: each vector gets a last component that gives all the same length.
+The inner product is searched as a distance: each vector gets a last component that gives all the same length, and each
+query, whose length does not change the order of its neighbours, is brought to that length too.
+
+How far the ratio has to reach depends on the table: tight groups or lengths that vary ask for more lists. So it is measured:
+a bounded number of queries is compared with all rows in one pass, and the ratio is the least that finds ``RECALL`` of
+their true neighbours. These comparisons set the ratio only; results come from the lists.
 """
 
 from __future__ import annotations
@@ -31,8 +36,11 @@ GROUP_ROWS = 1 << 15
 REPLICATE, REPLICAS = 0.05, 4
 #: Square of how near two lists' centroids may be, as a share of the vector's distance, for a vector to be in both.
 APART = 0.25
-#: A query reads lists whose centroid is up to (1 + PRUNE) times as far as the nearest that it needs for k others.
+#: A query reads lists whose centroid is up to (1 + PRUNE) times as far as the nearest that it needs for k others, or
+#: further where the measured queries need it.
 PRUNE = 0.15
+#: At most so many queries, those with the smallest hashes, are measured, and the share of their neighbours to be found.
+MEASURED, RECALL = 256, 0.98
 #: Width of the walk over the graph, for filing and for queries.
 WALK_FILE, WALK_QUERY = 24, 512
 NEIGHBOURS = 16
@@ -40,12 +48,14 @@ NEIGHBOURS = 16
 
 @dataclass
 class Index:
-    """Centroids (with the extra component), their graph, the square of the greatest length and the dimension."""
+    """Centroids (with the extra component), their graph, the square of the greatest length and the dimension. Lengths
+    are in units of ``unit``, the greatest component of the table, so that squares stay in range."""
 
     centroids: np.ndarray
     graph: np.ndarray
     top2: float
     dim: int
+    unit: float = 1.0
 
     def walk(self, points: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids that a best-first walk of that width finds for each point: numbers and squared
@@ -80,6 +90,8 @@ class Index:
         return np.where(np.isfinite(dist), ids, -1), dist
 
     def lift(self, vectors: np.ndarray) -> np.ndarray:
+        """Vectors with their last component, all of the same length."""
+        vectors = vectors / self.unit
         return np.concatenate([vectors, np.sqrt(np.maximum(self.top2 - (vectors**2).sum(1, keepdims=True), 0))], 1)
 
     def file(self, vectors: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -95,11 +107,26 @@ class Index:
                     got.append(c)
             yield from ((row, int(g)) for g in got)
 
+    def aim(self, queries: np.ndarray) -> np.ndarray:
+        """Queries as points among the lifted vectors: of their greatest length, with a last component of 0."""
+        queries = queries / np.maximum(np.abs(queries).max(1, keepdims=True), np.finfo(float).tiny)
+        queries = queries * (np.sqrt(self.top2) / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), np.finfo(float).tiny))
+        return np.concatenate([queries, np.zeros((len(queries), 1))], 1)
+
+    def needed(self, query: np.ndarray, held: list[list[int]], sizes: np.ndarray, least: int) -> list[float]:
+        """For each of a query's neighbours, given by the lists that hold it, the ratio at which ``lists`` reads one."""
+        point = self.aim(query[None])[0]
+        d = np.maximum((point**2).sum() + (self.centroids**2).sum(1) - 2 * self.centroids @ point, 0)
+        base = self._reach(order := np.argsort(d, kind="stable"), d[order], 0.0, sizes, least)
+        if base is None:
+            return [0.0] * len(held)
+        return [float(np.sqrt(d[own].min() / base) - 1) if base else (np.inf if d[own].min() else 0.0) for own in held]
+
     def lists(self, queries: np.ndarray, prune: float, sizes: np.ndarray, least: int) -> list[np.ndarray]:
         """The lists that each query reads: in order of distance, those that hold ``least`` vectors together, and others
         up to (1 + prune) times as far as the last of these. ``sizes`` are the lists' numbers of vectors. Where a walk
         ends before that, all centroids are looked at."""
-        points = np.concatenate([queries, np.zeros((len(queries), 1))], 1)
+        points = self.aim(queries)
         ids, dist = self.walk(points, WALK_QUERY)
         norms = (self.centroids**2).sum(1)
         out = []
@@ -155,18 +182,23 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
 
 def fit(rows: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_ROWS, seed: int = 7) -> Index | None:
     """Centroids and graph from a bounded sample of ``usable`` rows; None for an empty table."""
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    n, top2 = rows.agg(F.count(F.lit(1)), F.max(square)).first()
+    n, unit = rows.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("vector", F.abs)))).first()
     if not n:
         return None
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.lit(unit)) * (x / F.lit(unit)))
+    top2 = rows.agg(F.max(square)).first()[0]
     some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / n)))) if n > sample else rows
     points = np.array([r.vector for r in some.orderBy("vec_id").select("vector").collect()])  # bounded by ``sample``
     if not len(points):
         points = np.array([rows.select("vector").first().vector])
-    index = Index(points[:0], np.zeros((0, 0), int), float(top2), points.shape[1])
+    index = Index(points[:0], np.zeros((0, 0), int), float(top2), points.shape[1], float(unit))
     points = index.lift(points)
     lists = min(MAX_LISTS, max(1, n // list_rows))
-    centroids = np.array(balanced(points, max(1, -(-len(points) // lists)), np.random.default_rng(seed)))[:MAX_LISTS]
+    most = max(1, -(-len(points) // lists))
+    centroids = np.array(balanced(points, most, np.random.default_rng(seed)))
+    while len(centroids) > MAX_LISTS:  # groups that came out small: fewer and larger ones
+        most += -(-most // 4)
+        centroids = np.array(balanced(points, most, np.random.default_rng(seed)))
     k = min(NEIGHBOURS, len(centroids))
     norms = (centroids**2).sum(1)
     graph = np.empty((len(centroids), k + 2), int)
@@ -177,7 +209,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_ROWS, seed:
     graph[:, k + 1] = np.random.default_rng(seed).permutation(len(centroids))
     for i, row in enumerate(graph):  # an arc that repeats leads back to its own centroid
         graph[i] = np.where(np.isin(np.arange(k + 2), np.unique(row, return_index=True)[1]), row, i)
-    return Index(centroids, graph, float(top2), index.dim)
+    return Index(centroids, graph, float(top2), index.dim, float(unit))
 
 
 def packed(sizes: dict[int, int], group_rows: int) -> tuple[dict[int, list[int]], int]:
@@ -205,11 +237,49 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(least)))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, prune: float = PRUNE, index: Index | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+def measured(rows: DataFrame, queries: DataFrame, postings: DataFrame, index: Index, sizes: np.ndarray, k: int, least: int, recall: float = RECALL) -> float:
+    """The least ratio at which lists hold ``recall`` of the true neighbours of at most ``MEASURED`` queries; 0 without
+    queries. One pass over ``rows``, of which each task keeps k for each of these queries."""
+    few = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).select("vec_id", "vector").collect()
+    if not few:
+        return 0.0
+    own = np.array([r.vec_id for r in few])
+    points = np.array([r.vector for r in few])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                new = np.asarray(part.column(0))
+                s = points @ np.asarray(part.column(1).flatten()).reshape(-1, index.dim).T
+                s[own[:, None] == new] = -np.inf
+                scores = np.concatenate([scores, s], 1)
+                ids = np.concatenate([ids, np.broadcast_to(new, s.shape)], 1)
+                if scores.shape[1] > k:
+                    top = np.argpartition(-scores, k - 1, 1)[:, :k]
+                    ids, scores = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+        at, col = np.nonzero(np.isfinite(scores))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(ids[at, col], pa.int64()), pa.array(scores[at, col], pa.float64())], names=["query", "vec_id", "score"])
+
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    once = rows.select("vec_id", "vector").mapInArrow(nearest, "query int, vec_id long, score double").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    true = once.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "vec_id")
+    found = postings.select("list", "vec_id").join(true, "vec_id").groupBy("query", "vec_id").agg(F.collect_set("list").alias("lists"))
+    by: dict[int, list[list[int]]] = {}
+    for r in found.collect():  # MEASURED * k rows at most
+        by.setdefault(r.query, []).append(r.lists)
+    ratios = np.sort([x for q, held in by.items() for x in index.needed(points[q], held, sizes, least)])
+    return float(max(ratios[int(np.ceil(recall * len(ratios))) - 1], 0.0)) + 1e-9 if len(ratios) else 0.0
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, prune: float = PRUNE, index: Index | None = None, group_rows: int = GROUP_ROWS, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query its k best rows by inner product, equal scores by smaller id.
 
+    Lists are read up to the ratio ``prune``, or further where ``recall`` of the measured queries' neighbours need it.
     Both tables are ``usable`` rows; the rows with a query's own id are not its candidates. Rows that share an id count
-    once, with their best score. Candidates that tie are ordered, not dropped. An empty table gives no rows.
+    once, with their best score. Candidates that tie are ordered, not dropped. An empty table gives no rows. Pairs whose
+    inner product is beyond the range of doubles have no score and are not returned.
     """
     spark = rows.sparkSession
     index = index or fit(rows)
@@ -234,6 +304,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, prune: float = PRUN
     held = np.zeros(len(index.centroids), int)
     held[[r["list"] for r in filled]] = [r["ids"] for r in filled]
     least = REPLICAS * (k + 1)  # a vector is in REPLICAS lists at most, so these are k others and the query itself
+    prune = max(prune, measured(rows, queries, postings, index, held, k, least, recall))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

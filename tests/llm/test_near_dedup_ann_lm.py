@@ -248,6 +248,40 @@ def test_ann_small_tight_groups(spark):
     assert hit / (20 * len(want)) >= 0.95
 
 
+@pytest.mark.parametrize("lengths", ["unit", "mixed", "outliers"])
+@pytest.mark.parametrize("groups", [280, 1200])
+def test_ann_recall_of_groups_with_lengths(spark, lengths, groups):
+    """Groups of 1 to 24 near copies in 16 dimensions, with default parameters: equal lengths, lengths from 0.5 to 2, and
+    one row in seven scaled by 0.2 to 5."""
+    rng = np.random.default_rng(groups)
+    rows = []
+    for _ in range(groups):
+        centre = rng.normal(size=16)
+        rows += [centre + 0.05 * rng.normal(size=16) for _ in range(rng.integers(1, 25))]
+    rows = np.array(rows)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    if lengths == "mixed":
+        rows *= rng.uniform(0.5, 2, (len(rows), 1))
+    elif lengths == "outliers":
+        rows *= np.where(rng.random((len(rows), 1)) < 1 / 7, rng.uniform(0.2, 5, (len(rows), 1)), 1)
+    vectors = dict(enumerate(rows))
+    own = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>"))
+    want = nearest(vectors, range(0, len(rows), 20))
+    got = defaultdict(set)
+    for r in ann.search(own, own.where("vec_id % 20 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    shares = [len({v for v, _ in want[q]} & got[q]) / 20 for q in want]
+    print("recall", lengths, len(rows), np.mean(shares), min(shares), sum(s < 0.9 for s in shares), len(shares))
+    assert np.mean(shares) >= 0.95 and np.mean(np.array(shares) < 0.9) <= 0.1
+
+
+def test_ann_great_and_small_components(spark):
+    rows = [(i, [x, 0.0]) for i, x in enumerate([1e200, 1.0, 2.0, 1e-300, -1.0])]
+    own = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [r.vec_id for r in ann.search(own, own.where("vec_id = 1")).orderBy("rank").collect()]
+    assert got == [0, 2, 3, 4]
+
+
 def test_ann_walk_is_no_cap(monkeypatch):
     rng = np.random.default_rng(4)
     centroids = np.concatenate([rng.normal(size=(60, 3)), np.zeros((60, 1))], 1)
