@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,20 +62,6 @@ def mutual_sets(best: DataFrame, n: int) -> DataFrame:
     return labels.join(full, "component", "left_semi").select(F.col("component").alias("cluster"), F.col("node").alias("seq"))
 
 
-def _per_component(edges: DataFrame, columns: list[str], work) -> DataFrame:
-    """Run a greedy rule on the edges of each component; rows out are (cluster, seq), clusters numbered in a component."""
-    labels = components(edges)
-    rows = edges.select("seq1", "seq2", *columns).join(labels.withColumnRenamed("node", "seq1"), "seq1")
-    kind = dict(edges.dtypes)["seq1"]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        name = group["component"].iloc[0]
-        out = [(f"{name}-{i}", seq) for i, members in enumerate(work(group)) for seq in sorted(members)]
-        return pd.DataFrame(out, columns=["cluster", "seq"])
-
-    return rows.groupBy("component").applyInPandas(run, f"cluster string, seq {kind}")
-
-
 def complete_linkage(edges: DataFrame) -> DataFrame:
     """cluster (its smallest member's name), seq. Edges are taken in order (best, e-value, bits, names); two clusters are
     merged only if every pair between them is an edge. Clusters of one sequence are left out; loops and further edges of
@@ -101,43 +90,77 @@ def complete_linkage(edges: DataFrame) -> DataFrame:
     return labels.join(whole, "cluster").select(F.col("cluster").cast("string").alias("cluster"), "seq")
 
 
+def _largest(near: dict, nodes: set) -> list:
+    """The members, in order, of the largest clique of ``nodes``; of equally large ones the first by members."""
+    best: list = []
+    stack = [((), frozenset(nodes), frozenset())]
+    while stack:
+        chosen, open_, shut = stack.pop()
+        if len(chosen) + len(open_) < len(best):
+            continue
+        if not open_ and not shut:
+            key = sorted(chosen)
+            if len(key) > len(best) or (len(key) == len(best) and key < best):
+                best = key
+            continue
+        pivot = max(open_ | shut, key=lambda x: len(near[x] & open_))
+        for x in sorted(open_ - near[pivot], reverse=True):
+            stack.append(((*chosen, x), open_ & near[x], shut & near[x]))
+            open_, shut = open_ - {x}, shut | {x}
+    return best
+
+
+def _egos(edges: DataFrame) -> DataFrame:
+    """a, nodes, links: for each sequence its mates of higher degree (ties: of greater name), and the pairs among these.
+    There are never more of them than the square root of twice the number of all pairs."""
+    degree = edges.select(F.explode(F.array("seq1", "seq2")).alias("seq")).groupBy("seq").agg(F.count(F.lit(1)).alias("d"))
+    for i in (1, 2):
+        edges = edges.join(degree.select(F.col("seq").alias(f"seq{i}"), F.col("d").alias(f"d{i}")), f"seq{i}")
+    up = F.struct("d1", "seq1") < F.struct("d2", "seq2")
+    out = cut(edges.select(F.when(up, F.col("seq1")).otherwise(F.col("seq2")).alias("a"), F.when(up, F.col("seq2")).otherwise(F.col("seq1")).alias("b")))
+    onward = out.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    corner = out.join(onward, "b").join(out.select("a", F.col("b").alias("c")), ["a", "c"])
+    links = corner.groupBy("a").agg(F.collect_list(F.struct("b", "c")).alias("links"))
+    return out.groupBy("a").agg(F.collect_list("b").alias("nodes")).join(links, "a", "left")
+
+
 def cliques(edges: DataFrame) -> DataFrame:
-    """cluster, seq of disjoint cliques of two or more: of the largest cliques of each component the largest comes first
-    (then by names); those that meet it lose the members it has."""
-
-    def largest(near: dict, nodes: set) -> list:
-        best: list = []
-        stack = [((), frozenset(nodes), frozenset())]
-        while stack:
-            chosen, open_, shut = stack.pop()
-            if len(chosen) + len(open_) < len(best):
-                continue
-            if not open_ and not shut:
-                key = sorted(chosen)
-                if len(key) > len(best) or (len(key) == len(best) and key < best):
-                    best = key
-                continue
-            pivot = max(open_ | shut, key=lambda x: len(near[x] & open_))
-            for x in sorted(open_ - near[pivot], reverse=True):
-                stack.append(((*chosen, x), open_ & near[x], shut & near[x]))
-                open_, shut = open_ - {x}, shut | {x}
-        return best
-
-    def work(group: pd.DataFrame) -> list[set]:
-        near: dict = {}
-        for a, b in zip(group["seq1"], group["seq2"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        left, out = set(near), []
-        while left:
-            best = largest({x: near[x] & left for x in left}, left)
-            if len(best) < 2:
-                break
-            out.append(set(best))
-            left -= set(best)
-        return out
-
-    return _per_component(edges, [], work)
+    """cluster (its first member), seq of disjoint cliques of two or more: the largest comes first (then by members); those
+    that meet it lose the members it has. Repeated edges count once; an edge with itself or with null is none.
+
+    A clique is found at its member of lowest degree, among that one's mates of higher degree, so that a task holds such a
+    neighbourhood and never a component. Each round takes every clique that is the best one of all its members, which
+    gives what taking one after the other gives; there are as many rounds as the longest chain of cliques that each wait
+    for the next."""
+    kind = dict(edges.dtypes)["seq1"]
+    left = edges.where("seq1 <> seq2").select(F.least("seq1", "seq2").alias("seq1"), F.greatest("seq1", "seq2").alias("seq2"))
+    left = cut(left.distinct())
+    taken: list[DataFrame] = []
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for a, nodes, links in zip(frame["a"].tolist(), frame["nodes"], frame["links"], strict=True):
+                near: dict = {x: set() for x in nodes.tolist()}
+                for link in links if links is not None else ():
+                    near[link["b"]].add(link["c"])
+                    near[link["c"]].add(link["b"])
+                found = {x: sorted([a, x, *_largest({y: near[y] & near[x] for y in near[x]}, near[x])]) for x in near}
+                found[a] = min(found.values(), key=lambda m: (-len(m), m))
+                rows += [(x, -len(m), m) for x, m in found.items()]
+            yield pd.DataFrame(rows, columns=["seq", "less", "members"])
+
+    while left.head(1):
+        found = _egos(left).mapInPandas(best, f"seq {kind}, less int, members array<{kind}>")
+        own = found.groupBy("seq").agg(F.min(F.struct("less", "members")).alias("own")).select("seq", "own.members")
+        full = cut(own.groupBy("members").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size("members")).select("members"))
+        taken.append(full)
+        gone = full.select(F.explode("members").alias("seq"))
+        for i in (1, 2):
+            left = left.join(gone.withColumnRenamed("seq", f"seq{i}"), f"seq{i}", "left_anti")
+        left = cut(left)
+    none = edges.sparkSession.createDataFrame([], f"members array<{kind}>")
+    return reduce(DataFrame.unionByName, taken, none).select(F.col("members")[0].cast("string").alias("cluster"), F.explode("members").alias("seq"))
 
 
 def by_shared_hit(members: DataFrame, pairs: DataFrame, how: str = "all") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.logic import any_of, combine
-from strandlake.operators.stats import numbered_rows
+from strandlake.operators.stats import numbered_rows, ranged, running, with_total
 
 #: Cutoffs that differential expression is counted at.
 DE_CUTOFFS = (1e-5, 1e-4, 1e-3, 1e-2, 5e-2)
@@ -114,12 +114,11 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", by: str = "contrast") ->
     """Adds ``adjusted``: the least of p * n / rank over this and later ranks, at most 1. Equal p have equal values.
 
     Ranks come from counts of distinct p per contrast, so rows with equal p, of which there may be many, are grouped
-    before they are ordered."""
+    before they are ordered. They are ordered in ranges, so no task has to hold a contrast."""
     values = tests.where(F.col(p).isNotNull()).groupBy(by, p).agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(by)
-    values = values.withColumn("_rank", F.sum("_m").over(w.orderBy(p))).withColumn("_n", F.sum("_m").over(w))
-    adjusted = F.least(F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(w.orderBy(F.desc(p))), F.lit(1.0))
-    values = values.withColumn("adjusted", adjusted).select(F.col(by).alias("_by"), F.col(p).alias("_p"), "adjusted")
+    values = with_total(running(ranged(values, by, p), by, p, F.col("_m"), "_rank"), by, "_m", "_n")
+    values = running(values, by, p, F.col(p) * F.col("_n") / F.col("_rank"), "adjusted", "min", later=True)
+    values = values.select(F.col(by).alias("_by"), F.col(p).alias("_p"), F.least("adjusted", F.lit(1.0)).alias("adjusted"))
     return tests.join(values, (F.col(by) == F.col("_by")) & (F.col(p) == F.col("_p")), "left").drop("_by", "_p")
 
 

@@ -23,13 +23,38 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def ranged(df: DataFrame, by: str, order: str) -> DataFrame:
+    """Rows in the order of ``by`` and ``order``, cut into ranges of like size that ``_part`` numbers: what ``running`` reads."""
+    return cut(df.orderBy(by, order).withColumn("_part", F.spark_partition_id()))
+
+
+def running(rows: DataFrame, by: str, order: str, value: Column, name: str, how: str = "sum", later: bool = False) -> DataFrame:
+    """Adds the sum or least of ``value`` over the rows of a group up to this one, or from this one on. ``rows`` come from
+    ``ranged``; no two rows of a group share ``order``. A task has one group's rows of one range, however large the
+    group; what the ranges before it hold is added from a row for each range."""
+    of, both = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "min": (F.min, F.least)}[how]
+    direction = F.desc if later else F.asc
+    ends = rows.groupBy(by, "_part").agg(of(value).alias("_end"))
+    before = Window.partitionBy("_by").orderBy(direction("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(by).alias("_by"), F.col("_part").alias("_at"), "_end").withColumn("_far", of("_end").over(before)).drop("_end")
+    own = rows.withColumn(name, of(value).over(Window.partitionBy(by, "_part").orderBy(direction(order))))
+    joined = own.join(ends, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")))
+    return joined.withColumn(name, both(F.col(name), F.col("_far"))).drop("_by", "_at", "_far")
+
+
+def with_total(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over a group."""
+    sums = rows.groupBy(by).agg(F.sum(value).alias(name)).withColumnRenamed(by, "_by")
+    return rows.join(sums, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
 def quartiles(df: DataFrame, by: str, value: str) -> DataFrame:
     """q1, median and q3 by the rule that leaves the median out of both halves where n is odd.
 
-    Values are counted before they are ordered, so a group costs a row for each distinct value, not one for each row."""
+    Values are counted before they are ordered, so a group costs a row for each distinct value, not one for each row; they
+    are ordered in ranges, so no task has to hold a group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(by)
-    counts = counts.withColumn("_upto", F.sum("_m").over(w.orderBy(value))).withColumn("_n", F.sum("_m").over(w))
+    counts = with_total(running(ranged(counts, by, value), by, value, F.col("_m"), "_upto"), by, "_m", "_n")
     n = F.max("_n")
     at = lambda k: F.min(F.when(F.col("_upto") >= k, F.col(value)))
     half = F.floor(F.col("_n") / 2)

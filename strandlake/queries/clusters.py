@@ -44,16 +44,12 @@ def mutual_sets(spark, sf):
     return C.mutual_sets(C.reciprocal_best(R.pairs(spark, sf)), 3)
 
 
-def edges(spark, sf):
-    return R.pairs(spark, sf).where("bits > 185").withColumn("best", F.lit(2)).select("seq1", "seq2", "best", "evalue", "bits")
-
-
 def complete_linkage(spark, sf):
     return C.complete_linkage(C.edge_filter(R.pairs(spark, sf), sim=70, cov=60).withColumn("best", F.lit(2)))
 
 
 def cliques(spark, sf):
-    return C.cliques(edges(spark, sf))
+    return C.cliques(edge_filter(spark, sf))
 
 
 def shared_hit(spark, sf):

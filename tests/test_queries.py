@@ -39,16 +39,15 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(tuple(map(plain, r)) for r in got) == sorted(tuple(map(plain, r)) for r in want)
 
 
-def edges_of(spark, name):
+def edges_of(spark):
     from strandlake.queries import clusters
 
-    rows = clusters.edges(spark, SF) if name == "c05_cliques" else clusters.edge_filter(spark, SF)
-    return {frozenset((r.seq1, r.seq2)) for r in rows.collect()}
+    return {frozenset((r.seq1, r.seq2)) for r in clusters.edge_filter(spark, SF).collect()}
 
 
 @pytest.mark.parametrize("name", ["c04_complete_linkage", "c05_cliques"])
 def test_clusters_are_disjoint_cliques(spark, name):
-    edges, groups = edges_of(spark, name), defaultdict(list)
+    edges, groups = edges_of(spark), defaultdict(list)
     for r in Q.QUERIES[name](spark, SF).collect():
         groups[r.cluster].append(r.seq)
     members = [s for g in groups.values() for s in g]
