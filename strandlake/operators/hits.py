@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import descriptions as D
+from strandlake.functions.numbers import overlaps
 
 #: Fixed value: a hit of the preferred database replaces the best annotation at this share of its bit score.
 PREFERRED_SHARE = 0.7
@@ -100,12 +101,40 @@ def distinct_regions(hits: DataFrame, flank: int = 0) -> DataFrame:
     return rows.mapInPandas(keep, hits.select("seq_id", "hit_id").schema)
 
 
+#: Positions in a stretch of a sequence, where hits are paired by place; the width changes no result.
+STRETCH = 500
+
+
+def _placed(hits: DataFrame, side: str, keys: list[str], columns: list[str], flank: int = 0, whole: bool = True) -> DataFrame:
+    """The hits' keys, their other columns and the ends of their region in order, named for a side, with a row for each
+    stretch (``_at``) that the region meets with ``flank`` positions around it; or only for the one where it starts."""
+    ends = [f("seq_start", "seq_end").cast("long") for f in (F.least, F.greatest)]
+    rows = hits.where("seq_start IS NOT NULL AND seq_end IS NOT NULL").withColumns({"low": ends[0], "high": ends[1], "turned": F.col("seq_start") > F.col("seq_end")})
+    at = lambda x: F.floor(x / STRETCH)
+    stretch = F.explode(F.sequence(at(F.col("low") - flank), at(F.col("high") + flank))) if whole else at(F.col("low"))
+    return rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in (*columns, "low", "high")], stretch.alias("_at"))
+
+
 def contained(hits: DataFrame, flank: int = 0) -> DataFrame:
-    """Pairs (seq_id, inner, outer) of hits where the inner lies in a better hit of the same frame: the set-based rule."""
-    side = lambda p: hits.select("seq_id", "frame", *[F.col(c).alias(f"{p}_{c}") for c in ("hit_id", "bits", "seq_start", "seq_end")])
+    """Pairs (seq_id, inner_hit, outer_hit) of hits where the inner lies in a better hit of the same frame and orientation,
+    with ``flank`` positions of slack: the set-based rule. Hits without a region, frame or bits are in no pair.
+
+    Hits meet by stretches of a sequence, the inner one where it starts, so those far apart are never held against each
+    other and a sequence with many hits is shared out."""
+    keys, columns = ["seq_id", "frame", "turned"], ["hit_id", "bits"]
+    inner, outer = _placed(hits, "i", keys, columns, whole=False), _placed(hits, "o", keys, columns, flank)
     better = (F.col("o_bits") > F.col("i_bits")) | ((F.col("o_bits") == F.col("i_bits")) & (F.col("o_hit_id") < F.col("i_hit_id")))
-    inside = (F.col("i_seq_start") >= F.col("o_seq_start") - flank) & (F.col("i_seq_end") <= F.col("o_seq_end") + flank)
-    return side("i").join(side("o"), ["seq_id", "frame"]).where(better & inside).select("seq_id", F.col("i_hit_id").alias("inner_hit"), F.col("o_hit_id").alias("outer_hit"))
+    inside = (F.col("i_low") >= F.col("o_low") - flank) & (F.col("i_high") <= F.col("o_high") + flank)
+    return inner.join(outer, [*keys, "_at"]).where(better & inside).select("seq_id", F.col("i_hit_id").alias("inner_hit"), F.col("o_hit_id").alias("outer_hit"))
+
+
+def overlapping(hits: DataFrame) -> DataFrame:
+    """Pairs (seq_id, hit1, hit2) of a sequence's hits, the smaller id first, whose regions share a position, ends not
+    counted; hits without a region are in no pair. Hits meet by stretches, a pair in the one where the later one starts."""
+    a, b = (_placed(hits, side, ["seq_id"], ["hit_id"]) for side in ("a", "b"))
+    here = F.col("_at") == F.floor(F.greatest("a_low", "b_low") / STRETCH)
+    met = here & (F.col("a_hit_id") < F.col("b_hit_id")) & overlaps(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high"))
+    return a.join(b, ["seq_id", "_at"]).where(met).select("seq_id", F.col("a_hit_id").alias("hit1"), F.col("b_hit_id").alias("hit2"))
 
 
 #: What has to be equal for two hits to be the same alignment; columns that the hits lack are passed over.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strandlake.functions.numbers import overlaps
+from strandlake.operators import hits as H
 from strandlake.operators import ontology as O
 from strandlake.plans.extensions import Registry
 from strandlake.plans.filters import Directed, TermFilter, apply
@@ -76,9 +76,7 @@ def missing_numbers(spark, sf):
 
 
 def overlapping_hits(spark, sf):
-    a = R.hits(spark, sf)
-    side = lambda n: a.select("seq_id", F.col("hit_id").alias(f"hit{n}"), F.col("seq_start").alias(f"s{n}"), F.col("seq_end").alias(f"e{n}"))
-    return side(1).join(side(2), "seq_id").where((F.col("hit1") < F.col("hit2")) & overlaps(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))).select("seq_id", "hit1", "hit2")
+    return H.overlapping(R.hits(spark, sf))
 
 
 def snp_view(spark, sf):
