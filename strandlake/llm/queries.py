@@ -20,7 +20,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(warc.write_archives(warc.with_roles(table(spark, sf_dir, "pages"))))
-    return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WARC_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= {warc.LEAST_REVISIT} GROUP BY 1)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem
 FROM d LEFT JOIN f USING (payload_digest)
 """
 

@@ -12,6 +12,7 @@ version without new shards; a store of such versions alone reads as no rows with
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -146,10 +147,16 @@ class ShardStore:
             rows = rows.withColumn(file, F.col("_metadata.file_path")).join(named, file).drop(file)
         return rows
 
-    def vacuum(self) -> int:
-        """Delete data folders that the latest version does not use; the number deleted. Older versions can't be read then."""
+    def vacuum(self, older_than: float = 86_400) -> int:
+        """Delete folders of data that the latest version does not use, and staged tables, both only where they were last
+        changed ``older_than`` seconds ago or more; the number deleted. Older versions can't be read then. An append or a
+        merge that is not committed yet keeps its folders as long as it takes less time than that."""
         used = {r.path.split("/data/")[1].split("/")[0] for r in self.manifest().select("path").collect()}
-        gone = [x.getPath() for x in self._files.listStatus(self._path(f"{self.root}/data")) if x.getPath().getName() not in used]
-        for path in gone:
-            self._files.delete(path, True)
-        return len(gone)
+        latest, gone = time.time() - older_than, 0
+        for kind in ("data", "staging"):
+            folder = self._path(f"{self.root}/{kind}")
+            for x in self._files.listStatus(folder) if self._files.exists(folder) else ():
+                inside = [x, *self._files.listStatus(x.getPath())] if x.isDirectory() else [x]
+                if x.getPath().getName() not in used and max(f.getModificationTime() for f in inside) / 1000 <= latest:
+                    gone += bool(self._files.delete(x.getPath(), True))
+        return gone

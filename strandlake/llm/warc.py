@@ -23,6 +23,8 @@ ARCHIVE_BYTES = 8 << 20
 #: Payloads below this are always written in full.
 LEAST_REVISIT = 100
 PIECE = 1 << 16
+#: How a gzip member and a record start.
+MAGIC, START = b"\x1f\x8b\x08", b"WARC/"
 
 RECORD_SCHEMA = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary, problem string"
 
@@ -31,7 +33,8 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Each page with its payload, digest and the page that it revisits (null for responses).
 
     Of payloads that are equal and long enough, the smallest id is the response; rows that repeat that id are responses
-    too, and rows without an id are responses. Equal payloads are met by digest alone: the digests are counted before
+    too, and rows without an id are responses. A null page is written as an empty payload; rows that repeat are records
+    each; other columns do not go along; a table without rows makes no archive. Equal payloads are met by digest alone: the digests are counted before
     the shuffle, only those of several ids go on, and the page rows join that table, whose size Spark knows.
     """
     rows = pages.select(
@@ -104,19 +107,38 @@ def write_archives(roles: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     return spark.read.schema("path string, content binary").parquet(path)
 
 
-def inflated(content: bytes) -> Iterator[bytes]:
-    """The inflated bytes of each gzip member, one after the other; a member is inflated piece by piece."""
+def _member(view: memoryview, at: int) -> tuple[bytes, int]:
+    """The inflated bytes of the gzip member that starts at ``at``, inflated piece by piece, and where it ends."""
+    member, out = zlib.decompressobj(31), []
+    while not member.eof and at < len(view):
+        piece = view[at : at + PIECE]
+        out.append(member.decompress(piece))
+        at += len(piece)
+    if not member.eof:
+        raise ValueError("cut short: a gzip member has no end")
+    return b"".join(out), at - len(member.unused_data)
+
+
+def _starts_record(view: memoryview, at: int) -> bool:
+    try:
+        return zlib.decompressobj(31).decompress(view[at : at + PIECE], len(START)) == START
+    except zlib.error:
+        return False
+
+
+def inflated(content: bytes) -> Iterator[tuple[bytes | None, str | None]]:
+    """The inflated bytes of each gzip member, one after the other, and what is wrong where there are none. After a damaged
+    member the next one that starts a record is read on from, so damage costs the records that it lies in."""
     view, at = memoryview(content), 0
-    while at < len(view):
-        member, out = zlib.decompressobj(31), []
-        while not member.eof and at < len(view):
-            piece = view[at : at + PIECE]
-            out.append(member.decompress(piece))
-            at += len(piece)
-        if not member.eof:
-            raise ValueError("cut short: a gzip member has no end")
-        at -= len(member.unused_data)
-        yield b"".join(out)
+    while 0 <= at < len(view):
+        try:
+            member, at = _member(view, at)
+            yield member, None
+        except (zlib.error, ValueError) as e:
+            yield None, str(e)[:200]
+            at = content.find(MAGIC, at + 1)
+            while at >= 0 and not _starts_record(view, at):
+                at = content.find(MAGIC, at + 1)
 
 
 def parsed(member: bytes) -> dict:
@@ -161,22 +183,18 @@ def read_record(member: bytes) -> dict:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Every record of the archives (columns path, content), in RECORD_SCHEMA. Archives are read one after the other,
-    records come out in small batches. A damaged archive gives a row that names the problem and ends there."""
+    records come out in small batches. A damaged stretch gives a row that names the problem, with nulls elsewhere; the records
+    after it are read. A null or empty archive has no records, an empty table gives none."""
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("problem", pa.string())])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                members = inflated(content.as_py() or b"")
-                while True:
-                    try:
-                        member = next(members)
-                    except StopIteration:
-                        break
-                    except (zlib.error, ValueError) as e:
-                        rows.append(dict.fromkeys(schema.names) | {"problem": str(e)[:200]})
-                        break
+                for member, problem in inflated(content.as_py() or b""):
+                    if member is None:
+                        rows.append(dict.fromkeys(schema.names) | {"problem": problem})
+                        continue
                     rows.append(read_record(member))
                     size += len(member)
                     if size > 4 << 20:

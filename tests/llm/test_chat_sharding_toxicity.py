@@ -64,7 +64,11 @@ def test_store_versions(spark):
     seen = store.read(with_shard=True).groupBy("shard", "shard_rows").count().collect()
     assert {r.shard: r["count"] for r in seen} == {r.shard: r.shard_rows for r in seen} == {k: v for k, v in shards.items() if v}
     store.append(rows.limit(0))
-    assert store.vacuum() >= 4 and key(store.read()) == key(rows)
+    pending = store._new_folder(rows)
+    rows.write.parquet(pending)  # what another writer has not committed yet
+    assert store.vacuum() == 0 and spark.read.parquet(pending).count() == rows.count()
+    assert store.vacuum(older_than=0) >= 4 and key(store.read()) == key(rows)
+    assert store.vacuum(older_than=0) == 0
 
 
 def test_arrivals_and_empty_tables(spark):

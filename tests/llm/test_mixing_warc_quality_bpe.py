@@ -79,12 +79,28 @@ def test_warc_round_trip(spark):
 
 def test_warc_members_and_damage(spark):
     made = [warc.record_bytes(i, "u", b"x" * i, hashlib.sha256(b"x" * i).hexdigest(), None) for i in range(3)]
-    members = list(warc.inflated(b"".join(made)))
+    members = [m for m, problem in warc.inflated(b"".join(made)) if problem is None]
     assert len(members) == 3 and [warc.read_record(m)["payload_bytes"] for m in members] == [0, 1, 2]
     assert warc.read_record(members[2].replace(b"xx", b"xy"))["problem"] == "block digest"
     bad = spark.createDataFrame([("a", made[0] + made[1][:-12]), ("b", None)], "path string, content binary")
     rows = warc.read_archives(bad).collect()
     assert [r.problem is None for r in rows] == [True, False]
+    assert warc.read_archives(bad.limit(0)).count() == 0
+
+
+def test_warc_records_after_damage_are_read(spark):
+    made = [warc.record_bytes(i, "u", b"\x1f\x8b\x08 page " * 9 + bytes([i]), hashlib.sha256(b"\x1f\x8b\x08 page " * 9 + bytes([i])).hexdigest(), None) for i in range(6)]
+    hit = bytearray(made[1])
+    hit[40] ^= 0xFF
+    parts = [made[0], bytes(hit), made[2], made[3][:30], b"\x1f\x8b\x08 no member", made[4], made[5][:-3]]
+    rows = warc.read_archives(spark.createDataFrame([("a", b"".join(parts))], "path string, content binary")).collect()
+    assert [r.page_id for r in rows if r.problem is None] == [0, 2, 4]
+    assert all(r.page_id is None or r.problem is None or r.page_id == 1 for r in rows) and 2 <= len(rows) - 3 <= 4
+
+
+def test_warc_of_no_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.resolved(warc.read_archives(warc.write_archives(warc.with_roles(none)))).count() == 0
 
 
 def slow_counts(text):
