@@ -1,9 +1,10 @@
 """Toxicity by a weighted grammar of clauses.
 
 Terms come from a seed list and from the labels: words and word beginnings whose documents are labelled toxic far more
-often than chance allows. A text is searched for all terms at once; each clause with a hit is read as a string of word
-classes by composed transducers for negation, reported speech, targets and threats, which rewrite an insult to what it is
-in its clause. The weights of the clause kinds are fitted to the labels, and a text's score is that of its clauses.
+often than chance allows. A text is searched for all terms at once; each clause with a hit is read by one machine, the
+composition of weighted transducers for insults, threats, negation, targets and reported speech. Its heaviest path says
+what each term is in its clause and what it weighs there. The weights of the clause kinds are fitted to the labels, and
+a text's score is made of the path weights of its clauses.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,13 +32,15 @@ LEAST_RATE = 0.5
 STEMS = (3, 4, 5, 6, 7, 8)
 REJECT = 0.7
 
-#: Seed words, by class. Insult, threat, target, negation, reported speech.
+#: Seed words, by class. Insult, threat, target, negation, reported speech, stress, intent.
 SEEDS = {
     "I": "idiot moron imbecile clown scum trash loser pathetic worthless disgusting stupid idiota imbécil idiote imbécile trottel abschaum",
     "T": "kill murder hurt destroy strangle stab töten umbringen matar tuer",
     "Y": "you your yours they them he she him her du dich dir ihr euch tú te vosotros usted tu toi vous",
     "N": "not never no isn't aren't don't nicht kein keine nie nunca jamás ne pas jamais",
     "R": "said says called quoted reported claimed sagte sagt dijo dice dit disait",
+    "S": "such so total complete absolute utter damn bloody absoluter totaler voll tan totalmente quel vrai",
+    "B": "will shall gonna going i'll we'll werde werden voy vamos vais allons",
 }
 #: What a clause makes of a term: insult, targeted insult, threat, negated, reported.
 KINDS = ("insult", "targeted", "threat", "negated", "reported")
@@ -51,73 +54,142 @@ TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 END = re.compile(r"[.!?;:\n]")
 
 
+#: Weights of arcs: a stressed insult, a threat at someone and one with intent besides, an insult at someone; what negation
+#: and reported speech take off; and what a bare threat word weighs when it is negated or reported.
+STRESS, THREAT, INTENT, TARGETED, NEGATED, REPORTED, BARE = 0.5, 1.0, 0.5, 0.25, -0.5, -0.25, 0.5
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic machine on word classes: arcs give (next state, output), the rest copies its input."""
+    """A weighted machine on symbols. Each arc of a state and symbol is a next state, an output (None for the symbol
+    itself) and a weight; there may be several, or none, where paths end. ``*`` stands for symbols without arcs of their
+    own; a symbol that has not even that is copied. Paths begin at ``starts`` and count if they stop outside ``open``."""
 
-    start: object
+    starts: tuple
     arcs: dict
+    open: frozenset = frozenset()
+
+    def step(self, state, symbol) -> tuple:
+        found = self.arcs.get((state, symbol))
+        return self.arcs.get((state, "*"), ((state, None, 0.0),)) if found is None else found
+
+    def accepts(self, state) -> bool:
+        return state not in self.open
+
+
+class Composed:
+    """The second machine reads what the first writes; weights of arcs are added. Product states and their arcs are made as
+    they are met, and kept unless the first machine has an arc for each of many words."""
+
+    def __init__(self, first: Transducer | Composed, second: Transducer | Composed, keep: bool = True):
+        self.first, self.second, self.keep = first, second, keep
+        self.starts = tuple((a, b) for a in first.starts for b in second.starts)
+        self.arcs: dict = {}
+
+    def step(self, state, symbol) -> tuple:
+        found = self.arcs.get((state, symbol))
+        if found is None:
+            found = tuple(
+                ((a, b), y or x, v + w)
+                for a, x, v in self.first.step(state[0], symbol)
+                for b, y, w in self.second.step(state[1], x or symbol)
+            )
+            if self.keep:
+                self.arcs[state, symbol] = found
+        return found
 
-    def step(self, state, symbol):
-        return self.arcs.get((state, symbol)) or self.arcs.get((state, "*"), (state, None))
-
-    def run(self, symbols: list[str], state=None) -> tuple[list[str], object]:
-        state, out = self.start if state is None else state, []
-        for x in symbols:
-            state, y = self.step(state, x)
-            out.append(y or x)
-        return out, state
-
-
-class Composed(Transducer):
-    """The second machine reads what the first writes. Product states and their arcs are made as they are met."""
-
-    def __init__(self, first: Transducer, second: Transducer):
-        super().__init__((first.start, second.start), {})
-        object.__setattr__(self, "both", (first, second))
-
-    def step(self, state, symbol):
-        if (state, symbol) not in self.arcs:
-            a, x = self.both[0].step(state[0], symbol)
-            b, y = self.both[1].step(state[1], x or symbol)
-            self.arcs[state, symbol] = ((a, b), y or x or symbol)
-        return self.arcs[state, symbol]
-
-
-def within(opens: str, span: int, changes: dict[str, str]) -> Transducer:
-    """After one of ``opens``, the next ``span`` words are rewritten by ``changes``."""
-    arcs = {}
+    def accepts(self, state) -> bool:
+        return self.first.accepts(state[0]) and self.second.accepts(state[1])
+
+
+def heaviest(machine: Transducer | Composed, symbols: Iterable[str], kinds: Iterable[str]) -> tuple[float, list[tuple[int, str, float]]]:
+    """The weight of the heaviest path, and place, output and weight of its arcs that write one of ``kinds``. Of equal
+    paths into a state, that which was met first stays."""
+    paths = {s: (0.0, None) for s in machine.starts}
+    for i, x in enumerate(symbols):
+        ahead: dict = {}
+        for state, (total, back) in paths.items():
+            for to, out, w in machine.step(state, x):
+                if to not in ahead or total + w > ahead[to][0]:
+                    ahead[to] = (total + w, (back, (i, out or x, w)) if (out or x) in kinds else back)
+        paths = ahead
+    total, back = max((p for s, p in paths.items() if machine.accepts(s)), key=lambda p: p[0])
+    found = []
+    while back:
+        back, arc = back
+        found.append(arc)
+    return total, found[::-1]
+
+
+def insults(weights: dict[str, float]) -> Transducer:
+    """Terms become I with their own weights, more right after a word of stress."""
+    arcs: dict = {(s, t): ((0, "I", w + s * STRESS),) for t, w in weights.items() for s in (0, 1)}
+    arcs |= {(s, "S"): ((1, None, 0.0),) for s in (0, 1)} | {(1, "*"): ((0, None, 0.0),)}
+    return Transducer((0,), arcs)
+
+
+def threats(span: int = SPAN) -> Transducer:
+    """A threat word is V in place of T within ``span`` words of a word of intent."""
+    arcs: dict = {}
     for left in range(span + 1):
-        for x in opens:
-            arcs[left, x] = (span, None)
-        for x, y in changes.items():
-            arcs[left, x] = (max(left - 1, 0), y if left else None)
-        arcs[left, "*"] = (max(left - 1, 0), None)
-    return Transducer(0, arcs)
-
+        after = max(left - 1, 0)
+        arcs[left, "B"] = ((span, None, 0.0),)
+        arcs[left, "T"] = ((after, "V" if left else None, 0.0),)
+        arcs[left, "*"] = ((after, None, 0.0),)
+    return Transducer((0,), arcs)
 
-def scope(opens: str, changes: dict[str, str]) -> Transducer:
-    """From one of ``opens`` on, everything is rewritten by ``changes``."""
-    return Transducer(0, {(0, x): (1, None) for x in opens} | {(1, x): (1, y) for x, y in changes.items()})
 
-
-#: I insult, T threat word; J targeted insult, U targeted threat; n negated, q reported. Targets are looked for on both
-#: sides: the clause is read forwards by one machine and backwards by the other. Reported speech holds for the clause.
-FORWARD = Composed(within("N", SPAN, {"I": "n", "T": "n"}), within("Y", SPAN, {"I": "J", "T": "U"}))
-BACKWARD = within("Y", SPAN, {"I": "J", "T": "U"})
-REPORTED = scope("R", {"I": "q", "J": "q", "T": "q", "U": "q"})
+def negation(span: int = SPAN) -> Transducer:
+    """Terms within ``span`` words after a negation become n."""
+    arcs: dict = {}
+    for left in range(span + 1):
+        after = max(left - 1, 0)
+        arcs[left, "N"] = ((span, None, 0.0),)
+        for x, w in (("I", NEGATED), ("T", BARE), ("V", BARE)):
+            arcs[left, x] = ((after, "n" if left else None, w if left else 0.0),)
+        arcs[left, "*"] = ((after, None, 0.0),)
+    return Transducer((0,), arcs)
+
+
+def targets(span: int = SPAN) -> Transducer:
+    """Insults become J and threats U with a target at most ``span`` words away on either side. A state is the number of
+    words for which the last target holds, and of those within which one must come, since a path has guessed so."""
+    marks = {"I": ("J", TARGETED), "T": ("U", THREAT), "V": ("U", THREAT + INTENT)}
+    arcs: dict = {}
+    for left in range(span + 1):
+        for due in range(span + 1):
+            after = max(left - 1, 0)
+            arcs[(left, due), "Y"] = (((span, 0), None, 0.0),)
+            goes = due != 1
+            rest = max(due - 1, 0)
+            arcs[(left, due), "*"] = (((after, rest), None, 0.0),) if goes else ()
+            for x, (y, w) in marks.items():
+                guess = ((after, rest or span), y, w)
+                if not goes:
+                    arcs[(left, due), x] = ()
+                elif left:
+                    arcs[(left, due), x] = (((after, rest), y, w),)
+                else:
+                    arcs[(left, due), x] = (((after, rest), None, 0.0), guess)
+    return Transducer(((0, 0),), arcs, frozenset((a, d) for a in range(span + 1) for d in range(1, span + 1)))
+
+
+def reports() -> Transducer:
+    """All terms of a clause with a word of reported speech, before or behind them, become q but for negated ones. Paths
+    begin either without such a word, and end at one, or owe one."""
+    arcs: dict = {("plain", "R"): (), ("owed", "R"): (("heard", None, 0.0),)}
+    for state in ("owed", "heard"):
+        for x, w in (("I", REPORTED), ("J", REPORTED), ("U", REPORTED), ("T", BARE), ("V", BARE)):
+            arcs[state, x] = ((state, "q", w),)
+    return Transducer(("plain", "owed"), arcs, frozenset(["owed"]))
+
+
+#: From I insult, T threat, N negation, Y target, R reported speech, S stress and B intent to the kinds below: I insult, J
+#: targeted insult, U targeted threat, n negated, q reported. Words of other outputs have no weight.
+GRAMMAR = Composed(threats(), Composed(negation(), Composed(targets(), reports())))
 OUTCOME = {"I": 0, "J": 1, "U": 2, "n": 3, "q": 4}
 
 
-def outcomes(classes: list[str]) -> list[str]:
-    """What the grammar makes of each word of a clause."""
-    there, _ = FORWARD.run(classes)
-    back, _ = BACKWARD.run(there[::-1])
-    clause = back[::-1]
-    _, heard = REPORTED.run(clause)
-    return REPORTED.run(clause, heard)[0]
-
-
 @dataclass(frozen=True)
 class Model:
     """Weights of whole words and of word beginnings, and of the clause kinds; bounded by the seeds and MAX_TERMS."""
@@ -135,24 +207,28 @@ class Scorer:
         import ahocorasick
 
         self.model = model
-        self.classes = {w: c for c in "RNYT" for w in SEEDS[c].split()}
+        self.classes = {w: c for c in "BSRNYT" for w in SEEDS[c].split()}
         self.search = ahocorasick.Automaton()
         for term in {*model.words, *model.stems, *SEEDS["T"].split()}:
             self.search.add_word(term, len(term))
         self.search.make_automaton()
         self.lengths = sorted({len(x) for x in model.stems})
+        self.machine = Composed(insults(model.words | {f"{x}*": w for x, w in model.stems.items()}), GRAMMAR, keep=False)
 
-    def weight(self, word: str) -> float:
-        """Of an insult; 0 for other words."""
-        found = self.model.words.get(word, 0.0)
+    def symbol(self, word: str) -> str:
+        """The heaviest term that a word is or begins with, a stem with ``*``; else the word's class, or W."""
+        best = self.model.words.get(word, 0.0)
+        found = word if best > 0 else self.classes.get(word, "W")
         for n in self.lengths:
-            found = max(found, self.model.stems.get(word[:n], 0.0) if len(word) >= n else 0.0)
+            w = self.model.stems.get(word[:n], 0.0) if len(word) >= n else 0.0
+            if w > best:
+                best, found = w, f"{word[:n]}*"
         return found
 
-    def features(self, text: str | None) -> list[float]:
-        """Per clause kind, the log of 1 plus the weights of its terms, over all clauses of the whole text; then the
-        same of all kinds for each hundred words, and whether a term that is neither negated nor reported is sure."""
-        low, sums, done, sure = (text or "").lower(), [0.0] * len(KINDS), -1, False
+    def clauses(self, text: str | None) -> Iterator[tuple[int, int, float, list[tuple[int, str, float]]]]:
+        """Start and end in the lower-cased text of each clause with a term, the weight of its path and the terms on it:
+        place among the words, kind and weight."""
+        low, done = (text or "").lower(), -1
         for end, size in self.search.iter(low):
             at = end - size + 1
             if at < done or (at and low[at - 1].isalpha()):
@@ -160,15 +236,19 @@ class Scorer:
             start = max(low.rfind(x, 0, at) for x in ".!?;:\n") + 1
             stop = END.search(low, at)
             done = stop.start() if stop else len(low)
-            words = TOKEN.findall(low, start, done)
-            weights = [self.weight(w) for w in words]
-            classes = ["I" if w else self.classes.get(x, "W") for w, x in zip(weights, words, strict=True)]
-            for kind, w in zip(outcomes(classes), weights, strict=True):
-                if kind in OUTCOME:
-                    sums[OUTCOME[kind]] += w or 1.0
-                    sure |= w >= SURE and kind in "IJ"
+            weight, found = heaviest(self.machine, map(self.symbol, TOKEN.findall(low, start, done)), OUTCOME)
+            yield start, done, weight, found
+
+    def features(self, text: str | None) -> list[float]:
+        """Per clause kind, the log of 1 plus the path weights of its terms, over all clauses of the whole text; then the
+        same of all kinds for each hundred words, and whether a term that is neither negated nor reported is sure."""
+        sums, sure = [0.0] * len(KINDS), False
+        for _, _, _, found in self.clauses(text):
+            for _, kind, w in found:
+                sums[OUTCOME[kind]] += max(w, 0.0)
+                sure |= w >= SURE and kind in "IJ"
         total = sum(sums)
-        return [*map(math.log1p, sums), math.log1p(100 * total / len(low.split())) if total else 0.0, float(sure)]
+        return [*map(math.log1p, sums), math.log1p(100 * total / len((text or "").split())) if total else 0.0, float(sure)]
 
     def score(self, text: str | None) -> float:
         z = self.model.kinds[0] + sum(a * b for a, b in zip(self.model.kinds[1:], self.features(text), strict=True))

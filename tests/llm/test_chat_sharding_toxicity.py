@@ -110,13 +110,100 @@ def test_grammar():
     assert own.score("idiot " * 50_000) <= 1
 
 
+def judged_plainly(symbols, weights):
+    """Place, kind and weight of the terms of a clause, by looking around each of them."""
+    near = lambda i, c, places: any(0 <= j < len(symbols) and symbols[j] == c for j in places)
+    found = []
+    for i, x in enumerate(symbols):
+        if x not in weights and x != "T":
+            continue
+        before, after = range(i - toxicity.SPAN, i), range(i + 1, i + toxicity.SPAN + 1)
+        intent, target = near(i, "B", before), near(i, "Y", [*before, *after])
+        w = 0.0 if x == "T" else weights[x] + (toxicity.STRESS if i and symbols[i - 1] == "S" else 0.0)
+        if near(i, "N", before):
+            found.append((i, "n", toxicity.BARE if x == "T" else w + toxicity.NEGATED))
+            continue
+        kind = ("U" if target else None) if x == "T" else ("J" if target else "I")
+        w += {"U": toxicity.THREAT + (toxicity.INTENT if intent else 0.0), "J": toxicity.TARGETED}.get(kind, 0.0)
+        if "R" in symbols:
+            w, kind = w + (toxicity.REPORTED if kind else toxicity.BARE), "q"
+        if kind:
+            found.append((i, kind, w))
+    return found
+
+
+def test_grammar_equals_plain_rules():
+    import itertools
+    import random
+
+    weights = {"idiot": 1.0, "loweq*": 1.75}
+    machine = toxicity.Composed(toxicity.insults(weights), toxicity.GRAMMAR, keep=False)
+    rng = random.Random(5)
+    short = itertools.product(["idiot", "T", "N", "Y", "R", "S", "B", "W"], repeat=4)
+    long = ([rng.choice(["idiot", "loweq*", "T", "N", "Y", "R", "S", "B", *"WWWWWW"]) for _ in range(rng.randint(5, 24))] for _ in range(8000))
+    kinds = set()
+    for symbols in itertools.chain([()], short, long):
+        total, found = toxicity.heaviest(machine, symbols, toxicity.OUTCOME)
+        want = judged_plainly(list(symbols), weights)
+        assert [(i, k) for i, k, _ in found] == [(i, k) for i, k, _ in want], symbols
+        assert [w for *_, w in found] == pytest.approx([w for *_, w in want]) and total == pytest.approx(sum(w for *_, w in want))
+        kinds |= {k for _, k, _ in found}
+    assert kinds == set("IJUnq")
+
+
+def all_paths(machine, symbols):
+    """Output and weight of every path, none of them left out."""
+    ways = [(s, (), 0.0) for s in machine.starts]
+    for x in symbols:
+        ways = [(to, (*out, y or x), w + v) for s, out, w in ways for to, y, v in machine.step(s, x)]
+    return [(out, w) for s, out, w in ways if machine.accepts(s)]
+
+
 def test_composition_equals_cascade():
     import itertools
 
-    first, second = toxicity.within("N", 2, {"I": "n"}), toxicity.within("Y", 2, {"I": "J"})
-    both = toxicity.Composed(first, second)
-    for word in itertools.product("INYW", repeat=5):
-        assert both.run(list(word))[0] == second.run(first.run(list(word))[0])[0]
+    row = [toxicity.insults({"idiot": 1.0}), toxicity.threats(2), toxicity.negation(2), toxicity.targets(2), toxicity.reports()]
+    whole = row[-1]
+    for m in row[-2::-1]:
+        whole = toxicity.Composed(m, whole)
+    for symbols in itertools.product(["idiot", "T", "N", "Y", "R", "S", "B"], repeat=4):
+        ways = [(symbols, 0.0)]
+        for m in row:
+            ways = [(out, w + v) for x, w in ways for out, v in all_paths(m, x)]
+        assert sorted(ways) == sorted(all_paths(whole, symbols))
+        assert toxicity.heaviest(whole, symbols, toxicity.OUTCOME)[0] == pytest.approx(max(w for _, w in ways))
+
+
+def test_toxicity_scores_equal_plain_reading(spark):
+    """Every clause of every text cut and judged without the search, the machine or Spark."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    weights = model.words | {f"{x}*": w for x, w in model.stems.items()}
+    classes = {w: c for c in "BSRNYT" for w in toxicity.SEEDS[c].split()}
+
+    def symbol(word):
+        own = [(w, word) for t, w in model.words.items() if t == word] + [(w, f"{t}*") for t, w in model.stems.items() if word.startswith(t)]
+        return max(own, key=lambda x: x[0])[1] if own else classes.get(word, "W")
+
+    known = {}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.scored(docs, model).collect():
+        sums, sure, low = dict.fromkeys("IJUnq", 0.0), 0.0, (texts[r.doc_id] or "").lower()
+        for clause in re.split(r"[.!?;:\n]", low):
+            words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
+            for w in words:
+                if w not in known:
+                    known[w] = symbol(w)
+            for _, kind, w in judged_plainly([known[w] for w in words], weights):
+                sums[kind] += max(w, 0.0)
+                sure = max(sure, float(w >= toxicity.SURE and kind in "IJ"))
+        total = sum(sums.values())
+        x = [1.0, *(math.log1p(sums[k]) for k in "IJUnq"), math.log1p(100 * total / len(low.split())) if total else 0.0, sure]
+        z = sum(a * b for a, b in zip(model.kinds, x, strict=True))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), abs=1e-9), r.doc_id
 
 
 def test_toxicity_held_out(spark):
