@@ -158,7 +158,12 @@ QUERIES = {
         SELECT start, gonum, side, CASE WHEN bool_or(rel = 3) THEN CASE side WHEN 'parent' THEN 'replaced by' ELSE 'alternate' END WHEN bool_or(rel = 1) AND bool_or(rel = 2) THEN 'both' WHEN bool_or(rel = 1) THEN 'is_a' ELSE 'part_of' END AS relation FROM n GROUP BY start, gonum, side"""),
     "g10g_inheriting_hits": (inheriting_hits, f"{GRAPH}, {DIRECT_SQL}, {START} SELECT start, hit_id, arg_min(child, {{'l': level, 'c': child}}) AS via FROM start JOIN paths ON ancestor = start JOIN direct d ON d.gonum = child JOIN levels l ON l.gonum = child GROUP BY ALL"),
     "g08_root_paths": (root_paths, f"{GRAPH}, {START}, {WALK_UP} SELECT start, array_to_string(path, '>') AS path FROM up WHERE path[1] NOT IN (SELECT child FROM steps)"),
-    "g09_longest_paths": (longest_paths, None),
+    "g09_longest_paths": (
+        longest_paths,
+        f"""{GRAPH}, {START}, {WALK_UP}, whole AS (SELECT start, path FROM up WHERE path[1] NOT IN (SELECT child FROM steps)),
+inside AS (SELECT DISTINCT a.start, a.path FROM whole a JOIN whole b ON a.start = b.start AND len(a.path) < len(b.path) AND list_filter(b.path, lambda x: list_contains(a.path, x)) = a.path)
+SELECT start, array_to_string(path, '>') AS path FROM whole ANTI JOIN inside USING (start, path)""",
+    ),
     "l10_terminal_terms": (terminal, f"{GRAPH}, {CHOSEN} SELECT gonum, domain FROM chosen WHERE gonum NOT IN (SELECT ancestor FROM paths JOIN chosen ON gonum = child)"),
     "l11_related_terms": (related, f"{GRAPH}, {CHOSEN}, {START} SELECT gonum FROM chosen WHERE gonum IN (SELECT start FROM start) OR gonum IN (SELECT ancestor FROM paths JOIN start ON child = start) OR gonum IN (SELECT child FROM paths JOIN start ON ancestor = start)"),
     "g11_marked_ancestors": (marked, f"{GRAPH}, {CHOSEN} SELECT DISTINCT ancestor AS gonum, CASE WHEN ancestor IN (SELECT gonum FROM chosen) THEN '*' ELSE '' END AS mark FROM paths JOIN chosen ON gonum = child"),
