@@ -19,6 +19,8 @@ from strandlake.functions.numbers import ratio, shared_ratio
 
 #: Gap costs, and scores of equal and unequal nucleotides.
 GAP_OPEN, GAP_EXTEND, NT_MATCH, NT_MISMATCH = 7.0, 0.7, 1.8, -1.0
+#: Fixed value: what a stop against a letter costs in an overlap.
+STOP_COST = 4
 #: Cells that are held at once. Of larger pairs the rows between blocks are kept, and a block is worked out again for the
 #: way back.
 BLOCK_CELLS = 1 << 21
@@ -187,6 +189,43 @@ def overlap_scores(aligned: DataFrame) -> DataFrame:
     }).drop("_c")
 
 
+def overlap_sums(aligned: DataFrame, matrix: Matrix | None = None, open_: float = GAP_OPEN, extend: float = GAP_EXTEND, affine: bool = True) -> DataFrame:
+    """Adds, from the first to the last column with a letter in each, overlap_len, positives (columns of a score above 0),
+    overlap_gaps (columns), stops (columns with ``*`` in either) and overlap_score.
+
+    The whole parts of scores and costs are summed: of a run of gaps, whichever side they are on, the first column costs
+    ``open_`` and the others ``extend`` (``open_`` if not ``affine``); a stop against a letter costs STOP_COST. A matrix is
+    read as in ``substitution``. Without any such column all are 0; a null side gives nulls."""
+    gap = lambda c: (c["x"] == "-") | (c["y"] == "-")
+    stop = lambda c: (c["x"] == "*") | (c["y"] == "*")
+    if matrix is None:
+        value = lambda c: F.when(c["x"] == c["y"], int(NT_MATCH)).otherwise(int(NT_MISMATCH))
+    else:
+        letters, table = matrix
+        cells = F.lit([int(v) for v in np.asarray(table).ravel()])
+        at = lambda x: F.coalesce(F.nullif(F.instr(F.lit(letters), x), F.lit(0)), F.lit(len(letters)))
+        value = lambda c: F.element_at(cells, (at(c["x"]) - 1) * len(letters) + at(c["y"]))
+    state = lambda total, opened: F.struct(total.alias("total"), opened.alias("opened"))
+
+    def add(now: Column, c: Column) -> Column:
+        cost = F.when(now["opened"], int(extend if affine else open_)).otherwise(int(open_))
+        own = F.when(gap(c), -cost).when(stop(c), -STOP_COST).otherwise(value(c))
+        return state(now["total"] + own, gap(c))
+
+    count = lambda f: F.size(F.filter("_c", f))
+    both = aligned.withColumn("_c", columns_of(F.col("aligned1"), F.col("aligned2")))
+    both = both.withColumn("_b", F.transform("_c", lambda c: ~gap(c)))
+    first = F.array_position("_b", True)
+    length = F.size("_c") - F.array_position(F.reverse("_b"), True) + 2 - first
+    cut = both.withColumn("_c", F.when(first == 0, F.slice("_c", 1, 0)).otherwise(F.slice("_c", F.greatest(first, F.lit(1)).cast("int"), F.greatest(length, F.lit(0)).cast("int"))))
+    known = lambda c: F.when(F.col("_c").isNotNull(), c)
+    return cut.withColumns({
+        "overlap_len": known(F.size("_c")), "positives": known(count(lambda c: ~gap(c) & ~stop(c) & (value(c) > 0))),
+        "overlap_gaps": known(count(gap)), "stops": known(count(stop)),
+        "overlap_score": F.aggregate("_c", state(F.lit(0), F.lit(False)), add, lambda now: now["total"]),
+    }).drop("_c", "_b")
+
+
 def fitted_cds(aligned: Column, cds: Column) -> Column:
     """A coding sequence laid under its aligned protein: three letters for each, ``---`` for a gap."""
     chars = F.filter(F.split(aligned, ""), lambda c: c != "")

@@ -85,6 +85,25 @@ COUNTS = (
 )
 
 
+LETTERS = "ARNDCQEGHILKMFPSTWYV*X"
+
+
+def related_matrix():
+    return LETTERS, np.array([[4.0 if a == b else 1.0 if a + b in RELATED or b + a in RELATED else -1.0 for b in LETTERS] for a in LETTERS])
+
+
+def overlap_sums(spark, sf):
+    """Neighbouring passages as proteins of one length, with gaps at the start of some, inside both, and stops."""
+    text = F.upper(F.expr("regexp_replace(lower(text), '[^a-z]', '')"))
+    rows = R.read(spark, sf, "benchmark").select("item_id", text.alias("s"))
+    rows = rows.join(rows.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("u")), "item_id")
+    n = F.least(F.length("s"), F.length("u"))
+    made = lambda c, gap, stop: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(gap(i), "-").when(i % stop == 0, "*").otherwise(F.substring(c, i, F.lit(1)))), "")
+    one = made(F.col("s"), lambda i: (i % 19 == 0) | (i <= F.col("item_id") % 4), 31)
+    two = made(F.col("u"), lambda i: (i % 23 == 0) | (i % 19 == 1) | i.between(43, 49), 37)
+    return A.overlap_sums(rows.select("item_id", one.alias("aligned1"), two.alias("aligned2")), related_matrix()).drop("aligned1", "aligned2")
+
+
 def cds_texts(spark, sf):
     """Passages cut to the length of the shorter one, with every 19th letter of the first and each second of every 23 of the
     other as a gap, and a long gap where a third begins."""
@@ -95,9 +114,7 @@ def cds_texts(spark, sf):
 
 
 def cds(spark, sf):
-    letters = "ARNDCQEGHILKMFPSTWYV*X"
-    table = np.array([[4.0 if a == b else 1.0 if a + b in RELATED or b + a in RELATED else -1.0 for b in letters] for a in letters])
-    return rounded(A.cds_scores(cds_texts(spark, sf), matrix=(letters, table)).select("item_id", *COUNTS, "gc_ratio", "cpg_ratio", "tstv"), "gc_ratio", "cpg_ratio", "tstv")
+    return rounded(A.cds_scores(cds_texts(spark, sf), matrix=related_matrix()).select("item_id", *COUNTS, "gc_ratio", "cpg_ratio", "tstv"), "gc_ratio", "cpg_ratio", "tstv")
 
 
 def cds_summary(spark, sf):
@@ -197,6 +214,18 @@ QUERIES = {
         SELECT printf('s%05d', seq1) AS seq1, printf('s%05d', seq2) AS seq2, max(bits) AS bits, string_agg(substr(k, 2), '::' ORDER BY k) AS kinds FROM k GROUP BY ALL"""),
     "l07_best_bits": (best_bits, f"WITH {PAIRS_SQL} SELECT seq1, seq2, bits FROM pairs WHERE ds1 <> ds2 ORDER BY bits DESC, seq1, seq2 LIMIT 500"),
     "b01_b04_alignment": (aligned, None),
+    "b04_overlap_sums": (
+        overlap_sums,
+        f"""WITH t AS (SELECT item_id, upper(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS s FROM benchmark),
+p AS (SELECT a.item_id, a.s, b.s AS u, least(length(a.s), length(b.s)) AS n FROM t a JOIN t b ON b.item_id = a.item_id + 1),
+c AS (SELECT item_id, i, CASE WHEN i % 19 = 0 OR i <= item_id % 4 THEN '-' WHEN i % 31 = 0 THEN '*' ELSE substr(s, i, 1) END AS x,
+  CASE WHEN i % 23 = 0 OR i % 19 = 1 OR i BETWEEN 43 AND 49 THEN '-' WHEN i % 37 = 0 THEN '*' ELSE substr(u, i, 1) END AS y FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM p)),
+w AS (SELECT item_id, i, x = '-' OR y = '-' AS gap, x = '*' OR y = '*' AS stop, CASE WHEN contains('{LETTERS}', x) THEN x ELSE 'X' END AS x, CASE WHEN contains('{LETTERS}', y) THEN y ELSE 'X' END AS y,
+  min(i) FILTER (x <> '-' AND y <> '-') OVER k AS first, max(i) FILTER (x <> '-' AND y <> '-') OVER k AS last FROM c WINDOW k AS (PARTITION BY item_id)),
+o AS (SELECT *, CASE WHEN x = y THEN 4 WHEN x || y IN {RELATED} OR y || x IN {RELATED} THEN 1 ELSE -1 END AS v, lag(gap, 1, false) OVER (PARTITION BY item_id ORDER BY i) AS was FROM w WHERE i BETWEEN first AND last)
+SELECT item_id, CAST(count(*) AS INT) AS overlap_len, CAST(count(*) FILTER (NOT gap AND NOT stop AND v > 0) AS INT) AS positives, CAST(count(*) FILTER (gap) AS INT) AS overlap_gaps,
+  CAST(count(*) FILTER (stop) AS INT) AS stops, CAST(sum(CASE WHEN gap AND was THEN 0 WHEN gap THEN -7 WHEN stop THEN -4 ELSE v END) AS INT) AS overlap_score FROM o GROUP BY 1""",
+    ),
     "b02_linear_alignment": (aligned_linear, None),
     "b16_frame_choice": (frame_choice, None),
     "b09_region_differences": (region_differences, None),

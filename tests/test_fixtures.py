@@ -184,6 +184,18 @@ def test_alignment(spark):
     assert (rows["ACGTAC"].matches, rows["ACGTAC"].mismatches, rows["ACGTAC"].gaps) == (5, 1, 0) and rows[None].score is None
 
 
+def test_overlap_sums(spark):
+    texts = [("--ACGT--CA*T-", "TTACCTAA-A*TG"), ("A--", "-CC"), ("", ""), (None, "A"), ("-A-C", "C-GC"), ("ac", "AG")]
+    df = spark.createDataFrame([(i, *t, "kept") for i, t in enumerate(texts)], "k int, aligned1 string, aligned2 string, start string")
+    got = lambda d: {r.k: (r.overlap_len, r.positives, r.overlap_gaps, r.stops, r.overlap_score, r.start) for r in d.collect()}
+    want = {0: (10, 5, 3, 1, 5 - 1 - 7 - 4, "kept"), 1: (0, 0, 0, 0, 0, "kept"), 2: (0, 0, 0, 0, 0, "kept"), 3: (*[None] * 5, "kept"), 4: (1, 1, 0, 0, 1, "kept"), 5: (2, 1, 0, 0, 0, "kept")}
+    assert got(alignment.overlap_sums(df)) == want
+    assert got(alignment.overlap_sums(df, affine=False))[0][4] == 5 - 1 - 21 - 4
+    matrix = alignment.parse_matrix(["   A C X", "A 4 -1 0", "C -1 9 0", "X 0 0 -2"])
+    rows = spark.createDataFrame([(0, "ACG-", "AAT-"), (1, "A*", "AC")], "k int, aligned1 string, aligned2 string").withColumn("start", F.lit(""))
+    assert got(alignment.overlap_sums(rows, matrix)) == {0: (3, 1, 0, 0, 4 - 1 - 2, ""), 1: (2, 1, 0, 1, 0, "")}
+
+
 def test_cds_scores(spark):
     r = alignment.cds_scores(spark.createDataFrame([("atggca", "atggcg")], "cds1 string, cds2 string")).first()
     assert (r.codons, r.exact, r.synonymous, r.fourfold, r.ts3, r.tstv) == (2, 1, 1, 1, 1, 0)
