@@ -6,6 +6,9 @@ sum-of-pairs follow from the counts of letters, not from pairs of members.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,13 +127,34 @@ def length_sd(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster").agg(F.coalesce(F.stddev_samp(F.length(F.replace("aligned", F.lit("-"), F.lit("")))), F.lit(0.0)).alias("sd_len"))
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series, with x = n + 8 so that its error is below 1e-10 of a term for small n, too."""
+    x = n.cast("double") + 8
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return series - reduce(lambda acc, i: acc + F.log(n.cast("double") + i), range(1, 9), F.lit(0.0))
+
+
+def _binomial_tail(n: Column, depth: Column, q: float) -> Column:
+    """The chance of ``n`` or more of ``depth``. Each term's logarithm comes from the one before it. Terms are summed up to 12
+    standard deviations and 60 beyond the mean or ``n``; those left out are together below 1e-20 of the sum, so the work
+    grows with the distance from ``n`` to the mean and the square root of ``depth``, not with its square."""
+    d, k = depth.cast("double"), n.cast("double")
+    first = _log_factorial(depth) - _log_factorial(n) - _log_factorial(depth - n) + k * math.log(q) + (d - k) * math.log1p(-q)
+    last = F.least(d, F.ceil(F.greatest(k, d * q) + 12 * F.sqrt(d * q * (1 - q)) + 60)).cast("long")
+    zero = F.struct(first.alias("term"), F.exp(first).alias("sum"))
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] + F.log((d - i + 1) / i) + math.log(q / (1 - q))
+        return F.struct(term.alias("term"), (acc["sum"] + F.exp(term)).alias("sum"))
+
+    more = F.when(last > n, F.sequence(n.cast("long") + 1, last)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(more, zero, step, lambda acc: acc["sum"])
+
+
 def snps(bases: DataFrame, error: float = 0.01, least: int = 2, threshold: float = 0.001) -> DataFrame:
     """contig, pos, base, n, depth of variants: a base other than the most frequent, seen ``least`` times or more, whose
     count is unlikely among ``depth`` reads with an error of error/3 (upper tail of the binomial). ``bases`` has contig,
     pos, base, n."""
     w = Window.partitionBy("contig", "pos")
     rows = bases.withColumn("depth", F.sum("n").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("n"), "base"))).where((F.col("_r") > 1) & (F.col("n") >= least))
-    q = error / 3
-    log_choose = lambda n, k: F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda acc, i: acc + F.log((n - k + i) / i))
-    tail = F.aggregate(F.sequence(F.col("n"), F.col("depth")), F.lit(0.0), lambda acc, k: acc + F.exp(log_choose(F.col("depth"), k) + k * F.log(F.lit(q)) + (F.col("depth") - k) * F.log(F.lit(1 - q))))
-    return rows.withColumn("p", tail).where(F.col("p") <= threshold).select("contig", "pos", "base", "n", "depth", "p")
+    return rows.withColumn("p", _binomial_tail(F.col("n"), F.col("depth"), error / 3)).where(F.col("p") <= threshold).select("contig", "pos", "base", "n", "depth", "p")
