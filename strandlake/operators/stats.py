@@ -100,14 +100,14 @@ def table_order(column: str, kind: str = "number", ascending: bool = True) -> li
     return [c.asc_nulls_first() if ascending else c.desc_nulls_last()]
 
 
-def sample_filter(df: DataFrame, conditions: list[Column], low: int = 20, high: int = 1000) -> DataFrame:
-    """The rows of the first condition that leaves from ``low`` to ``high`` rows; without one, ``high`` rows of the table.
-    All conditions are counted in one pass."""
+def sample_filter(df: DataFrame, conditions: list[Column], low: int = 20, high: int = 1000, otherwise: Column | None = None) -> DataFrame:
+    """The rows of the first condition that leaves from ``low`` to ``high`` rows; without one, all rows of the condition
+    ``otherwise``, or where that is not given, any ``high`` rows of the table. All conditions are counted in one pass."""
     counts = df.agg(*[F.sum(F.coalesce(c, F.lit(False)).cast("long")) for c in conditions]).first()
     for condition, n in zip(conditions, counts, strict=True):
         if low <= (n or 0) <= high:
             return df.where(condition)
-    return df.limit(high)
+    return df.limit(high) if otherwise is None else df.where(otherwise)
 
 
 def menu(df: DataFrame, columns: list[str]) -> DataFrame:

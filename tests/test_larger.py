@@ -34,6 +34,11 @@ def test_pair_set_with_numbers_of_more_digits(spark, tmp_path):
     same_as_sql(spark, tmp_path, "b14_pair_set")
 
 
+def test_sample_filter_falls_back_to_the_last_condition(spark, tmp_path):
+    written(tmp_path, "orders", "CASE WHEN o_orderkey % 9 = 0 THEN 5 ELSE 495000 END AS o_totalprice, 'O' AS o_orderstatus")
+    same_as_sql(spark, tmp_path, "l04_sample_filter")
+
+
 def test_snps_of_deep_columns(spark):
     def tail(n, depth, q):
         terms = [math.lgamma(depth + 1) - math.lgamma(k + 1) - math.lgamma(depth - k + 1) + k * math.log(q) + (depth - k) * math.log1p(-q) for k in range(n, depth + 1)]
