@@ -234,11 +234,20 @@ def unhit_entries(hits: DataFrame, known: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_known"), F.count("_seen").alias("n_hit"), F.sum(F.col("_seen").isNull().cast("long")).alias("n_unhit"))
 
 
-def shared_hit(pairs: DataFrame, hits: DataFrame) -> DataFrame:
-    """For each pair (seq1, seq2) the best hit that both have: greatest sum of bits, then hit id."""
-    a = hits.select(F.col("seq_id").alias("seq1"), "hit_id", F.col("bits").alias("_b1"))
-    b = hits.select(F.col("seq_id").alias("seq2"), "hit_id", F.col("bits").alias("_b2"))
-    both = pairs.select("seq1", "seq2").join(a, "seq1").join(b, ["seq2", "hit_id"])
+def shared_hit(pairs: DataFrame, hits: DataFrame, common: int = 30) -> DataFrame:
+    """For each pair (seq1, seq2) the best hit that both have: greatest sum of bits, then hit id.
+
+    Sequences with a hit of up to ``common`` sequences are brought together by it and then looked up among the pairs, which
+    costs at most ``common`` rows for each hit of a sequence. Only for hits that more sequences have, of which a sequence
+    has few, each pair is joined with its first sequence's hits."""
+    degree = hits.groupBy("hit_id").agg(F.count(F.lit(1)).alias("_n"))
+    hits = hits.select("seq_id", "hit_id", "bits").join(degree, "hit_id")
+    side = lambda d, n: d.select(F.col("seq_id").alias(f"seq{n}"), "hit_id", F.col("bits").alias(f"_b{n}"))
+    pairs = pairs.select("seq1", "seq2")
+    few, many = hits.where(F.col("_n") <= common), hits.where(F.col("_n") > common)
+    near = side(few, 1).join(side(few, 2), "hit_id").where("seq1 <= seq2").select(F.col("seq1").alias("_low"), F.col("seq2").alias("_high"), "hit_id", "_b1", "_b2")
+    by_hit = pairs.withColumns({"_low": F.least("seq1", "seq2"), "_high": F.greatest("seq1", "seq2")}).join(near, ["_low", "_high"]).drop("_low", "_high")
+    both = by_hit.unionByName(pairs.join(side(many, 1), "seq1").join(side(many, 2), ["seq2", "hit_id"]))
     return both.groupBy("seq1", "seq2").agg(F.max_by("hit_id", F.struct((F.col("_b1") + F.col("_b2")).alias("s"), (-F.col("hit_id")).alias("h"))).alias("hit_id"))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
 
 from strandlake import queries as Q
+from strandlake.operators import hits as H
 from strandlake.operators import msa as M
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +52,17 @@ def test_snps_of_deep_columns(spark):
     assert len(got) == len(cases)
     for r in got.values():
         assert r.p == pytest.approx(tail(r.n, r.depth, 0.1 / 3), rel=1e-7, abs=1e-300)
+
+
+@pytest.mark.parametrize("common", [1, 3, 30])
+def test_shared_hit_equals_brute_force(spark, common):
+    dice = random.Random(5)
+    bits = {(s, h): dice.randint(1, 4) for s in range(40) for h in range(60) if dice.random() < (0.4 if h < 5 else 0.06)}
+    pairs = {(a, b) for a in range(40) for b in range(40) if dice.random() < 0.4}
+    want = set()
+    for a, b in pairs:
+        both = [(bits[a, h] + bits[b, h], -h) for h in range(60) if (a, h) in bits and (b, h) in bits]
+        want |= {(a, b, -max(both)[1])} if both else set()
+    hits = spark.createDataFrame([(*k, v) for k, v in bits.items()], "seq_id long, hit_id long, bits int")
+    got = H.shared_hit(spark.createDataFrame(sorted(pairs), "seq1 long, seq2 long"), hits, common).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
