@@ -12,6 +12,7 @@ import pytest
 from strandlake import queries as Q
 from strandlake.operators import hits as H
 from strandlake.operators import msa as M
+from strandlake.operators import ontology as O
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +67,21 @@ def test_shared_hit_equals_brute_force(spark, common):
     hits = spark.createDataFrame([(*k, v) for k, v in bits.items()], "seq_id long, hit_id long, bits int")
     got = H.shared_hit(spark.createDataFrame(sorted(pairs), "seq1 long, seq2 long"), hits, common).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_rounds_of_the_graph_do_not_broadcast(spark, monkeypatch):
+    plans = []
+    cut = O.cut
+
+    def recorded(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(O, "cut", recorded)
+    edges = spark.createDataFrame([(i, i // 2, 1) for i in range(2, 200)], "child int, parent int, rel int")
+    start = spark.createDataFrame([(1,)], "gonum int")
+    assert O.closure(edges).count() == sum(i.bit_length() - 1 for i in range(2, 200))
+    assert O.levels(edges, start).count() == 199
+    assert O.root_paths(edges, edges.selectExpr("child AS gonum")).count() == 198
+    assert plans and not any("BroadcastExchange" in p for p in plans)
