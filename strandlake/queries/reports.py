@@ -22,7 +22,7 @@ def hit_terms(spark, sf):
 
 
 def term_holders(spark, sf):
-    return O.holders(G.sequence_terms(spark, sf), G.start(spark, sf))
+    return O.holders(G.sequence_terms(spark, sf, G.start(spark, sf)), G.start(spark, sf))
 
 
 def term_hits(spark, sf):
@@ -34,7 +34,8 @@ def terms_of_sequence(spark, sf):
 
 
 def term_filter(spark, sf):
-    rows = G.term_info(spark, sf).join(G.leveled(spark, sf), "gonum").withColumn("p_up", (F.col("gonum") % 10) / 100 - 0.05)
+    terms = G.leveled(spark, sf)
+    rows = G.term_info(spark, sf, apply(terms, TermFilter(domain="BP", level=(2, 7)))).join(terms, "gonum").withColumn("p_up", (F.col("gonum") % 10) / 100 - 0.05)
     spec = TermFilter(evalue=0.0, least_seqs=500, domain="BP", level=(2, 7), enriched=Directed(["p_up"], 0.04, "either"))
     return apply(rows, spec).select("gonum", "n_seqs", "level")
 
@@ -56,7 +57,7 @@ def merged_counts(spark, sf):
 
 def sequence_terms_in(spark, sf):
     de = R.read(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("seq_id"))
-    rows = X.sequence_terms_in(G.chosen(spark, sf), G.sequence_terms(spark, sf), de)
+    rows = X.sequence_terms_in(G.chosen(spark, sf), G.sequence_terms(spark, sf, G.chosen(spark, sf)), de)
     return rows.select("seq_id", F.array_join(F.transform("terms", lambda x: x.cast("string")), ",").alias("terms"))
 
 

@@ -85,3 +85,24 @@ def test_rounds_of_the_graph_do_not_broadcast(spark, monkeypatch):
     assert O.levels(edges, start).count() == 199
     assert O.root_paths(edges, edges.selectExpr("child AS gonum")).count() == 198
     assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
+@pytest.mark.parametrize("order", ["bits", "evalue"])
+def test_sequence_terms_equal_brute_force(spark, order):
+    dice = random.Random(7)
+    hits = [(s, h, float(dice.randint(1, 3)), dice.randint(0, 2) / 10) for s in range(30) for h in dice.sample(range(25), 4)]
+    direct = sorted({(h, dice.randint(1, 40)) for h in range(20) for _ in range(2)})
+    up = {g: {g >> i for i in range(1, g.bit_length())} for g in range(1, 41)}
+    want = {}
+    for s, h, bits, evalue in hits:
+        place = (-bits, evalue, h) if order == "bits" else (evalue, -bits, h)
+        for g in (g for x, g in direct if x == h):
+            for t in {g} | up[g]:
+                old, is_direct = want.get((s, t), (None, False))
+                want[s, t] = (min(old or (place, h, evalue), (place, h, evalue)), is_direct or t == g)
+    frames = spark.createDataFrame(hits, "seq_id long, hit_id long, bits double, evalue double"), spark.createDataFrame([(*d, "IEA") for d in direct], "hit_id long, gonum int, ec string")
+    paths = spark.createDataFrame([(g, a) for g in up for a in up[g]], "child int, ancestor int")
+    for only in (None, range(1, 6)):
+        kept = None if only is None else spark.createDataFrame([(g,) for g in only], "gonum int")
+        got = {(r.seq_id, r.gonum): (r.hit_id, r.evalue, r.is_direct) for r in O.sequence_terms(*frames, paths, order, kept).collect()}
+        assert got == {k: (b[1], b[2], d) for k, (b, d) in want.items() if only is None or k[1] in only}
