@@ -41,11 +41,15 @@ def best_flags(hits: DataFrame, datasets: DataFrame) -> DataFrame:
 
 def correlation(pairs: DataFrame, levels: DataFrame) -> DataFrame:
     """seq1, seq2, n_libs, pcc: Pearson's coefficient over the libraries that both have (null levels are passed over);
-    0 where a side does not vary. ``levels`` has seq_id, lib, value."""
-    own = levels.where(F.col("value").isNotNull())
-    a = own.select(F.col("seq_id").alias("seq1"), "lib", F.col("value").alias("x"))
-    b = own.select(F.col("seq_id").alias("seq2"), "lib", F.col("value").alias("y"))
-    rows = pairs.select("seq1", "seq2").join(a, "seq1").join(b, ["seq2", "lib"])
+    0 where a side does not vary. ``levels`` has seq_id, lib, value.
+
+    A sequence's levels go to its pairs as one map; libraries are unfolded where both sides' maps have met, which is where
+    the sums are taken, so that a pair is shuffled once for each side and not for each library."""
+    own = levels.where(F.col("value").isNotNull() & F.col("lib").isNotNull()).groupBy("seq_id", "lib").agg(F.collect_list("value").alias("_v"))
+    own = own.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("lib", "_v"))).alias("_l"))
+    side = lambda n: own.select(F.col("seq_id").alias(f"seq{n}"), F.col("_l").alias(f"_l{n}"))
+    rows = pairs.select("seq1", "seq2").join(side(1), "seq1").join(side(2), "seq2").select("seq1", "seq2", "_l2", F.explode("_l1").alias("lib", "_x"))
+    rows = rows.select("seq1", "seq2", "_x", F.explode(F.try_element_at("_l2", "lib")).alias("y")).select("seq1", "seq2", F.explode("_x").alias("x"), "y")
     x, y = F.col("x"), F.col("y")
     sums = rows.groupBy("seq1", "seq2").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -13,6 +14,7 @@ from strandlake import queries as Q
 from strandlake.operators import hits as H
 from strandlake.operators import msa as M
 from strandlake.operators import ontology as O
+from strandlake.operators import pairs as P
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,3 +108,25 @@ def test_sequence_terms_equal_brute_force(spark, order):
         kept = None if only is None else spark.createDataFrame([(g,) for g in only], "gonum int")
         got = {(r.seq_id, r.gonum): (r.hit_id, r.evalue, r.is_direct) for r in O.sequence_terms(*frames, paths, order, kept).collect()}
         assert got == {k: (b[1], b[2], d) for k, (b, d) in want.items() if only is None or k[1] in only}
+
+
+def test_correlation_shuffles_pairs_and_not_their_libraries(spark):
+    dice = random.Random(3)
+    levels = [(s, lib, float(dice.randint(0, 9))) for s in range(20) for lib in "ABCDEF" if dice.random() < 0.8] + [(0, "A", 4.0), (1, None, 2.0), (2, None, 2.0)]
+    pairs = [(a, b) for a in range(20) for b in range(a + 1, 20)]
+    want = {}
+    for a, b in pairs:
+        xy = [(x, y) for s, k, x in levels if s == a for t, m, y in levels if t == b and k == m and k]
+        n, sx, sy = len(xy), sum(x for x, _ in xy), sum(y for _, y in xy)
+        vx, vy = n * sum(x * x for x, _ in xy) - sx * sx, n * sum(y * y for _, y in xy) - sy * sy
+        if n:
+            want[a, b] = (n, (n * sum(x * y for x, y in xy) - sx * sy) / math.sqrt(vx * vy) if vx > 0 and vy > 0 else 0.0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = P.correlation(spark.createDataFrame(pairs, "seq1 int, seq2 int"), spark.createDataFrame(levels, "seq_id int, lib string, value double"))
+        got = {(r.seq1, r.seq2): (r.n_libs, pytest.approx(r.pcc)) for r in found.collect()}
+        assert got == want
+        assert not re.search(r"hashpartitioning\(seq1#\d+, seq2#\d+", found._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
