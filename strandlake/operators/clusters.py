@@ -32,20 +32,20 @@ def reciprocal_best(pairs: DataFrame, sim: float = 0, cov: float = 0, how: str =
     rows = pairs.where("sim > 0") if flag is None else pairs.where((F.col("sim") > 0) & (F.col(flag) == 2))
     rows = edge_filter(rows, sim, cov, how) if sim > 0 or cov > 0 else rows
     best = best_mates(rows.withColumn("sim", F.floor(F.col("sim") + 0.5))).select("seq", "mate")
-    back = best.select(F.col("mate").alias("seq"), F.col("seq").alias("mate"))
-    return best.join(back, ["seq", "mate"]).where("seq < mate").select(F.col("seq").alias("seq1"), F.col("mate").alias("seq2"))
+    ways = best.groupBy(F.least("seq", "mate").alias("seq1"), F.greatest("seq", "mate").alias("seq2"))
+    return ways.agg(F.max(F.col("seq") < F.col("mate")).alias("_there"), F.max(F.col("seq") > F.col("mate")).alias("_back")).where("_there AND _back").select("seq1", "seq2")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node and component (its smallest node) over edges seq1, seq2: each round takes the least label of the neighbours,
-    then the label of that label."""
+    then the label of that label. Its joins are merge joins by hint, so that no round broadcasts labels through the driver."""
     both = cut(edges.select(F.col("seq1").alias("node"), F.col("seq2").alias("near")).unionByName(edges.select(F.col("seq2").alias("node"), F.col("seq1").alias("near"))).distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.min("node"), F.min("near")).alias("component")))
     for _ in range(most):
-        least = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("component").alias("_l"))
-        low = labels.join(least, "node").select("node", F.col("component").alias("_old"), F.least("component", "_l").alias("_low"))
+        least = both.join(labels.withColumnRenamed("node", "near").hint("merge"), "near").groupBy("node").agg(F.min("component").alias("_l"))
+        low = labels.join(least.hint("merge"), "node").select("node", F.col("component").alias("_old"), F.least("component", "_l").alias("_low"))
         jump = labels.select(F.col("node").alias("_low"), F.col("component").alias("_far"))
-        new = cut(low.join(jump, "_low", "left").select("node", "_old", F.least("_low", F.coalesce("_far", "_low")).alias("component")))
+        new = cut(low.join(jump.hint("merge"), "_low", "left").select("node", "_old", F.least("_low", F.coalesce("_far", "_low")).alias("component")))
         labels = new.select("node", "component")
         if not new.where("_old <> component").head(1):
             return labels
@@ -55,11 +55,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def mutual_sets(best: DataFrame, n: int) -> DataFrame:
     """cluster, seq of sets of n sequences that are all best mates of one another: components of n members and
     n(n-1)/2 edges."""
+    best = cut(best)  # read twice
     labels = components(best)
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    edges = best.join(labels, best.seq1 == labels.node).groupBy("component").agg(F.count(F.lit(1)).alias("_e"))
-    full = sizes.join(edges, "component").where((F.col("_n") == n) & (F.col("_e") == n * (n - 1) // 2)).select("component")
-    return labels.join(full, "component", "left_semi").select(F.col("component").alias("cluster"), F.col("node").alias("seq"))
+    edges = best.join(labels.hint("merge"), best.seq1 == labels.node).groupBy("component").agg(F.count(F.lit(1)).alias("_e"))
+    full = sizes.join(edges.hint("merge"), "component").where((F.col("_n") == n) & (F.col("_e") == n * (n - 1) // 2)).select("component")
+    return labels.join(full.hint("merge"), "component", "left_semi").select(F.col("component").alias("cluster"), F.col("node").alias("seq"))
 
 
 def complete_linkage(edges: DataFrame) -> DataFrame:
@@ -209,6 +210,12 @@ def dataset_counts(members: DataFrame, datasets: list) -> DataFrame:
     return members.groupBy("cluster").pivot("ds", datasets).agg(F.count(F.lit(1))).fillna(0)
 
 
+def pairs_inside(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """seq1, seq2 of the pairs whose sequences are in one cluster, each once."""
+    side = lambda n: members.select("cluster", F.col("seq").alias(f"seq{n}"))
+    return pairs.select("seq1", "seq2").join(side(1), "seq1").join(side(2), ["cluster", "seq2"]).select("seq1", "seq2").distinct()
+
+
 def correlation_summary(members: DataFrame, pcc: DataFrame, good: float = GOOD_PCC) -> DataFrame:
     """Per cluster: percent of its pairs at ``good`` or more, and the least; null for clusters without a pair."""
     side = lambda n: members.select("cluster", F.col("seq").alias(f"seq{n}"))

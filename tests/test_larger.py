@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 from strandlake import queries as Q
+from strandlake.operators import clusters as C
 from strandlake.operators import hits as H
 from strandlake.operators import msa as M
 from strandlake.operators import ontology as O
@@ -110,6 +111,21 @@ def test_sequence_terms_equal_brute_force(spark, order):
         assert got == {k: (b[1], b[2], d) for k, (b, d) in want.items() if only is None or k[1] in only}
 
 
+def test_rounds_of_components_do_not_broadcast(spark, monkeypatch):
+    plans = []
+    cut = C.cut
+
+    def recorded(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(C, "cut", recorded)
+    best = spark.createDataFrame([(3 * i + a, 3 * i + b) for i in range(50) for a, b in ((0, 1), (0, 2), (1, 2))] + [(900, 901), (901, 902)], "seq1 int, seq2 int")
+    assert C.mutual_sets(best, 3).count() == 150
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_correlation_shuffles_pairs_and_not_their_libraries(spark):
     dice = random.Random(3)
     levels = [(s, lib, float(dice.randint(0, 9))) for s in range(20) for lib in "ABCDEF" if dice.random() < 0.8] + [(0, "A", 4.0), (1, None, 2.0), (2, None, 2.0)]
