@@ -84,8 +84,9 @@ def dataset_counts(spark, sf):
 
 def correlation_summary(spark, sf):
     levels = R.reps(spark, sf).select("seq_id", F.concat("lib", F.col("rep").cast("string")).alias("lib"), F.col("n").cast("double").alias("value"))
-    pcc = P.correlation(R.pairs(spark, sf), levels)
-    return rounded(C.correlation_summary(members_of(spark, sf).select("cluster", "seq"), pcc, good=0.1), "min_pcc")
+    members = members_of(spark, sf).select("cluster", "seq")
+    pcc = P.correlation(C.pairs_inside(members, R.pairs(spark, sf)), levels)
+    return rounded(C.correlation_summary(members, pcc, good=0.1), "min_pcc")
 
 
 def size_histogram(spark, sf):
