@@ -90,6 +90,54 @@ def test_rounds_of_the_graph_do_not_broadcast(spark, monkeypatch):
     assert plans and not any("BroadcastExchange" in p for p in plans)
 
 
+def shortest(edges):
+    """Of each pair its least number of steps, and the smallest rel on such a way."""
+    ways, found = {(c, p): r for c, p, r in sorted(edges, reverse=True)}, {}
+    steps, n = dict(ways), 1
+    while ways:
+        found |= {k: (r, n) for k, r in ways.items()}
+        longer, n = {}, n + 1
+        for (c, a), r in ways.items():
+            for (x, p), q in steps.items():
+                if x == a and (c, p) not in found:
+                    longer[c, p] = min(longer.get((c, p), 9), r, q)
+        ways = longer
+    return found
+
+
+@pytest.mark.parametrize("shape", ["random", "cycle", "chain"])
+def test_closure_equals_brute_force(spark, shape):
+    dice = random.Random(3)
+    edges = {
+        "random": sorted({(c, dice.randrange(c), dice.randint(1, 2)) for c in range(1, 40) for _ in range(2)}),
+        "cycle": [(i, (i + 1) % 11, 1 + i % 2) for i in range(11)] + [(20, 3, 2), (4, 21, 1)],
+        "chain": [(i, i - 1, 1 + i % 2) for i in range(1, 20)] + [(i, i - 3, 2) for i in range(3, 20, 4)],
+    }[shape]
+    rows = O.closure(spark.createDataFrame(edges, "child int, parent int, rel int")).collect()
+    assert {(r.child, r.ancestor): (r.rel, r.distance) for r in rows} == shortest(edges) and len(rows) == len(shortest(edges))
+
+
+def test_closure_ends_where_ways_are_too_long(spark):
+    edges = spark.createDataFrame([(i, i - 1, 1) for i in range(1, 7)], "child int, parent int, rel int")
+    assert O.closure(edges, most=6).count() == 21
+    with pytest.raises(ValueError):
+        O.closure(edges, most=5)
+
+
+def test_closure_writes_each_way_once(spark, monkeypatch):
+    rows = []
+    cut = O.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(O, "cut", counted)
+    pairs = O.closure(spark.createDataFrame([(i, i // 2, 1) for i in range(2, 200)], "child int, parent int, rel int")).count()
+    assert sum(rows) == pairs
+
+
 @pytest.mark.parametrize("order", ["bits", "evalue"])
 def test_sequence_terms_equal_brute_force(spark, order):
     dice = random.Random(7)
