@@ -159,6 +159,17 @@ def test_sequence_terms_equal_brute_force(spark, order):
         assert got == {k: (b[1], b[2], d) for k, (b, d) in want.items() if only is None or k[1] in only}
 
 
+def test_unfolded_terms_are_not_grouped(spark):
+    hits = spark.createDataFrame([(1, 2, 3.0, 0.1), (1, 3, 3.0, 0.0), (2, 3, 1.0, 0.0)], "seq_id long, hit_id long, bits double, evalue double")
+    direct = spark.createDataFrame([(2, 4, "IEA"), (3, 5, "IEA"), (3, 2, "IDA")], "hit_id long, gonum int, ec string")
+    paths = spark.createDataFrame([(4, 2), (4, 1), (5, 2), (5, 1), (2, 1)], "child int, ancestor int")
+    df = O.sequence_terms(hits, direct, paths)
+    assert {tuple(r) for r in df.collect()} == {(1, 5, 3, 0.0, True), (1, 2, 3, 0.0, True), (1, 1, 3, 0.0, False), (1, 4, 2, 0.1, True), (2, 5, 3, 0.0, True), (2, 2, 3, 0.0, True), (2, 1, 3, 0.0, False)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("posexplode")]
+    assert not re.search("Aggregate|Window|Join|Repartition", above)
+
+
 def test_rounds_of_components_do_not_broadcast(spark, monkeypatch):
     plans = []
     cut = C.cut
