@@ -3,7 +3,8 @@
 Candidates come from one scan of each strand, are pruned by a walk over neighbouring starts, scored, and reduced twice by
 the same comparison: to one per frame, then to one per sequence. Walk and reductions are folds over sorted arrays of a
 frame's candidates, which a sequence's length bounds. The comparison is no total order, so the order of the fold is part of
-the rule: by start, starts with a codon ATG first, then by end; frames from -3 to 3.
+the rule: by start, starts with a codon ATG first, then by end, then those after a stop first, as a scan upward finds them;
+frames from -3 to 3.
 
 Positions are from 1 on the strand of the frame.
 """
@@ -167,7 +168,7 @@ def candidates(sequences: DataFrame, hits: DataFrame | None = None) -> DataFrame
 def _in_order(rows: DataFrame, *by: str) -> DataFrame:
     """A row for each group with its candidates as a sorted array ``_all`` of structs."""
     columns = [c for c in rows.columns if c not in by or c == "frame"]
-    place = ([F.col("frame").alias("_f")] if "frame" not in by else []) + [F.col("start").alias("_s"), (~F.col("has_start")).alias("_a"), F.col("end").alias("_e")]
+    place = ([F.col("frame").alias("_f")] if "frame" not in by else []) + [F.col("start").alias("_s"), (~F.col("has_start")).alias("_a"), F.col("end").alias("_e"), (~F.col("after_stop")).alias("_t")]
     array = F.sort_array(F.collect_list(F.struct(*place, F.struct(*columns).alias("row"))))
     return rows.groupBy(*by).agg(F.transform(array, lambda x: x["row"]).alias("_all"))
 

@@ -256,3 +256,9 @@ def test_markov_is_the_sum_over_kmers(spark):
     rows = spark.createDataFrame([("ACGT", 1), ("NACG", 2), ("", 3), ("ANACG", 4)], "orf string, i int")
     assert {r.i: r.markov for r in C.with_markov(rows, scores, 3).collect()} == {1: 1.5, 2: 0.0, 3: 0.0, 4: 7.0}
     assert np.isclose(C.profile("ACGTACGTNACGTA").sum(), 4)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_of_equal_starts_the_one_after_a_stop_goes(spark, turned):
+    rows = [(1, 3, 24, 62, False, False, after, False, False, False, 39, "A" * 39) for after in (turned, not turned)]
+    assert [r.after_stop for r in C.without_close_starts(spark.createDataFrame(rows, C.CANDIDATE).coalesce(1)).collect()] == [False]
