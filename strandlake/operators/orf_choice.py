@@ -38,6 +38,8 @@ WORD, SAME_PERCENT, SAME_COUNT = 5, 99, 0.5
 
 FRAMES = (-3, -2, -1, 1, 2, 3)
 CANDIDATE = "seq_id long, frame int, start int, end int, has_start boolean, has_stop boolean, after_stop boolean, anno boolean, good_hit boolean, full boolean, n_known int, orf string"
+#: Candidates, and letters of them, that a task hands over at once.
+HELD, HELD_LETTERS = 4096, 1 << 20
 _STOP = re.compile("TAA|TAG|TGA")
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
@@ -136,9 +138,11 @@ def candidates(sequences: DataFrame, hits: DataFrame | None = None) -> DataFrame
     else:
         rows = rows.join(hits.select("seq_id", F.col("frame").alias("hit_frame"), *extra[1:]), "seq_id", "left")
 
+    names = [c.split()[0] for c in CANDIDATE.split(", ")]
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for batch in batches:
-            out = []
             for r in batch.itertuples(index=False):
                 if not r.seq:
                     continue
@@ -160,7 +164,12 @@ def candidates(sequences: DataFrame, hits: DataFrame | None = None) -> DataFrame
                         known = len(orf) - (orf.count("N") if "N" * N_RUN in orf else 0)
                         anno = bool(here and r.hit_start <= end and r.hit_end >= start)
                         out.append((r.seq_id, frame, start, end, atg, stop, after, anno, good, abs(len(orf) - len(seq)) <= 3, known, orf))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CANDIDATE.split(", ")])
+                        size += len(orf)
+                        if len(out) >= HELD or size >= HELD_LETTERS:
+                            yield pd.DataFrame(out, columns=names)
+                            out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return rows.mapInPandas(scan, CANDIDATE)
 

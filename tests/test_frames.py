@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +263,22 @@ def test_markov_is_the_sum_over_kmers(spark):
 def test_of_equal_starts_the_one_after_a_stop_goes(spark, turned):
     rows = [(1, 3, 24, 62, False, False, after, False, False, False, 39, "A" * 39) for after in (turned, not turned)]
     assert [r.after_stop for r in C.without_close_starts(spark.createDataFrame(rows, C.CANDIDATE).coalesce(1)).collect()] == [False]
+
+
+def test_a_task_hands_over_few_candidates_at_once(spark):
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, scan, _):
+            return scan
+
+    dice = random.Random(2)
+    texts = ["".join(dice.choice("ACGT") for _ in range(n)) for n in [300] * 600 + [0, 20_000, 4]]
+    batch = pd.DataFrame({"seq_id": range(len(texts)), "seq": texts, **dict.fromkeys(["hit_frame", "hit_start", "hit_end", "n_stops", "good_hit"])})
+    scan = C.candidates(Rows())
+    held = list(scan(iter([batch[:50], batch[50:]])))
+    assert max(map(len, held)) <= C.HELD and len(held) > 1
+    assert all(d["orf"].str.len().sum() <= C.HELD_LETTERS + 20_000 for d in held)
+    alone = [r for i in range(len(texts)) for d in scan(iter([batch[i : i + 1]])) for r in d.itertuples(index=False)]
+    assert [r for d in held for r in d.itertuples(index=False)] == alone
