@@ -74,19 +74,24 @@ class Network:
         return cls(**parts)
 
     def layer(self, around: np.ndarray) -> np.ndarray:
-        h = self.hidden + self.context[0][around[0]]
+        at = around.astype(np.intp)
+        h = self.context[0].take(at[0], 0)
+        h += self.hidden
         for j in range(1, 2 * SIDE):
-            h += self.context[j][around[j]]
+            h += self.context[j].take(at[j], 0)
         return np.tanh(h, out=h)
 
+    def before_exp(self, h: np.ndarray) -> np.ndarray:
+        """Of each row of the hidden layer a number for each symbol; the bias goes in as one more row of ``out``."""
+        return np.concatenate([h, np.ones((len(h), 1), np.float32)], 1) @ np.concatenate([self.out, self.bias[None]])
+
     def top(self) -> float:
         """What no exponent is above."""
         return float((np.abs(self.out).sum(0) + np.abs(self.bias)).max())
 
     def log_probs(self, around: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Of each symbol, given the symbols around it (a row per place)."""
-        z = self.layer(around) @ self.out
-        z += self.bias
+        z = self.before_exp(self.layer(around))
         own = z[np.arange(len(symbols)), symbols].astype(np.float64)
         if self.top() > 60:
             high = z.max(1, keepdims=True)
@@ -97,16 +102,17 @@ class Network:
         """One step of descent over a batch."""
         n = len(symbols)
         h = self.layer(around)
-        z = h @ self.out
-        z += self.bias
+        z = self.before_exp(h)
         if self.top() > 60:
             z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        z *= np.float32(rate / n) / (z @ _ONES)[:, None]
-        z[np.arange(n), symbols] -= np.float32(rate / n)
+        total = z @ _ONES
+        z[np.arange(n), symbols] -= total
+        each = np.float32(rate / n) / total  # of a row, kept out of the wide table
         back = (z @ self.out.T) * (1 - h * h)
-        self.out -= h.T @ z
-        self.bias -= np.ones(n, np.float32) @ z
+        back *= each[:, None]
+        self.out -= (h * each[:, None]).T @ z
+        self.bias -= each @ z
         self.hidden -= back.sum(0)
         back *= -CONTEXT_RATE
         at = ((around + _PLACES)[:, :, None] * HIDDEN + np.arange(HIDDEN)).ravel()
