@@ -70,10 +70,18 @@ def direct_terms(hits: DataFrame) -> DataFrame:
 
 def inherited_terms(direct: DataFrame, paths: DataFrame) -> DataFrame:
     """hit_id, gonum, ec, is_direct: assigned terms, and their ancestors with the evidence in brackets. An assigned term
-    wins; of several children that give a term, the smallest evidence does."""
-    up = direct.join(paths, direct.gonum == paths.child).groupBy("hit_id", F.col("ancestor").alias("gonum")).agg(F.concat(F.lit("("), F.min("ec"), F.lit(")")).alias("ec"))
-    own = direct.groupBy("hit_id", "gonum").agg(F.min("ec").alias("ec")).withColumn("is_direct", F.lit(True))
-    return own.unionByName(up.join(own.select("hit_id", "gonum"), ["hit_id", "gonum"], "left_anti").withColumn("is_direct", F.lit(False)))
+    wins; of several children that give a term, the smallest evidence does.
+
+    A term's ancestors are gathered in an array, joined by merge to the hits that have it, and unfolded where the rows of a
+    hit have met, so neither side is broadcast and rows of hits and ancestors are not shuffled."""
+    up = paths.groupBy(F.col("child").alias("gonum")).agg(F.collect_list("ancestor").alias("_up"))
+    # A fixed number of partitions: rows get many times more when they are unfolded, after the shuffle.
+    n = int(direct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = direct.join(up.hint("merge"), "gonum", "left").repartition(n, "hit_id")
+    each = rows.select("hit_id", "ec", F.posexplode(F.coalesce(F.concat(F.array("gonum"), "_up"), F.array("gonum"))).alias("_i", "gonum"))
+    own = F.col("_i") == 0
+    best = each.groupBy("hit_id", "gonum").agg(F.min(F.when(own, F.col("ec"))).alias("_own"), F.min(F.when(~own, F.col("ec"))).alias("_up"), F.max(own).alias("is_direct"))
+    return best.select("hit_id", "gonum", F.when(F.col("is_direct"), F.col("_own")).otherwise(F.concat(F.lit("("), "_up", F.lit(")"))).alias("ec"), "is_direct")
 
 
 def sequence_terms(hits: DataFrame, direct: DataFrame, paths: DataFrame, order: str = "bits", only: DataFrame | None = None) -> DataFrame:

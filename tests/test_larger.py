@@ -138,6 +138,28 @@ def test_closure_writes_each_way_once(spark, monkeypatch):
     assert sum(rows) == pairs
 
 
+def test_inherited_terms_equal_brute_force_and_broadcast_nothing(spark):
+    dice = random.Random(9)
+    direct = sorted({(h, dice.randint(1, 40), dice.choice(["IDA", "IEA", "TAS"])) for h in range(30) for _ in range(3)} | {(1, 99, "IBA"), (2, 99, None), (3, 40, None)}, key=repr)
+    up = {g: {g >> i for i in range(1, g.bit_length())} for g in range(1, 41)}
+    want = {}
+    for h in {d[0] for d in direct}:
+        own, above = {}, {}
+        for _, g, ec in (d for d in direct if d[0] == h):
+            own.setdefault(g, set()).add(ec)
+            for a in up.get(g, ()):
+                above.setdefault(a, set()).add(ec)
+        least = lambda codes: min((c for c in codes if c), default=None)
+        want |= {(h, g): (least(above[g]) and f"({least(above[g])})", False) for g in above if g not in own} | {(h, g): (least(own[g]), True) for g in own}
+    paths = spark.createDataFrame([(g, a) for g in up for a in up[g]], "child int, ancestor int")
+    df = O.inherited_terms(spark.createDataFrame(direct, "hit_id long, gonum int, ec string"), paths)
+    rows = df.collect()
+    assert {(r.hit_id, r.gonum): (r.ec, r.is_direct) for r in rows} == want and len(rows) == len(want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    assert not re.search("Exchange", plan[: plan.index("posexplode")])
+
+
 @pytest.mark.parametrize("order", ["bits", "evalue"])
 def test_sequence_terms_equal_brute_force(spark, order):
     dice = random.Random(7)
