@@ -160,6 +160,12 @@ def test_inherited_terms_equal_brute_force_and_broadcast_nothing(spark):
     assert not re.search("Exchange", plan[: plan.index("posexplode")])
 
 
+def test_evidence_broadcasts_nothing(spark):
+    df = Q.QUERIES["a07_evidence"](spark, SF)
+    assert df.collect()
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("order", ["bits", "evalue"])
 def test_sequence_terms_equal_brute_force(spark, order):
     dice = random.Random(7)
