@@ -66,9 +66,11 @@ def pieces(path: str) -> pa.Array:
 
 def joined_pieces(ids: list[bytes], path: str) -> pa.Array:
     """The texts of lists of ids (32-bit little-endian numbers): their pieces, joined by a space."""
-    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-    found = pieces(path).take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ")
+    return _joined(pa.array(np.frombuffer(b"".join(ids), "<u4")), np.cumsum([0, *(len(x) // 4 for x in ids)]), path)
+
+
+def _joined(ids: pa.Array, ends: np.ndarray, path: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces(path).take(ids)), " ")
 
 
 def raw_tokens(path: str) -> tuple[bytes, ...]:
@@ -201,23 +203,35 @@ def _encode_bucket(path: str):
     return encode
 
 
+def _table(rows: list[dict[str, bytes]]) -> tuple[pa.Array, pa.ListArray]:
+    """A block's words and, at the same places, their ids; in Arrow, as objects of their own take many times the bytes."""
+    if not rows:
+        return pa.array([], pa.binary()), pa.array([], pa.list_(pa.uint32()))
+    words = pa.concat_arrays([pa.array(_unpack(x["words"]).split(b"\n"), pa.binary()) for x in rows])
+    sizes = np.concatenate([[0], *(_unpack_numbers(x["sizes"]) for x in rows)])
+    ids = np.concatenate([_unpack_numbers(x["ids"]) for x in rows])
+    return words, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int64), pa.int32()), pa.array(ids))
+
+
 def _look_up(path: str):
-    def join(docs: pa.Table, table: pa.Table) -> pa.Table:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = raw_tokens(path)
-        ids_of: dict[bytes, bytes] = {}
-        for words, ids, sizes in zip(*(table.column(c).to_pylist() for c in ("words", "ids", "sizes")), strict=True):
-            raw, at = _unpack_numbers(ids).tobytes(), 0
-            for word, size in zip(_unpack(words).split(b"\n"), _unpack_numbers(sizes).tolist(), strict=True):
-                ids_of[word] = raw[at : at + 4 * size]
-                at += 4 * size
-        out = []
-        for packet in docs.column("packet").to_pylist():
-            for own, texts in _texts(packet):
-                found = [b"".join([ids_of[w] for w in words_of(text, special)]) for text in texts]
-                out.append(pa.table({"doc_id": own, "ids": pa.array(found, pa.binary()), "decoded": joined_pieces(found, path)}))
-        return pa.concat_tables(out)
-
-    return join
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, ids_of = _table(batch.column(1)[i].as_py() or [])
+                for own, texts in _texts(batch.column(0)[i].as_py()):
+                    cut = [pa.array(words_of(text, special), pa.binary()) for text in texts]
+                    places = pc.index_in(pa.concat_arrays(cut), value_set=words)
+                    if places.null_count:
+                        raise KeyError("a word is not in its block's table")
+                    lists = ids_of.take(places)
+                    ends = lists.offsets.to_numpy().astype(np.int64)[np.cumsum([0, *map(len, cut)])]
+                    flat = lists.flatten()
+                    ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.array(4 * ends, pa.int32()).buffers()[1], pa.py_buffer(flat.to_numpy())])
+                    yield pa.RecordBatch.from_pydict({"doc_id": own, "ids": ids, "decoded": _joined(flat, ends, path)})
+        handed_back()
+
+    return found
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -233,7 +247,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     rows = rows.mapInArrow(_blocks, "block binary, packet binary").repartition(2 * n, "block")
     words = rows.mapInArrow(lambda it, cut=_block_words(path, n): cut(it), "block binary, bucket int, words binary")
     table = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block binary, words binary, ids binary, sizes binary")
-    return rows.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_look_up(path), RESULT)
+    # A block's packet and its table are bounded by BLOCK_BYTES, or by one longer text. They go to Python as one row, whose
+    # results come back run by run.
+    table = table.repartition(2 * n, "block").groupBy("block").agg(F.collect_list(F.struct("words", "ids", "sizes")).alias("_table"))
+    return rows.join(table.hint("merge"), "block", "left").select("packet", "_table").mapInArrow(_look_up(path), RESULT)
 
 
 def decoded(encodings: DataFrame, path: str) -> DataFrame:

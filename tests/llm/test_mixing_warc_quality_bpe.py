@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -168,6 +169,28 @@ def test_bpe_blocks_are_bounded_and_whole(monkeypatch):
     assert all(len(x) == 1 or sum(x) <= 200 for x in sizes)
 
 
+def test_bpe_look_up_holds_a_run_at_once(spark, monkeypatch):
+    """No object for each word of a block, and results handed on run by run."""
+    path = bpe.tokenizer_file()
+    texts = [" ".join(f"w{i * 1500 + k}x" for k in range(1500)) for i in range(40)] + [None, ""]
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(42), pa.int64()), "text": texts})
+    blocks = list(bpe._blocks(iter([docs, docs.slice(40)])))
+    words = pa.Table.from_batches(list(bpe._block_words(path, 30)(iter(blocks))))
+    table = pa.concat_tables([bpe._encode_bucket(path)(words.slice(i, 1)) for i in range(words.num_rows)])
+    row = pa.RecordBatch.from_pydict({"packet": blocks[0].column(1), "_table": pa.array([table.select(["words", "ids", "sizes"]).to_pylist()])})
+    monkeypatch.setattr(bpe, "RESULT_BYTES", 20_000)
+    list(bpe._look_up(path)(iter([row])))
+    tracemalloc.start()
+    try:
+        sizes = [x.num_rows for x in bpe._look_up(path)(iter([row]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(blocks) == 1 and sum(sizes) == 44 and max(sizes) < 10 and peak < 6e6, (sizes, peak)
+    plan = bpe.encoded(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), path)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "Broadcast" not in plan
+
+
 def test_bpe_special_tokens_in_other_cases(spark):
     path = bpe.tokenizer_file()
     own = bpe.tokenizer(path)
