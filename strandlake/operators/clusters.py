@@ -53,14 +53,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def mutual_sets(best: DataFrame, n: int) -> DataFrame:
-    """cluster, seq of sets of n sequences that are all best mates of one another: components of n members and
-    n(n-1)/2 edges."""
-    best = cut(best)  # read twice
-    labels = components(best)
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    edges = best.join(labels.hint("merge"), best.seq1 == labels.node).groupBy("component").agg(F.count(F.lit(1)).alias("_e"))
-    full = sizes.join(edges.hint("merge"), "component").where((F.col("_n") == n) & (F.col("_e") == n * (n - 1) // 2)).select("component")
-    return labels.join(full.hint("merge"), "component", "left_semi").select(F.col("component").alias("cluster"), F.col("node").alias("seq"))
+    """cluster (its smallest member), seq of sets of n sequences that are all best mates of one another and of none else:
+    n sequences that each have the same n - 1 mates, counting themselves. Repeated pairs count once, loops do not.
+
+    A sequence and its mates as one array is the set's key, so there are no rounds, however long the chains of mates are; only
+    the sets found are written to a checkpoint."""
+    pairs = best.where("seq1 <> seq2")
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("seq1").alias("seq"), F.col("seq2").alias("mate")), F.struct(F.col("seq2").alias("seq"), F.col("seq1").alias("mate")))).alias("_w")).select("_w.*")
+    sets = ways.groupBy("seq").agg(F.collect_set("mate").alias("_m")).where(F.size("_m") == n - 1).select(F.sort_array(F.concat("_m", F.array("seq"))).alias("_all"))
+    full = cut(sets.groupBy("_all").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n))
+    return full.select(F.col("_all")[0].alias("cluster"), F.explode("_all").alias("seq"))
 
 
 def complete_linkage(edges: DataFrame) -> DataFrame:

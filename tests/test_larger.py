@@ -213,6 +213,17 @@ def test_rounds_of_components_do_not_broadcast(spark, monkeypatch):
     assert plans and not any("BroadcastExchange" in p for p in plans)
 
 
+def test_mutual_sets_beside_a_long_chain_need_no_rounds(spark, monkeypatch):
+    def rounds(edges, most=60):
+        raise AssertionError("mutual sets were sought in rounds")
+
+    monkeypatch.setattr(C, "components", rounds)
+    chain = [(1000 + i * 7919 % 4999, 1000 + (i + 1) * 7919 % 4999) for i in range(4998)]
+    sets = [(1, 2), (1, 3), (3, 2), (2, 3), (4, 5), (5, 6), (4, 6), (6, 7), (8, 9), (9, 10), (11, 12), (12, 13), (11, 13), (11, 11)]
+    got = [tuple(r) for r in C.mutual_sets(spark.createDataFrame(chain + sets, "seq1 int, seq2 int"), 3).collect()]
+    assert sorted(got) == [(1, 1), (1, 2), (1, 3), (11, 11), (11, 12), (11, 13)]
+
+
 def test_correlation_shuffles_pairs_and_not_their_libraries(spark):
     dice = random.Random(3)
     levels = [(s, lib, float(dice.randint(0, 9))) for s in range(20) for lib in "ABCDEF" if dice.random() < 0.8] + [(0, "A", 4.0), (1, None, 2.0), (2, None, 2.0)]
