@@ -7,12 +7,18 @@ frontier that is small in its round would be broadcast through the driver, round
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandlake.plans.lineage import cut
 
 REPLACED = 3
+#: Terms in the paths that a task hands over at once.
+HELD_TERMS = 1 << 20
 #: Evidence codes by category.
 EVIDENCE = {
     "experimental": ("EXP", "IDA", "IPI", "IMP", "IGI", "IEP"),
@@ -224,6 +230,113 @@ def longest_paths(paths: DataFrame) -> DataFrame:
     return paths.join(inside, ["start", "path"], "left_anti")
 
 
+def _top_down(up: dict, start: object) -> list | None:
+    """The terms above a start and itself, each behind all its parents; None where there is a cycle."""
+    done, on_way, order, stack = set(), set(), [], [(start, False)]
+    while stack:
+        node, left = stack.pop()
+        if left:
+            on_way.discard(node)
+            done.add(node)
+            order.append(node)
+        elif node in on_way:
+            return None
+        elif node not in done:
+            on_way.add(node)
+            stack.append((node, True))
+            stack += [(p, False) for p in up[node] if p not in done]
+    return order
+
+
+def _without_detours(up: dict, order: list) -> dict:
+    """Each term's parents but for those that are an ancestor of another of its parents. ``order`` has parents first."""
+    bit = {x: 1 << i for i, x in enumerate(order)}
+    above, kept = {}, {}
+    for x in order:
+        far = 0
+        for p in up[x]:
+            far |= above[p]
+        above[x] = far
+        kept[x] = [p for p in up[x] if not far & bit[p]]
+        for p in up[x]:
+            above[x] |= bit[p]
+    return kept
+
+
+def _ways_up(up: dict, start: object) -> Iterator[list]:
+    """Every way from a start to a term without parents, from the latter down; a term comes once in a way."""
+    way, stack = [], [(start, 0)]
+    while stack:
+        node, depth = stack.pop()
+        del way[depth:]
+        if node in way:
+            continue
+        way.append(node)
+        if up[node]:
+            stack += [(p, depth + 1) for p in up[node]]
+        else:
+            yield way[::-1]
+
+
+def _part_of(a: list, b: list) -> bool:
+    rest = iter(b)
+    return len(a) < len(b) and all(x in rest for x in a)
+
+
+def longest_root_paths(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
+    """What ``longest_paths`` of ``root_paths`` gives, without comparing paths: a path is an ordered part of a longer one if
+    one of its steps can be replaced by a detour, so the others are the paths over steps without one.
+
+    Rounds gather the terms above each start with their parents, each once for a start however many paths meet in it; a task
+    takes the steps with detours out of a start's graph and unfolds its paths one after the other. Only where there is a
+    cycle are a start's paths compared with each other."""
+    kind = dict(edges.dtypes)["parent"]
+    up = cut(edges.where(F.col("rel") != REPLACED).groupBy("child").agg(F.collect_set("parent").alias("_up")))
+    front = start.select(F.col("gonum").alias("start"), F.col("gonum").cast(kind).alias("node")).distinct()
+    known = None
+    for n in range(1, most + 2):
+        if n > most or n >= 8 and n & (n - 1) == 0:
+            front = front.join(known.select("start", "node").hint("merge"), ["start", "node"], "left_anti")
+        found = cut(front.join(up.hint("merge"), F.col("node") == F.col("child"), "left").select("start", "node", "_up"))
+        known = found if known is None else known.unionByName(found)
+        front = found.select("start", F.explode("_up").alias("node")).distinct()
+        if not found.where("size(_up) > 0").head(1):
+            break
+    else:
+        raise ValueError("the graph has a cycle")
+    graph = known.groupBy("start").agg(F.collect_list(F.struct("node", F.coalesce("_up", F.array().cast(f"array<{kind}>")).alias("up"))).alias("_g"))
+    names = pa.schema([("start", to_arrow_type(start.schema["gonum"].dataType)), ("path", pa.list_(to_arrow_type(edges.schema["parent"].dataType)))])
+
+    def batch(starts: list, ends: list, terms: list) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms, names.field("path").type.value_type))
+        return pa.RecordBatch.from_arrays([pa.array(starts, names.field("start").type), lists.cast(names.field("path").type)], schema=names)
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, ends, terms = [], [0], []
+        for rows in batches:
+            for i in range(rows.num_rows):
+                first = rows.column(0)[i].as_py()
+                above = dict(zip(rows.column(1)[i].as_py(), rows.column(2)[i].as_py(), strict=True))
+                order = _top_down(above, first)
+                if order is None:
+                    all_ = list(_ways_up(above, first))
+                    ways = (a for a in all_ if not any(_part_of(a, b) for b in all_))
+                else:
+                    ways = _ways_up(_without_detours(above, order), first)
+                for way in ways:
+                    starts.append(first)
+                    terms += way
+                    ends.append(len(terms))
+                    if len(terms) >= HELD_TERMS:
+                        yield batch(starts, ends, terms)
+                        starts, ends, terms = [], [0], []
+        if starts:
+            yield batch(starts, ends, terms)
+
+    columns = graph.select("start", F.col("_g.node").alias("nodes"), F.col("_g.up").alias("ups"))
+    return columns.mapInArrow(unfold, f"start {dict(start.dtypes)['gonum']}, path array<{kind}>")
+
+
 def terminal_terms(table: DataFrame, paths: DataFrame) -> DataFrame:
     """Rows of a table of terms of which no descendant is in the table."""
     ids = table.select("gonum").distinct()

@@ -105,7 +105,7 @@ def root_paths(spark, sf):
 
 
 def longest_paths(spark, sf):
-    rows = O.longest_paths(O.root_paths(R.edges(spark, sf), start(spark, sf)))
+    rows = O.longest_root_paths(R.edges(spark, sf), start(spark, sf))
     return rows.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 

@@ -213,6 +213,30 @@ def test_rounds_of_components_do_not_broadcast(spark, monkeypatch):
     assert plans and not any("BroadcastExchange" in p for p in plans)
 
 
+def test_longest_root_paths_equal_pairs_of_paths_and_are_not_compared(spark, monkeypatch):
+    dice = random.Random(9)
+    edges = {(c, p, dice.choice((1, 1, 2, 3))) for c in range(2, 40) for p in dice.sample(range(1, c), min(c - 1, 3 if c < 24 else 2))}
+    rows = spark.createDataFrame(sorted(edges) + [(31, 5, 2), (31, 5, 1)], "child int, parent int, rel int")
+    start = spark.createDataFrame([(i,) for i in (1, 2, 9, 17, 22, 31, 39, 39, 77)], "gonum int")
+    want = sorted((r.start, r.path) for r in O.longest_paths(O.root_paths(rows, start)).collect())
+    assert len(want) < O.root_paths(rows, start).count()
+    monkeypatch.setattr(O, "_part_of", None)  # without a cycle, nothing is compared
+    assert sorted((r.start, r.path) for r in O.longest_root_paths(rows, start).collect()) == want
+
+
+def test_longest_root_paths_of_a_braid_with_detours(spark):
+    # 4**7 ways from the start, each of whose links can be passed by, are not compared in pairs.
+    edges = [(10 * i + 10, 10 * i + k, 1) for i in range(7) for k in range(1, 5)] + [(10 * i + k, 10 * i, 1) for i in range(7) for k in range(1, 5)] + [(10 * i + 10, 10 * i, 2) for i in range(7)]
+    paths = O.longest_root_paths(spark.createDataFrame(edges, "child int, parent int, rel int"), spark.createDataFrame([(70,)], "gonum int"))
+    assert [tuple(r) for r in paths.selectExpr("size(path) AS n").groupBy("n").count().collect()] == [(15, 4**7)]
+
+
+def test_longest_root_paths_beside_a_cycle(spark):
+    rows = spark.createDataFrame([(2, 1, 1), (3, 2, 1), (4, 3, 1), (3, 4, 1), (4, 1, 1), (6, 5, 1), (5, 6, 1)], "child int, parent int, rel int")
+    got = O.longest_root_paths(rows, spark.createDataFrame([(4,), (3,), (6,)], "gonum int")).collect()
+    assert sorted((r.start, r.path) for r in got) == [(3, [1, 2, 3]), (3, [1, 4, 3]), (4, [1, 2, 3, 4])]
+
+
 def test_mutual_sets_beside_a_long_chain_need_no_rounds(spark, monkeypatch):
     def rounds(edges, most=60):
         raise AssertionError("mutual sets were sought in rounds")
