@@ -99,7 +99,7 @@ def recounted_terms(spark, sf):
 
 def recounted_all(spark, sf):
     store = stored(spark, sf)
-    return O.recounted(G.sequence_terms(spark, sf), store.sequence_values(), store.cutoffs(["one", "two"]), "all")
+    return O.recounted_hits(G.hit_rows(spark, sf), G.direct(spark, sf), G.closure(spark, sf), store.sequence_values(), store.cutoffs(["one", "two"]), "all")
 
 
 def terms_with_values(spark, sf):

@@ -237,6 +237,26 @@ def test_longest_root_paths_beside_a_cycle(spark):
     assert sorted((r.start, r.path) for r in got) == [(3, [1, 2, 3]), (3, [1, 4, 3]), (4, [1, 2, 3, 4])]
 
 
+@pytest.mark.parametrize("name", ["f16_recounted_all"])
+def test_terms_are_recounted_without_best_hits_of_all_sequences(spark, monkeypatch, name):
+    monkeypatch.setattr(O, "sequence_terms", None)
+    same_as_sql(spark, SF, name)
+
+
+def test_recounted_hits_equal_recounted_terms(spark):
+    dice = random.Random(4)
+    hits = spark.createDataFrame([(s, h, float(dice.randint(1, 9)), 0.1) for s in range(40) for h in dice.sample(range(30), 5)] + [(None, 1, 1.0, 0.1)], "seq_id int, hit_id int, bits double, evalue double")
+    direct = spark.createDataFrame([(h, g) for h in range(25) for g in dice.sample(range(2, 40), 2)] + [(1, 7), (1, 7)], "hit_id int, gonum int")
+    paths = O.closure(spark.createDataFrame([(c, c // 2, 1) for c in range(2, 40)] + [(c, c // 3, 2) for c in range(3, 40, 3)], "child int, parent int, rel int"))
+    values = spark.createDataFrame([(c, s, dice.choice((0.01, -0.02, 0.3, None))) for s in range(60) for c in ("a", "b")] + [("a", None, 0.01)], "column string, seq_id int, p double")
+    terms = O.sequence_terms(hits, direct, paths)
+    for how, direction, least in (("any", "up", 3), ("all", "either", 1), ("any", "down", 1)):
+        rest = (values, {"a": 0.05, "b": 0.05}, how, direction, least)
+        want = {tuple(r) for r in O.recounted(terms, *rest).collect()}
+        got = [tuple(r) for r in O.recounted_hits(hits, direct, paths, *rest).collect()]
+        assert want and set(got) == want and len(got) == len(want)
+
+
 def test_mutual_sets_beside_a_long_chain_need_no_rounds(spark, monkeypatch):
     def rounds(edges, most=60):
         raise AssertionError("mutual sets were sought in rounds")
