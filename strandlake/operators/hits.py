@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import descriptions as D
 from strandlake.functions.numbers import overlaps
+from strandlake.plans.lineage import cut
 
 #: Fixed value: a hit of the preferred database replaces the best annotation at this share of its bit score.
 PREFERRED_SHARE = 0.7
@@ -251,6 +252,26 @@ def shared_hit(pairs: DataFrame, hits: DataFrame, common: int = 30) -> DataFrame
     return both.groupBy("seq1", "seq2").agg(F.max_by("hit_id", F.struct((F.col("_b1") + F.col("_b2")).alias("s"), (-F.col("hit_id")).alias("h"))).alias("hit_id"))
 
 
+def with_shared_hit(pairs: DataFrame, hits: DataFrame, common: int = 30) -> DataFrame:
+    """Pairs with ``hit_id``, the hit that ``shared_hit`` gives them, or null. Each has seq1 up to seq2.
+
+    The best hit of two sequences is found among all that share one before pairs are looked at, so that pairs are read and
+    shuffled once, by the same key. Hits that more than ``common`` sequences have are listed first; only if there are any,
+    hits are told apart by it and pairs are read again for these."""
+    heavy = cut(hits.groupBy("hit_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > common).select("hit_id"))
+    any_ = bool(heavy.head(1))
+    hits = hits.select("seq_id", "hit_id", "bits")
+    side = lambda d, n: d.select(F.col("seq_id").alias(f"seq{n}"), "hit_id", F.col("bits").alias(f"_b{n}"))
+    few = hits.join(heavy, "hit_id", "left_anti") if any_ else hits
+    place = F.struct((F.col("_b1") + F.col("_b2")).alias("s"), (-F.col("hit_id")).alias("h")).alias("_p")
+    rows = side(few, 1).join(side(few, 2), "hit_id").where("seq1 <= seq2").select("seq1", "seq2", place)
+    if any_:
+        many = hits.join(heavy, "hit_id", "left_semi")
+        rows = rows.unionByName(pairs.select("seq1", "seq2").join(side(many, 1), "seq1").join(side(many, 2), ["seq2", "hit_id"]).select("seq1", "seq2", place))
+    best = rows.groupBy("seq1", "seq2").agg(F.max("_p").alias("_p")).select("seq1", "seq2", (-F.col("_p.h")).alias("hit_id"))
+    return pairs.join(best, ["seq1", "seq2"], "left")
+
+
 def new_hits(loaded: DataFrame, arriving: DataFrame) -> DataFrame:
     """Arriving hits whose (sequence, hit) is not loaded yet."""
     return arriving.join(loaded.select("seq_id", "hit_id"), ["seq_id", "hit_id"], "left_anti")

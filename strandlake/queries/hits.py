@@ -61,10 +61,15 @@ def merge_hits(spark, sf):
     return H.merge_hits(R.flagged(spark, sf), top=1).select("seq_id", "hit_id")
 
 
-def shared_hit(spark, sf):
-    """Here parts are sequences and orders are hits; the pairs are given."""
+def hits_of_parts(spark, sf):
+    """Here parts are sequences and orders are hits."""
     rows = R.hits(spark, sf).select(F.col("l_partkey").alias("seq_id"), F.col("seq_id").alias("hit_id"), "bits")
-    return H.shared_hit(R.pairs(spark, sf).select("seq1", "seq2"), rows.groupBy("seq_id", "hit_id").agg(F.max("bits").alias("bits")))
+    return rows.groupBy("seq_id", "hit_id").agg(F.max("bits").alias("bits"))
+
+
+def shared_hit(spark, sf):
+    """The pairs are given."""
+    return H.shared_hit(R.pairs(spark, sf).select("seq1", "seq2"), hits_of_parts(spark, sf))
 
 
 def unhit_entries(spark, sf):

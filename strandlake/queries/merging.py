@@ -145,7 +145,7 @@ def order_details(spark, sf):
 
 
 def pair_hits(spark, sf):
-    view = with_hits(R.pairs(spark, sf).join(HQ.shared_hit(spark, sf), ["seq1", "seq2"], "left"), order_details(spark, sf), "pair")
+    view = with_hits(H.with_shared_hit(R.pairs(spark, sf), HQ.hits_of_parts(spark, sf)), order_details(spark, sf), "pair")
     return view.select(["seq1", "seq2", "hit_id", "sim", "hit_description", "hit_dbtype"])
 
 

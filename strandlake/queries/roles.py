@@ -113,11 +113,12 @@ pairs AS MATERIALIZED (SELECT a.part AS seq1, b.part AS seq2, a.part % 4 AS ds1,
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_partkey").alias("part")).agg(F.min("l_extendedprice").alias("price"), F.min("l_quantity").alias("qty"), F.min("l_discount").alias("disc"))
     a, b = lines.toDF("o", "seq1", "p1", "q1", "d1"), lines.toDF("o", "seq2", "p2", "q2", "d2")
-    rows = a.join(b, "o").where("seq1 < seq2").withColumns({"ds1": F.col("seq1") % 4, "ds2": F.col("seq2") % 4})
-    return rows.groupBy("seq1", "seq2", "ds1", "ds2").agg(
+    rows = a.join(b, "o").where("seq1 < seq2")
+    ds = [(F.col(f"seq{i}") % 4).alias(f"ds{i}") for i in (1, 2)]
+    return rows.groupBy("seq1", "seq2").agg(
         F.min(F.col("d1") + F.col("d2")).alias("evalue"), F.max(F.col("q1") + F.col("q2")).alias("sim"), F.max(F.floor((F.col("p1") + F.col("p2")) / 1000)).cast("long").alias("bits"),
         (F.max("q1").cast("int") * 2).alias("cov1"), (F.max("q2").cast("int") * 2).alias("cov2"), F.max(F.col("q1") + F.col("q2")).cast("int").alias("aln"),
-    )
+    ).select("seq1", "seq2", *ds, "evalue", "sim", "bits", "cov1", "cov2", "aln")
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:

@@ -257,6 +257,18 @@ def test_recounted_hits_equal_recounted_terms(spark):
         assert want and set(got) == want and len(got) == len(want)
 
 
+def test_pairs_get_their_shared_hit_and_are_read_once(spark):
+    dice = random.Random(6)
+    pairs = spark.createDataFrame([(a, b, a * b) for a in range(30) for b in range(a, 30) if dice.random() < 0.6], "seq1 int, seq2 int, sim int").repartition("seq1", "seq2")
+    hits = spark.createDataFrame(sorted({(dice.randrange(30), h): float(dice.randint(1, 5)) for h in range(40) for _ in range(3)}.items()), "k struct<s:int,h:int>, bits double").selectExpr("k.s AS seq_id", "k.h AS hit_id", "bits")
+    for common in (30, 2, 1):
+        want = pairs.join(H.shared_hit(pairs, hits), ["seq1", "seq2"], "left")
+        got = H.with_shared_hit(pairs, hits, common)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.where("hit_id IS NULL").head(1)
+    plan = H.with_shared_hit(pairs, hits)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sim#") and len(re.findall(r"RepartitionByExpression", plan)) == 1
+
+
 def test_mutual_sets_beside_a_long_chain_need_no_rounds(spark, monkeypatch):
     def rounds(edges, most=60):
         raise AssertionError("mutual sets were sought in rounds")
