@@ -94,7 +94,7 @@ def stored(spark, sf):
 
 def recounted_terms(spark, sf):
     store = stored(spark, sf)
-    return O.recounted(G.sequence_terms(spark, sf), store.sequence_values(), store.cutoffs(["one", "two"]), "any", "up", least=3)
+    return O.recounted_hits(G.hit_rows(spark, sf), G.direct(spark, sf), G.closure(spark, sf), store.sequence_values(), store.cutoffs(["one", "two"]), "any", "up", least=3)
 
 
 def recounted_all(spark, sf):

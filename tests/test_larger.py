@@ -237,7 +237,7 @@ def test_longest_root_paths_beside_a_cycle(spark):
     assert sorted((r.start, r.path) for r in got) == [(3, [1, 2, 3]), (3, [1, 4, 3]), (4, [1, 2, 3, 4])]
 
 
-@pytest.mark.parametrize("name", ["f16_recounted_all"])
+@pytest.mark.parametrize("name", ["d08_f16_recounted_terms", "f16_recounted_all"])
 def test_terms_are_recounted_without_best_hits_of_all_sequences(spark, monkeypatch, name):
     monkeypatch.setattr(O, "sequence_terms", None)
     same_as_sql(spark, SF, name)
