@@ -269,6 +269,13 @@ def test_pairs_get_their_shared_hit_and_are_read_once(spark):
     assert plan.count("sim#") and len(re.findall(r"RepartitionByExpression", plan)) == 1
 
 
+def test_inherited_terms_of_hits_go_to_sequences_in_order(spark):
+    edges = [(c, p) for c in range(2, 120) for p in {c // 2, c // 3} if p]
+    paths = O.closure(spark.createDataFrame([(c, p, 1) for c, p in edges], "child int, parent int, rel int"))
+    rows = O._terms_of_hits(spark.createDataFrame([(g % 50, g) for g in range(40, 120)], "hit_id int, gonum int"), paths).collect()
+    assert len(rows) == 50 and all(list(r._above) == sorted(set(r._above) - set(r._own)) for r in rows)
+
+
 def test_mutual_sets_beside_a_long_chain_need_no_rounds(spark, monkeypatch):
     def rounds(edges, most=60):
         raise AssertionError("mutual sets were sought in rounds")
